@@ -141,3 +141,77 @@ def _actions(i: Inputs):
 @report("fmt_currency")
 def _fmt(i: Inputs):
     return P.formatted_amounts(i.statement)
+
+
+# --- payment methods ---------------------------------------------------------
+
+from dunning.plans import customers as CU  # noqa: E402
+from dunning.plans import payments as PM  # noqa: E402
+
+
+@report("payment_method_totals")
+def _pm_totals(i: Inputs):
+    return PM.payment_method_totals(i.payments_filled)
+
+
+@report("customer_method_totals")
+def _pm_customer(i: Inputs):
+    return PM.payment_method_totals(i.payments_filled, by="customer_code")
+
+
+@report("payment_method_summary")
+def _pm_summary(i: Inputs):
+    return PM.payment_method_summary(i.payments_filled)
+
+
+@report("payment_stats")
+def _pay_stats(i: Inputs):
+    return PM.payment_stats(i.payments)
+
+
+@report("payment_method_by_status")
+def _pm_status(i: Inputs):
+    return PM.payment_method_by_status(i.payments_filled, i.statement)
+
+
+# --- customers ---------------------------------------------------------------
+
+
+@report("all_customers")
+def _all_customers(i: Inputs):
+    return CU.all_customers(i.statement, i.payments)
+
+
+@report("customer_profiles")
+def _profiles(i: Inputs):
+    return CU.customer_profiles(i.statement, i.payments)
+
+
+@report("payments_only_customers")
+def _pay_only(i: Inputs):
+    return CU.payments_only_customers(i.statement, i.payments_filled)
+
+
+@report("last_payments")
+def _last_payments(i: Inputs):
+    return CU.last_payments(i.payments_filled, 5)
+
+
+@report("payment_timeline")
+def _timeline(i: Inputs):
+    return CU.payment_timeline(i.payments_filled)
+
+
+@report("customer_modal_status")
+def _modal(i: Inputs):
+    return CU.customer_modal_status(i.statement)
+
+
+@report("customer_rollup")
+def _rollup(i: Inputs):
+    return CU.customer_rollup(i.statement)
+
+
+@report("payment_history")
+def _history(i: Inputs):
+    return CU.payment_history(i.payments_filled, i.params.as_of)

@@ -286,3 +286,168 @@ SELECT document_no, balance, {fmt_currency_sql("balance")} AS balance_text,
   {fmt_percent_sql("default_probability")} AS probability_text
 FROM statement""",
 )
+
+
+# --- payment methods ---------------------------------------------------------
+
+METHODS = L.PAYMENT_METHODS
+
+oracle(
+    "payment_method_totals",
+    "\nUNION ALL\n".join(f"SELECT {q(label)} AS method, {mtotal(c)} AS amount FROM payments_filled" for c, label in METHODS),
+)
+
+oracle(
+    "customer_method_totals",
+    "\nUNION ALL\n".join(
+        f"SELECT customer_code, {q(label)} AS method, {mtotal(c)} AS amount FROM payments_filled "
+        "WHERE customer_code IS NOT NULL GROUP BY customer_code"
+        for c, label in METHODS
+    ),
+)
+
+oracle(
+    "payment_method_summary",
+    """
+SELECT method, COALESCE(CAST(t AS DOUBLE), CAST(0 AS DOUBLE)) AS total_paid, n AS transactions,
+  COALESCE(CAST(t AS DOUBLE), CAST(0 AS DOUBLE)) / NULLIF((SELECT CAST(SUM(COALESCE(t, 0)) AS DOUBLE) FROM m), 0) AS share
+FROM m""",
+    "m AS ("
+    + "\nUNION ALL\n".join(
+        f"SELECT {q(label)} AS method, SUM(CASE WHEN {c} > 0 THEN CAST(paid_amount AS DECIMAL(18,2)) END) AS t, "
+        f"COUNT(CASE WHEN {c} > 0 THEN 1 END) AS n FROM payments_filled"
+        for c, label in METHODS
+    )
+    + ")",
+)
+
+oracle(
+    "payment_stats",
+    f"""
+SELECT {mtotal("paid_amount")} AS total_paid, {mmean("paid_amount")} AS avg_paid,
+  COUNT(*) AS transactions, COUNT(DISTINCT customer_code) AS customers
+FROM payments""",
+)
+
+oracle(
+    "payment_method_by_status",
+    """
+SELECT method, delinquency_status, CAST(t AS DOUBLE) AS total_paid, CAST(transactions AS BIGINT) AS transactions,
+  customers, CAST(t AS DOUBLE) / NULLIF((SELECT CAST(SUM(t) AS DOUBLE) FROM g), 0) AS share
+FROM g""",
+    "per AS ("
+    + "\nUNION ALL\n".join(
+        f"SELECT customer_code, paid_amount, {q(label)} AS method FROM payments_filled WHERE {c} > 0"
+        for c, label in METHODS
+    )
+    + ")",
+    "pre AS (SELECT customer_code, method, SUM(CAST(paid_amount AS DECIMAL(18,2))) AS paid_dec, COUNT(*) AS n "
+    "FROM per GROUP BY customer_code, method)",
+    "stat AS (SELECT DISTINCT customer_code, delinquency_status FROM statement)",
+    f"j AS (SELECT pre.*, COALESCE(stat.delinquency_status, {q(L.NO_DATA)}) AS delinquency_status FROM pre "
+    "LEFT JOIN stat ON pre.customer_code IS NOT DISTINCT FROM stat.customer_code)",
+    "g AS (SELECT method, delinquency_status, SUM(paid_dec) AS t, COUNT(customer_code) AS customers, "
+    "SUM(n) AS transactions FROM j GROUP BY method, delinquency_status)",
+)
+
+# --- customers ---------------------------------------------------------------
+
+ALL_CUSTOMERS = """all_cust AS (
+  SELECT COALESCE(a.customer_code, b.customer_code) AS customer_code,
+    CASE WHEN a.customer_code IS NOT NULL THEN a.sn ELSE b.pn END AS customer_name,
+    a.customer_code IS NOT NULL AS in_statement, b.customer_code IS NOT NULL AS in_payments
+  FROM (SELECT customer_code, MIN(customer_name) AS sn FROM statement WHERE customer_code IS NOT NULL GROUP BY 1) a
+  FULL OUTER JOIN (SELECT customer_code, MIN(customer_name) AS pn FROM payments WHERE customer_code IS NOT NULL GROUP BY 1) b
+  ON a.customer_code = b.customer_code
+)"""
+
+oracle(
+    "all_customers",
+    """
+SELECT customer_code, customer_name, concat_ws(' - ', CAST(customer_code AS VARCHAR), customer_name) AS label,
+  in_statement, in_payments
+FROM all_cust""",
+    ALL_CUSTOMERS,
+)
+
+oracle(
+    "customer_profiles",
+    f"""
+SELECT u.customer_code, u.customer_name, u.in_statement AS has_invoices, s.invoice_count, s.total_balance, s.avg_days,
+  CASE WHEN u.in_statement THEN CASE WHEN s.total_balance > 0 THEN s.late / s.total_balance * 100.0
+       ELSE CAST(0 AS DOUBLE) END END AS delinquency_pct,
+  s.avg_probability, s.avg_initial * 0.8 AS recommended_limit
+FROM all_cust u LEFT JOIN (
+  SELECT customer_code, COUNT(*) AS invoice_count, {mtotal("balance")} AS total_balance,
+    {avg_int("days_past_due")} AS avg_days, {mtotal("CASE WHEN days_past_due > 60 THEN balance END")} AS late,
+    {pmean("default_probability")} AS avg_probability, {mmean("initial_amount")} AS avg_initial
+  FROM statement WHERE customer_code IS NOT NULL GROUP BY 1
+) s ON u.customer_code = s.customer_code""",
+    ALL_CUSTOMERS,
+)
+
+oracle(
+    "payments_only_customers",
+    f"""
+SELECT customer_code, MIN(customer_name) AS customer_name, COUNT(*) AS payment_count, {mmean("paid_amount")} AS avg_paid,
+  MAX(payment_date) AS last_payment, {mtotal("paid_amount")} AS total_paid,
+  COALESCE(strftime(MAX(payment_date), '%d/%m/%Y'), 'N/A') AS last_payment_text
+FROM payments_filled p
+WHERE customer_code IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM statement s WHERE s.customer_code = p.customer_code)
+GROUP BY customer_code""",
+)
+
+PAYMENT_ORDER_SQL = (
+    "payment_date DESC NULLS LAST, document_no ASC NULLS LAST, line_no ASC NULLS LAST, paid_amount DESC NULLS LAST, "
+    "cash DESC NULLS LAST, cheque DESC NULLS LAST, card DESC NULLS LAST, transfer DESC NULLS LAST"
+)
+
+oracle(
+    "last_payments",
+    f"""
+SELECT customer_code, payment_rank, payment_date, document_no, line_no, paid_amount, cash, cheque, card, transfer
+FROM (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY customer_code ORDER BY {PAYMENT_ORDER_SQL}) AS INTEGER) AS payment_rank
+  FROM payments_filled WHERE customer_code IS NOT NULL
+) WHERE payment_rank <= 5""",
+)
+
+oracle(
+    "payment_timeline",
+    """
+SELECT customer_code, payment_date, document_no, line_no, paid_amount FROM payments_filled
+WHERE customer_code IS NOT NULL ORDER BY customer_code, payment_date, document_no, line_no, paid_amount""",
+)
+
+MODAL_STATUS = f"""modal AS (
+  SELECT customer_code, delinquency_status AS modal_status FROM (
+    SELECT customer_code, delinquency_status,
+      ROW_NUMBER() OVER (PARTITION BY customer_code ORDER BY COUNT(*) DESC, {status_rank_case("delinquency_status")} ASC) AS rn
+    FROM statement WHERE customer_code IS NOT NULL AND delinquency_status IS NOT NULL
+    GROUP BY customer_code, delinquency_status
+  ) WHERE rn = 1
+)"""
+
+oracle("customer_modal_status", "SELECT customer_code, modal_status FROM modal", MODAL_STATUS)
+
+ROLLUP = f"""rollup AS (
+  SELECT s.customer_code, s.customer_name, s.avg_days, s.balance, s.avg_probability,
+    COALESCE(m.modal_status, {q(L.NO_DATA)}) AS modal_status
+  FROM (
+    SELECT customer_code, MIN(customer_name) AS customer_name, {avg_int("days_past_due")} AS avg_days,
+      {mtotal("balance")} AS balance, {pmean("default_probability")} AS avg_probability
+    FROM statement WHERE customer_code IS NOT NULL GROUP BY 1
+  ) s LEFT JOIN modal m ON s.customer_code = m.customer_code
+)"""
+
+oracle("customer_rollup", "SELECT * FROM rollup", MODAL_STATUS, ROLLUP)
+
+HISTORY = f"""history AS (
+  SELECT customer_code, {mtotal("paid_amount")} AS total_paid, {mmean("paid_amount")} AS avg_paid,
+    COUNT(paid_amount) AS payment_count, MIN(payment_date) AS first_payment, MAX(payment_date) AS last_payment,
+    CAST(datediff('day', MAX(payment_date), {AS_OF}) AS INTEGER) AS days_since_last_payment
+  FROM payments_filled WHERE customer_code IS NOT NULL GROUP BY 1
+)"""
+
+oracle("payment_history", "SELECT * FROM history", HISTORY)
