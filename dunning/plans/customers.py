@@ -86,23 +86,25 @@ def payments_only_customers(st: DataFrame, pay_filled: DataFrame) -> DataFrame:
     )
 
 
-PAYMENT_ORDER = [
-    F.desc_nulls_last("payment_date"),
-    F.asc_nulls_last("document_no"),
-    F.asc_nulls_last("line_no"),
-    F.desc_nulls_last("paid_amount"),
-    F.desc_nulls_last("cash"),
-    F.desc_nulls_last("cheque"),
-    F.desc_nulls_last("card"),
-    F.desc_nulls_last("transfer"),
-]
+def payment_order() -> list:
+    """Latest first; the rest only makes the order total."""
+    return [
+        F.desc_nulls_last("payment_date"),
+        F.asc_nulls_last("document_no"),
+        F.asc_nulls_last("line_no"),
+        F.desc_nulls_last("paid_amount"),
+        F.desc_nulls_last("cash"),
+        F.desc_nulls_last("cheque"),
+        F.desc_nulls_last("card"),
+        F.desc_nulls_last("transfer"),
+    ]
 
 
 def last_payments(pay_filled: DataFrame, n: int = 5) -> DataFrame:
     """Latest ``n`` payments per customer.  ``row_number() <= n`` is planned
     as a partial WindowGroupLimit before the shuffle, so a customer with a
     huge history ships at most ``n`` rows per map task."""
-    w = Window.partitionBy(KEY).orderBy(*PAYMENT_ORDER)
+    w = Window.partitionBy(KEY).orderBy(*payment_order())
     return (
         _keyed(pay_filled)
         .withColumn("payment_rank", F.row_number().over(w))

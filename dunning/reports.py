@@ -215,3 +215,232 @@ def _rollup(i: Inputs):
 @report("payment_history")
 def _history(i: Inputs):
     return CU.payment_history(i.payments_filled, i.params.as_of)
+
+
+# --- concentration, collection plan -----------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from dunning.plans import collection as CO  # noqa: E402
+from dunning.plans import concentration as CN  # noqa: E402
+from dunning.plans import limits as LI  # noqa: E402
+from dunning.plans import ml as ML  # noqa: E402
+from dunning.plans import scenarios as SC  # noqa: E402
+from dunning.params import DEFAULT_FUTURE_WEEK_START  # noqa: E402
+
+
+@report("pareto")
+def _pareto(i: Inputs):
+    return CN.pareto(i.statement, 80.0)
+
+
+@report("week_calendar")
+def _calendar(i: Inputs):
+    # anchored on the data: the day after the latest invoice
+    anchor = i.statement.agg(F.date_add(F.max("invoice_date"), 1).alias("as_of"))
+    return CO.week_calendar(anchor)
+
+
+@report("plan_scope_all")
+def _scope_all(i: Inputs):
+    return CO.plan_scope(i.statement, i.params.week_start, include_overdue=True)
+
+
+@report("plan_scope_week")
+def _scope_week(i: Inputs):
+    return CO.plan_scope(i.statement, i.params.week_start, include_overdue=False)
+
+
+@report("normalized_history")
+def _norm_hist(i: Inputs):
+    return CO.normalized_history(i.payments_filled)
+
+
+@report("collection_score")
+def _score(i: Inputs):
+    p = i.params
+    return CO.collection_score(CO.plan_scope(i.statement, p.week_start, p.include_overdue), i.payments_filled).drop("_bal")
+
+
+def _plan(i: Inputs, week_start=None):
+    p = i.params
+    return CO.collection_plan(i.statement, i.payments_filled, week_start or p.week_start, p.weekly_goal, p.include_overdue)
+
+
+@report("collection_plan")
+def _collection_plan(i: Inputs):
+    return _plan(i)
+
+
+@report("week_payments")
+def _week_payments(i: Inputs):
+    return CO.week_payments(i.payments_filled, i.params.week_start)
+
+
+@report("plan_compliance")
+def _compliance(i: Inputs):
+    p = i.params
+    return CO.plan_compliance(_plan(i), i.payments_filled, p.week_start, p.as_of)
+
+
+@report("plan_compliance_future")
+def _compliance_future(i: Inputs):
+    p = i.params
+    return CO.plan_compliance(_plan(i, DEFAULT_FUTURE_WEEK_START), i.payments_filled, DEFAULT_FUTURE_WEEK_START, p.as_of)
+
+
+@report("weekly_kpis")
+def _weekly(i: Inputs):
+    p = i.params
+    return CO.weekly_kpis(_plan(i), i.payments_filled, p.week_start, p.weekly_goal, p.as_of)
+
+
+@report("monthly_kpis")
+def _monthly(i: Inputs):
+    p = i.params
+    return CO.monthly_kpis(i.payments_filled, p.week_start, p.weekly_goal)
+
+
+@report("payments_outside_plan")
+def _outside(i: Inputs):
+    p = i.params
+    return CO.payments_outside_plan(_plan(i), i.payments_filled, i.statement, p.week_start, p.as_of)
+
+
+# --- credit limits -----------------------------------------------------------
+
+
+def _limits(i: Inputs):
+    return LI.credit_limits(i.statement, i.payments_filled, i.params.as_of)
+
+
+def _filtered_limits(i: Inputs):
+    p = i.params
+    return LI.filter_limits(_limits(i), p.limit_segments, p.limit_low, p.limit_high)
+
+
+@report("credit_limits")
+def _credit_limits(i: Inputs):
+    return _limits(i)
+
+
+@report("limit_explanation")
+def _explanation(i: Inputs):
+    return _limits(i).select("customer_code", "customer_name", "explanation")
+
+
+@report("limits_filtered")
+def _limits_filtered(i: Inputs):
+    return _filtered_limits(i)
+
+
+@report("limits_domain")
+def _limits_domain(i: Inputs):
+    return LI.limits_domain(_limits(i))
+
+
+@report("limits_summary")
+def _limits_summary(i: Inputs):
+    return LI.limits_summary(_filtered_limits(i))
+
+
+@report("limit_histogram")
+def _limit_histogram(i: Inputs):
+    return LI.limit_histogram(_filtered_limits(i), 20)
+
+
+@report("limit_points")
+def _limit_points(i: Inputs):
+    return LI.limit_points(_filtered_limits(i))
+
+
+# --- what-if scenarios -------------------------------------------------------
+
+
+@report("scenario_risk")
+def _scenario_risk(i: Inputs):
+    return SC.score_scenarios(i.statement, i.payments_filled)
+
+
+@report("scenario_band")
+def _scenario_band(i: Inputs):
+    return SC.scenario_band(SC.score_scenarios(i.statement, i.payments_filled))
+
+
+# --- classification steps and the risk model ---------------------------------
+
+from dunning.functions import classify as CL  # noqa: E402
+
+
+@report("days_past_due")
+def _days(i: Inputs):
+    return i.statement.select("document_no", "due_date", "days_past_due")
+
+
+@report("delinquency_status")
+def _status(i: Inputs):
+    return i.statement.select(
+        "document_no", "days_past_due", "delinquency_status", "aging_0_30", "aging_31_60", "aging_61_90", "aging_91_120", "aging_over_120"
+    )
+
+
+@report("score_rules")
+def _score_rules(i: Inputs):
+    return i.statement.select("document_no", "days_past_due", "default_probability")
+
+
+@report("risk_segment")
+def _risk_segment(i: Inputs):
+    p = F.col("default_probability")
+    return i.statement.select(
+        "document_no",
+        "default_probability",
+        "risk_segment",
+        CL.risk_segment(p, include_lowest=True).alias("risk_segment_inclusive"),
+        CL.segment_rank(F.col("risk_segment")).alias("segment_rank"),
+    )
+
+
+@report("score_fallback")
+def _fallback(i: Inputs):
+    from dunning.plans.prepare import classify, score
+
+    st = score(classify(fx.statement(i.spark, i.sf_dir), i.params.as_of), mode="rules")
+    return st.select("document_no", "default_probability", "risk_segment")
+
+
+@report("training_frame")
+def _training(i: Inputs):
+    return ML.training_frame(i.statement)
+
+
+@report("score_model")
+def _score_model(i: Inputs):
+    st = i.statement
+    model = ML.fit_risk_model(st)
+    return ML.score_model(st, model).select("document_no", "days_past_due", "default_probability", "risk_segment")
+
+
+@report("feature_importance")
+def _importance(i: Inputs):
+    return ML.feature_importance(ML.fit_risk_model(i.statement))
+
+
+@report("imputed_rollup")
+def _imputed(i: Inputs):
+    return ML.imputed_rollup(CU.customer_rollup(i.statement))
+
+
+@report("standardized_rollup")
+def _standardized(i: Inputs):
+    return ML.standardized_rollup(CU.customer_rollup(i.statement))
+
+
+@report("customer_segments")
+def _segments(i: Inputs):
+    return ML.segment_customers(CU.customer_rollup(i.statement))
+
+
+@report("cluster_stats")
+def _cluster_stats(i: Inputs):
+    return ML.cluster_stats(ML.segment_customers(CU.customer_rollup(i.statement)))

@@ -451,3 +451,400 @@ HISTORY = f"""history AS (
 )"""
 
 oracle("payment_history", "SELECT * FROM history", HISTORY)
+
+
+def D(x) -> str:
+    """A DOUBLE literal (DuckDB reads 0.3 as DECIMAL)."""
+    return f"CAST({x} AS DOUBLE)"
+
+
+# --- concentration -------------------------------------------------------------
+
+_PARETO_ORDER = "ORDER BY COALESCE(CAST(bal AS DOUBLE), CAST(0 AS DOUBLE)) DESC, customer_name ASC"
+oracle(
+    "pareto",
+    f"""
+SELECT position, customer_name, balance, cum_balance,
+  cum_balance / NULLIF((SELECT CAST(SUM(bal) AS DOUBLE) FROM per), 0) * {D(100)} AS cum_pct,
+  cum_balance / NULLIF((SELECT CAST(SUM(bal) AS DOUBLE) FROM per), 0) * {D(100)} <= {D(80)} AS is_top_share
+FROM (
+  SELECT customer_name, COALESCE(CAST(bal AS DOUBLE), CAST(0 AS DOUBLE)) AS balance,
+    ROW_NUMBER() OVER ({_PARETO_ORDER}) AS position,
+    CAST(SUM(COALESCE(bal, 0)) OVER ({_PARETO_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cum_balance
+  FROM per
+)""",
+    "per AS (SELECT customer_name, SUM(CAST(balance AS DECIMAL(18,2))) AS bal FROM statement "
+    "WHERE customer_name IS NOT NULL GROUP BY customer_name)",
+)
+
+# --- collection plan -----------------------------------------------------------
+
+WS = f"DATE '{P.week_start}'"
+WE = f"DATE '{P.week_end}'"
+
+
+def plan_ctes(week_start: str, week_end: str, prefix: str = "") -> list[str]:
+    s = prefix
+    return [
+        f"{s}scope AS (SELECT * FROM statement WHERE invoice_date <= {week_end})",
+        f"{s}hist AS (SELECT customer_code, {mmean('paid_amount')} AS avg_paid FROM payments_filled "
+        "WHERE customer_code IS NOT NULL GROUP BY customer_code)",
+        f"{s}histn AS (SELECT customer_code, avg_paid / (SELECT CASE WHEN MAX(avg_paid) = 0 THEN {D(1)} "
+        f"ELSE MAX(avg_paid) END FROM {s}hist) AS history_norm FROM {s}hist)",
+        f"{s}plan1 AS (SELECT customer_code, customer_name, SUM(CAST(balance AS DECIMAL(18,2))) AS bal, "
+        f"COALESCE(CAST(SUM(CAST(balance AS DECIMAL(18,2))) AS DOUBLE), {D(0)}) AS balance, "
+        f"{pmean('default_probability')} AS avg_probability FROM {s}scope "
+        "WHERE customer_code IS NOT NULL AND customer_name IS NOT NULL GROUP BY customer_code, customer_name)",
+        f"{s}plan2 AS (SELECT p.*, p.balance / (SELECT CASE WHEN MAX(balance) = 0 THEN {D(1)} ELSE MAX(balance) END "
+        f"FROM {s}plan1) AS balance_norm, COALESCE(h.history_norm, {D(0.5)}) AS history_norm "
+        f"FROM {s}plan1 p LEFT JOIN {s}histn h ON p.customer_code = h.customer_code)",
+        f"{s}plan3 AS (SELECT *, {D(0.5)} * ({D(1)} - avg_probability) + {D(0.3)} * history_norm + "
+        f"{D(0.2)} * balance_norm AS collection_score FROM {s}plan2)",
+        f"{s}ranked AS (SELECT *, ROW_NUMBER() OVER (ORDER BY collection_score DESC NULLS LAST, customer_code, "
+        "customer_name) AS position, CAST(SUM(COALESCE(bal, 0)) OVER (ORDER BY collection_score DESC NULLS LAST, "
+        "customer_code, customer_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cum_balance "
+        f"FROM {s}plan3)",
+        f"{s}selected AS (SELECT customer_code, customer_name, balance, avg_probability, balance_norm, history_norm, "
+        f"collection_score, position, cum_balance FROM {s}ranked WHERE position <= COALESCE((SELECT MIN(position) "
+        f"FROM {s}ranked WHERE cum_balance >= {D(P.weekly_goal)}), 4611686018427387904))",
+    ]
+
+
+PLAN = plan_ctes(WS, WE)
+FUTURE_WS = "DATE '2001-08-06'"
+FUTURE_WE = "DATE '2001-08-12'"
+WEEK_PAID = (
+    f"wk AS (SELECT customer_code, {mtotal('paid_amount')} AS week_paid FROM payments_filled "
+    f"WHERE payment_date BETWEEN {WS} AND {WE} AND customer_code IS NOT NULL GROUP BY customer_code)"
+)
+
+oracle(
+    "week_calendar",
+    f"""
+SELECT week_start, week_start + 6 AS week_end, CAST(year(week_start) AS INTEGER) AS year,
+  CAST(weekofyear(week_start) AS INTEGER) AS iso_week,
+  'Week ' || CAST(weekofyear(week_start) AS VARCHAR) || ' (' || strftime(week_start, '%d/%m/%Y') || ' - '
+    || strftime(week_start + 6, '%d/%m/%Y') || ')' AS label,
+  week_start > as_of AS is_future
+FROM (
+  SELECT as_of, CAST(unnest(generate_series(CAST(as_of - 21 + CAST((8 - isodow(as_of - 21)) % 7 AS INTEGER) AS TIMESTAMP),
+    CAST(as_of + 42 AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS week_start
+  FROM (SELECT MAX(invoice_date) + 1 AS as_of FROM statement)
+)""",
+)
+
+oracle("plan_scope_all", f"SELECT * FROM statement WHERE invoice_date <= {WE}")
+oracle("plan_scope_week", f"SELECT * FROM statement WHERE invoice_date BETWEEN {WS} AND {WE}")
+oracle("normalized_history", "SELECT customer_code, h.avg_paid, n.history_norm FROM hist h JOIN histn n USING (customer_code)", *PLAN[:3])
+oracle(
+    "collection_score",
+    "SELECT customer_code, customer_name, avg_probability, balance, balance_norm, history_norm, collection_score FROM plan3",
+    *PLAN[:6],
+)
+oracle("collection_plan", "SELECT * FROM selected", *PLAN)
+oracle("week_payments", "SELECT customer_code, week_paid FROM wk", WEEK_PAID)
+oracle(
+    "plan_compliance",
+    f"""
+SELECT s.*, COALESCE(w.week_paid, {D(0)}) AS paid_in_week,
+  CASE WHEN COALESCE(w.week_paid, 0) > 0 THEN {q(L.PLAN_PAID)} ELSE {q(L.PLAN_NOT_FULFILLED)} END AS compliance
+FROM selected s LEFT JOIN wk w ON s.customer_code = w.customer_code""",
+    *PLAN,
+    WEEK_PAID,
+)
+oracle(
+    "plan_compliance_future",
+    f"SELECT s.*, {D(0)} AS paid_in_week, {q(L.PLAN_FUTURE)} AS compliance FROM f_selected s",
+    *plan_ctes(FUTURE_WS, FUTURE_WE, "f_"),
+)
+oracle(
+    "weekly_kpis",
+    f"""
+SELECT {D(P.weekly_goal)} AS weekly_goal, (SELECT {mtotal("balance")} FROM selected) AS planned_balance,
+  c.collected AS collected, c.collected / {D(P.weekly_goal)} AS compliance_ratio
+FROM (SELECT {mtotal("paid_amount")} AS collected FROM payments_filled
+      WHERE payment_date BETWEEN {WS} AND {WE} AND customer_code IS NOT NULL) c""",
+    *PLAN,
+)
+oracle(
+    "monthly_kpis",
+    f"""
+SELECT {D(P.weekly_goal * 4)} AS monthly_goal, {mtotal("paid_amount")} AS collected,
+  {mtotal("paid_amount")} / {D(P.weekly_goal * 4)} AS compliance_ratio
+FROM payments_filled WHERE month(payment_date) = {P.week_start.month} AND year(payment_date) = {P.week_start.year}""",
+)
+oracle(
+    "payments_outside_plan",
+    """
+SELECT w.customer_code, w.week_paid AS paid, f.customer_name, f.default_probability
+FROM wk w LEFT JOIN (SELECT DISTINCT customer_code, customer_name, default_probability FROM statement) f
+  ON w.customer_code = f.customer_code
+WHERE w.customer_code NOT IN (SELECT customer_code FROM selected)""",
+    *PLAN,
+    WEEK_PAID,
+)
+
+# --- credit limits ---------------------------------------------------------------
+
+
+def _modal(col: str, rank_case: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT customer_code, customer_name, {col} FROM (
+    SELECT customer_code, customer_name, {col},
+      ROW_NUMBER() OVER (PARTITION BY customer_code, customer_name ORDER BY COUNT(*) DESC, {rank_case} ASC) AS rn
+    FROM statement WHERE customer_code IS NOT NULL AND customer_name IS NOT NULL AND {col} IS NOT NULL
+    GROUP BY customer_code, customer_name, {col}
+  ) WHERE rn = 1
+)"""
+
+
+def _fix(x: str, scale: int) -> str:
+    return f"CAST(round({x} * {D(10**scale)}) AS HUGEINT)"
+
+
+def _seg_words(s: str) -> str:
+    return "CASE " + " ".join(f"WHEN {s} = {q(a)} THEN {q(b)}" for a, b in L.SEGMENT_WORDS) + " ELSE 'unknown risk' END"
+
+
+LIMIT_CTES = [
+    HISTORY,
+    f"kb AS (SELECT customer_code, customer_name, {mtotal('balance')} AS balance, {avg_int('days_past_due')} AS avg_days, "
+    f"{pmean('default_probability')} AS avg_probability FROM statement "
+    "WHERE customer_code IS NOT NULL AND customer_name IS NOT NULL GROUP BY customer_code, customer_name)",
+    _modal("risk_segment", segment_rank_case("risk_segment"), "mseg"),
+    _modal("delinquency_status", status_rank_case("delinquency_status"), "mst"),
+    "lj AS (SELECT kb.*, mseg.risk_segment, mst.delinquency_status, h.total_paid, h.avg_paid, h.payment_count, "
+    "h.days_since_last_payment FROM kb "
+    "LEFT JOIN mseg ON kb.customer_code = mseg.customer_code AND kb.customer_name = mseg.customer_name "
+    "LEFT JOIN mst ON kb.customer_code = mst.customer_code AND kb.customer_name = mst.customer_name "
+    "LEFT JOIN history h ON kb.customer_code = h.customer_code)",
+    f"sc AS (SELECT MAX(payment_count) AS max_n, MAX(days_since_last_payment) AS max_ds, COUNT(avg_paid) AS n, "
+    f"SUM({_fix('avg_paid', 4)}) AS s1, SUM({_fix('avg_paid', 4)} * {_fix('avg_paid', 4)}) AS s2 FROM lj)",
+    f"sc2 AS (SELECT max_n, max_ds, CASE WHEN n >= 2 THEN sqrt(greatest(CAST(n * s2 - s1 * s1 AS DOUBLE) / "
+    f"CAST(n * (n - 1) AS DOUBLE), {D(0)})) / {D(10000)} END AS spread, CAST(s1 AS DOUBLE) / CAST(n AS DOUBLE) / {D(10000)} AS centre FROM sc)",
+    f"""fa AS (SELECT lj.*,
+    {D(1)} - avg_probability AS risk_f,
+    CASE WHEN (h0) IS NOT NULL THEN least(greatest(h0, {D(0)}), {D(1)}) END AS history_f,
+    CASE WHEN (r0) IS NOT NULL THEN least(greatest(r0, {D(0)}), {D(1)}) END AS recency_f,
+    CASE WHEN avg_days > 90 THEN {D(0.1)} WHEN avg_days > 60 THEN {D(0.3)} WHEN avg_days > 30 THEN {D(0.6)}
+         WHEN avg_days > 15 THEN {D(0.8)} ELSE {D(1)} END AS behaviour_f,
+    CASE WHEN avg_paid > 0 THEN avg_paid ELSE balance END AS base_amount
+  FROM (SELECT lj.*,
+          {D(0.5)} * (CAST(payment_count AS DOUBLE) / sc2.max_n) + {D(0.5)} * ({D(1)} - sc2.spread / sc2.centre) AS h0,
+          CAST(days_since_last_payment AS DOUBLE) / (CASE WHEN sc2.max_ds = 0 THEN 1 ELSE sc2.max_ds END) AS r0
+        FROM lj, sc2) lj)""",
+    f"""fb AS (SELECT *, {D(0.4)} * risk_f + {D(0.3)} * history_f + {D(0.2)} * recency_f + {D(0.1)} * behaviour_f AS weight
+  FROM fa)""",
+    f"""limits AS (SELECT customer_code, customer_name, risk_segment, delinquency_status, avg_probability, balance, total_paid,
+    payment_count,
+    CASE WHEN l1 IS NOT NULL THEN greatest(l1, {D(1000)}) END AS credit_limit,
+    CASE WHEN avg_days > 60 THEN CAST(trunc(d0 * {D(0.5)}) AS INTEGER) ELSE d0 END AS max_days,
+    'Customer classified as ' || {_seg_words("risk_segment")} || '. Based on: Delinquency risk of '
+      || COALESCE(format('{{:.1f}}', avg_probability * {D(100)}), 'nan') || '%, '
+      || CASE WHEN payment_count > 0 THEN 'History of ' || CAST(payment_count AS VARCHAR)
+              || ' payments with average $' || format('{{:,.2f}}', avg_paid) ELSE 'No payment history' END || ', '
+      || CASE WHEN days_since_last_payment > 0 THEN 'Seniority of ' || CAST(days_since_last_payment AS VARCHAR)
+              || ' days as customer' ELSE 'New customer' END || ', '
+      || 'Current behavior: ' || COALESCE(delinquency_status, 'nan') || ' (average '
+      || COALESCE(format('{{:.0f}}', avg_days), 'nan') || ' days overdue). Recommendation: '
+      || CASE WHEN weight < 0.5 THEN 'reduce' ELSE 'maintain/increase' END || ' limit.' AS explanation
+  FROM (SELECT *,
+          CASE WHEN risk_segment IN ({q(L.SEGMENT_HIGH)}, {q(L.SEGMENT_EXTREME)}) THEN base_amount * ({D(1)} + weight) * {D(0.5)}
+               ELSE base_amount * ({D(1)} + weight) END AS l1,
+          CASE WHEN risk_segment = {q(L.SEGMENT_EXTREME)} THEN 7 WHEN risk_segment = {q(L.SEGMENT_HIGH)} THEN 15
+               WHEN risk_segment = {q(L.SEGMENT_MODERATE)} THEN 30 ELSE 60 END AS d0
+        FROM fb))""",
+    f"lf AS (SELECT * FROM limits WHERE risk_segment IN ({', '.join(q(s) for s in P.limit_segments)}) "
+    f"AND credit_limit BETWEEN {D(P.limit_low)} AND {D(P.limit_high)})",
+]
+
+oracle("credit_limits", "SELECT * FROM limits", *LIMIT_CTES)
+oracle("limit_explanation", "SELECT customer_code, customer_name, explanation FROM limits", *LIMIT_CTES)
+oracle("limits_filtered", "SELECT * FROM lf", *LIMIT_CTES)
+oracle(
+    "limits_domain",
+    """
+SELECT array_to_string(list_sort(list_distinct(list(risk_segment))), '|') AS segments,
+  MIN(credit_limit) AS min_limit, MAX(credit_limit) AS max_limit FROM limits""",
+    *LIMIT_CTES,
+)
+oracle(
+    "limits_summary",
+    f"""
+SELECT COUNT(*) AS customers,
+  CAST(SUM({_fix("credit_limit", 6)}) AS DOUBLE) / NULLIF(COUNT(credit_limit), 0) / {D(1000000)} AS avg_limit,
+  {avg_int("max_days")} AS avg_max_days
+FROM lf""",
+    *LIMIT_CTES,
+)
+oracle(
+    "limit_histogram",
+    f"""
+SELECT e.bin, e.bin_start, e.bin_end, COALESCE(c.cnt, 0) AS count
+FROM (SELECT CAST(i AS INTEGER) AS bin, lo + i * ((hi - lo) / {D(20)}) AS bin_start,
+             lo + (i + 1) * ((hi - lo) / {D(20)}) AS bin_end
+      FROM hs, range(0, 20) t(i)) e
+LEFT JOIN (
+  SELECT CASE WHEN hs.hi = hs.lo THEN 0 ELSE least(CAST(floor((credit_limit - hs.lo) / ((hs.hi - hs.lo) / {D(20)})) AS INTEGER), 19) END AS bin,
+    COUNT(*) AS cnt
+  FROM lf, hs WHERE credit_limit IS NOT NULL GROUP BY 1
+) c ON e.bin = c.bin""",
+    *LIMIT_CTES,
+    "hs AS (SELECT CAST(MIN(credit_limit) AS DOUBLE) AS lo, CAST(MAX(credit_limit) AS DOUBLE) AS hi FROM lf WHERE credit_limit IS NOT NULL)",
+)
+oracle(
+    "limit_points",
+    "SELECT customer_code, customer_name, risk_segment, max_days, credit_limit FROM lf",
+    *LIMIT_CTES,
+)
+
+# --- what-if scenarios -------------------------------------------------------------
+
+from dunning.plans.scenarios import DEFAULT_GRID  # noqa: E402
+
+
+def _grid_values() -> str:
+    def lit(v, typ):
+        return f"CAST({'NULL' if v is None else (q(v) if isinstance(v, str) else v)} AS {typ})"
+
+    rows = ", ".join(
+        f"({lit(s.scenario_id, 'INTEGER')}, {lit(s.amount, 'DOUBLE')}, {lit(s.term_days, 'INTEGER')}, "
+        f"{lit(s.history, 'INTEGER')}, {lit(s.customer_type, 'VARCHAR')})"
+        for s in DEFAULT_GRID
+    )
+    return f"grid(scenario_id, scenario_amount, term_days, history_override, type_override) AS (VALUES {rows})"
+
+
+def _type_name(i: str) -> str:
+    return "CASE " + " ".join(f"WHEN {i} = {k} THEN {q(t)}" for k, (t, _) in enumerate(L.CUSTOMER_TYPES)) + " END"
+
+
+def _type_factor(t: str) -> str:
+    return "CASE " + " ".join(f"WHEN {t} = {q(n)} THEN {D(f)}" for n, f in L.CUSTOMER_TYPES) + " END"
+
+
+SCENARIO_CTES = [
+    ALL_CUSTOMERS,
+    f"s_agg AS (SELECT customer_code, {pmean('default_probability')} AS risk, {mmean('initial_amount')} AS avg_initial "
+    "FROM statement WHERE customer_code IS NOT NULL GROUP BY customer_code)",
+    f"p_agg AS (SELECT customer_code, COUNT(*) AS n, {mmean('paid_amount')} AS avg_paid, SUM({_fix('paid_amount', 2)}) AS s1, "
+    f"SUM({_fix('paid_amount', 2)} * {_fix('paid_amount', 2)}) AS s2, "
+    "datediff('day', MIN(payment_date), MAX(payment_date)) AS span "
+    "FROM payments_filled WHERE customer_code IS NOT NULL GROUP BY customer_code)",
+    f"""ri0 AS (SELECT u.customer_code, u.customer_name, u.in_statement AS has_invoices, u.in_payments AS has_payments, p.n,
+    CASE WHEN u.in_statement AND s.avg_initial IS NOT NULL THEN s.avg_initial WHEN u.in_payments THEN p.avg_paid
+         ELSE {D(10000)} END AS base_amount,
+    CASE WHEN u.in_payments THEN COALESCE(CASE WHEN p.n >= 2 THEN sqrt(greatest(CAST(p.n * p.s2 - p.s1 * p.s1 AS DOUBLE)
+         / CAST(p.n * (p.n - 1) AS DOUBLE), {D(0)})) / {D(100)} END, {D(0)}) END AS sd,
+    CASE WHEN p.n > 1 THEN CAST(p.span AS DOUBLE) / CAST(p.n AS DOUBLE) ELSE {D(30)} END AS freq,
+    CASE WHEN u.in_statement THEN s.risk ELSE {D(0.3)} END AS current_risk
+  FROM all_cust u LEFT JOIN s_agg s ON u.customer_code = s.customer_code LEFT JOIN p_agg p ON u.customer_code = p.customer_code)""",
+    f"""ri AS (SELECT customer_code, customer_name, has_invoices, has_payments, base_amount, current_risk,
+    CASE WHEN has_payments THEN least(5, greatest(1, CAST(trunc(CAST(n AS DOUBLE) / {D(10)}
+         + CASE WHEN base_amount > 0 THEN {D(1)} - sd / base_amount ELSE {D(0)} END
+         + CASE WHEN freq > 0 THEN {D(30)} / freq ELSE {D(1)} END) AS INTEGER))) ELSE 3 END AS history_score,
+    {_type_name(f"CASE WHEN has_payments THEN least(3, CAST(trunc(CAST(n AS DOUBLE) / {D(5)}) AS INTEGER)) ELSE 0 END")} AS derived_type,
+    CASE WHEN has_payments THEN greatest(current_risk, least({D(0.7)}, sd / (base_amount + {D(1e-6)}))) ELSE current_risk END AS risk_base
+  FROM ri0)""",
+    _grid_values(),
+    f"""scen AS (SELECT customer_code, customer_name, scenario_id, has_invoices, base_amount, current_risk, risk_base,
+    COALESCE(scenario_amount, base_amount) AS amount, term_days,
+    COALESCE(history_override, history_score) AS history_score,
+    COALESCE(type_override, derived_type) AS customer_type,
+    least(risk_base * least(COALESCE(scenario_amount, base_amount) / (base_amount + {D(1e-6)}), {D(3)})
+          * (CAST(term_days AS DOUBLE) / 30) * ({D(1.5)} - COALESCE(history_override, history_score) * {D(0.1)})
+          * {_type_factor("COALESCE(type_override, derived_type)")}, {D(0.99)}) AS simulated_risk
+  FROM ri CROSS JOIN grid)""",
+]
+
+oracle("scenario_risk", "SELECT * FROM scen", *SCENARIO_CTES)
+
+
+def _band_values() -> str:
+    rows = ", ".join(
+        f"({q(b)}, {q(lab)}, {q(chr(10).join(f'{i}. {a}' for i, a in enumerate(acts, start=1)))})"
+        for b, lab, acts in L.SCENARIO_BANDS
+    )
+    return f"band_dim(band, band_label, actions) AS (VALUES {rows})"
+
+
+oracle(
+    "scenario_band",
+    """
+SELECT s.customer_code, s.scenario_id, s.simulated_risk, s.band, d.band_label,
+  s.band = 'critical' AND NOT s.has_invoices AS needs_external_check, d.actions
+FROM (SELECT *, CASE WHEN simulated_risk > 0.8 THEN 'critical' WHEN simulated_risk > 0.6 THEN 'high'
+                     WHEN simulated_risk > 0.4 THEN 'moderate' ELSE 'low' END AS band FROM scen) s
+LEFT JOIN band_dim d ON s.band = d.band""",
+    *SCENARIO_CTES,
+    _band_values(),
+)
+
+# --- classification steps, model inputs ------------------------------------------
+
+oracle("days_past_due", "SELECT document_no, due_date, days_past_due FROM statement")
+oracle(
+    "delinquency_status",
+    "SELECT document_no, days_past_due, delinquency_status, aging_0_30, aging_31_60, aging_61_90, aging_91_120, "
+    "aging_over_120 FROM statement",
+)
+oracle("score_rules", "SELECT document_no, days_past_due, default_probability FROM statement")
+oracle(
+    "risk_segment",
+    f"""
+SELECT document_no, default_probability, risk_segment,
+  {segment_case("default_probability", include_lowest=True)} AS risk_segment_inclusive,
+  {segment_rank_case("risk_segment")} AS segment_rank
+FROM statement""",
+)
+oracle("score_fallback", "SELECT document_no, default_probability, risk_segment FROM statement")
+oracle(
+    "training_frame",
+    f"""
+SELECT document_no, COALESCE(days_past_due, 0) AS days_past_due, COALESCE(initial_amount, {D(0)}) AS initial_amount,
+  COALESCE(balance, {D(0)}) AS balance, CASE WHEN days_past_due > 60 THEN 1 ELSE 0 END AS label
+FROM statement""",
+)
+
+
+def _median(col: str, src: str) -> str:
+    return f"""(SELECT a + {D(0.5)} * (b - a) FROM (
+    SELECT MIN(v) AS a, MAX(v) AS b FROM (
+      SELECT v, ROW_NUMBER() OVER (ORDER BY v) AS pos, COUNT(*) OVER () AS n
+      FROM (SELECT CAST({col} AS DOUBLE) AS v FROM {src} WHERE {col} IS NOT NULL))
+    WHERE pos = floor((n + 1) / 2) OR pos = ceil((n + 1) / 2)))"""
+
+
+IMPUTED = f"""imputed AS (
+  SELECT customer_code, customer_name,
+    COALESCE(CAST(avg_days AS DOUBLE), {_median("avg_days", "rollup")}) AS avg_days,
+    COALESCE(CAST(balance AS DOUBLE), {_median("balance", "rollup")}) AS balance,
+    COALESCE(CAST(avg_probability AS DOUBLE), {_median("avg_probability", "rollup")}) AS avg_probability,
+    modal_status
+  FROM rollup
+)"""
+
+oracle("imputed_rollup", "SELECT * FROM imputed", MODAL_STATUS, ROLLUP, IMPUTED)
+
+
+def _z(col: str, scale: int) -> str:
+    u = _fix(col, scale)
+    stats = f"(SELECT COUNT({col}) AS n, SUM({u}) AS s1, SUM({u} * {u}) AS s2 FROM imputed)"
+    mean = f"(SELECT CAST(s1 AS DOUBLE) / CAST(n AS DOUBLE) / {D(10**scale)} FROM {stats})"
+    sd = (
+        f"(SELECT sqrt(greatest(CAST(n * s2 - s1 * s1 AS DOUBLE) / CAST(n * n AS DOUBLE), {D(0)})) / {D(10**scale)} "
+        f"FROM {stats})"
+    )
+    return f"({col} - {mean}) / (CASE WHEN {sd} = 0 THEN {D(1)} ELSE {sd} END)"
+
+
+oracle(
+    "standardized_rollup",
+    f"""
+SELECT customer_code, customer_name, {_z("avg_days", 6)} AS z_avg_days, {_z("balance", 2)} AS z_balance,
+  avg_probability, avg_days, balance
+FROM imputed""",
+    MODAL_STATUS,
+    ROLLUP,
+    IMPUTED,
+)
