@@ -26,3 +26,21 @@ def modal_by_rank(df: DataFrame, keys: list[str], value: Column, rank: Column, o
 def any_name(name: Column) -> Column:
     """Deterministic stand-in for "first name in row order": the smallest."""
     return F.min(name)
+
+
+def label_counts(value: Column, labels, prefix: str) -> list[Column]:
+    """Aggregates counting each label of a known, small label set."""
+    return [F.count(F.when(value == lab, F.lit(1))).alias(f"{prefix}{i}") for i, lab in enumerate(labels)]
+
+
+def modal_label(labels, prefix: str) -> Column:
+    """The most frequent label from :func:`label_counts` columns; ties go to
+    the earlier (less severe) label; NULL when every count is 0.
+
+    With the label domain known, the mode needs no extra shuffle: it rides
+    along in the same aggregation as the other per-customer metrics."""
+    cands = [
+        F.when(F.col(f"{prefix}{i}") > 0, F.struct(F.col(f"{prefix}{i}").alias("c"), F.lit(-i).alias("r"), F.lit(lab).alias("v")))
+        for i, lab in enumerate(labels)
+    ]
+    return F.greatest(*cands).getField("v")

@@ -23,8 +23,8 @@ def pareto(st: DataFrame, pct: float = 80.0) -> DataFrame:
             F.coalesce((F.col("_bal") * 100).cast("long"), F.lit(0)).alias("_cents"),
         )
     )
-    total = per.select(F.sum("_cents").cast("double") / F.lit(100.0)).scalar()
     ranked = running_total(per, [F.desc("balance"), F.asc("customer_name")], F.col("_cents"), "_cum", position="position")
+    total = ranked.select(F.sum("_cents").cast("double") / F.lit(100.0)).scalar()
     cum = F.col("_cum").cast("double") / F.lit(100.0)
     share = F.try_divide(cum, total) * F.lit(100.0)
     return ranked.select(

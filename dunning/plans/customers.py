@@ -12,7 +12,7 @@ from dunning.functions import classify as C
 from dunning.functions import dates as D
 from dunning.functions import labels as L
 from dunning.functions.money import money, money_mean, money_sum, money_total, prob_mean
-from dunning.operators.modal import any_name, modal_by_rank
+from dunning.operators.modal import any_name, label_counts, modal_by_rank, modal_label
 
 KEY = "customer_code"
 SEVERE_DAYS = 60
@@ -129,15 +129,23 @@ def customer_modal_status(st: DataFrame) -> DataFrame:
 
 
 def customer_rollup(st: DataFrame) -> DataFrame:
-    """First name, mean days, balance, mean probability, modal status."""
-    base = _keyed(st).groupBy(KEY).agg(
+    """First name, mean days, balance, mean probability, modal status --
+    one aggregation, the mode taken over the five known status labels."""
+    s = F.col("delinquency_status")
+    agg = _keyed(st).groupBy(KEY).agg(
         any_name(F.col("customer_name")).alias("customer_name"),
         F.avg("days_past_due").alias("avg_days"),
         money_total(F.col("balance")).alias("balance"),
         prob_mean(F.col("default_probability")).alias("avg_probability"),
+        *label_counts(s, L.STATUSES, "_st"),
     )
-    return base.join(customer_modal_status(st), KEY, "left").withColumn(
-        "modal_status", F.coalesce("modal_status", F.lit(L.NO_DATA))
+    return agg.select(
+        KEY,
+        "customer_name",
+        "avg_days",
+        "balance",
+        "avg_probability",
+        F.coalesce(modal_label(L.STATUSES, "_st"), F.lit(L.NO_DATA)).alias("modal_status"),
     )
 
 

@@ -19,8 +19,9 @@ from dunning.functions import labels as L
 from dunning.functions import text as T
 from dunning.functions.money import fixed_mean, fixed_point, money_total, prob_mean, sample_std, WIDE_INT
 from dunning.operators.distribution import histogram
-from dunning.operators.modal import modal_by_rank
+from dunning.operators.modal import label_counts, modal_label
 from dunning.plans.customers import payment_history
+from dunning.session import materialize
 
 KEYS = ["customer_code", "customer_name"]
 SPREAD_SCALE = 4  # fixed-point digits for the global spread of average payments
@@ -101,32 +102,43 @@ LIMIT_COLUMNS = [
 
 def credit_limits(st: DataFrame, pay_filled: DataFrame, as_of: dt.date, fill_missing: bool = False) -> DataFrame:
     keyed = st.where(F.col("customer_code").isNotNull() & F.col("customer_name").isNotNull())
+    seg, status = F.col("risk_segment"), F.col("delinquency_status")
+    # one aggregation: metrics and both modal labels (known label sets)
     base = keyed.groupBy(*KEYS).agg(
         money_total(F.col("balance")).alias("balance"),
         F.avg("days_past_due").alias("avg_days"),
         prob_mean(F.col("default_probability")).alias("avg_probability"),
+        *label_counts(seg, L.SEGMENTS, "_sg"),
+        *label_counts(status, L.STATUSES, "_st"),
     )
-    seg, status = F.col("risk_segment"), F.col("delinquency_status")
-    modes = modal_by_rank(keyed, KEYS, seg, C.segment_rank(seg), "risk_segment").join(
-        modal_by_rank(keyed, KEYS, status, C.status_rank(status), "delinquency_status"), KEYS, "full"
+    base = base.select(
+        *KEYS,
+        "balance",
+        "avg_days",
+        "avg_probability",
+        modal_label(L.SEGMENTS, "_sg").alias("risk_segment"),
+        modal_label(L.STATUSES, "_st").alias("delinquency_status"),
     )
     hist = payment_history(pay_filled, as_of).select(
         "customer_code", "total_paid", "avg_paid", "payment_count", "days_since_last_payment"
     )
-    j = base.join(modes, KEYS, "left").join(hist, "customer_code", "left")
-
-    # global scalars over the joined customers (one-row scalar subqueries)
-    max_n = j.select(F.max("payment_count")).scalar()
-    max_days_since = j.select(F.max("days_since_last_payment")).scalar()
-    sums = j.agg(
-        F.count("avg_paid").alias("n"),
-        F.sum(fixed_point(F.col("avg_paid"), SPREAD_SCALE)).cast(WIDE_INT).alias("s1"),
-        F.sum(fixed_point(F.col("avg_paid"), SPREAD_SCALE) * fixed_point(F.col("avg_paid"), SPREAD_SCALE))
-        .cast(WIDE_INT)
-        .alias("s2"),
-    )
-    spread = sums.select(sample_std(F.col("n"), F.col("s1"), F.col("s2"), SPREAD_SCALE)).scalar()
-    centre = sums.select(fixed_mean(F.col("n"), F.col("s1"), SPREAD_SCALE)).scalar()
+    # one row per customer; written once so the global scalars below read it cheaply
+    j = materialize(base.join(hist, "customer_code", "left"))
+
+    # all global scalars over the joined customers in one struct-valued scalar subquery
+    u = fixed_point(F.col("avg_paid"), SPREAD_SCALE)
+    g = j.agg(
+        F.struct(
+            F.max("payment_count").alias("max_n"),
+            F.max("days_since_last_payment").alias("max_ds"),
+            F.count("avg_paid").alias("n"),
+            F.sum(u).cast(WIDE_INT).alias("s1"),
+            F.sum(u * u).cast(WIDE_INT).alias("s2"),
+        ).alias("g")
+    ).scalar()
+    max_n, max_days_since = g.getField("max_n"), g.getField("max_ds")
+    spread = sample_std(g.getField("n"), g.getField("s1"), g.getField("s2"), SPREAD_SCALE)
+    centre = fixed_mean(g.getField("n"), g.getField("s1"), SPREAD_SCALE)
 
     n, avg_paid = F.col("payment_count"), F.col("avg_paid")
     risk_f = F.lit(1.0) - F.col("avg_probability")
@@ -164,7 +176,8 @@ def credit_limits(st: DataFrame, pay_filled: DataFrame, as_of: dt.date, fill_mis
             "p": F.col("avg_probability"),
         }
     )
-    return out.withColumn("explanation", text).select(*LIMIT_COLUMNS).orderBy(F.desc_nulls_last("credit_limit"), "customer_code")
+    limits = materialize(out.withColumn("explanation", text).select(*LIMIT_COLUMNS))
+    return limits.orderBy(F.desc_nulls_last("credit_limit"), "customer_code")
 
 
 def filter_limits(limits: DataFrame, segments, lo: float, hi: float) -> DataFrame:

@@ -444,3 +444,60 @@ def _segments(i: Inputs):
 @report("cluster_stats")
 def _cluster_stats(i: Inputs):
     return ML.cluster_stats(ML.segment_customers(CU.customer_rollup(i.statement)))
+
+
+# --- sources and sinks ---------------------------------------------------------
+
+from dunning.sources import ingest as IN  # noqa: E402
+from dunning.sources import sinks as SK  # noqa: E402
+from dunning.session import scratch_path  # noqa: E402
+
+
+def _landed(i: Inputs, raw: DataFrame, name: str) -> str:
+    """Land a raw text table as CSV part files in the shared scratch folder."""
+    return SK.write_csv(raw, scratch_path(i.spark, name))
+
+
+@report("load_statement")
+def _load_statement(i: Inputs):
+    path = _landed(i, fx.statement_raw(i.spark, i.sf_dir), "statement_raw")
+    cols = [c.split(" AS ")[-1] for c in fx.STATEMENT_RAW_COLUMNS]
+    return IN.require_non_empty(IN.read_receivables(i.spark, path, "csv", cols), "statement")
+
+
+@report("load_payments")
+def _load_payments(i: Inputs):
+    path = _landed(i, fx.payments_raw(i.spark, i.sf_dir), "payments_raw")
+    cols = [c.split(" AS ")[-1] for c in fx.PAYMENTS_RAW_COLUMNS]
+    return IN.require_non_empty(IN.read_receivables(i.spark, path, "csv", cols), "payments")
+
+
+@report("clean_statement")
+def _clean_statement(i: Inputs):
+    return IN.clean_statement(fx.statement_raw(i.spark, i.sf_dir))
+
+
+@report("clean_payments")
+def _clean_payments(i: Inputs):
+    return IN.clean_payments(fx.payments_raw(i.spark, i.sf_dir))
+
+
+def _round_trip(i: Inputs, df: DataFrame, name: str) -> DataFrame:
+    path = SK.write_csv(df, scratch_path(i.spark, name))
+    return SK.read_csv(i.spark, path, df.schema)
+
+
+@report("export_statement")
+def _export_statement(i: Inputs):
+    return _round_trip(i, i.statement, "delinquency_report")
+
+
+@report("export_plan")
+def _export_plan(i: Inputs):
+    stem = SK.plan_file_stem(CO.week_label(i.params.week_start))
+    return _round_trip(i, _plan(i), stem)
+
+
+@report("export_limits")
+def _export_limits(i: Inputs):
+    return _round_trip(i, _filtered_limits(i), "customer_credit_limits")

@@ -73,3 +73,11 @@ def _looks_like_uuid(s: str) -> bool:
         return True
     except ValueError:
         return False
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and continue from the
+    files: later scalar subqueries and re-reads scan the checkpoint instead of
+    recomputing the joins above it, and a lost executor cannot change it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -77,7 +77,7 @@ def read_receivables(spark: SparkSession, path: str, fmt: str = "csv", columns=N
 
 def parse_date(c: Column, fmt: str = "yyyy-MM-dd") -> Column:
     """Unparsable text -> NULL."""
-    return F.try_to_date(F.trim(c), F.lit(fmt))
+    return F.try_to_date(F.trim(c), fmt)
 
 
 def parse_dates(df: DataFrame, cols, fmt: str = "yyyy-MM-dd") -> DataFrame:

@@ -848,3 +848,46 @@ FROM imputed""",
     ROLLUP,
     IMPUTED,
 )
+
+
+# --- sources and sinks -------------------------------------------------------------
+
+oracle("load_statement", f"SELECT {', '.join(fx.STATEMENT_RAW_COLUMNS)} FROM statement_base")
+oracle("load_payments", f"SELECT {', '.join(fx.PAYMENTS_RAW_COLUMNS)} FROM payments")
+
+NUM_RE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+INF_RE = r"^[+-]?(inf|infinity)$"
+
+
+def clean_amount_sql(x: str) -> str:
+    s = f"trim(replace({x}, ',', ''))"
+    return (
+        f"CASE WHEN regexp_matches({s}, '{NUM_RE}') OR regexp_matches(lower({s}), '{INF_RE}') "
+        f"THEN TRY_CAST({s} AS DOUBLE) END"
+    )
+
+
+def parse_date_sql(x: str) -> str:
+    return f"CAST(TRY_STRPTIME(trim({x}), '%Y-%m-%d') AS DATE)"
+
+
+oracle(
+    "clean_statement",
+    f"""
+SELECT customer_code, customer_name, document_no, {parse_date_sql("invoice_date")} AS invoice_date,
+  {parse_date_sql("due_date")} AS due_date, {clean_amount_sql("initial_amount")} AS initial_amount,
+  {clean_amount_sql("balance")} AS balance
+FROM (SELECT {", ".join(fx.STATEMENT_RAW_COLUMNS)} FROM statement_base)""",
+)
+oracle(
+    "clean_payments",
+    f"""
+SELECT customer_code, customer_name, document_no, TRY_CAST(line_no AS INTEGER) AS line_no,
+  {parse_date_sql("payment_date")} AS payment_date, {clean_amount_sql("paid_amount")} AS paid_amount,
+  {clean_amount_sql("cash")} AS cash, {clean_amount_sql("cheque")} AS cheque, {clean_amount_sql("card")} AS card,
+  {clean_amount_sql("transfer")} AS transfer
+FROM (SELECT {", ".join(fx.PAYMENTS_RAW_COLUMNS)} FROM payments)""",
+)
+oracle("export_statement", "SELECT * FROM statement")
+oracle("export_plan", "SELECT * FROM selected", *PLAN)
+oracle("export_limits", "SELECT * FROM lf", *LIMIT_CTES)
