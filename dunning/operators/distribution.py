@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dunning.operators.running import running_total
+from dunning.session import materialize
 
 
 def box_summary(df: DataFrame, value: str, by: list[str] | None = None, approx: bool = False) -> DataFrame:
@@ -52,8 +53,10 @@ def box_summary(df: DataFrame, value: str, by: list[str] | None = None, approx:
             .agg(F.count(F.when((v < F.col("lower_fence")) | (v > F.col("upper_fence")), 1)).alias("outliers"))
         )
         return stats.join(outliers, by)
-    lo = stats.select("lower_fence").scalar()
-    hi = stats.select("upper_fence").scalar()
+    # one row: written once, then both fences come from one struct scalar
+    stats = materialize(stats)
+    f = stats.select(F.struct("lower_fence", "upper_fence")).scalar()
+    lo, hi = f.getField("lower_fence"), f.getField("upper_fence")
     outliers = rows.agg(F.count(F.when((v < lo) | (v > hi), 1)).alias("outliers"))
     return stats.withColumn("outliers", outliers.select("outliers").scalar())
 
@@ -64,8 +67,8 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     v = F.col(value)
     rows = df.where(v.isNotNull())
     stats = rows.agg(F.min(v).cast("double").alias("lo"), F.max(v).cast("double").alias("hi"))
-    lo = stats.select("lo").scalar()
-    hi = stats.select("hi").scalar()
+    bounds = stats.select(F.struct("lo", "hi")).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
     width = (hi - lo) / F.lit(float(bins))
     bin_of = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((v - lo) / width).cast("int"), F.lit(bins - 1))

@@ -21,6 +21,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from dunning.functions import classify as C
 from dunning.functions.money import WIDE_INT, fixed_mean, fixed_point, population_std
 from dunning.operators.distribution import exact_median
+from dunning.session import materialize
 
 FEATURES = ["days_past_due", "initial_amount", "balance"]
 SEVERE_DAYS = 60
@@ -89,28 +90,31 @@ SEG_FEATURES = ["avg_days", "balance", "avg_probability"]
 
 
 def impute_median(df: DataFrame, cols) -> DataFrame:
-    """Fill missing values with the exact column median (M5).  A column that
-    is missing everywhere has no median, as in the reference: error."""
+    """Fill missing values with the exact column median (M5).  The input is
+    written once, the medians are computed from that copy, and the filled
+    result is written once more so that later scalars never recompute it."""
+    base = materialize(df)
     fills = {}
     for c in cols:
-        med = exact_median(df, F.col(c))
+        med = exact_median(base, F.col(c))
         fills[c] = F.coalesce(F.col(c).cast("double"), med)
-    return df.withColumns(fills)
+    return materialize(base.withColumns(fills))
 
 
 def standardize(df: DataFrame, cols, scales: dict[str, int]) -> DataFrame:
     """(x - mean) / population std, zero std -> 1 (M6).  Mean and std come
     from exact integer power sums of a fixed-point image of x."""
-    aggs = []
+    fields = []
     for c in cols:
         u = fixed_point(F.col(c), scales[c])
-        aggs += [F.count(c).alias(f"{c}_n"), F.sum(u).cast(WIDE_INT).alias(f"{c}_s1"), F.sum(u * u).cast(WIDE_INT).alias(f"{c}_s2")]
-    sums = df.agg(*aggs)
+        fields += [F.count(c).alias(f"{c}_n"), F.sum(u).cast(WIDE_INT).alias(f"{c}_s1"), F.sum(u * u).cast(WIDE_INT).alias(f"{c}_s2")]
+    # every column's power sums in one struct-valued scalar subquery
+    g = df.agg(F.struct(*fields).alias("g")).scalar()
     out = {}
     for c in cols:
-        n, s1, s2 = F.col(f"{c}_n"), F.col(f"{c}_s1"), F.col(f"{c}_s2")
-        mean = sums.select(fixed_mean(n, s1, scales[c])).scalar()
-        sd = sums.select(population_std(n, s1, s2, scales[c])).scalar()
+        n, s1, s2 = g.getField(f"{c}_n"), g.getField(f"{c}_s1"), g.getField(f"{c}_s2")
+        mean = fixed_mean(n, s1, scales[c])
+        sd = population_std(n, s1, s2, scales[c])
         sd1 = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
         out[f"z_{c}"] = (F.col(c) - mean) / sd1
     return df.withColumns(out)
@@ -128,7 +132,7 @@ def standardized_rollup(rollup: DataFrame) -> DataFrame:
 
 def segment_customers(rollup: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     """K-means on (z days, z balance, probability); needs >= k customers."""
-    z = standardized_rollup(rollup).na.drop(subset=["z_avg_days", "z_balance", "avg_probability"])
+    z = materialize(standardized_rollup(rollup).na.drop(subset=["z_avg_days", "z_balance", "avg_probability"]))
     if z.limit(k).count() < k:
         raise ValueError(f"not enough customers for {k} clusters")
     vec = VectorAssembler(inputCols=["z_avg_days", "z_balance", "avg_probability"], outputCol="features").transform(z)
