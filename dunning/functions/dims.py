@@ -11,6 +11,15 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 from dunning.functions import labels as L
 
 
+def literal_frame(spark: SparkSession, rows, schema: StructType) -> DataFrame:
+    """A tiny constant table built JVM-side (``inline`` of literal structs):
+    no Python RDD, no Python worker, and Catalyst knows it is tiny."""
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def segment_dim(spark: SparkSession) -> DataFrame:
     schema = StructType(
         [
@@ -21,7 +30,7 @@ def segment_dim(spark: SparkSession) -> DataFrame:
         ]
     )
     rows = [(i, seg, act, fu) for i, (seg, act, fu) in enumerate(L.SEGMENT_ACTIONS)]
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    return F.broadcast(literal_frame(spark, rows, schema))
 
 
 def customer_type_dim(spark: SparkSession) -> DataFrame:
@@ -33,7 +42,7 @@ def customer_type_dim(spark: SparkSession) -> DataFrame:
         ]
     )
     rows = [(i, t, f) for i, (t, f) in enumerate(L.CUSTOMER_TYPES)]
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    return F.broadcast(literal_frame(spark, rows, schema))
 
 
 def band_dim(spark: SparkSession) -> DataFrame:
@@ -51,4 +60,4 @@ def band_dim(spark: SparkSession) -> DataFrame:
         for band, label, actions in L.SCENARIO_BANDS
         for step, action in enumerate(actions, start=1)
     ]
-    return spark.createDataFrame(rows, schema)
+    return literal_frame(spark, rows, schema)

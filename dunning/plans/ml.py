@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from dunning.functions import classify as C
+from dunning.functions.dims import literal_frame
 from dunning.functions.money import WIDE_INT, fixed_mean, fixed_point, population_std
 from dunning.operators.distribution import exact_median
 from dunning.session import materialize
@@ -81,7 +82,7 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     spark = SparkSession.getActiveSession()
     rows = [(name, float(v)) for name, v in zip(FEATURES, forest.featureImportances.toArray())]
     schema = StructType([StructField("variable", StringType(), False), StructField("importance", DoubleType(), False)])
-    return spark.createDataFrame(rows, schema).orderBy(F.desc("importance"))
+    return literal_frame(spark, rows, schema).orderBy(F.desc("importance"))
 
 
 # --- segmentation --------------------------------------------------------------

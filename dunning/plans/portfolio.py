@@ -119,6 +119,8 @@ def risk_profiles(st: DataFrame) -> DataFrame:
             prob_mean(F.col("default_probability")).alias("avg_probability"),
         )
     )
+    # the 4-row dimension drives the left join; the (at most 4-row) profile
+    # side is broadcast by AQE once its real size is known
     seg = dims.segment_dim(spark).select("segment_rank", "risk_segment")
     return seg.join(prof, "risk_segment", "left").select(
         "segment_rank",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from dunning.functions import labels as L
+from dunning.functions.dims import literal_frame
 from dunning.functions.money import fixed_point, money_mean, prob_mean, sample_std, WIDE_INT
 from dunning.plans.customers import all_customers
 
@@ -170,7 +171,7 @@ def band_dim(spark: SparkSession) -> DataFrame:
         (band, label, "\n".join(f"{i}. {a}" for i, a in enumerate(actions, start=1)))
         for band, label, actions in L.SCENARIO_BANDS
     ]
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    return F.broadcast(literal_frame(spark, rows, schema))
 
 
 def scenario_band(scenarios: DataFrame) -> DataFrame:

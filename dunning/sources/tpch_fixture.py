@@ -98,8 +98,17 @@ PAYMENTS_RAW_COLUMNS = [
 ]
 
 
+_READERS: dict = {}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Parquet table reader, reused per session so the footer/schema read
+    happens once per table rather than once per report."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark), path)
+    if key not in _READERS:
+        _READERS[key] = spark.read.parquet(path)
+    return _READERS[key]
 
 
 def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
