@@ -87,9 +87,13 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
 def exact_median(df: DataFrame, value: Column) -> Column:
     """Exact median (linear interpolation of the two middle values) as a
     scalar-subquery Column.  Positions come from the distributed running
-    total, so no task ever holds the whole column."""
-    vals = df.where(value.isNotNull()).select(value.cast("double").alias("_mv"))
-    ranked = running_total(vals, [F.asc("_mv")], F.lit(0), "_mz", position="_mp")
+    total, so no task ever holds the whole column; a hash of the whole row
+    breaks ties, so even one value shared by a third of all rows is split
+    over many range partitions."""
+    vals = df.where(value.isNotNull()).select(
+        value.cast("double").alias("_mv"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("_mt")
+    )
+    ranked = running_total(vals, [F.asc("_mv"), F.asc("_mt")], F.lit(0), "_mz", position="_mp")
     n = vals.select(F.count(F.lit(1))).scalar()
     k1 = F.floor((n + 1) / 2)
     k2 = F.ceil((n + 1) / 2)

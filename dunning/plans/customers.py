@@ -70,20 +70,19 @@ def customer_profiles(st: DataFrame, pay: DataFrame) -> DataFrame:
 
 
 def payments_only_customers(st: DataFrame, pay_filled: DataFrame) -> DataFrame:
-    """Customers that only appear in payments (anti-join on code)."""
-    only = _keyed(pay_filled).join(st.select(KEY), KEY, "left_anti")
+    """Customers that only appear in payments.  Payments are aggregated
+    per customer first (map-side combine absorbs a hot customer), then the
+    per-customer rows are anti-joined with the distinct statement codes."""
     paid = F.col("paid_amount")
-    return (
-        only.groupBy(KEY)
-        .agg(
-            any_name(F.col("customer_name")).alias("customer_name"),
-            F.count(F.lit(1)).alias("payment_count"),
-            money_mean(paid).alias("avg_paid"),
-            F.max("payment_date").alias("last_payment"),
-            money_total(paid).alias("total_paid"),
-        )
-        .withColumn("last_payment_text", F.coalesce(D.dmy(F.col("last_payment")), F.lit("N/A")))
+    per = _keyed(pay_filled).groupBy(KEY).agg(
+        any_name(F.col("customer_name")).alias("customer_name"),
+        F.count(F.lit(1)).alias("payment_count"),
+        money_mean(paid).alias("avg_paid"),
+        F.max("payment_date").alias("last_payment"),
+        money_total(paid).alias("total_paid"),
     )
+    only = per.join(_keyed(st).select(KEY).distinct(), KEY, "left_anti")
+    return only.withColumn("last_payment_text", F.coalesce(D.dmy(F.col("last_payment")), F.lit("N/A")))
 
 
 def payment_order() -> list:
