@@ -5,7 +5,10 @@ plans ``Exchange SinglePartition``: every row goes through one task.  Instead:
 
 1. ``repartitionByRange`` on the full order key.  The range bounds come from a
    sample of the *composite* key, so even a value shared by a third of all
-   rows is split over many partitions by the tie-break columns.
+   rows is split over many partitions by the tie-break columns.  Without an
+   explicit partition count AQE may coalesce the ranges to its advisory size;
+   it only ever merges *adjacent* ranges, so partition order stays the key
+   order.
 2. ``sortWithinPartitions`` + one Arrow pass per partition computes the local
    prefix sums (vectorised ``cumulative_sum``; the carry crosses batches).
 3. The result is checkpointed to the shared checkpoint folder: partition
@@ -61,11 +64,13 @@ def running_total(
 ) -> DataFrame:
     """Add ``out`` = inclusive running sum of the integer ``value`` in ``order``
     (which must be a total order), and optionally the 1-based ``position``."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
     staged = df.withColumn(_VAL, value.cast("long"))
-    ranged = staged.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    if num_partitions:
+        ranged = staged.repartitionByRange(num_partitions, *order)
+    else:
+        ranged = staged.repartitionByRange(*order)
+    ranged = ranged.sortWithinPartitions(*order)
     schema = StructType(
         list(ranged.schema.fields)
         + [
@@ -78,7 +83,7 @@ def running_total(
     totals = local.groupBy(_PART).agg(
         F.coalesce(F.sum(_VAL), F.lit(0)).alias("_rt_tot"), F.count(F.lit(1)).alias("_rt_cnt")
     )
-    # at most num_partitions rows: the single-partition window here is bounded
+    # one row per range partition: the single-partition window here is bounded
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         _PART,
