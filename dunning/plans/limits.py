@@ -10,6 +10,7 @@ into the reference's neutral 0.5 instead).
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from dunning.functions import classify as C
 from dunning.functions import labels as L
 from dunning.functions import text as T
-from dunning.functions.money import fixed_mean, fixed_point, money_total, prob_mean, sample_std, WIDE_INT
+from dunning.functions.money import fixed_point, money_total, prob_mean, WIDE_INT
 from dunning.operators.distribution import histogram
 from dunning.operators.modal import label_counts, modal_label
 from dunning.plans.customers import payment_history
@@ -27,6 +28,21 @@ KEYS = ["customer_code", "customer_name"]
 SPREAD_SCALE = 4  # fixed-point digits for the global spread of average payments
 
 
+def spread_and_centre(n, s1, s2, scale: int):
+    """Sample std and mean from exact integer power sums of a fixed-point
+    image: ``n*S2 - S1^2`` is exact in Python integers, and the remaining
+    IEEE steps (int->double, divide, sqrt, divide) are those of the SQL
+    oracle, so the doubles are bit-identical.  ``None`` when undefined."""
+    if not n:
+        return None, None
+    n, s1, s2 = int(n), int(s1), int(s2)
+    centre = float(s1) / float(n) / float(10**scale)
+    if n < 2:
+        return None, centre
+    var = float(n * s2 - s1 * s1) / float(n * (n - 1))
+    return math.sqrt(max(var, 0.0)) / float(10**scale), centre
+
+
 def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
     """pandas ``clip``: bounds applied, missing stays missing."""
     y = x
@@ -125,45 +141,57 @@ def credit_limits(st: DataFrame, pay_filled: DataFrame, as_of: dt.date, fill_mis
     # one row per customer; written once so the global scalars below read it cheaply
     j = materialize(base.join(hist, "customer_code", "left"))
 
-    # all global scalars over the joined customers in one struct-valued scalar subquery
+    # all global scalars over the (already written) joined customers: one
+    # aggregate job returning one row of exact integers
     u = fixed_point(F.col("avg_paid"), SPREAD_SCALE)
     g = j.agg(
-        F.struct(
-            F.max("payment_count").alias("max_n"),
-            F.max("days_since_last_payment").alias("max_ds"),
-            F.count("avg_paid").alias("n"),
-            F.sum(u).cast(WIDE_INT).alias("s1"),
-            F.sum(u * u).cast(WIDE_INT).alias("s2"),
-        ).alias("g")
-    ).scalar()
-    max_n, max_days_since = g.getField("max_n"), g.getField("max_ds")
-    spread = sample_std(g.getField("n"), g.getField("s1"), g.getField("s2"), SPREAD_SCALE)
-    centre = fixed_mean(g.getField("n"), g.getField("s1"), SPREAD_SCALE)
-
-    n, avg_paid = F.col("payment_count"), F.col("avg_paid")
-    risk_f = F.lit(1.0) - F.col("avg_probability")
-    history_f = clip(
-        F.lit(0.5) * F.try_divide(n, max_n) + F.lit(0.5) * (F.lit(1.0) - F.try_divide(spread, centre)), 0.0, 1.0
-    )
-    recency_f = clip(F.try_divide(F.col("days_since_last_payment"), _or_one(max_days_since)), 0.0, 1.0)
+        F.max("payment_count").alias("max_n"),
+        F.max("days_since_last_payment").alias("max_ds"),
+        F.count("avg_paid").alias("n"),
+        F.sum(u).cast(WIDE_INT).alias("s1"),
+        F.sum(u * u).cast(WIDE_INT).alias("s2"),
+    ).first()
+    spread, centre = spread_and_centre(g["n"], g["s1"], g["s2"], SPREAD_SCALE)
+    max_n = F.lit(g["max_n"]).cast("long")
+    max_ds = F.lit(g["max_ds"]).cast("int")
+    n, avg_paid, seg, status = F.col("payment_count"), F.col("avg_paid"), F.col("risk_segment"), F.col("delinquency_status")
+    out = j.withColumns({"_spread": F.lit(spread).cast("double"), "_centre": F.lit(centre).cast("double")})
+    out = out.withColumn(
+        "_h0",
+        F.lit(0.5) * F.try_divide(n, max_n) + F.lit(0.5) * (F.lit(1.0) - F.try_divide(F.col("_spread"), F.col("_centre"))),
+    ).withColumn("_r0", F.try_divide(F.col("days_since_last_payment"), _or_one(max_ds)))
+    history_f = clip(F.col("_h0"), 0.0, 1.0)
+    recency_f = clip(F.col("_r0"), 0.0, 1.0)
     if fill_missing:
         history_f = F.coalesce(history_f, F.lit(0.5))
         recency_f = F.coalesce(recency_f, F.lit(0.5))
-    behaviour_f = C.behaviour_factor(F.col("avg_days"))
-    base_amount = F.when(avg_paid > 0, avg_paid).otherwise(F.col("balance"))
-    weight = F.lit(0.4) * risk_f + F.lit(0.3) * history_f + F.lit(0.2) * recency_f + F.lit(0.1) * behaviour_f
-    limit = base_amount * (F.lit(1.0) + weight)
-    limit = F.when(seg.isin(L.SEGMENT_HIGH, L.SEGMENT_EXTREME), limit * F.lit(0.5)).otherwise(limit)
-    limit = clip(limit, lo=1000.0)
+    out = out.withColumns(
+        {
+            "risk_f": F.lit(1.0) - F.col("avg_probability"),
+            "history_f": history_f,
+            "recency_f": recency_f,
+            "behaviour_f": C.behaviour_factor(F.col("avg_days")),
+            "base_amount": F.when(avg_paid > 0, avg_paid).otherwise(F.col("balance")),
+        }
+    )
+    out = out.withColumn(
+        "weight",
+        F.lit(0.4) * F.col("risk_f") + F.lit(0.3) * F.col("history_f") + F.lit(0.2) * F.col("recency_f") + F.lit(0.1) * F.col("behaviour_f"),
+    )
+    out = out.withColumn("_l0", F.col("base_amount") * (F.lit(1.0) + F.col("weight")))
+    out = out.withColumn(
+        "_l1", F.when(seg.isin(L.SEGMENT_HIGH, L.SEGMENT_EXTREME), F.col("_l0") * F.lit(0.5)).otherwise(F.col("_l0"))
+    )
     days = (
         F.when(seg == L.SEGMENT_EXTREME, F.lit(7))
         .when(seg == L.SEGMENT_HIGH, F.lit(15))
         .when(seg == L.SEGMENT_MODERATE, F.lit(30))
         .otherwise(F.lit(60))
     )
-    days = F.when(F.col("avg_days") > 60, (days * F.lit(0.5)).cast("int")).otherwise(days)
-
-    out = j.withColumn("weight", weight).withColumn("credit_limit", limit).withColumn("max_days", days)
+    out = out.withColumn("credit_limit", clip(F.col("_l1"), lo=1000.0)).withColumn("_d0", days)
+    out = out.withColumn(
+        "max_days", F.when(F.col("avg_days") > 60, (F.col("_d0") * F.lit(0.5)).cast("int")).otherwise(F.col("_d0"))
+    )
     text = explanation(
         {
             "n": n,
