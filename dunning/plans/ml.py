@@ -95,6 +95,10 @@ def impute_median(df: DataFrame, cols) -> DataFrame:
     written once, the medians are computed from that copy, and the filled
     result is written once more so that later scalars never recompute it."""
     base = materialize(df)
+    present = base.agg(*[F.count(c).alias(c) for c in cols]).first()
+    empty = [c for c in cols if present[c] == 0]
+    if empty:
+        raise ValueError(f"no value to take a median of in {empty}")
     fills = {}
     for c in cols:
         med = exact_median(base, F.col(c))

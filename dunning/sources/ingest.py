@@ -65,14 +65,21 @@ def text_schema(columns) -> StructType:
 
 
 def read_receivables(spark: SparkSession, path: str, fmt: str = "csv", columns=None) -> DataFrame:
-    """Read landed files of one table with every column as text."""
+    """Read landed files of one table with every column as text.
+
+    CSV columns are matched by the *header names* (not by position), with no
+    type inference, so optional columns may simply be absent -- like the
+    reference's ``if name in df.columns`` checks.  ``columns`` (optional)
+    keeps the known columns that are present, in that order.
+    """
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-        if columns is not None:
-            reader = reader.schema(text_schema(columns))
-        return reader.csv(path)
-    df = spark.read.format(fmt).load(path)
-    return df.select([F.col(c).cast("string").alias(c) for c in df.columns])
+        df = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+    else:
+        df = spark.read.format(fmt).load(path)
+        df = df.select([F.col(c).cast("string").alias(c) for c in df.columns])
+    if columns is not None:
+        df = df.select([c for c in columns if c in df.columns])
+    return df
 
 
 def parse_date(c: Column, fmt: str = "yyyy-MM-dd") -> Column:
@@ -118,3 +125,19 @@ def clean_payments(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame
     if "line_no" in df.columns:
         df = df.withColumn("line_no", F.col("line_no").try_cast("int"))
     return df
+
+
+def load_receivables(
+    spark: SparkSession,
+    statement_path: str,
+    payments_path: str,
+    fmt: str = "csv",
+    date_format: str = "yyyy-MM-dd",
+) -> tuple[DataFrame, DataFrame]:
+    """S1-S4 end to end: read both landed tables as text, coerce dates and
+    amounts, and stop early when either is empty."""
+    st = read_receivables(spark, statement_path, fmt, STATEMENT_TEXT_COLUMNS if fmt == "csv" else None)
+    pay = read_receivables(spark, payments_path, fmt, PAYMENT_TEXT_COLUMNS if fmt == "csv" else None)
+    st = require_non_empty(clean_statement(st, date_format), "statement")
+    pay = require_non_empty(clean_payments(pay, date_format), "payments")
+    return st, pay

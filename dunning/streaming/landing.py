@@ -17,6 +17,8 @@ CLEANERS = {"statement": IN.clean_statement, "payments": IN.clean_payments}
 
 
 def landed_stream(spark: SparkSession, landing_dir: str, columns, kind: str) -> DataFrame:
+    """A streaming file source needs its schema up front: landed files must
+    carry exactly ``columns``, in that order (the header line is skipped)."""
     raw = spark.readStream.option("header", True).schema(IN.text_schema(columns)).csv(landing_dir)
     return CLEANERS[kind](raw)
 

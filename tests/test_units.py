@@ -380,3 +380,31 @@ def test_csv_round_trip(spark, tmp_path):
     back = sinks.read_csv(spark, path, st.schema)
     assert back.collect() == st.collect()
     assert sinks.plan_file_stem("Week 31 (30/07/2001 - 05/08/2001)") == "collection_plan_Week_31_(30/07/2001_-_05/08/2001)"
+
+
+def test_load_receivables_end_to_end(spark, tmp_path):
+    from dunning.sources import sinks
+    from dunning.sources import tpch_fixture as fx
+
+    sf = "/root/testdata/sf0.001"
+    raw_st = fx.statement_raw(spark, sf).withColumn("fiscal_no", F.lit("B01"))
+    raw_pay = fx.payments_raw(spark, sf)
+    sp = sinks.write_csv(raw_st.select(*[c for c in IN.STATEMENT_TEXT_COLUMNS if c in raw_st.columns]), str(tmp_path / "st"))
+    pp = sinks.write_csv(raw_pay, str(tmp_path / "pay"))
+    st, pay = IN.load_receivables(spark, sp, pp)
+    assert st.count() == raw_st.count() and pay.count() == raw_pay.count()
+    types = dict(st.dtypes)
+    assert types["invoice_date"] == "date" and types["balance"] == "double"
+    assert "days_past_due" not in types  # optional column: absent here, derived later by classify
+    assert st.where(F.col("balance").isNull()).count() == raw_st.where(F.col("balance").isin("N/A", "nan")).count()
+    empty = sinks.write_csv(raw_pay.limit(0), str(tmp_path / "empty"))
+    with pytest.raises(ValueError):
+        IN.load_receivables(spark, sp, empty)
+
+
+def test_median_of_all_missing_column_raises(spark):
+    from dunning.plans.ml import impute_median
+
+    df = spark.createDataFrame([(1, None), (2, None)], "customer_code long, avg_days double")
+    with pytest.raises(ValueError):
+        impute_median(df, ["avg_days"])
