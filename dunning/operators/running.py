@@ -27,7 +27,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from dunning.session import ensure_checkpoint_dir
+from dunning.session import ensure_checkpoint_dir, materialize
 
 _PART, _CUM, _POS, _VAL = "_rt_part", "_rt_cum", "_rt_pos", "_rt_val"
 
@@ -79,7 +79,7 @@ def running_total(
             StructField(_POS, LongType(), False),
         ]
     )
-    local = ranged.mapInArrow(_prefix_sums, schema).checkpoint(eager=True)
+    local = materialize(ranged.mapInArrow(_prefix_sums, schema))
     totals = local.groupBy(_PART).agg(
         F.coalesce(F.sum(_VAL), F.lit(0)).alias("_rt_tot"), F.count(F.lit(1)).alias("_rt_cnt")
     )

@@ -78,6 +78,16 @@ def _looks_like_uuid(s: str) -> bool:
 def materialize(df):
     """Write ``df`` once to the shared checkpoint folder and continue from the
     files: later scalar subqueries and re-reads scan the checkpoint instead of
-    recomputing the joins above it, and a lost executor cannot change it."""
+    recomputing the joins above it, and a lost executor cannot change it.
+
+    The frame is persisted for the duration of the write, so the checkpoint
+    job reads the computed partitions instead of recomputing the last stage.
+    """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist(blocking=False)
