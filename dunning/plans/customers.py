@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dunning.functions import classify as C
 from dunning.functions import dates as D
 from dunning.functions import labels as L
-from dunning.functions.money import money, money_mean, money_sum, money_total, prob_mean
+from dunning.functions.money import money_mean, money_total, prob_mean
 from dunning.operators.modal import any_name, label_counts, modal_by_rank, modal_label
 
 KEY = "customer_code"

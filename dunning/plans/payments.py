@@ -12,7 +12,6 @@ METHODS = L.PAYMENT_METHODS
 
 
 def _stack(pairs: list[tuple[str, ...]], names: str) -> str:
-    width = len(pairs[0])
     body = ", ".join(", ".join(p) for p in pairs)
     return f"stack({len(pairs)}, {body}) AS ({names})"
 

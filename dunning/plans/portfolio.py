@@ -8,7 +8,6 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunning.functions import classify as C
 from dunning.functions import dates as D
 from dunning.functions import dims
 from dunning.functions import labels as L
