@@ -8,10 +8,22 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-
-from dunning.params import ReportParams
+from pyspark.sql import functions as F
+
+from dunning.functions import classify as CL
+from dunning.params import DEFAULT_FUTURE_WEEK_START, ReportParams
+from dunning.plans import collection as CO
+from dunning.plans import concentration as CN
+from dunning.plans import customers as CU
+from dunning.plans import limits as LI
+from dunning.plans import ml as ML
+from dunning.plans import payments as PM
 from dunning.plans import portfolio as P
-from dunning.plans.prepare import fill_payments, prepare_statement
+from dunning.plans import scenarios as SC
+from dunning.plans.prepare import classify, fill_payments, prepare_statement, score
+from dunning.session import scratch_path
+from dunning.sources import ingest as IN
+from dunning.sources import sinks as SK
 from dunning.sources import tpch_fixture as fx
 
 PARAMS = ReportParams()
@@ -145,9 +157,6 @@ def _fmt(i: Inputs):
 
 # --- payment methods ---------------------------------------------------------
 
-from dunning.plans import customers as CU  # noqa: E402
-from dunning.plans import payments as PM  # noqa: E402
-
 
 @report("payment_method_totals")
 def _pm_totals(i: Inputs):
@@ -219,15 +228,6 @@ def _history(i: Inputs):
 
 # --- concentration, collection plan -----------------------------------------
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from dunning.plans import collection as CO  # noqa: E402
-from dunning.plans import concentration as CN  # noqa: E402
-from dunning.plans import limits as LI  # noqa: E402
-from dunning.plans import ml as ML  # noqa: E402
-from dunning.plans import scenarios as SC  # noqa: E402
-from dunning.params import DEFAULT_FUTURE_WEEK_START  # noqa: E402
-
 
 @report("pareto")
 def _pareto(i: Inputs):
@@ -369,8 +369,6 @@ def _scenario_band(i: Inputs):
 
 # --- classification steps and the risk model ---------------------------------
 
-from dunning.functions import classify as CL  # noqa: E402
-
 
 @report("days_past_due")
 def _days(i: Inputs):
@@ -403,8 +401,6 @@ def _risk_segment(i: Inputs):
 
 @report("score_fallback")
 def _fallback(i: Inputs):
-    from dunning.plans.prepare import classify, score
-
     st = score(classify(fx.statement(i.spark, i.sf_dir), i.params.as_of), mode="rules")
     return st.select("document_no", "default_probability", "risk_segment")
 
@@ -448,10 +444,6 @@ def _cluster_stats(i: Inputs):
 
 # --- sources and sinks ---------------------------------------------------------
 
-from dunning.sources import ingest as IN  # noqa: E402
-from dunning.sources import sinks as SK  # noqa: E402
-from dunning.session import scratch_path  # noqa: E402
-
 
 def _landed(i: Inputs, raw: DataFrame, name: str) -> str:
     """Land a raw text table as CSV part files in the shared scratch folder."""
