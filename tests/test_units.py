@@ -408,3 +408,16 @@ def test_median_of_all_missing_column_raises(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "customer_code long, avg_days double")
     with pytest.raises(ValueError):
         impute_median(df, ["avg_days"])
+
+
+def test_approx_distinct_opt_in_is_close(spark):
+    from dunning.plans import payments as PM
+    from dunning.reports import Inputs
+
+    i = Inputs(spark, "/root/testdata/sf0.01")
+    exact = PO.portfolio_kpis(i.statement).first().delinquent_customers
+    approx = PO.portfolio_kpis(i.statement, approx_distinct=True).first().delinquent_customers
+    assert abs(approx - exact) <= max(3, 0.03 * exact)
+    e = PM.payment_stats(i.payments).first().customers
+    a = PM.payment_stats(i.payments, approx_distinct=True).first().customers
+    assert abs(a - e) <= max(3, 0.03 * e)
