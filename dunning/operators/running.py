@@ -43,7 +43,8 @@ def _prefix_sums(batches):
     for batch in batches:
         n = batch.num_rows
         vals = pc.fill_null(batch.column(_VAL), 0)
-        cum = pc.add(pc.cumulative_sum(vals), pa.scalar(carry, pa.int64())) if n else pa.array([], pa.int64())
+        # checked arithmetic: an int64 overflow raises instead of wrapping
+        cum = pc.add_checked(pc.cumulative_sum_checked(vals), pa.scalar(carry, pa.int64())) if n else pa.array([], pa.int64())
         pos = pa.array(np.arange(seen + 1, seen + n + 1, dtype=np.int64))
         if n:
             carry = cum[-1].as_py()

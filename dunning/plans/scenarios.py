@@ -114,10 +114,13 @@ def customer_risk_inputs(st: DataFrame, pay_filled: DataFrame) -> DataFrame:
         + F.when(b > 0, F.lit(1.0) - sd / b).otherwise(F.lit(0.0))
         + F.when(fq > 0, F.lit(30.0) / fq).otherwise(F.lit(1.0))
     )
-    history = F.when(has_pay, F.least(F.lit(5), F.greatest(F.lit(1), raw_history.cast("int")))).otherwise(
-        F.lit(DEFAULT_HISTORY)
-    )
-    type_index = F.when(has_pay, F.least(F.lit(3), (n / F.lit(5.0)).cast("int"))).otherwise(F.lit(0))
+    # clamp first, then truncate: same values as clamp(trunc(x)) for these
+    # integer bounds, and the int cast can never overflow (a customer with
+    # billions of payments would otherwise fail the job under ANSI mode)
+    history = F.when(
+        has_pay, F.least(F.lit(5.0), F.greatest(F.lit(1.0), raw_history)).cast("int")
+    ).otherwise(F.lit(DEFAULT_HISTORY))
+    type_index = F.when(has_pay, F.least(F.lit(3.0), n / F.lit(5.0)).cast("int")).otherwise(F.lit(0))
     current = F.when(has_inv, F.col("_risk")).otherwise(F.lit(DEFAULT_RISK))
     risk_base = F.when(has_pay, F.greatest(current, F.least(F.lit(0.7), sd / (b + F.lit(EPS))))).otherwise(current)
     return j.select(

@@ -421,3 +421,17 @@ def test_approx_distinct_opt_in_is_close(spark):
     e = PM.payment_stats(i.payments).first().customers
     a = PM.payment_stats(i.payments, approx_distinct=True).first().customers
     assert abs(a - e) <= max(3, 0.03 * e)
+
+
+def test_scenario_scores_do_not_overflow_for_huge_histories(spark):
+    from pyspark.sql.types import LongType
+
+    n = F.lit(50_000_000_000).cast(LongType())
+    raw = F.lit(1e12)
+    df = spark.range(1).select(
+        F.least(F.lit(3.0), n / F.lit(5.0)).cast("int").alias("t"),
+        F.least(F.lit(5.0), F.greatest(F.lit(1.0), raw)).cast("int").alias("h"),
+        F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.lit(-3.7))).cast("int").alias("h2"),
+    )
+    r = df.first()
+    assert (r.t, r.h, r.h2) == (3, 5, 1)
