@@ -102,13 +102,17 @@ _READERS: dict = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table reader, reused per session so the footer/schema read
-    happens once per table rather than once per report."""
+    """Parquet table reader, reused within one live session so the footer /
+    schema read happens once per table rather than once per report.  Keyed by
+    the application id and checked against the session object, so a stopped
+    and recreated session never gets a reader bound to a dead context."""
     path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (id(spark), path)
-    if key not in _READERS:
-        _READERS[key] = spark.read.parquet(path)
-    return _READERS[key]
+    key = (spark.sparkContext.applicationId, path)
+    hit = _READERS.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, spark.read.parquet(path))
+        _READERS[key] = hit
+    return hit[1]
 
 
 def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
