@@ -435,3 +435,31 @@ def test_scenario_scores_do_not_overflow_for_huge_histories(spark):
     )
     r = df.first()
     assert (r.t, r.h, r.h2) == (3, 5, 1)
+
+
+def test_all_null_group_sums_to_zero_and_means_stay_missing(spark):
+    st = statement(spark, [(1, "a", "1", d(100), None, None, None), (1, "a", "2", d(100), None, None, None)])
+    r = CU.customer_rollup(st).first()
+    assert r.balance == 0.0 and r.avg_days is None
+    p = CU.customer_profiles(st, spark.createDataFrame([], PAY_SCHEMA)).first()
+    assert p.total_balance == 0.0 and p.delinquency_pct == 0.0 and p.recommended_limit is None
+
+
+def test_pareto_with_negative_balances_and_ties(spark):
+    from dunning.plans.concentration import pareto
+
+    rows = [("b", 50.0), ("a", 50.0), ("c", -20.0), ("d", 120.0), ("a", 10.0)]
+    st = statement(spark, [(i, n, str(i), d(100), d(10), 1.0, b) for i, (n, b) in enumerate(rows)])
+    got = {r.customer_name: r for r in pareto(st, 80.0).collect()}
+    per = {}
+    for n, b in rows:
+        per[n] = per.get(n, 0.0) + b
+    ordered = sorted(per.items(), key=lambda kv: (-kv[1], kv[0]))
+    total = sum(per.values())
+    acc = 0.0
+    for pos, (n, b) in enumerate(ordered, start=1):
+        acc += b
+        r = got[n]
+        assert r.position == pos and r.cum_balance == pytest.approx(acc)
+        assert r.cum_pct == pytest.approx(acc / total * 100)
+        assert r.is_top_share == (acc / total * 100 <= 80.0)
