@@ -463,3 +463,45 @@ def test_pareto_with_negative_balances_and_ties(spark):
         assert r.position == pos and r.cum_balance == pytest.approx(acc)
         assert r.cum_pct == pytest.approx(acc / total * 100)
         assert r.is_top_share == (acc / total * 100 <= 80.0)
+
+
+def test_homonyms_merge_by_name_but_not_by_code(spark):
+    from dunning.plans.concentration import pareto
+
+    st = statement(spark, [(1, "same", "1", d(100), d(70), 1.0, 30.0), (2, "same", "2", d(100), d(70), 1.0, 12.0)])
+    top = PO.top_customers(st).collect()
+    assert [(r.customer_name, r.balance) for r in top] == [("same", 42.0)]
+    assert pareto(st).count() == 1
+    assert CU.customer_rollup(st).count() == 2
+
+
+def test_credit_limit_missing_without_payments_unless_filled(spark):
+    from dunning.plans import limits as LI
+
+    st = statement(
+        spark,
+        [
+            (1, "a", "1", d(100), d(10), 5000.0, 5000.0),
+            (2, "b", "2", d(100), d(10), 8000.0, 8000.0),
+            (3, "c", "3", d(100), d(10), 9000.0, 9000.0),
+        ],
+    )
+    # two paying customers: with one, the spread of average payments (a
+    # sample std) is undefined and every limit is missing, as in the reference
+    pay = fill_payments(
+        spark.createDataFrame(
+            [
+                (1, "a", "9", 1, d(5), 400.0, 400.0, 0.0, 0.0, 0.0),
+                (1, "a", "8", 1, d(40), 600.0, 0.0, 600.0, 0.0, 0.0),
+                (3, "c", "7", 1, d(20), 900.0, 900.0, 0.0, 0.0, 0.0),
+            ],
+            PAY_SCHEMA,
+        )
+    )
+    plain = {r.customer_code: r for r in LI.credit_limits(st, pay, AS_OF).collect()}
+    assert plain[2].credit_limit is None and plain[2].payment_count is None
+    assert plain[1].credit_limit >= 1000.0
+    assert "History of 2 payments with average $500.00" in plain[1].explanation
+    assert "No payment history" in plain[2].explanation and "New customer" in plain[2].explanation
+    filled = {r.customer_code: r for r in LI.credit_limits(st, pay, AS_OF, fill_missing=True).collect()}
+    assert filled[2].credit_limit is not None and filled[2].credit_limit >= 1000.0
