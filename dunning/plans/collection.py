@@ -11,6 +11,7 @@ from dunning.functions import dates as D
 from dunning.functions import labels as L
 from dunning.functions.money import money_mean, money_sum, money_total, prob_mean
 from dunning.operators.running import running_total, select_to_goal
+from dunning.session import materialize
 
 KEY = "customer_code"
 
@@ -53,7 +54,11 @@ def plan_scope(st: DataFrame, week_start: dt.date, include_overdue: bool = True)
 
 def normalized_history(pay_filled: DataFrame) -> DataFrame:
     """Mean payment per customer over the largest such mean (1 when that is 0)."""
-    per = pay_filled.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(money_mean(F.col("paid_amount")).alias("avg_paid"))
+    # one row per customer, written once: the max below and the join that
+    # uses this frame both read the checkpoint instead of re-aggregating
+    per = materialize(
+        pay_filled.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(money_mean(F.col("paid_amount")).alias("avg_paid"))
+    )
     top = per.select(F.max("avg_paid")).scalar()
     denom = F.when(top == 0, F.lit(1.0)).otherwise(top)
     return per.withColumn("history_norm", F.col("avg_paid") / denom)
@@ -62,7 +67,7 @@ def normalized_history(pay_filled: DataFrame) -> DataFrame:
 def collection_score(scope: DataFrame, pay_filled: DataFrame) -> DataFrame:
     """Score = .5 (1 - mean p) + .3 history_norm + .2 balance / max balance,
     per (code, name); customers without payment history get .5."""
-    plan = (
+    plan = materialize(
         scope.where(F.col(KEY).isNotNull() & F.col("customer_name").isNotNull())
         .groupBy(KEY, "customer_name")
         .agg(
