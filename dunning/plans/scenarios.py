@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from dunning.functions import labels as L
 from dunning.functions.dims import literal_frame
 from dunning.functions.money import fixed_point, money_mean, prob_mean, sample_std, WIDE_INT
-from dunning.plans.customers import all_customers
+from dunning.operators.modal import any_name
 
 KEY = "customer_code"
 DEFAULT_AMOUNT = 10000.0
@@ -75,12 +75,17 @@ def _type_factor(name: Column) -> Column:
 def customer_risk_inputs(st: DataFrame, pay_filled: DataFrame) -> DataFrame:
     """Per customer: base amount, current risk, derived history score and
     customer type, and the payment-variability risk floor."""
+    # each table is aggregated once per customer (name pick included), then
+    # one full outer join gives every customer of either table (U1 semantics:
+    # the statement's name wins)
     s = (
         st.where(F.col(KEY).isNotNull())
         .groupBy(KEY)
         .agg(
+            any_name(F.col("customer_name")).alias("_sn"),
             prob_mean(F.col("default_probability")).alias("_risk"),
             money_mean(F.col("initial_amount")).alias("_avg_initial"),
+            F.lit(True).alias("in_statement"),
         )
     )
     paid = F.col("paid_amount")
@@ -88,15 +93,22 @@ def customer_risk_inputs(st: DataFrame, pay_filled: DataFrame) -> DataFrame:
         pay_filled.where(F.col(KEY).isNotNull())
         .groupBy(KEY)
         .agg(
+            any_name(F.col("customer_name")).alias("_pn"),
             F.count(F.lit(1)).alias("payment_count"),
             money_mean(paid).alias("_avg_paid"),
             F.sum(fixed_point(paid, 2)).cast(WIDE_INT).alias("_s1"),
             F.sum(fixed_point(paid, 2) * fixed_point(paid, 2)).cast(WIDE_INT).alias("_s2"),
             F.datediff(F.max("payment_date"), F.min("payment_date")).alias("_span"),
+            F.lit(True).alias("in_payments"),
         )
     )
-    cust = all_customers(st, pay_filled).select(KEY, "customer_name", "in_statement", "in_payments")
-    j = cust.join(s, KEY, "left").join(p, KEY, "left")
+    j = s.join(p, KEY, "full").withColumns(
+        {
+            "in_statement": F.coalesce("in_statement", F.lit(False)),
+            "in_payments": F.coalesce("in_payments", F.lit(False)),
+        }
+    )
+    j = j.withColumn("customer_name", F.when(F.col("in_statement"), F.col("_sn")).otherwise(F.col("_pn")))
     has_inv, has_pay = F.col("in_statement"), F.col("in_payments")
     n = F.col("payment_count")
     base = (
