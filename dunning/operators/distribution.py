@@ -44,6 +44,9 @@ def box_summary(df: DataFrame, value: str, by: list[str] | None = None, approx:
     stats = stats.withColumn("lower_fence", F.col("q1") - F.lit(1.5) * iqr).withColumn(
         "upper_fence", F.col("q3") + F.lit(1.5) * iqr
     )
+    # at most one row per group (fixed label sets here): written once, so the
+    # percentile aggregation runs once although fences and output both use it
+    stats = materialize(stats)
     if by:
         # one row per group of a fixed label set: broadcast is bounded
         fences = F.broadcast(stats.select(*by, "lower_fence", "upper_fence"))
@@ -53,8 +56,7 @@ def box_summary(df: DataFrame, value: str, by: list[str] | None = None, approx:
             .agg(F.count(F.when((v < F.col("lower_fence")) | (v > F.col("upper_fence")), 1)).alias("outliers"))
         )
         return stats.join(outliers, by)
-    # one row: written once, then both fences come from one struct scalar
-    stats = materialize(stats)
+    # both fences come from one struct scalar over the written row
     f = stats.select(F.struct("lower_fence", "upper_fence")).scalar()
     lo, hi = f.getField("lower_fence"), f.getField("upper_fence")
     outliers = rows.agg(F.count(F.when((v < lo) | (v > hi), 1)).alias("outliers"))
