@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -86,3 +88,43 @@ def test_currency_text_matches_python_format(spark, cents):
     got = [r.t for r in df.select(T.fmt_currency(F.col("x")).alias("t")).collect()]
     want = ["${:,.2f}".format(v) if v % 1 else "${:,.0f}".format(v) for v in vals]
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.integers(-200, 400), min_size=1, max_size=200))
+def test_box_summary_matches_numpy(spark, values):
+    import numpy as np
+
+    from dunning.operators.distribution import box_summary
+
+    df = spark.createDataFrame([(v,) for v in values], "d int")
+    r = box_summary(df, "d").first()
+    q1, med, q3 = np.percentile(values, [25, 50, 75], method="linear")
+    assert (r.q1, r.median, r.q3) == (pytest.approx(q1), pytest.approx(med), pytest.approx(q3))
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    assert r.outliers == sum(1 for v in values if v < lo or v > hi)
+    assert (r.min_value, r.max_value, r.n) == (min(values), max(values), len(values))
+
+
+@SETTINGS
+@given(st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=200), st.integers(1, 25))
+def test_histogram_counts_match_numpy(spark, values, bins):
+    import numpy as np
+
+    from dunning.operators.distribution import histogram
+
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r["count"] for r in histogram(df, "x", bins).orderBy("bin").collect()]
+    assert len(got) == bins and sum(got) == len(values)
+    if max(values) > min(values):
+        lo, hi = min(values), max(values)
+        width = (hi - lo) / bins
+        want = [0] * bins
+        for v in values:
+            want[min(int(math.floor((v - lo) / width)), bins - 1)] += 1
+        assert got == want
+        # numpy uses the same edges; counts may differ only for values that sit
+        # on a bin border within float rounding (each such value moves once)
+        np_counts, _ = np.histogram(values, bins=bins, range=(lo, hi))
+        on_border = sum(1 for v in values if abs((v - lo) / width - round((v - lo) / width)) < 1e-9)
+        assert sum(abs(a - b) for a, b in zip(got, np_counts)) <= 2 * on_border
