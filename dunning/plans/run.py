@@ -52,9 +52,17 @@ class ReceivablesRun:
         p = self.params
         return LI.filter_limits(self.limits, p.limit_segments, p.limit_low, p.limit_high)
 
-    def reports(self) -> dict[str, DataFrame]:
+    @cached_property
+    def segments(self) -> DataFrame:
+        from dunning.plans import ml
+
+        return materialize(ml.segment_customers(CU.customer_rollup(self.statement)))
+
+    def reports(self, with_segments: bool = True) -> dict[str, DataFrame]:
+        """Every data set of the eight areas.  ``with_segments`` adds the
+        K-means segmentation (one model fit), as the reference always does."""
         st, pay, pf, p = self.statement, self.payments, self.payments_filled, self.params
-        return {
+        out = {
             # executive summary
             "portfolio_kpis": PO.portfolio_kpis(st),
             "monthly_balance": PO.monthly_balance(st),
@@ -99,6 +107,12 @@ class ReceivablesRun:
             "limit_histogram": LI.limit_histogram(self.filtered_limits),
             "limit_points": LI.limit_points(self.filtered_limits),
         }
+        if with_segments:
+            from dunning.plans import ml
+
+            out["customer_segments"] = self.segments
+            out["cluster_stats"] = ml.cluster_stats(self.segments)
+        return out
 
     def export(self, folder: str) -> dict[str, str]:
         """The three CSV downloads of the reference: statement, weekly plan,

@@ -12,7 +12,10 @@ SF = "/root/testdata/sf0.001"
 def test_run_reports_equal_registry(spark, tmp_path):
     run = ReceivablesRun(fx.statement(spark, SF), fx.payments(spark, SF))
     reports = run.reports()
-    assert len(reports) >= 30
+    assert len(reports) >= 35
+    seg = reports["customer_segments"].collect()
+    assert {r.cluster for r in seg} <= {0, 1, 2, 3}
+    assert sum(r.customers for r in reports["cluster_stats"].collect()) == len(seg)
     for name in ["portfolio_kpis", "pareto", "collection_plan", "weekly_kpis", "credit_limits", "limit_histogram", "scenario_band"]:
         a = reports[name]
         b = REPORTS[name](spark, SF)
