@@ -86,20 +86,36 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, value: Column) -> Column:
-    """Exact median (linear interpolation of the two middle values) as a
-    scalar-subquery Column.  Positions come from the distributed running
-    total, so no task ever holds the whole column; a hash of the whole row
-    breaks ties, so even one value shared by a third of all rows is split
-    over many range partitions."""
-    vals = df.where(value.isNotNull()).select(
-        value.cast("double").alias("_mv"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("_mt")
+def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Exact medians of several columns from ONE distributed sort.
+
+    The columns are stacked into (column index, value) rows and ranked by a
+    single running total on (column, value, row hash); a column's positions
+    start after the rows of the columns before it.  The two middle values are
+    interpolated linearly.  Returns one row per column: ``(_ci, median)``.
+    A hash of the whole row breaks value ties, so even one value shared by a
+    third of all rows is split over many range partitions."""
+    tie = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_mt")
+    pairs = F.array(*[F.struct(F.lit(i).alias("_ci"), F.col(c).cast("double").alias("_mv")) for i, c in enumerate(cols)])
+    stacked = df.select(F.inline(pairs), tie).where(F.col("_mv").isNotNull())
+    ranked = running_total(stacked, [F.asc("_ci"), F.asc("_mv"), F.asc("_mt")], F.lit(0), "_mz", position="_mp")
+    # one row per column: its row count and where its positions start
+    sizes = ranked.groupBy("_ci").agg(F.count(F.lit(1)).alias("_n"), F.min("_mp").alias("_start"))
+    wanted = sizes.select(
+        "_ci",
+        (F.col("_start") - 1 + F.floor((F.col("_n") + 1) / 2)).alias("_k1"),
+        (F.col("_start") - 1 + F.ceil((F.col("_n") + 1) / 2)).alias("_k2"),
     )
-    ranked = running_total(vals, [F.asc("_mv"), F.asc("_mt")], F.lit(0), "_mz", position="_mp")
-    n = vals.select(F.count(F.lit(1))).scalar()
-    k1 = F.floor((n + 1) / 2)
-    k2 = F.ceil((n + 1) / 2)
-    mid = ranked.where((F.col("_mp") == k1) | (F.col("_mp") == k2)).agg(
-        F.min("_mv").alias("a"), F.max("_mv").alias("b")
+    mid = (
+        ranked.join(F.broadcast(wanted), "_ci")  # one row per column: bounded
+        .where((F.col("_mp") == F.col("_k1")) | (F.col("_mp") == F.col("_k2")))
+        .groupBy("_ci")
+        .agg(F.min("_mv").alias("a"), F.max("_mv").alias("b"))
     )
-    return mid.select(F.col("a") + F.lit(0.5) * (F.col("b") - F.col("a"))).scalar()
+    return mid.select("_ci", (F.col("a") + F.lit(0.5) * (F.col("b") - F.col("a"))).alias("median"))
+
+
+def exact_median(df: DataFrame, value: Column) -> Column:
+    """Exact median of one column as a scalar-subquery Column."""
+    one = df.select(value.alias("_x"))
+    return exact_medians(one, ["_x"]).select("median").scalar()

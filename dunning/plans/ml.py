@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from dunning.functions import classify as C
 from dunning.functions.dims import literal_frame
 from dunning.functions.money import WIDE_INT, fixed_mean, fixed_point, population_std
-from dunning.operators.distribution import exact_median
+from dunning.operators.distribution import exact_medians
 from dunning.session import materialize
 
 FEATURES = ["days_past_due", "initial_amount", "balance"]
@@ -92,17 +92,21 @@ SEG_FEATURES = ["avg_days", "balance", "avg_probability"]
 
 def impute_median(df: DataFrame, cols) -> DataFrame:
     """Fill missing values with the exact column median (M5).  The input is
-    written once, the medians are computed from that copy, and the filled
-    result is written once more so that later scalars never recompute it."""
+    written once, all medians come from one distributed sort of that copy,
+    and the filled result is written once more so that later scalars never
+    recompute it.  A column that is missing everywhere has no median: error,
+    as in the reference."""
+    cols = list(cols)
     base = materialize(df)
     present = base.agg(*[F.count(c).alias(c) for c in cols]).first()
     empty = [c for c in cols if present[c] == 0]
     if empty:
         raise ValueError(f"no value to take a median of in {empty}")
-    fills = {}
-    for c in cols:
-        med = exact_median(base, F.col(c))
-        fills[c] = F.coalesce(F.col(c).cast("double"), med)
+    medians = materialize(exact_medians(base, cols))  # one row per column
+    fills = {
+        c: F.coalesce(F.col(c).cast("double"), medians.where(F.col("_ci") == i).select("median").scalar())
+        for i, c in enumerate(cols)
+    }
     return materialize(base.withColumns(fills))
 
 

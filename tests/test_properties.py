@@ -128,3 +128,26 @@ def test_histogram_counts_match_numpy(spark, values, bins):
         np_counts, _ = np.histogram(values, bins=bins, range=(lo, hi))
         on_border = sum(1 for v in values if abs((v - lo) / width - round((v - lo) / width)) < 1e-9)
         assert sum(abs(a - b) for a, b in zip(got, np_counts)) <= 2 * on_border
+
+
+@SETTINGS
+@given(
+    st.lists(
+        st.tuples(st.one_of(st.none(), st.integers(-50, 50)), st.one_of(st.none(), st.floats(-1e3, 1e3, allow_nan=False))),
+        min_size=1,
+        max_size=120,
+    )
+)
+def test_exact_medians_match_numpy(spark, rows):
+    import numpy as np
+
+    from dunning.operators.distribution import exact_medians
+
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "id long, a int, b double")
+    got = {r._ci: r.median for r in exact_medians(df, ["a", "b"]).collect()}
+    for i, col in enumerate([[a for a, _ in rows], [b for _, b in rows]]):
+        vals = [v for v in col if v is not None]
+        if vals:
+            assert got[i] == pytest.approx(float(np.median(vals)))
+        else:
+            assert i not in got
