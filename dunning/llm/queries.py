@@ -5,6 +5,8 @@ from __future__ import annotations
 from .decontaminate import op6_decontaminate
 from .exact_dedup import op10_exact_dedup
 from .licenses import op9_license_scan
+from .passages import op7_passages
+from .pii import op1_pii
 from .quality import op3_quality
 from .sentencepieces import op5_sentencepiece
 from .simhash import op2_simhash
@@ -14,11 +16,13 @@ from .warc import op8_warc
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_pii,
         op2_simhash,
         op3_quality,
         op4_token_files,
         op5_sentencepiece,
         op6_decontaminate,
+        op7_passages,
         op8_warc,
         op9_license_scan,
         op10_exact_dedup,
