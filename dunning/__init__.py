@@ -1,4 +1,4 @@
-"""Receivables delinquency and credit-risk analytics as lazy Spark DataFrames.
+"""Receivables aging and credit-risk analytics as lazy Spark DataFrames.
 
 Every public function takes DataFrames (and plain parameters) and returns a
 DataFrame; nothing is collected except tiny scalars documented at the call.

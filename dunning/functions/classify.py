@@ -21,7 +21,7 @@ def days_past_due(due_date: Column, as_of: dt.date) -> Column:
     return F.datediff(F.lit(as_of), due_date)
 
 
-def delinquency_status(days: Column) -> Column:
+def aging_status(days: Column) -> Column:
     return (
         F.when(days > 120, L.STATUS_SEVERE)
         .when(days > 90, L.STATUS_HIGH)

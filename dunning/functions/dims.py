@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from dunning.functions import labels as L
 
@@ -31,33 +31,3 @@ def segment_dim(spark: SparkSession) -> DataFrame:
     )
     rows = [(i, seg, act, fu) for i, (seg, act, fu) in enumerate(L.SEGMENT_ACTIONS)]
     return F.broadcast(literal_frame(spark, rows, schema))
-
-
-def customer_type_dim(spark: SparkSession) -> DataFrame:
-    schema = StructType(
-        [
-            StructField("type_index", IntegerType(), False),
-            StructField("customer_type", StringType(), False),
-            StructField("type_factor", DoubleType(), False),
-        ]
-    )
-    rows = [(i, t, f) for i, (t, f) in enumerate(L.CUSTOMER_TYPES)]
-    return F.broadcast(literal_frame(spark, rows, schema))
-
-
-def band_dim(spark: SparkSession) -> DataFrame:
-    """One row per (band, step, action): 4 x 7 rows."""
-    schema = StructType(
-        [
-            StructField("band", StringType(), False),
-            StructField("band_label", StringType(), False),
-            StructField("step", IntegerType(), False),
-            StructField("action", StringType(), False),
-        ]
-    )
-    rows = [
-        (band, label, step, action)
-        for band, label, actions in L.SCENARIO_BANDS
-        for step, action in enumerate(actions, start=1)
-    ]
-    return literal_frame(spark, rows, schema)

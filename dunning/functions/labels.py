@@ -3,7 +3,7 @@
 Fixed values (kept verbatim, in the reference's natural order):
 """
 
-# Delinquency status labels, least to most severe.
+# Aging status labels, least to most severe.
 STATUS_CURRENT = "Current (0-30 days)"
 STATUS_EARLY = "Early Warning (31-60 days)"
 STATUS_MODERATE = "Moderate Delinquency (61-90 days)"
@@ -56,6 +56,9 @@ PLAN_FUTURE = "\U0001F4C5 Planned"
 
 NO_DATA = "No data"
 
+# Fixed value: words of the limit explanation before the risk.
+EXPLANATION_RISK = ". Based on: Delinquency risk of "
+
 # Simulator risk bands (code, display label, 7 recommended actions).
 SCENARIO_BANDS = (
     (

@@ -14,6 +14,8 @@ conversion to double follows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -22,9 +24,17 @@ MONEY = DecimalType(18, 2)
 PROB = DecimalType(18, 6)
 WIDE_INT = DecimalType(38, 0)
 
+#: Amounts reach up to here: a double still holds cents, and DECIMAL(18,2) the
+#: value.  What is larger, infinite or NaN is no amount and counts as missing.
+MOST = 1e15
+
+
+def in_range(c: Column) -> Column:
+    return F.when(F.abs(c) < MOST, c)
+
 
 def money(c: Column) -> Column:
-    return c.cast(MONEY)
+    return in_range(c).cast(MONEY)
 
 
 def money_sum(c: Column) -> Column:
@@ -52,34 +62,33 @@ def prob_mean(c: Column) -> Column:
 
 def fixed_point(c: Column, scale: int) -> Column:
     """round(c * 10^scale) as an exact wide integer."""
-    return F.round(c * F.lit(float(10**scale))).cast(WIDE_INT)
-
-
-def power_sums(c: Column, scale: int, prefix: str) -> list[Column]:
-    """count, sum and sum of squares of the fixed-point image, as aggregates."""
-    u = fixed_point(c, scale)
-    return [
-        F.count(c).alias(f"{prefix}_n"),
-        F.sum(u).alias(f"{prefix}_s1"),
-        F.sum(u * u).cast(WIDE_INT).alias(f"{prefix}_s2"),
-    ]
+    return F.round(in_range(c) * F.lit(float(10**scale))).cast(WIDE_INT)
 
 
 def spread_numerator(n: Column, s1: Column, s2: Column) -> Column:
-    """n*S2 - S1^2, exact, as double."""
-    return (n.cast(WIDE_INT) * s2 - s1 * s1).cast(WIDE_INT).cast("double")
+    """n*S2 - S1^2 as double: exact where 38 digits hold it, else from doubles."""
+    wide = lambda a, b: F.try_multiply(a.cast(WIDE_INT), b.cast(WIDE_INT))
+    exact = F.try_subtract(wide(n, s2), wide(s1, s1)).cast("double")
+    return F.coalesce(exact, n.cast("double") * s2.cast("double") - s1.cast("double") * s1.cast("double"))
+
+
+def spread_and_centre(n, s1, s2, scale: int, ddof: int = 1):
+    """Standard deviation and mean from exact integer power sums of a
+    fixed-point image, on the driver: ``n*S2 - S1^2`` is exact in Python
+    integers of any size, and the remaining IEEE steps (int->double, divide,
+    sqrt, divide) are those of the SQL oracle, so the doubles are
+    bit-identical.  ``None`` when undefined."""
+    if not n:
+        return None, None
+    n, s1, s2 = int(n), int(s1), int(s2)
+    centre = float(s1) / float(n) / float(10**scale)
+    if n <= ddof:
+        return None, centre
+    var = float(n * s2 - s1 * s1) / float(n * (n - ddof))
+    return math.sqrt(max(var, 0.0)) / float(10**scale), centre
 
 
 def sample_std(n: Column, s1: Column, s2: Column, scale: int) -> Column:
     """Sample standard deviation from power sums; NULL when n < 2."""
     var = F.try_divide(spread_numerator(n, s1, s2), (n * (n - 1)).cast("double"))
     return F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))) / F.lit(float(10**scale)))
-
-
-def population_std(n: Column, s1: Column, s2: Column, scale: int) -> Column:
-    var = F.try_divide(spread_numerator(n, s1, s2), (n * n).cast("double"))
-    return F.when(n >= 1, F.sqrt(F.greatest(var, F.lit(0.0))) / F.lit(float(10**scale)))
-
-
-def fixed_mean(n: Column, s1: Column, scale: int) -> Column:
-    return F.try_divide(s1.cast("double"), n.cast("double")) / F.lit(float(10**scale))

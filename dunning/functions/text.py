@@ -20,8 +20,17 @@ def fixed(c: Column, decimals: int) -> Column:
     return F.coalesce(F.regexp_replace(F.format_number(c, decimals), ",", ""), F.lit("nan"))
 
 
-def fmt_currency(c: Column) -> Column:
-    """``$1,234.50``; whole numbers without decimals; NULL -> ``N/A``."""
+def _text_passes(c: Column, shown) -> Column:
+    """``shown`` of a text column's number; text that is no number stays."""
+    number = c.try_cast("double")
+    return F.when(c.isNotNull() & number.isNull(), c).otherwise(shown(number))
+
+
+def fmt_currency(c: Column, text: bool = False) -> Column:
+    """``$1,234.50``; whole numbers without decimals; NULL -> ``N/A``.  With
+    ``text`` the column is text, and what is no number passes through."""
+    if text:
+        return _text_passes(c, fmt_currency)
     whole = (c % 1) == 0
     return (
         F.when(c.isNull() | F.isnan(c), F.lit("N/A"))
@@ -30,13 +39,10 @@ def fmt_currency(c: Column) -> Column:
     )
 
 
-def fmt_money2(c: Column) -> Column:
-    """Python ``f"${v:,.2f}"``."""
-    return F.concat(F.lit("$"), F.coalesce(F.format_number(c, 2), F.lit("nan")))
-
-
-def fmt_percent(c: Column) -> Column:
-    """``12.3%``; NULL -> ``N/A``."""
+def fmt_percent(c: Column, text: bool = False) -> Column:
+    """``12.3%``; NULL -> ``N/A``; ``text`` as in :func:`fmt_currency`."""
+    if text:
+        return _text_passes(c, fmt_percent)
     return F.when(c.isNull() | F.isnan(c), F.lit("N/A")).otherwise(
         F.concat(F.regexp_replace(F.format_number(c * F.lit(100.0), 1), ",", ""), F.lit("%"))
     )

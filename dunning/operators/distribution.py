@@ -7,60 +7,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dunning.operators.running import running_total
-from dunning.session import materialize
 
 
-def box_summary(df: DataFrame, value: str, by: list[str] | None = None, approx: bool = False) -> DataFrame:
+def box_summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """min, q1, median, q3, max, 1.5*IQR fences and outlier count per group.
 
-    Exact quartiles use ``percentile`` (linear interpolation), whose buffer is
-    a value->count map: cheap for small-domain integers such as days past due.
-    ``approx=True`` switches to ``percentile_approx`` for wide domains.
+    One pass over the rows: they are counted by (group, value), with partial
+    counts before the shuffle, and all statistics come from the counts.  That
+    suits values with few different ones, such as days past due; a group's
+    buffer holds one entry for each of its different values.  Quartiles
+    interpolate linearly.
     """
     by = by or []
-    v = F.col(value)
-    rows = df.where(v.isNotNull())
-    qs = (
-        F.percentile_approx(v.cast("double"), [0.25, 0.5, 0.75], 10000)
-        if approx
-        else F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    )
-    stats = rows.groupBy(*by).agg(
+    v = F.col("_v")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    stats = counts.groupBy(*by).agg(
         F.min(v).cast("double").alias("min_value"),
-        qs.alias("_q"),
+        F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"),
         F.max(v).cast("double").alias("max_value"),
-        F.count(v).alias("n"),
-    )
-    stats = stats.select(
-        *by,
-        "min_value",
-        F.col("_q")[0].alias("q1"),
-        F.col("_q")[1].alias("median"),
-        F.col("_q")[2].alias("q3"),
-        "max_value",
-        "n",
+        F.sum("_n").alias("n"),
+        F.collect_list(F.struct("_v", "_n")).alias("_counts"),
     )
     iqr = F.col("q3") - F.col("q1")
-    stats = stats.withColumn("lower_fence", F.col("q1") - F.lit(1.5) * iqr).withColumn(
-        "upper_fence", F.col("q3") + F.lit(1.5) * iqr
+    outside = lambda x: (x["_v"] < F.col("lower_fence")) | (x["_v"] > F.col("upper_fence"))
+    outliers = F.aggregate(F.filter("_counts", outside), F.lit(0).cast("long"), lambda total, x: total + x["_n"])
+    out = (
+        stats.select("*", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+        .withColumn("lower_fence", F.col("q1") - F.lit(1.5) * iqr)
+        .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * iqr)
+        .withColumn("outliers", outliers)
     )
-    # at most one row per group (fixed label sets here): written once, so the
-    # percentile aggregation runs once although fences and output both use it
-    stats = materialize(stats)
-    if by:
-        # one row per group of a fixed label set: broadcast is bounded
-        fences = F.broadcast(stats.select(*by, "lower_fence", "upper_fence"))
-        outliers = (
-            rows.join(fences, by)
-            .groupBy(*by)
-            .agg(F.count(F.when((v < F.col("lower_fence")) | (v > F.col("upper_fence")), 1)).alias("outliers"))
-        )
-        return stats.join(outliers, by)
-    # both fences come from one struct scalar over the written row
-    f = stats.select(F.struct("lower_fence", "upper_fence")).scalar()
-    lo, hi = f.getField("lower_fence"), f.getField("upper_fence")
-    outliers = rows.agg(F.count(F.when((v < lo) | (v > hi), 1)).alias("outliers"))
-    return stats.withColumn("outliers", outliers.select("outliers").scalar())
+    columns = [*by, "min_value", "q1", "median", "q3", "max_value", "n", "lower_fence", "upper_fence", "outliers"]
+    return out.where("n is not null").select(*columns)
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:

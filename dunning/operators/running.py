@@ -11,8 +11,8 @@ plans ``Exchange SinglePartition``: every row goes through one task.  Instead:
    order.
 2. ``sortWithinPartitions`` + one Arrow pass per partition computes the local
    prefix sums (vectorised ``cumulative_sum``; the carry crosses batches).
-3. The result is checkpointed to the shared checkpoint folder: partition
-   labels are then fixed, and a lost executor cannot re-derive them
+3. The result is written to the shared folder: partition labels are then
+   fixed, and a lost executor cannot re-derive them
    differently.
 4. Per-partition totals (one row per partition, so bounded by the partition
    count) get an exclusive prefix and are broadcast back by partition label.
@@ -27,34 +27,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from dunning.session import ensure_checkpoint_dir, materialize
+from dunning.session import materialize
 
 _PART, _CUM, _POS, _VAL = "_rt_part", "_rt_cum", "_rt_pos", "_rt_val"
 
 
-def _prefix_sums(batches):
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    carry, seen = 0, 0
-    for batch in batches:
-        n = batch.num_rows
-        vals = pc.fill_null(batch.column(_VAL), 0)
-        # checked arithmetic: an int64 overflow raises instead of wrapping
-        cum = pc.add_checked(pc.cumulative_sum_checked(vals), pa.scalar(carry, pa.int64())) if n else pa.array([], pa.int64())
-        pos = pa.array(np.arange(seen + 1, seen + n + 1, dtype=np.int64))
-        if n:
-            carry = cum[-1].as_py()
-        seen += n
-        yield pa.RecordBatch.from_arrays(
-            list(batch.columns) + [pa.array(np.full(n, part, dtype=np.int32)), cum, pos],
-            names=list(batch.schema.names) + [_PART, _CUM, _POS],
-        )
-
-
 def running_total(
     df: DataFrame,
     order: list[Column],
@@ -65,7 +42,31 @@ def running_total(
 ) -> DataFrame:
     """Add ``out`` = inclusive running sum of the integer ``value`` in ``order``
     (which must be a total order), and optionally the 1-based ``position``."""
-    ensure_checkpoint_dir(df.sparkSession)
+    # defined here so that it travels to the workers by value: they need not have this package
+    names = (_VAL, _PART, _CUM, _POS)
+
+    def prefix_sums(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        carry, seen = 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            vals = pc.fill_null(batch.column(names[0]), 0)
+            # checked arithmetic: an int64 overflow raises instead of wrapping
+            cum = pc.add_checked(pc.cumulative_sum_checked(vals), pa.scalar(carry, pa.int64())) if n else pa.array([], pa.int64())
+            pos = pa.array(np.arange(seen + 1, seen + n + 1, dtype=np.int64))
+            if n:
+                carry = cum[-1].as_py()
+            seen += n
+            yield pa.RecordBatch.from_arrays(
+                list(batch.columns) + [pa.array(np.full(n, part, dtype=np.int32)), cum, pos],
+                names=list(batch.schema.names) + list(names[1:]),
+            )
+
     staged = df.withColumn(_VAL, value.cast("long"))
     if num_partitions:
         ranged = staged.repartitionByRange(num_partitions, *order)
@@ -80,7 +81,7 @@ def running_total(
             StructField(_POS, LongType(), False),
         ]
     )
-    local = materialize(ranged.mapInArrow(_prefix_sums, schema))
+    local = materialize(ranged.mapInArrow(prefix_sums, schema))
     totals = local.groupBy(_PART).agg(
         F.coalesce(F.sum(_VAL), F.lit(0)).alias("_rt_tot"), F.count(F.lit(1)).alias("_rt_cnt")
     )

@@ -7,41 +7,28 @@ parameter so results are reproducible.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
-
-# Fixed values used by the oracle fixtures (FIXTURES.md).
-DEFAULT_AS_OF = dt.date(2001, 8, 2)
-DEFAULT_WEEK_START = dt.date(2001, 7, 30)
-DEFAULT_FUTURE_WEEK_START = dt.date(2001, 8, 6)
-DEFAULT_WEEKLY_GOAL = 1_400_000.0
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
 class ReportParams:
-    as_of: dt.date = DEFAULT_AS_OF
-    week_start: dt.date = DEFAULT_WEEK_START
-    weekly_goal: float = DEFAULT_WEEKLY_GOAL
+    """``as_of`` (the reporting day) and ``week_start`` (the Monday of the plan
+    week) have no default.  Filters that are None keep every row."""
+
+    as_of: dt.date
+    week_start: dt.date
+    weekly_goal: float = 1_400_000.0
     include_overdue: bool = True
-    score_mode: str = "rules"
+    # the trained model, or the rules where it cannot be trained
+    score_mode: str = "auto"
     # report filters (P6) and limit filters
-    filter_start: dt.date = dt.date(2001, 3, 1)
-    filter_end: dt.date = dt.date(2001, 6, 30)
-    filter_statuses: tuple = field(
-        default=(
-            "Early Warning (31-60 days)",
-            "Moderate Delinquency (61-90 days)",
-            "High Delinquency (91-120 days)",
-        )
-    )
-    limit_segments: tuple = field(default=("Low (0-30%)", "Extreme (80-100%)"))
-    limit_low: float = 2_000.0
-    limit_high: float = 400_000.0
+    filter_start: dt.date | None = None
+    filter_end: dt.date | None = None
+    filter_statuses: tuple[str, ...] | None = None
+    limit_segments: tuple[str, ...] | None = None
+    limit_low: float | None = None
+    limit_high: float | None = None
 
     @property
     def week_end(self) -> dt.date:
         return self.week_start + dt.timedelta(days=6)
-
-    def for_week(self, week_start: dt.date) -> "ReportParams":
-        from dataclasses import replace
-
-        return replace(self, week_start=week_start)

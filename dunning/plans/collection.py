@@ -176,7 +176,9 @@ def monthly_kpis(pay_filled: DataFrame, week_start: dt.date, goal: float) -> Dat
     """Collected in the calendar month of the week's start against 4 x goal."""
     d = F.col("payment_date")
     monthly_goal = goal * 4
-    one = pay_filled.where((F.month(d) == week_start.month) & (F.year(d) == week_start.year)).agg(
+    first = week_start.replace(day=1)
+    last = (first + dt.timedelta(days=31)).replace(day=1) - dt.timedelta(days=1)
+    one = pay_filled.where(d.between(F.lit(first), F.lit(last))).agg(
         money_total(F.col("paid_amount")).alias("collected")
     )
     ratio = F.col("collected") / F.lit(monthly_goal) if monthly_goal > 0 else F.lit(0.0)
@@ -189,5 +191,6 @@ def payments_outside_plan(plan: DataFrame, pay_filled: DataFrame, st: DataFrame,
     paid = week_payments(pay_filled, week_start).join(plan.select(KEY), KEY, "left_anti")
     if is_future(week_start, as_of):
         paid = paid.where(F.lit(False))
-    facts = st.select(KEY, "customer_name", "default_probability").distinct()
+    # only the statement rows of these customers are made distinct and shuffled
+    facts = st.select(KEY, "customer_name", "default_probability").join(paid.select(KEY), KEY, "left_semi").distinct()
     return paid.join(facts, KEY, "left").select(KEY, F.col("week_paid").alias("paid"), "customer_name", "default_probability")

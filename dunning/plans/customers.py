@@ -63,7 +63,7 @@ def customer_profiles(st: DataFrame, pay: DataFrame) -> DataFrame:
         "invoice_count",
         "total_balance",
         "avg_days",
-        F.when(has, pct).alias("delinquency_pct"),
+        F.when(has, pct).alias("overdue_pct"),
         "avg_probability",
         (F.col("_avg_initial") * F.lit(0.8)).alias("recommended_limit"),
     )
@@ -123,14 +123,14 @@ def payment_timeline(pay_filled: DataFrame) -> DataFrame:
 
 
 def customer_modal_status(st: DataFrame) -> DataFrame:
-    s = F.col("delinquency_status")
+    s = F.col("aging_status")
     return modal_by_rank(_keyed(st), [KEY], s, C.status_rank(s), "modal_status")
 
 
 def customer_rollup(st: DataFrame) -> DataFrame:
     """First name, mean days, balance, mean probability, modal status --
     one aggregation, the mode taken over the five known status labels."""
-    s = F.col("delinquency_status")
+    s = F.col("aging_status")
     agg = _keyed(st).groupBy(KEY).agg(
         any_name(F.col("customer_name")).alias("customer_name"),
         F.avg("days_past_due").alias("avg_days"),

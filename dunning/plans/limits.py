@@ -10,7 +10,6 @@ into the reference's neutral 0.5 instead).
 from __future__ import annotations
 
 import datetime as dt
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from dunning.functions import classify as C
 from dunning.functions import labels as L
 from dunning.functions import text as T
-from dunning.functions.money import fixed_point, money_total, prob_mean, WIDE_INT
+from dunning.functions.money import WIDE_INT, fixed_point, money_total, prob_mean, spread_and_centre
 from dunning.operators.distribution import histogram
 from dunning.operators.modal import label_counts, modal_label
 from dunning.plans.customers import payment_history
@@ -28,21 +27,6 @@ KEYS = ["customer_code", "customer_name"]
 SPREAD_SCALE = 4  # fixed-point digits for the global spread of average payments
 
 
-def spread_and_centre(n, s1, s2, scale: int):
-    """Sample std and mean from exact integer power sums of a fixed-point
-    image: ``n*S2 - S1^2`` is exact in Python integers, and the remaining
-    IEEE steps (int->double, divide, sqrt, divide) are those of the SQL
-    oracle, so the doubles are bit-identical.  ``None`` when undefined."""
-    if not n:
-        return None, None
-    n, s1, s2 = int(n), int(s1), int(s2)
-    centre = float(s1) / float(n) / float(10**scale)
-    if n < 2:
-        return None, centre
-    var = float(n * s2 - s1 * s1) / float(n * (n - 1))
-    return math.sqrt(max(var, 0.0)) / float(10**scale), centre
-
-
 def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
     """pandas ``clip``: bounds applied, missing stays missing."""
     y = x
@@ -87,7 +71,7 @@ def explanation(c: dict[str, Column]) -> Column:
     return F.concat(
         F.lit("Customer classified as "),
         _segment_words(c["segment"]),
-        F.lit(". Based on: Delinquency risk of "),
+        F.lit(L.EXPLANATION_RISK),
         T.percent_or_nan(c["p"]),
         F.lit(", "),
         history,
@@ -101,11 +85,14 @@ def explanation(c: dict[str, Column]) -> Column:
     )
 
 
+#: What the explanation is made of; kept beside the limits, dropped from results.
+_FACTS = ["avg_paid", "avg_days", "days_since_last_payment", "weight"]
+
 LIMIT_COLUMNS = [
     "customer_code",
     "customer_name",
     "risk_segment",
-    "delinquency_status",
+    "aging_status",
     "avg_probability",
     "balance",
     "total_paid",
@@ -116,9 +103,33 @@ LIMIT_COLUMNS = [
 ]
 
 
+def with_explanation(numbers: DataFrame) -> DataFrame:
+    """The limits with their explanation sentence, largest limit first."""
+    text = explanation(
+        {
+            "n": F.col("payment_count"),
+            "avg_paid": F.col("avg_paid"),
+            "days_since": F.col("days_since_last_payment"),
+            "status": F.col("aging_status"),
+            "avg_days": F.col("avg_days"),
+            "weight": F.col("weight"),
+            "segment": F.col("risk_segment"),
+            "p": F.col("avg_probability"),
+        }
+    )
+    return (
+        numbers.withColumn("explanation", text).select(*LIMIT_COLUMNS).orderBy(F.desc_nulls_last("credit_limit"), "customer_code")
+    )
+
+
 def credit_limits(st: DataFrame, pay_filled: DataFrame, as_of: dt.date, fill_missing: bool = False) -> DataFrame:
+    return with_explanation(limit_numbers(st, pay_filled, as_of, fill_missing))
+
+
+def limit_numbers(st: DataFrame, pay_filled: DataFrame, as_of: dt.date, fill_missing: bool = False) -> DataFrame:
+    """The limits without text, for the summaries that need none."""
     keyed = st.where(F.col("customer_code").isNotNull() & F.col("customer_name").isNotNull())
-    seg, status = F.col("risk_segment"), F.col("delinquency_status")
+    seg, status = F.col("risk_segment"), F.col("aging_status")
     # one aggregation: metrics and both modal labels (known label sets)
     base = keyed.groupBy(*KEYS).agg(
         money_total(F.col("balance")).alias("balance"),
@@ -133,7 +144,7 @@ def credit_limits(st: DataFrame, pay_filled: DataFrame, as_of: dt.date, fill_mis
         "avg_days",
         "avg_probability",
         modal_label(L.SEGMENTS, "_sg").alias("risk_segment"),
-        modal_label(L.STATUSES, "_st").alias("delinquency_status"),
+        modal_label(L.STATUSES, "_st").alias("aging_status"),
     )
     hist = payment_history(pay_filled, as_of).select(
         "customer_code", "total_paid", "avg_paid", "payment_count", "days_since_last_payment"
@@ -154,7 +165,7 @@ def credit_limits(st: DataFrame, pay_filled: DataFrame, as_of: dt.date, fill_mis
     spread, centre = spread_and_centre(g["n"], g["s1"], g["s2"], SPREAD_SCALE)
     max_n = F.lit(g["max_n"]).cast("long")
     max_ds = F.lit(g["max_ds"]).cast("int")
-    n, avg_paid, seg, status = F.col("payment_count"), F.col("avg_paid"), F.col("risk_segment"), F.col("delinquency_status")
+    n, avg_paid, seg, status = F.col("payment_count"), F.col("avg_paid"), F.col("risk_segment"), F.col("aging_status")
     out = j.withColumns({"_spread": F.lit(spread).cast("double"), "_centre": F.lit(centre).cast("double")})
     out = out.withColumn(
         "_h0",
@@ -192,27 +203,17 @@ def credit_limits(st: DataFrame, pay_filled: DataFrame, as_of: dt.date, fill_mis
     out = out.withColumn(
         "max_days", F.when(F.col("avg_days") > 60, (F.col("_d0") * F.lit(0.5)).cast("int")).otherwise(F.col("_d0"))
     )
-    text = explanation(
-        {
-            "n": n,
-            "avg_paid": avg_paid,
-            "days_since": F.col("days_since_last_payment"),
-            "status": status,
-            "avg_days": F.col("avg_days"),
-            "weight": F.col("weight"),
-            "segment": seg,
-            "p": F.col("avg_probability"),
-        }
-    )
-    limits = materialize(out.withColumn("explanation", text).select(*LIMIT_COLUMNS))
-    return limits.orderBy(F.desc_nulls_last("credit_limit"), "customer_code")
+    return out.select(*[c for c in LIMIT_COLUMNS if c != "explanation"], *_FACTS)
 
 
-def filter_limits(limits: DataFrame, segments, lo: float, hi: float) -> DataFrame:
-    """Segment in the set and limit in [lo, hi]; missing limits drop out."""
-    return limits.where(F.col("risk_segment").isin(list(segments))).where(
-        F.col("credit_limit").between(F.lit(lo), F.lit(hi))
-    )
+def filter_limits(limits: DataFrame, segments=None, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """Segment in the set and limit in [lo, hi]; what is None filters nothing.
+    Missing limits drop out of a range."""
+    if segments is not None:
+        limits = limits.where(F.col("risk_segment").isin(list(segments)))
+    if lo is not None:
+        limits = limits.where(F.col("credit_limit") >= F.lit(lo))
+    return limits if hi is None else limits.where(F.col("credit_limit") <= F.lit(hi))
 
 
 def limits_domain(limits: DataFrame) -> DataFrame:

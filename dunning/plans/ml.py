@@ -20,12 +20,15 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from dunning.functions import classify as C
 from dunning.functions.dims import literal_frame
-from dunning.functions.money import WIDE_INT, fixed_mean, fixed_point, population_std
+from dunning.functions.money import WIDE_INT, fixed_point, spread_and_centre
 from dunning.operators.distribution import exact_medians
 from dunning.session import materialize
 
 FEATURES = ["days_past_due", "initial_amount", "balance"]
 SEVERE_DAYS = 60
+#: More than the different values of days past due in a few years, so that the
+#: trees can split between any two of them.
+MAX_BINS = 1024
 
 
 def training_frame(st: DataFrame) -> DataFrame:
@@ -45,19 +48,24 @@ def in_training_split(key: str = "document_no", train_pct: int = 80) -> F.Column
 
 
 def has_two_classes(st: DataFrame) -> bool:
-    """The one driver-side check: is there anything for a classifier to learn?"""
-    n = training_frame(st).agg(F.count_distinct("label")).first()[0]
+    """The one driver-side check: do the rows that the model would learn from
+    have both classes?"""
+    n = training_frame(st).where(in_training_split()).agg(F.count_distinct("label")).first()[0]
     return n >= 2
 
 
 def fit_risk_model(st: DataFrame, seed: int = 42, num_trees: int = 150, max_depth: int = 5) -> PipelineModel:
+    """A missing document number hashes like any other value, so every row is
+    on one side of the split."""
+    if not has_two_classes(st):
+        raise ValueError("the training rows have one class only: score by the rules (mode 'rules' or 'auto')")
     train = training_frame(st).where(in_training_split()).withColumn("label", F.col("label").cast("double"))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(
         numTrees=num_trees,
         maxDepth=max_depth,
         seed=seed,
-        maxBins=256,
+        maxBins=MAX_BINS,
         featureSubsetStrategy="1",
         labelCol="label",
         featuresCol="features",
@@ -67,12 +75,15 @@ def fit_risk_model(st: DataFrame, seed: int = 42, num_trees: int = 150, max_dept
 
 def score_model(st: DataFrame, model: PipelineModel) -> DataFrame:
     """P(label = 1) for *every* row, and the model path's segmentation
-    (exactly 0 belongs to the lowest bin)."""
-    feats = training_frame(st).select("document_no", *FEATURES)
-    scored = model.transform(feats).select(
-        "document_no", vector_to_array("probability")[1].alias("default_probability")
+    (exactly 0 belongs to the lowest bin).  Row by row, without key or join:
+    the row itself rides along as a struct beside the features."""
+    columns = [c for c in st.columns if c not in ("default_probability", "risk_segment")]
+    filled = st.select(
+        F.struct(*columns).alias("_row"),
+        F.coalesce(F.col("days_past_due"), F.lit(0)).alias("days_past_due"),
+        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("initial_amount", "balance")],
     )
-    out = st.drop("default_probability", "risk_segment").join(scored, "document_no", "left")
+    out = model.transform(filled).select("_row.*", vector_to_array("probability")[1].alias("default_probability"))
     return out.withColumn("risk_segment", C.risk_segment(F.col("default_probability"), include_lowest=True))
 
 
@@ -116,16 +127,12 @@ def standardize(df: DataFrame, cols, scales: dict[str, int]) -> DataFrame:
     fields = []
     for c in cols:
         u = fixed_point(F.col(c), scales[c])
-        fields += [F.count(c).alias(f"{c}_n"), F.sum(u).cast(WIDE_INT).alias(f"{c}_s1"), F.sum(u * u).cast(WIDE_INT).alias(f"{c}_s2")]
-    # every column's power sums in one struct-valued scalar subquery
-    g = df.agg(F.struct(*fields).alias("g")).scalar()
+        fields += [F.count(u).alias(f"{c}_n"), F.sum(u).cast(WIDE_INT).alias(f"{c}_s1"), F.sum(u * u).cast(WIDE_INT).alias(f"{c}_s2")]
+    g = df.agg(*fields).first()  # one row of integers
     out = {}
     for c in cols:
-        n, s1, s2 = g.getField(f"{c}_n"), g.getField(f"{c}_s1"), g.getField(f"{c}_s2")
-        mean = fixed_mean(n, s1, scales[c])
-        sd = population_std(n, s1, s2, scales[c])
-        sd1 = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
-        out[f"z_{c}"] = (F.col(c) - mean) / sd1
+        std, mean = spread_and_centre(g[f"{c}_n"], g[f"{c}_s1"], g[f"{c}_s2"], scales[c], ddof=0)
+        out[f"z_{c}"] = (F.col(c) - F.lit(mean).cast("double")) / F.lit(1.0 if std == 0 else std).cast("double")
     return df.withColumns(out)
 
 
@@ -139,9 +146,18 @@ def standardized_rollup(rollup: DataFrame) -> DataFrame:
     return z.select("customer_code", "customer_name", "z_avg_days", "z_balance", "avg_probability", "avg_days", "balance")
 
 
+def segment_points(rollup: DataFrame) -> DataFrame:
+    """What is clustered and drawn: customers with all three values, and the
+    point size of each."""
+    z = standardized_rollup(rollup).na.drop(subset=["z_avg_days", "z_balance", "avg_probability"])
+    return z.withColumn("point_size", F.col("avg_probability") * F.lit(20.0) + F.lit(5.0))
+
+
 def segment_customers(rollup: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    """K-means on (z days, z balance, probability); needs >= k customers."""
-    z = materialize(standardized_rollup(rollup).na.drop(subset=["z_avg_days", "z_balance", "avg_probability"]))
+    """K-means on (z days, z balance, probability); needs >= k customers.  The
+    points are in a fixed order of rows within files, and cluster ids follow
+    ascending mean days."""
+    z = materialize(segment_points(rollup))
     if z.limit(k).count() < k:
         raise ValueError(f"not enough customers for {k} clusters")
     vec = VectorAssembler(inputCols=["z_avg_days", "z_balance", "avg_probability"], outputCol="features").transform(z)
@@ -160,7 +176,7 @@ def segment_customers(rollup: DataFrame, k: int = 4, seed: int = 42) -> DataFram
         "avg_probability",
         "avg_days",
         "balance",
-        (F.col("avg_probability") * F.lit(20.0) + F.lit(5.0)).alias("point_size"),
+        "point_size",
     )
 
 

@@ -74,13 +74,13 @@ def payments_with_status(pay_filled: DataFrame, st: DataFrame) -> DataFrame:
     pre = stacked.groupBy("customer_code", "method").agg(
         money_sum(F.col("paid_amount")).alias("paid_dec"), F.count(F.lit(1)).alias("n")
     )
-    statuses = st.select(F.col("customer_code").alias("_sc"), "delinquency_status").distinct()
+    statuses = st.select(F.col("customer_code").alias("_sc"), "aging_status").distinct()
     return pre.join(statuses, pre["customer_code"].eqNullSafe(statuses["_sc"]), "left").select(
         "customer_code",
         "method",
         "paid_dec",
         "n",
-        F.coalesce("delinquency_status", F.lit(L.NO_DATA)).alias("delinquency_status"),
+        F.coalesce("aging_status", F.lit(L.NO_DATA)).alias("aging_status"),
     )
 
 
@@ -89,7 +89,7 @@ def payment_method_by_status(pay_filled: DataFrame, st: DataFrame) -> DataFrame:
     of the (fanned-out) grand total."""
     g = (
         payments_with_status(pay_filled, st)
-        .groupBy("method", "delinquency_status")
+        .groupBy("method", "aging_status")
         .agg(
             F.sum("paid_dec").alias("_t"),
             F.count("customer_code").alias("customers"),
@@ -101,7 +101,7 @@ def payment_method_by_status(pay_filled: DataFrame, st: DataFrame) -> DataFrame:
     total = F.col("_t").cast("double")
     return g.select(
         "method",
-        "delinquency_status",
+        "aging_status",
         total.alias("total_paid"),
         "transactions",
         "customers",

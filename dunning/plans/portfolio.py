@@ -1,4 +1,4 @@
-"""Executive summary and delinquency analysis over the classified statement
+"""Executive summary and aging analysis over the classified statement
 (A1-A3, A8-A12, A19, T1/T2, P5-P7, J7, F1/F2)."""
 
 from __future__ import annotations
@@ -15,14 +15,10 @@ from dunning.functions import text as T
 from dunning.functions.money import as_double, money, money_sum, money_total, prob_mean
 from dunning.operators.distribution import box_summary
 
-DELINQUENT_DAYS = 30  # KPI threshold (A1)
+OVERDUE_DAYS = 30  # KPI threshold (A1)
 SEVERE_DAYS = 60  # top debtors, customer %, model label
 
 
-def delinquent(st: DataFrame, min_days: int = DELINQUENT_DAYS) -> DataFrame:
-    return st.where(F.col("days_past_due") > min_days)
-
-
 def distinct_count(c, approx: bool = False):
     """Exact distinct count, or HyperLogLog++ (``approx_count_distinct``,
     about 1% error, fixed memory) when ``approx`` -- the opt-in for tables
@@ -31,21 +27,21 @@ def distinct_count(c, approx: bool = False):
 
 
 def portfolio_kpis(st: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """One row, one pass: total, delinquent (>30 d) balance and customers,
+    """One row, one pass: total, overdue (>30 d) balance and customers,
     ratio and DSO (0 when the total is not positive)."""
-    late = F.col("days_past_due") > DELINQUENT_DAYS
+    late = F.col("days_past_due") > OVERDUE_DAYS
     agg = st.agg(
         money_total(F.col("balance")).alias("total_balance"),
-        money_total(F.when(late, F.col("balance"))).alias("delinquent_balance"),
-        distinct_count(F.when(late, F.col("customer_code")), approx_distinct).alias("delinquent_customers"),
+        money_total(F.when(late, F.col("balance"))).alias("overdue_balance"),
+        distinct_count(F.when(late, F.col("customer_code")), approx_distinct).alias("overdue_customers"),
         F.coalesce(F.sum(money(F.col("balance")) * F.col("days_past_due")).cast("double"), F.lit(0.0)).alias("_wdays"),
     )
     positive = F.col("total_balance") > 0
     return agg.select(
         "total_balance",
-        "delinquent_balance",
-        "delinquent_customers",
-        F.when(positive, F.col("delinquent_balance") / F.col("total_balance")).otherwise(F.lit(0.0)).alias("delinquency_ratio"),
+        "overdue_balance",
+        "overdue_customers",
+        F.when(positive, F.col("overdue_balance") / F.col("total_balance")).otherwise(F.lit(0.0)).alias("overdue_ratio"),
         F.when(positive, F.col("_wdays") / F.col("total_balance")).otherwise(F.lit(0.0)).alias("dso_days"),
     )
 
@@ -58,8 +54,8 @@ def monthly_balance(st: DataFrame) -> DataFrame:
 
 def balance_by_status(st: DataFrame) -> DataFrame:
     return (
-        st.where(F.col("delinquency_status").isNotNull())
-        .groupBy("delinquency_status")
+        st.where(F.col("aging_status").isNotNull())
+        .groupBy("aging_status")
         .agg(money_total(F.col("balance")).alias("balance"))
     )
 
@@ -105,7 +101,7 @@ def monthly_status_matrix(st: DataFrame) -> DataFrame:
     """Month x status pivot with missing cells 0.  The five labels are known,
     so this is one aggregation with conditional sums (no distinct-values job,
     no second pivot aggregation)."""
-    s = F.col("delinquency_status")
+    s = F.col("aging_status")
     return st.groupBy(D.month_period(F.col("invoice_date")).alias("invoice_month")).agg(
         *[money_total(F.when(s == label, F.col("balance"))).alias(name) for name, label in STATUS_COLUMNS]
     )
@@ -156,11 +152,14 @@ def days_box(st: DataFrame, by: str | None = None) -> DataFrame:
     return box_summary(st, "days_past_due", [by] if by else None)
 
 
-def filter_statement(st: DataFrame, start: dt.date, end: dt.date, statuses) -> DataFrame:
-    """Report filter: invoice date in [start, end] and status in the set."""
-    return st.where(F.col("invoice_date").between(F.lit(start), F.lit(end))).where(
-        F.col("delinquency_status").isin(list(statuses))
-    )
+def filter_statement(st: DataFrame, start: dt.date | None = None, end: dt.date | None = None, statuses=None) -> DataFrame:
+    """Report filter: invoice date in [start, end] and status in the set; what
+    is None filters nothing."""
+    if start is not None:
+        st = st.where(F.col("invoice_date") >= F.lit(start))
+    if end is not None:
+        st = st.where(F.col("invoice_date") <= F.lit(end))
+    return st if statuses is None else st.where(F.col("aging_status").isin(list(statuses)))
 
 
 def filter_domain(st: DataFrame) -> DataFrame:
@@ -169,7 +168,7 @@ def filter_domain(st: DataFrame) -> DataFrame:
     return st.agg(
         F.min("invoice_date").alias("min_invoice_date"),
         F.max("invoice_date").alias("max_invoice_date"),
-        F.array_join(F.array_sort(F.collect_set("delinquency_status")), "|").alias("statuses"),
+        F.array_join(F.array_sort(F.collect_set("aging_status")), "|").alias("statuses"),
     )
 
 
@@ -190,3 +189,14 @@ def formatted_amounts(st: DataFrame) -> DataFrame:
         T.fmt_currency(F.col("initial_amount")).alias("initial_text"),
         T.fmt_percent(F.col("default_probability")).alias("probability_text"),
     )
+
+
+def formatted_percents(st: DataFrame) -> DataFrame:
+    """Display texts of numbers, and of text cells that may hold none."""
+    cell = F.when(F.col("days_past_due") > OVERDUE_DAYS, F.col("aging_status")).otherwise(F.col("default_probability").cast("string"))
+    return st.select(
+        "document_no",
+        T.fmt_percent(F.col("default_probability")).alias("probability_text"),
+        T.fmt_percent(cell, text=True).alias("cell_percent"),
+        T.fmt_currency(cell, text=True).alias("cell_currency"),
+    )

@@ -21,8 +21,8 @@ def classify(st: DataFrame, as_of: dt.date) -> DataFrame:
     """Days past due (unless given), aging class, and the five aging buckets."""
     if "days_past_due" not in st.columns:
         st = st.withColumn("days_past_due", C.days_past_due(F.col("due_date"), as_of))
-    st = st.withColumn("delinquency_status", C.delinquency_status(F.col("days_past_due")))
-    buckets = {k: v for k, v in C.aging_columns(F.col("delinquency_status"), F.col("balance")).items() if k not in st.columns}
+    st = st.withColumn("aging_status", C.aging_status(F.col("days_past_due")))
+    buckets = {k: v for k, v in C.aging_columns(F.col("aging_status"), F.col("balance")).items() if k not in st.columns}
     return st.withColumns(buckets)
 
 
@@ -32,8 +32,8 @@ def score_rules(st: DataFrame) -> DataFrame:
     return st.withColumn("risk_segment", C.risk_segment(F.col("default_probability"), include_lowest=False))
 
 
-def score(st: DataFrame, mode: str = "rules", seed: int = 42) -> DataFrame:
-    """``rules`` | ``model`` | ``auto`` (model unless the label has one class)."""
+def score(st: DataFrame, mode: str = "auto", seed: int = 42) -> DataFrame:
+    """``rules`` | ``model`` | ``auto`` (model unless its training rows have one class)."""
     if mode == "rules":
         return score_rules(st)
     from dunning.plans import ml
@@ -44,7 +44,7 @@ def score(st: DataFrame, mode: str = "rules", seed: int = 42) -> DataFrame:
     return ml.score_model(st, model)
 
 
-def prepare_statement(st: DataFrame, as_of: dt.date, mode: str = "rules") -> DataFrame:
+def prepare_statement(st: DataFrame, as_of: dt.date, mode: str = "auto") -> DataFrame:
     return score(classify(st, as_of), mode)
 
 

@@ -1,10 +1,12 @@
 """All report areas over one pair of tables in one run.
 
 The reference computes its eight areas in a single pass over two in-memory
-tables.  ``ReceivablesRun`` is the Spark counterpart: the prepared statement
-and the payments are written once to the shared folder, the weekly plan and
-the credit limits are computed once and reused by the reports built on them,
-and ``reports()`` returns every data set as a lazy DataFrame.
+tables.  ``ReceivablesRun`` is the Spark counterpart: the scored statement is
+written once as Parquet in the shared folder (so that each report reads only
+its columns), the weekly plan and the credit limits are computed once and
+reused by the reports built on them, and ``reports()`` returns every data set
+as a lazy DataFrame.  The payments are read where they are.  ``close()``
+removes what the run has written.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from dunning.params import ReportParams
 from dunning.plans import collection as CO
@@ -22,18 +25,20 @@ from dunning.plans import payments as PM
 from dunning.plans import portfolio as PO
 from dunning.plans import scenarios as SC
 from dunning.plans.prepare import fill_payments, prepare_statement
-from dunning.session import materialize
+from dunning.session import materialize, remove, written
 from dunning.sources import sinks
 
 
 class ReceivablesRun:
-    def __init__(self, statement: DataFrame, payments: DataFrame, params: ReportParams = ReportParams()):
+    def __init__(self, statement: DataFrame, payments: DataFrame, params: ReportParams):
         """``statement`` / ``payments`` are typed tables (e.g. from
         ``ingest.load_receivables``); the statement is classified and scored
         here."""
         self.params = params
+        self.spark = statement.sparkSession
+        self._before = set(written(self.spark))
         self.statement = materialize(prepare_statement(statement, params.as_of, params.score_mode))
-        self.payments = materialize(payments)
+        self.payments = payments
         self.payments_filled = fill_payments(self.payments)
 
     @cached_property
@@ -45,7 +50,7 @@ class ReceivablesRun:
 
     @cached_property
     def limits(self) -> DataFrame:
-        return LI.credit_limits(self.statement, self.payments_filled, self.params.as_of)
+        return materialize(LI.limit_numbers(self.statement, self.payments_filled, self.params.as_of))
 
     @cached_property
     def filtered_limits(self) -> DataFrame:
@@ -73,13 +78,13 @@ class ReceivablesRun:
             "top_customers": PO.top_customers(st, 10),
             "days_box_overall": PO.days_box(st),
             "payment_method_by_status": PM.payment_method_by_status(pf, st),
-            # delinquency analysis
+            # aging analysis
             "aging_totals": PO.aging_totals(st),
-            "top_delinquent": PO.top_customers(st, 10, min_days=PO.SEVERE_DAYS),
+            "top_overdue": PO.top_customers(st, 10, min_days=PO.SEVERE_DAYS),
             "balance_by_due_weekday": PO.balance_by_due_weekday(st),
             "balance_by_due_month": PO.balance_by_due_month(st),
             "pareto": CN.pareto(st),
-            "days_box_by_status": PO.days_box(st, "delinquency_status"),
+            "days_box_by_status": PO.days_box(st, "aging_status"),
             "monthly_status_matrix": PO.monthly_status_matrix(st),
             # risk prediction
             "risk_profiles": PO.risk_profiles(st),
@@ -96,13 +101,14 @@ class ReceivablesRun:
             # simulator
             "scenario_band": SC.scenario_band(SC.score_scenarios(st, pf)),
             # collection goals
+            "week_calendar": CO.week_calendar(self.spark.range(1).select(F.lit(p.as_of).alias("as_of"))),
             "collection_plan": self.plan,
             "plan_compliance": CO.plan_compliance(self.plan, pf, p.week_start, p.as_of),
             "weekly_kpis": CO.weekly_kpis(self.plan, pf, p.week_start, p.weekly_goal, p.as_of),
             "monthly_kpis": CO.monthly_kpis(pf, p.week_start, p.weekly_goal),
             "payments_outside_plan": CO.payments_outside_plan(self.plan, pf, st, p.week_start, p.as_of),
             # credit limits
-            "credit_limits": self.limits,
+            "credit_limits": LI.with_explanation(self.limits),
             "limits_summary": LI.limits_summary(self.filtered_limits),
             "limit_histogram": LI.limit_histogram(self.filtered_limits),
             "limit_points": LI.limit_points(self.filtered_limits),
@@ -119,9 +125,12 @@ class ReceivablesRun:
         filtered limits."""
         stem = sinks.plan_file_stem(CO.week_label(self.params.week_start))
         out = {
-            "delinquency_report": self.statement,
+            "statement_report": self.statement,
             stem: self.plan,
-            "customer_credit_limits": self.filtered_limits,
+            "customer_credit_limits": LI.with_explanation(self.filtered_limits),
         }
         return {name: sinks.write_csv(df, f"{folder.rstrip('/')}/{name}") for name, df in out.items()}
 
+    def close(self) -> None:
+        """Remove the tables that this run wrote; its reports end with them."""
+        remove(self.spark, [p for p in written(self.spark) if p not in self._before])

@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from dunning.functions import labels as L
 from dunning.functions.dims import literal_frame
-from dunning.functions.money import fixed_point, money_mean, prob_mean, sample_std, WIDE_INT
+from dunning.functions.money import WIDE_INT, fixed_point, money_mean, money_total, prob_mean, sample_std
 from dunning.operators.modal import any_name
 
 KEY = "customer_code"
@@ -84,6 +84,8 @@ def customer_risk_inputs(st: DataFrame, pay_filled: DataFrame) -> DataFrame:
         .agg(
             any_name(F.col("customer_name")).alias("_sn"),
             prob_mean(F.col("default_probability")).alias("_risk"),
+            money_total(F.col("balance")).alias("_balance"),
+            F.avg("days_past_due").alias("_days"),
             money_mean(F.col("initial_amount")).alias("_avg_initial"),
             F.lit(True).alias("in_statement"),
         )
@@ -141,6 +143,8 @@ def customer_risk_inputs(st: DataFrame, pay_filled: DataFrame) -> DataFrame:
         F.col("in_statement").alias("has_invoices"),
         F.col("in_payments").alias("has_payments"),
         "base_amount",
+        F.when(has_inv, F.col("_balance")).otherwise(F.lit(0.0)).alias("current_balance"),
+        F.when(has_inv, F.col("_days")).otherwise(F.lit(0.0)).alias("current_days"),
         current.alias("current_risk"),
         history.alias("history_score"),
         _type_name(type_index).alias("derived_type"),

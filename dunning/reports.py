@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dunning.functions import classify as CL
-from dunning.params import DEFAULT_FUTURE_WEEK_START, ReportParams
+from dunning.params import ReportParams
 from dunning.plans import collection as CO
 from dunning.plans import concentration as CN
 from dunning.plans import customers as CU
@@ -26,7 +26,7 @@ from dunning.sources import ingest as IN
 from dunning.sources import sinks as SK
 from dunning.sources import tpch_fixture as fx
 
-PARAMS = ReportParams()
+PARAMS = fx.PARAMS
 REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -66,7 +66,7 @@ def report(name: str):
     return deco
 
 
-# --- executive summary / delinquency analysis -------------------------------
+# --- executive summary / aging analysis -------------------------------
 
 
 @report("portfolio_kpis")
@@ -114,8 +114,8 @@ def _top_customers(i: Inputs):
     return P.top_customers(i.statement, 10)
 
 
-@report("top_delinquent")
-def _top_delinquent(i: Inputs):
+@report("top_overdue")
+def _top_overdue(i: Inputs):
     return P.top_customers(i.statement, 10, min_days=P.SEVERE_DAYS)
 
 
@@ -126,7 +126,7 @@ def _box_all(i: Inputs):
 
 @report("days_box_by_status")
 def _box_status(i: Inputs):
-    return P.days_box(i.statement, "delinquency_status")
+    return P.days_box(i.statement, "aging_status")
 
 
 @report("days_box_by_segment")
@@ -136,7 +136,7 @@ def _box_segment(i: Inputs):
 
 @report("filtered_statement")
 def _filtered(i: Inputs):
-    p = i.params
+    p = fx.FILTERED
     return P.filter_statement(i.statement, p.filter_start, p.filter_end, p.filter_statuses)
 
 
@@ -155,6 +155,11 @@ def _fmt(i: Inputs):
     return P.formatted_amounts(i.statement)
 
 
+@report("fmt_percent")
+def _fmt_percent(i: Inputs):
+    return P.formatted_percents(i.statement)
+
+
 # --- payment methods ---------------------------------------------------------
 
 
@@ -286,7 +291,7 @@ def _compliance(i: Inputs):
 @report("plan_compliance_future")
 def _compliance_future(i: Inputs):
     p = i.params
-    return CO.plan_compliance(_plan(i, DEFAULT_FUTURE_WEEK_START), i.payments_filled, DEFAULT_FUTURE_WEEK_START, p.as_of)
+    return CO.plan_compliance(_plan(i, fx.FUTURE_WEEK_START), i.payments_filled, fx.FUTURE_WEEK_START, p.as_of)
 
 
 @report("weekly_kpis")
@@ -311,27 +316,23 @@ def _outside(i: Inputs):
 
 
 def _limits(i: Inputs):
-    return LI.credit_limits(i.statement, i.payments_filled, i.params.as_of)
-
-
-def _filtered_limits(i: Inputs):
-    p = i.params
-    return LI.filter_limits(_limits(i), p.limit_segments, p.limit_low, p.limit_high)
+    return LI.limit_numbers(i.statement, i.payments_filled, i.params.as_of)
 
 
 @report("credit_limits")
 def _credit_limits(i: Inputs):
-    return _limits(i)
+    return LI.with_explanation(_limits(i))
 
 
 @report("limit_explanation")
 def _explanation(i: Inputs):
-    return _limits(i).select("customer_code", "customer_name", "explanation")
+    return LI.with_explanation(_limits(i)).select("customer_code", "customer_name", "explanation")
 
 
 @report("limits_filtered")
 def _limits_filtered(i: Inputs):
-    return _filtered_limits(i)
+    p = fx.FILTERED
+    return LI.with_explanation(LI.filter_limits(_limits(i), p.limit_segments, p.limit_low, p.limit_high))
 
 
 @report("limits_domain")
@@ -341,17 +342,17 @@ def _limits_domain(i: Inputs):
 
 @report("limits_summary")
 def _limits_summary(i: Inputs):
-    return LI.limits_summary(_filtered_limits(i))
+    return LI.limits_summary(_limits(i))
 
 
 @report("limit_histogram")
 def _limit_histogram(i: Inputs):
-    return LI.limit_histogram(_filtered_limits(i), 20)
+    return LI.limit_histogram(_limits(i), 20)
 
 
 @report("limit_points")
 def _limit_points(i: Inputs):
-    return LI.limit_points(_filtered_limits(i))
+    return LI.limit_points(_limits(i))
 
 
 # --- what-if scenarios -------------------------------------------------------
@@ -362,6 +363,12 @@ def _scenario_risk(i: Inputs):
     return SC.score_scenarios(i.statement, i.payments_filled)
 
 
+@report("scenario_context")
+def _scenario_context(i: Inputs):
+    inputs = SC.customer_risk_inputs(i.statement, i.payments_filled)
+    return inputs.select("customer_code", "has_invoices", "current_balance", "current_days", "current_risk")
+
+
 @report("scenario_band")
 def _scenario_band(i: Inputs):
     return SC.scenario_band(SC.score_scenarios(i.statement, i.payments_filled))
@@ -375,10 +382,10 @@ def _days(i: Inputs):
     return i.statement.select("document_no", "due_date", "days_past_due")
 
 
-@report("delinquency_status")
+@report("aging_status")
 def _status(i: Inputs):
     return i.statement.select(
-        "document_no", "days_past_due", "delinquency_status", "aging_0_30", "aging_31_60", "aging_61_90", "aging_91_120", "aging_over_120"
+        "document_no", "days_past_due", "aging_status", "aging_0_30", "aging_31_60", "aging_61_90", "aging_91_120", "aging_over_120"
     )
 
 
@@ -401,7 +408,8 @@ def _risk_segment(i: Inputs):
 
 @report("score_fallback")
 def _fallback(i: Inputs):
-    st = score(classify(fx.statement(i.spark, i.sf_dir), i.params.as_of), mode="rules")
+    # early enough that no invoice is over 60 days late: one class, nothing to train on
+    st = score(classify(fx.statement(i.spark, i.sf_dir), fx.ONE_CLASS_AS_OF), mode="auto")
     return st.select("document_no", "default_probability", "risk_segment")
 
 
@@ -417,6 +425,13 @@ def _score_model(i: Inputs):
     return ML.score_model(st, model).select("document_no", "days_past_due", "default_probability", "risk_segment")
 
 
+@report("score_decision")
+def _score_decision(i: Inputs):
+    st = i.statement
+    scored = ML.score_model(st, ML.fit_risk_model(st))
+    return scored.select("document_no", (F.col("default_probability") > 0.5).alias("high_risk"))
+
+
 @report("feature_importance")
 def _importance(i: Inputs):
     return ML.feature_importance(ML.fit_risk_model(i.statement))
@@ -432,6 +447,11 @@ def _standardized(i: Inputs):
     return ML.standardized_rollup(CU.customer_rollup(i.statement))
 
 
+@report("segment_points")
+def _segment_points(i: Inputs):
+    return ML.segment_points(CU.customer_rollup(i.statement))
+
+
 @report("customer_segments")
 def _segments(i: Inputs):
     return ML.segment_customers(CU.customer_rollup(i.statement))
@@ -481,7 +501,7 @@ def _round_trip(i: Inputs, df: DataFrame, name: str) -> DataFrame:
 
 @report("export_statement")
 def _export_statement(i: Inputs):
-    return _round_trip(i, i.statement, "delinquency_report")
+    return _round_trip(i, i.statement, "statement_report")
 
 
 @report("export_plan")
@@ -492,4 +512,4 @@ def _export_plan(i: Inputs):
 
 @report("export_limits")
 def _export_limits(i: Inputs):
-    return _round_trip(i, _filtered_limits(i), "customer_credit_limits")
+    return _round_trip(i, LI.with_explanation(_limits(i)), "customer_credit_limits")

@@ -1,21 +1,17 @@
 """Session helpers: a configured local session for tests/bench, and the shared
-folder used for checkpoints and exports.
+folder used for intermediate tables and exports.
 
-On a cluster the shared folder is whatever ``spark.checkpoint.dir`` names; we
-only invent one (under the machine's temp dir) when the master is local and
-nothing is configured, i.e. in tests.
+On a cluster the shared folder is whatever ``spark.checkpoint.dir`` names.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "dunning") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "dunning", **settings: str) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -29,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config(map=settings)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -36,58 +33,48 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Root of the cluster-shared scratch area (the checkpoint dir).
+    """Root of the cluster-shared scratch area: ``spark.checkpoint.dir``.
 
-    Reads ``spark.checkpoint.dir`` (or an already-set SparkContext checkpoint
-    dir). Only a local master may fall back to a private temp folder.
+    Only a master whose tasks run in the driver's own process (``local`` or
+    ``local[...]``, not ``local-cluster``) may do without the setting.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rsplit("/", 1)[0] if _looks_like_uuid(current.rsplit("/", 1)[-1]) else current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="dunning-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        shared_dir(spark)
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared scratch area."""
-    root = shared_dir(spark)
-    return os.path.join(root, "dunning-out", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{shared_dir(spark)}/dunning-out/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _looks_like_uuid(s: str) -> bool:
-    try:
-        uuid.UUID(s)
-        return True
-    except ValueError:
-        return False
+_WRITTEN: list[tuple[str, str]] = []
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and continue from the
-    files: later scalar subqueries and re-reads scan the checkpoint instead of
-    recomputing the joins above it, and a lost executor cannot change it.
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and continue from the
+    files: later reads prune columns and push filters into them instead of
+    recomputing the joins above, and a lost executor cannot change them."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    The frame is persisted for the duration of the write, so the checkpoint
-    job reads the computed partitions instead of recomputing the last stage.
-    """
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist(blocking=False)
+
+def written(spark: SparkSession) -> list[str]:
+    """Folders that :func:`materialize` wrote in this application so far."""
+    return [path for app, path in _WRITTEN if app == spark.sparkContext.applicationId]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that :func:`materialize` wrote, once nothing reads them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _WRITTEN.remove((spark.sparkContext.applicationId, path))

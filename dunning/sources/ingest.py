@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from dunning.functions.money import in_range
+
 STATEMENT_TEXT_COLUMNS = (
     "customer_code",
     "customer_name",
@@ -54,10 +56,14 @@ STATEMENT_AMOUNTS = (
 )
 PAYMENT_AMOUNTS = ("paid_amount", "discount_amount", "total_amount", "cash", "cheque", "card", "transfer")
 
-# Plain decimal / scientific numbers, optionally signed; or +-inf(inity).
+#: Landed CSV: doubled quotes and line breaks inside quoted cells, as spreadsheets
+#: and pandas write them.  A file with ``multiLine`` is read by one task, so a
+#: large table should land as many files.
+CSV_OPTIONS = {"header": "true", "escape": '"', "multiLine": "true"}
+
+# Plain decimal / scientific numbers, optionally signed.
 # (Spark alone would also accept '1d' / '1f' suffixes, pandas does not.)
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-INFINITY_PATTERN = r"^[+-]?(inf|infinity)$"
 
 
 def text_schema(columns) -> StructType:
@@ -73,7 +79,7 @@ def read_receivables(spark: SparkSession, path: str, fmt: str = "csv", columns=N
     keeps the known columns that are present, in that order.
     """
     if fmt == "csv":
-        df = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+        df = spark.read.options(**CSV_OPTIONS, inferSchema="false", mode="PERMISSIVE").csv(path)
     else:
         df = spark.read.format(fmt).load(path)
         df = df.select([F.col(c).cast("string").alias(c) for c in df.columns])
@@ -83,8 +89,10 @@ def read_receivables(spark: SparkSession, path: str, fmt: str = "csv", columns=N
 
 
 def parse_date(c: Column, fmt: str = "yyyy-MM-dd") -> Column:
-    """Unparsable text -> NULL."""
-    return F.try_to_date(F.trim(c), fmt)
+    """A date, or the date of a date and time; unparsable text -> NULL."""
+    s = F.trim(c.cast("string"))
+    times = [F.try_to_timestamp(s, F.lit(f"{fmt}{t}")).cast("date") for t in (" HH:mm[:ss]", "'T'HH:mm[:ss]", " HH:mm:ss.SSSSSS", " HH:mm:ss.SSS")]
+    return F.coalesce(F.try_to_date(s, fmt), *times)
 
 
 def parse_dates(df: DataFrame, cols, fmt: str = "yyyy-MM-dd") -> DataFrame:
@@ -93,10 +101,17 @@ def parse_dates(df: DataFrame, cols, fmt: str = "yyyy-MM-dd") -> DataFrame:
 
 
 def clean_amount(c: Column) -> Column:
-    """Strip thousands commas and spaces, coerce to double; junk and NaN -> NULL."""
+    """Strip thousands commas and spaces, coerce to double.  Junk, NaN and what
+    is no amount (infinite, or too large to hold cents, see
+    :data:`dunning.functions.money.MOST`) -> NULL."""
     s = F.trim(F.regexp_replace(c.cast("string"), ",", ""))
-    ok = s.rlike(NUMBER_PATTERN) | F.lower(s).rlike(INFINITY_PATTERN)
-    return F.when(ok, s.try_cast("double"))
+    return in_range(F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double")))
+
+
+def clean_whole(c: Column) -> Column:
+    """A whole number, also written as 45.0; anything else -> NULL."""
+    n = clean_amount(c)
+    return F.when(n == F.floor(n), n.try_cast("int"))
 
 
 def clean_amounts(df: DataFrame, cols) -> DataFrame:
@@ -115,7 +130,7 @@ def clean_statement(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFram
     df = parse_dates(raw, ["invoice_date", "due_date"], date_format)
     df = clean_amounts(df, STATEMENT_AMOUNTS)
     if "days_past_due" in df.columns:
-        df = df.withColumn("days_past_due", F.col("days_past_due").try_cast("int"))
+        df = df.withColumn("days_past_due", clean_whole(F.col("days_past_due")))
     return df
 
 
@@ -123,7 +138,7 @@ def clean_payments(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame
     df = parse_dates(raw, ["payment_date"], date_format)
     df = clean_amounts(df, PAYMENT_AMOUNTS)
     if "line_no" in df.columns:
-        df = df.withColumn("line_no", F.col("line_no").try_cast("int"))
+        df = df.withColumn("line_no", clean_whole(F.col("line_no")))
     return df
 
 

@@ -2,32 +2,82 @@
 
 The column expressions are plain SQL accepted by both Spark and DuckDB
 (FIXTURES.md), so the oracle reuses the very same text; Spark evaluates them
-with ``selectExpr`` on top of ordinary DataFrame joins, and the date / flag
-predicates are pushed into the parquet scans.
+with ``selectExpr`` on top of ordinary DataFrame joins.  The one function the
+engines spell differently, days between two dates, is a parameter.
 
-* ``statement``: open orders (status O or P) of the last 240 days before
-  2001-08-02, one row per invoice.
-* ``payments``: returned line items (flag A) shipped in the last 120 days,
-  one row per payment line.
+* ``statement``: every open order (status O or P), one row per invoice.
+* ``payments``: every line item, one row per payment line.
+
+The source dates span years.  They are *folded* into the last 240 (invoices)
+and 215 (payments) days, so that no row is left out and all aging classes,
+weeks and months occur.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values (FIXTURES.md): window starts of the two derived tables.
-STATEMENT_FROM = "TIMESTAMP '2000-12-05 00:00:00'"
-PAYMENTS_FROM = "TIMESTAMP '2001-04-04 00:00:00'"
+from dunning.functions import labels as L
+from dunning.params import ReportParams
+
+# Fixed values (FIXTURES.md): the reporting day and weeks of the derived tables.
+AS_OF = dt.date(2001, 8, 2)
+WEEK_START = dt.date(2001, 7, 30)
+FUTURE_WEEK_START = dt.date(2001, 8, 6)
+#: A day on which no invoice of the derived statement is over 60 days late.
+ONE_CLASS_AS_OF = dt.date(2001, 2, 1)
+
+#: Deterministic reports on the derived tables score by the rules.
+PARAMS = ReportParams(as_of=AS_OF, week_start=WEEK_START, score_mode="rules")
+
+#: What the two reports that show a filter ask for.
+FILTERED = ReportParams(
+    as_of=AS_OF,
+    week_start=WEEK_START,
+    score_mode="rules",
+    filter_start=dt.date(2001, 3, 1),
+    filter_end=dt.date(2001, 6, 30),
+    filter_statuses=(L.STATUS_EARLY, L.STATUS_MODERATE, L.STATUS_HIGH),
+    limit_segments=(L.SEGMENT_LOW, L.SEGMENT_EXTREME),
+    limit_low=2_000.0,
+    limit_high=400_000.0,
+)
+
+
+def _folded(last: str, days: int, column: str, between: Callable[[str, str], str]) -> str:
+    """``column`` moved by whole multiples of ``days`` into the ``days`` up to ``last``."""
+    return f"DATE '{last}' - CAST({between(f"DATE '{last}'", f'CAST({column} AS DATE)')} % {days} AS INT)"
+
+
+def spark_days(later: str, earlier: str) -> str:
+    return f"datediff({later}, {earlier})"
+
+
+def duckdb_days(later: str, earlier: str) -> str:
+    return f"datediff('day', {earlier}, {later})"
 
-STATEMENT_COLUMNS = [
+
+def statement_columns(between: Callable[[str, str], str] = spark_days) -> list[str]:
+    date = _folded("2001-08-01", 240, "o.o_orderdate", between)
+    return [c.replace("<invoice date>", date) for c in _STATEMENT_COLUMNS]
+
+
+def payments_columns(between: Callable[[str, str], str] = spark_days) -> list[str]:
+    date = _folded("2001-11-04", 215, "l.l_shipdate", between)
+    return [c.replace("<payment date>", date) for c in _PAYMENTS_COLUMNS]
+
+
+_STATEMENT_COLUMNS = [
     "c.c_custkey AS customer_code",
     "c.c_name AS customer_name",
     "CAST(o.o_orderkey AS STRING) AS document_no",
-    "CAST(o.o_orderdate AS DATE) AS invoice_date",
-    "CASE WHEN o.o_orderkey % 53 = 0 THEN NULL ELSE CAST(o.o_orderdate AS DATE) + "
+    "<invoice date> AS invoice_date",
+    "CASE WHEN o.o_orderkey % 53 = 0 THEN NULL ELSE <invoice date> + "
     "CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 15 WHEN '2' THEN 30 WHEN '3' THEN 45 "
     "WHEN '4' THEN 60 ELSE 90 END END AS due_date",
     "o.o_totalprice AS initial_amount",
@@ -40,12 +90,12 @@ _NET_CENTS = (
     "AS DECIMAL(18,2)) * 100 AS BIGINT) AS DOUBLE)"
 )
 
-PAYMENTS_COLUMNS = [
+_PAYMENTS_COLUMNS = [
     "o.o_custkey AS customer_code",
     "c.c_name AS customer_name",
     "CAST(l.l_orderkey AS STRING) AS document_no",
     "l.l_linenumber AS line_no",
-    "CAST(l.l_shipdate AS DATE) AS payment_date",
+    "<payment date> AS payment_date",
     f"CASE WHEN l.l_orderkey % 59 = 0 THEN NULL ELSE {_NET_CENTS} / 100 END AS paid_amount",
     f"CASE WHEN l.l_linenumber IN (1, 2) THEN {_NET_CENTS} / 100 WHEN l.l_linenumber = 7 "
     f"THEN floor({_NET_CENTS} / 2) / 100 ELSE CAST(0 AS DOUBLE) END AS cash",
@@ -116,29 +166,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = (
-        _table(spark, sf_dir, "orders")
-        .where(F.col("o_orderstatus").isin("O", "P"))
-        .where(F.expr(f"o_orderdate >= {STATEMENT_FROM}"))
-        .alias("o")
-    )
+    o = _table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("O", "P")).alias("o")
     c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name").alias("c")
-    return o.join(c, F.col("o.o_custkey") == F.col("c.c_custkey")).selectExpr(*STATEMENT_COLUMNS)
+    return o.join(c, F.col("o.o_custkey") == F.col("c.c_custkey")).selectExpr(*statement_columns())
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = (
-        _table(spark, sf_dir, "lineitem")
-        .where(F.col("l_returnflag") == "A")
-        .where(F.expr(f"l_shipdate >= {PAYMENTS_FROM}"))
-        .alias("l")
-    )
+    l = _table(spark, sf_dir, "lineitem").alias("l")
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").alias("o")
     c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name").alias("c")
     return (
         l.join(o, F.col("l.l_orderkey") == F.col("o.o_orderkey"))
         .join(c, F.col("o.o_custkey") == F.col("c.c_custkey"))
-        .selectExpr(*PAYMENTS_COLUMNS)
+        .selectExpr(*payments_columns())
     )
 
 

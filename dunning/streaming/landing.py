@@ -9,6 +9,7 @@ were taken, so a rerun or a lost executor never duplicates rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from dunning.sources import ingest as IN
@@ -19,14 +20,16 @@ CLEANERS = {"statement": IN.clean_statement, "payments": IN.clean_payments}
 def landed_stream(spark: SparkSession, landing_dir: str, columns, kind: str) -> DataFrame:
     """A streaming file source needs its schema up front: landed files must
     carry exactly ``columns``, in that order (the header line is skipped)."""
-    raw = spark.readStream.option("header", True).schema(IN.text_schema(columns)).csv(landing_dir)
+    raw = spark.readStream.options(**IN.CSV_OPTIONS).schema(IN.text_schema(columns)).csv(landing_dir)
     return CLEANERS[kind](raw)
 
 
 def ingest_landed(
     spark: SparkSession, landing_dir: str, table_dir: str, checkpoint_dir: str, columns, kind: str = "statement"
 ) -> int:
-    """Append newly landed files to ``table_dir``; returns rows appended."""
+    """Append newly landed files to ``table_dir``; returns rows appended (the
+    table's rows after less before: progress reports only reach back so far)."""
+    before = _rows(spark, table_dir)
     query = (
         landed_stream(spark, landing_dir, columns, kind)
         .writeStream.format("parquet")
@@ -37,5 +40,11 @@ def ingest_landed(
         .start()
     )
     query.awaitTermination()
-    progress = query.recentProgress
-    return sum(int(p.get("numInputRows", 0)) for p in progress)
+    return _rows(spark, table_dir) - before
+
+
+def _rows(spark: SparkSession, table_dir: str) -> int:
+    try:
+        return spark.read.parquet(table_dir).count()
+    except AnalysisException:  # not there yet
+        return 0

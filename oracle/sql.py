@@ -6,10 +6,9 @@ not the operator under test).  Views ``orders``, ``customer``, ``lineitem``
 from __future__ import annotations
 
 from dunning.functions import labels as L
-from dunning.params import ReportParams
 from dunning.sources import tpch_fixture as fx
 
-P = ReportParams()
+P, FILTERED = fx.PARAMS, fx.FILTERED
 AS_OF = f"DATE '{P.as_of.isoformat()}'"
 
 
@@ -75,20 +74,20 @@ def segment_values() -> str:
 
 
 AGING = ",\n    ".join(
-    f"CASE WHEN delinquency_status = {q(label)} THEN balance ELSE CAST(0 AS DOUBLE) END AS {col}"
+    f"CASE WHEN aging_status = {q(label)} THEN balance ELSE CAST(0 AS DOUBLE) END AS {col}"
     for (col, _), label in zip(L.AGING_BUCKETS, L.STATUSES)
 )
 
 BASE = f"""
 statement_base AS (
-  SELECT {", ".join(fx.STATEMENT_COLUMNS)}
+  SELECT {", ".join(fx.statement_columns(fx.duckdb_days))}
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-  WHERE o.o_orderstatus IN ('O', 'P') AND o.o_orderdate >= {fx.STATEMENT_FROM}
+  WHERE o.o_orderstatus IN ('O', 'P')
 ),
 st_days AS (
   SELECT *, CAST(datediff('day', due_date, {AS_OF}) AS INTEGER) AS days_past_due FROM statement_base
 ),
-st_status AS (SELECT *, {status_case("days_past_due")} AS delinquency_status FROM st_days),
+st_status AS (SELECT *, {status_case("days_past_due")} AS aging_status FROM st_days),
 st_scored AS (
   SELECT *,
     {AGING},
@@ -97,9 +96,8 @@ st_scored AS (
 ),
 statement AS (SELECT *, {segment_case("default_probability")} AS risk_segment FROM st_scored),
 payments AS (
-  SELECT {", ".join(fx.PAYMENTS_COLUMNS)}
+  SELECT {", ".join(fx.payments_columns(fx.duckdb_days))}
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
-  WHERE l.l_returnflag = 'A' AND l.l_shipdate >= {fx.PAYMENTS_FROM}
 ),
 payments_filled AS (
   SELECT customer_code, customer_name, document_no, line_no, payment_date,
@@ -122,18 +120,18 @@ def oracle(name: str, body: str, *extra_ctes: str) -> None:
     ORACLE[name] = with_base(body, *extra_ctes)
 
 
-# --- executive summary / delinquency analysis -------------------------------
+# --- executive summary / aging analysis -------------------------------
 
 oracle(
     "portfolio_kpis",
     f"""
-SELECT total_balance, delinquent_balance, delinquent_customers,
-  CASE WHEN total_balance > 0 THEN delinquent_balance / total_balance ELSE CAST(0 AS DOUBLE) END AS delinquency_ratio,
+SELECT total_balance, overdue_balance, overdue_customers,
+  CASE WHEN total_balance > 0 THEN overdue_balance / total_balance ELSE CAST(0 AS DOUBLE) END AS overdue_ratio,
   CASE WHEN total_balance > 0 THEN wdays / total_balance ELSE CAST(0 AS DOUBLE) END AS dso_days
 FROM (
   SELECT {mtotal("balance")} AS total_balance,
-    {mtotal("CASE WHEN days_past_due > 30 THEN balance END")} AS delinquent_balance,
-    COUNT(DISTINCT CASE WHEN days_past_due > 30 THEN customer_code END) AS delinquent_customers,
+    {mtotal("CASE WHEN days_past_due > 30 THEN balance END")} AS overdue_balance,
+    COUNT(DISTINCT CASE WHEN days_past_due > 30 THEN customer_code END) AS overdue_customers,
     COALESCE(CAST(SUM(CAST(balance AS DECIMAL(18,2)) * days_past_due) AS DOUBLE), CAST(0 AS DOUBLE)) AS wdays
   FROM statement
 )""",
@@ -149,8 +147,8 @@ FROM statement GROUP BY 1""",
 oracle(
     "balance_by_status",
     f"""
-SELECT delinquency_status, {mtotal("balance")} AS balance
-FROM statement WHERE delinquency_status IS NOT NULL GROUP BY 1""",
+SELECT aging_status, {mtotal("balance")} AS balance
+FROM statement WHERE aging_status IS NOT NULL GROUP BY 1""",
 )
 
 oracle(
@@ -187,7 +185,7 @@ oracle(
     "monthly_status_matrix",
     "SELECT COALESCE(strftime(invoice_date, '%Y-%m'), 'NaT') AS invoice_month, "
     + ", ".join(
-        f"{mtotal(f'CASE WHEN delinquency_status = {q(lab)} THEN balance END')} AS {name}" for name, lab in _STATUS_COLS
+        f"{mtotal(f'CASE WHEN aging_status = {q(lab)} THEN balance END')} AS {name}" for name, lab in _STATUS_COLS
     )
     + " FROM statement GROUP BY 1",
 )
@@ -214,7 +212,7 @@ GROUP BY 1 ORDER BY balance DESC, customer_name ASC LIMIT 10"""
 
 
 oracle("top_customers", _top(""))
-oracle("top_delinquent", _top("AND days_past_due > 60"))
+oracle("top_overdue", _top("AND days_past_due > 60"))
 
 
 def _box(by: str | None) -> str:
@@ -239,22 +237,22 @@ FROM (
 
 
 oracle("days_box_overall", _box(None))
-oracle("days_box_by_status", _box("delinquency_status"))
+oracle("days_box_by_status", _box("aging_status"))
 oracle("days_box_by_segment", _box("risk_segment"))
 
 oracle(
     "filtered_statement",
     f"""
 SELECT * FROM statement
-WHERE invoice_date BETWEEN DATE '{P.filter_start}' AND DATE '{P.filter_end}'
-  AND delinquency_status IN ({", ".join(q(s) for s in P.filter_statuses)})""",
+WHERE invoice_date BETWEEN DATE '{FILTERED.filter_start}' AND DATE '{FILTERED.filter_end}'
+  AND aging_status IN ({", ".join(q(s) for s in FILTERED.filter_statuses)})""",
 )
 
 oracle(
     "filter_domain",
     """
 SELECT MIN(invoice_date) AS min_invoice_date, MAX(invoice_date) AS max_invoice_date,
-  array_to_string(list_sort(list_distinct(list(delinquency_status))), '|') AS statuses
+  array_to_string(list_sort(list_distinct(list(aging_status))), '|') AS statuses
 FROM statement""",
 )
 
@@ -288,6 +286,23 @@ FROM statement""",
 )
 
 
+_CELL = "CASE WHEN days_past_due > 30 THEN aging_status ELSE CAST(default_probability AS VARCHAR) END"
+
+
+def _passing(x: str, shown) -> str:
+    number = f"TRY_CAST({x} AS DOUBLE)"
+    return f"CASE WHEN {x} IS NOT NULL AND {number} IS NULL THEN {x} ELSE {shown(number)} END"
+
+
+oracle(
+    "fmt_percent",
+    f"""
+SELECT document_no, {fmt_percent_sql("default_probability")} AS probability_text,
+  {_passing("cell", fmt_percent_sql)} AS cell_percent, {_passing("cell", fmt_currency_sql)} AS cell_currency
+FROM (SELECT *, {_CELL} AS cell FROM statement)""",
+)
+
+
 # --- payment methods ---------------------------------------------------------
 
 METHODS = L.PAYMENT_METHODS
@@ -332,7 +347,7 @@ FROM payments""",
 oracle(
     "payment_method_by_status",
     """
-SELECT method, delinquency_status, CAST(t AS DOUBLE) AS total_paid, CAST(transactions AS BIGINT) AS transactions,
+SELECT method, aging_status, CAST(t AS DOUBLE) AS total_paid, CAST(transactions AS BIGINT) AS transactions,
   customers, CAST(t AS DOUBLE) / NULLIF((SELECT CAST(SUM(t) AS DOUBLE) FROM g), 0) AS share
 FROM g""",
     "per AS ("
@@ -343,11 +358,11 @@ FROM g""",
     + ")",
     "pre AS (SELECT customer_code, method, SUM(CAST(paid_amount AS DECIMAL(18,2))) AS paid_dec, COUNT(*) AS n "
     "FROM per GROUP BY customer_code, method)",
-    "stat AS (SELECT DISTINCT customer_code, delinquency_status FROM statement)",
-    f"j AS (SELECT pre.*, COALESCE(stat.delinquency_status, {q(L.NO_DATA)}) AS delinquency_status FROM pre "
+    "stat AS (SELECT DISTINCT customer_code, aging_status FROM statement)",
+    f"j AS (SELECT pre.*, COALESCE(stat.aging_status, {q(L.NO_DATA)}) AS aging_status FROM pre "
     "LEFT JOIN stat ON pre.customer_code IS NOT DISTINCT FROM stat.customer_code)",
-    "g AS (SELECT method, delinquency_status, SUM(paid_dec) AS t, COUNT(customer_code) AS customers, "
-    "SUM(n) AS transactions FROM j GROUP BY method, delinquency_status)",
+    "g AS (SELECT method, aging_status, SUM(paid_dec) AS t, COUNT(customer_code) AS customers, "
+    "SUM(n) AS transactions FROM j GROUP BY method, aging_status)",
 )
 
 # --- customers ---------------------------------------------------------------
@@ -375,7 +390,7 @@ oracle(
     f"""
 SELECT u.customer_code, u.customer_name, u.in_statement AS has_invoices, s.invoice_count, s.total_balance, s.avg_days,
   CASE WHEN u.in_statement THEN CASE WHEN s.total_balance > 0 THEN s.late / s.total_balance * 100.0
-       ELSE CAST(0 AS DOUBLE) END END AS delinquency_pct,
+       ELSE CAST(0 AS DOUBLE) END END AS overdue_pct,
   s.avg_probability, s.avg_initial * 0.8 AS recommended_limit
 FROM all_cust u LEFT JOIN (
   SELECT customer_code, COUNT(*) AS invoice_count, {mtotal("balance")} AS total_balance,
@@ -421,11 +436,11 @@ WHERE customer_code IS NOT NULL ORDER BY customer_code, payment_date, document_n
 )
 
 MODAL_STATUS = f"""modal AS (
-  SELECT customer_code, delinquency_status AS modal_status FROM (
-    SELECT customer_code, delinquency_status,
-      ROW_NUMBER() OVER (PARTITION BY customer_code ORDER BY COUNT(*) DESC, {status_rank_case("delinquency_status")} ASC) AS rn
-    FROM statement WHERE customer_code IS NOT NULL AND delinquency_status IS NOT NULL
-    GROUP BY customer_code, delinquency_status
+  SELECT customer_code, aging_status AS modal_status FROM (
+    SELECT customer_code, aging_status,
+      ROW_NUMBER() OVER (PARTITION BY customer_code ORDER BY COUNT(*) DESC, {status_rank_case("aging_status")} ASC) AS rn
+    FROM statement WHERE customer_code IS NOT NULL AND aging_status IS NOT NULL
+    GROUP BY customer_code, aging_status
   ) WHERE rn = 1
 )"""
 
@@ -612,8 +627,8 @@ LIMIT_CTES = [
     f"{pmean('default_probability')} AS avg_probability FROM statement "
     "WHERE customer_code IS NOT NULL AND customer_name IS NOT NULL GROUP BY customer_code, customer_name)",
     _modal("risk_segment", segment_rank_case("risk_segment"), "mseg"),
-    _modal("delinquency_status", status_rank_case("delinquency_status"), "mst"),
-    "lj AS (SELECT kb.*, mseg.risk_segment, mst.delinquency_status, h.total_paid, h.avg_paid, h.payment_count, "
+    _modal("aging_status", status_rank_case("aging_status"), "mst"),
+    "lj AS (SELECT kb.*, mseg.risk_segment, mst.aging_status, h.total_paid, h.avg_paid, h.payment_count, "
     "h.days_since_last_payment FROM kb "
     "LEFT JOIN mseg ON kb.customer_code = mseg.customer_code AND kb.customer_name = mseg.customer_name "
     "LEFT JOIN mst ON kb.customer_code = mst.customer_code AND kb.customer_name = mst.customer_name "
@@ -635,17 +650,17 @@ LIMIT_CTES = [
         FROM lj, sc2) lj)""",
     f"""fb AS (SELECT *, {D(0.4)} * risk_f + {D(0.3)} * history_f + {D(0.2)} * recency_f + {D(0.1)} * behaviour_f AS weight
   FROM fa)""",
-    f"""limits AS (SELECT customer_code, customer_name, risk_segment, delinquency_status, avg_probability, balance, total_paid,
+    f"""limits AS (SELECT customer_code, customer_name, risk_segment, aging_status, avg_probability, balance, total_paid,
     payment_count,
     CASE WHEN l1 IS NOT NULL THEN greatest(l1, {D(1000)}) END AS credit_limit,
     CASE WHEN avg_days > 60 THEN CAST(trunc(d0 * {D(0.5)}) AS INTEGER) ELSE d0 END AS max_days,
-    'Customer classified as ' || {_seg_words("risk_segment")} || '. Based on: Delinquency risk of '
+    'Customer classified as ' || {_seg_words("risk_segment")} || {q(L.EXPLANATION_RISK)}
       || COALESCE(format('{{:.1f}}', avg_probability * {D(100)}), 'nan') || '%, '
       || CASE WHEN payment_count > 0 THEN 'History of ' || CAST(payment_count AS VARCHAR)
               || ' payments with average $' || format('{{:,.2f}}', avg_paid) ELSE 'No payment history' END || ', '
       || CASE WHEN days_since_last_payment > 0 THEN 'Seniority of ' || CAST(days_since_last_payment AS VARCHAR)
               || ' days as customer' ELSE 'New customer' END || ', '
-      || 'Current behavior: ' || COALESCE(delinquency_status, 'nan') || ' (average '
+      || 'Current behavior: ' || COALESCE(aging_status, 'nan') || ' (average '
       || COALESCE(format('{{:.0f}}', avg_days), 'nan') || ' days overdue). Recommendation: '
       || CASE WHEN weight < 0.5 THEN 'reduce' ELSE 'maintain/increase' END || ' limit.' AS explanation
   FROM (SELECT *,
@@ -654,8 +669,8 @@ LIMIT_CTES = [
           CASE WHEN risk_segment = {q(L.SEGMENT_EXTREME)} THEN 7 WHEN risk_segment = {q(L.SEGMENT_HIGH)} THEN 15
                WHEN risk_segment = {q(L.SEGMENT_MODERATE)} THEN 30 ELSE 60 END AS d0
         FROM fb))""",
-    f"lf AS (SELECT * FROM limits WHERE risk_segment IN ({', '.join(q(s) for s in P.limit_segments)}) "
-    f"AND credit_limit BETWEEN {D(P.limit_low)} AND {D(P.limit_high)})",
+    f"lf AS (SELECT * FROM limits WHERE risk_segment IN ({', '.join(q(s) for s in FILTERED.limit_segments)}) "
+    f"AND credit_limit BETWEEN {D(FILTERED.limit_low)} AND {D(FILTERED.limit_high)})",
 ]
 
 oracle("credit_limits", "SELECT * FROM limits", *LIMIT_CTES)
@@ -674,7 +689,7 @@ oracle(
 SELECT COUNT(*) AS customers,
   CAST(SUM({_fix("credit_limit", 6)}) AS DOUBLE) / NULLIF(COUNT(credit_limit), 0) / {D(1000000)} AS avg_limit,
   {avg_int("max_days")} AS avg_max_days
-FROM lf""",
+FROM limits""",
     *LIMIT_CTES,
 )
 oracle(
@@ -687,14 +702,14 @@ FROM (SELECT CAST(i AS INTEGER) AS bin, lo + i * ((hi - lo) / {D(20)}) AS bin_st
 LEFT JOIN (
   SELECT CASE WHEN hs.hi = hs.lo THEN 0 ELSE least(CAST(floor((credit_limit - hs.lo) / ((hs.hi - hs.lo) / {D(20)})) AS INTEGER), 19) END AS bin,
     COUNT(*) AS cnt
-  FROM lf, hs WHERE credit_limit IS NOT NULL GROUP BY 1
+  FROM limits, hs WHERE credit_limit IS NOT NULL GROUP BY 1
 ) c ON e.bin = c.bin""",
     *LIMIT_CTES,
-    "hs AS (SELECT CAST(MIN(credit_limit) AS DOUBLE) AS lo, CAST(MAX(credit_limit) AS DOUBLE) AS hi FROM lf WHERE credit_limit IS NOT NULL)",
+    "hs AS (SELECT CAST(MIN(credit_limit) AS DOUBLE) AS lo, CAST(MAX(credit_limit) AS DOUBLE) AS hi FROM limits WHERE credit_limit IS NOT NULL)",
 )
 oracle(
     "limit_points",
-    "SELECT customer_code, customer_name, risk_segment, max_days, credit_limit FROM lf",
+    "SELECT customer_code, customer_name, risk_segment, max_days, credit_limit FROM limits",
     *LIMIT_CTES,
 )
 
@@ -758,6 +773,16 @@ SCENARIO_CTES = [
 ]
 
 oracle("scenario_risk", "SELECT * FROM scen", *SCENARIO_CTES)
+oracle(
+    "scenario_context",
+    f"""
+SELECT r.customer_code, r.has_invoices, CASE WHEN r.has_invoices THEN b.balance ELSE {D(0)} END AS current_balance,
+  CASE WHEN r.has_invoices THEN b.days ELSE {D(0)} END AS current_days, r.current_risk
+FROM ri r LEFT JOIN (
+  SELECT customer_code, {mtotal("balance")} AS balance, {avg_int("days_past_due")} AS days FROM statement GROUP BY customer_code
+) b ON r.customer_code = b.customer_code""",
+    *SCENARIO_CTES,
+)
 
 
 def _band_values() -> str:
@@ -784,8 +809,8 @@ LEFT JOIN band_dim d ON s.band = d.band""",
 
 oracle("days_past_due", "SELECT document_no, due_date, days_past_due FROM statement")
 oracle(
-    "delinquency_status",
-    "SELECT document_no, days_past_due, delinquency_status, aging_0_30, aging_31_60, aging_61_90, aging_91_120, "
+    "aging_status",
+    "SELECT document_no, days_past_due, aging_status, aging_0_30, aging_31_60, aging_61_90, aging_91_120, "
     "aging_over_120 FROM statement",
 )
 oracle("score_rules", "SELECT document_no, days_past_due, default_probability FROM statement")
@@ -797,7 +822,14 @@ SELECT document_no, default_probability, risk_segment,
   {segment_rank_case("risk_segment")} AS segment_rank
 FROM statement""",
 )
-oracle("score_fallback", "SELECT document_no, default_probability, risk_segment FROM statement")
+_EARLY = f"CAST(datediff('day', due_date, DATE '{fx.ONE_CLASS_AS_OF}') AS INTEGER)"
+oracle(
+    "score_fallback",
+    f"""
+SELECT document_no, default_probability, {segment_case("default_probability")} AS risk_segment
+FROM (SELECT document_no, {rule_p("days")} AS default_probability FROM (SELECT document_no, {_EARLY} AS days FROM statement_base))""",
+)
+oracle("score_decision", "SELECT document_no, COALESCE(days_past_due > 60, FALSE) AS high_risk FROM statement")
 oracle(
     "training_frame",
     f"""
@@ -849,6 +881,19 @@ FROM imputed""",
     IMPUTED,
 )
 
+oracle(
+    "segment_points",
+    f"""
+SELECT *, avg_probability * {D(20)} + {D(5)} AS point_size FROM (
+  SELECT customer_code, customer_name, {_z("avg_days", 6)} AS z_avg_days, {_z("balance", 2)} AS z_balance,
+    avg_probability, avg_days, balance
+  FROM imputed)
+WHERE z_avg_days IS NOT NULL AND z_balance IS NOT NULL AND avg_probability IS NOT NULL""",
+    MODAL_STATUS,
+    ROLLUP,
+    IMPUTED,
+)
+
 
 # --- sources and sinks -------------------------------------------------------------
 
@@ -856,13 +901,12 @@ oracle("load_statement", f"SELECT {', '.join(fx.STATEMENT_RAW_COLUMNS)} FROM sta
 oracle("load_payments", f"SELECT {', '.join(fx.PAYMENTS_RAW_COLUMNS)} FROM payments")
 
 NUM_RE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-INF_RE = r"^[+-]?(inf|infinity)$"
 
 
 def clean_amount_sql(x: str) -> str:
     s = f"trim(replace({x}, ',', ''))"
     return (
-        f"CASE WHEN regexp_matches({s}, '{NUM_RE}') OR regexp_matches(lower({s}), '{INF_RE}') "
+        f"CASE WHEN regexp_matches({s}, '{NUM_RE}') AND abs(TRY_CAST({s} AS DOUBLE)) < 1e15 "
         f"THEN TRY_CAST({s} AS DOUBLE) END"
     )
 
@@ -890,4 +934,4 @@ FROM (SELECT {", ".join(fx.PAYMENTS_RAW_COLUMNS)} FROM payments)""",
 )
 oracle("export_statement", "SELECT * FROM statement")
 oracle("export_plan", "SELECT * FROM selected", *PLAN)
-oracle("export_limits", "SELECT * FROM lf", *LIMIT_CTES)
+oracle("export_limits", "SELECT * FROM limits", *LIMIT_CTES)

@@ -8,10 +8,11 @@ sys.path.insert(0, ROOT)
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from dunning.session import local_session
 
-    s = local_session("4", shuffle_partitions=8, app="dunning-tests")
+    shared = {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))}
+    s = local_session("4", shuffle_partitions=8, app="dunning-tests", **shared)
     yield s
     s.stop()
 

@@ -49,6 +49,37 @@ def test_one_class_falls_back_to_rules(spark):
     assert vals <= {0.1, 0.3, 0.5}
 
 
+def test_scoring_needs_no_key_and_no_shuffle(spark):
+    st = Inputs(spark, SF).statement
+    odd = st.withColumn("document_no", F.when(F.col("customer_code") % 3 == 0, None).otherwise((F.col("customer_code") % 5).cast("string")))
+    model = ML.fit_risk_model(odd)
+    scored = ML.score_model(odd, model)
+    assert scored.count() == odd.count()
+    assert scored.where("default_probability IS NULL").count() == 0
+    plan = ML.score_model(spark.read.parquet(_written(odd)), model)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def _written(df):
+    from dunning.session import scratch_path
+
+    path = scratch_path(df.sparkSession, "odd")
+    df.write.parquet(path)
+    return path
+
+
+def test_second_class_only_in_the_hold_out_falls_back_to_rules(spark):
+    import pytest
+
+    st = classify(fx.statement(spark, SF), fx.AS_OF)
+    only = st.where((F.col("days_past_due") <= 60) | ~ML.in_training_split())
+    assert only.where("days_past_due > 60").count() > 0
+    vals = {r[0] for r in score(only, mode="auto").select("default_probability").distinct().collect()}
+    assert vals <= {0.1, 0.3, 0.5, 0.85}
+    with pytest.raises(ValueError, match="one class"):
+        score(only, mode="model")
+
+
 def test_customer_segments(spark):
     seg = queries()["customer_segments"](spark, SF)
     n_customers = Inputs(spark, SF).statement.select("customer_code").distinct().count()

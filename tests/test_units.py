@@ -1,7 +1,6 @@
 """Hand-made rows for what the fixtures cannot reach."""
 
 import datetime as dt
-import math
 import random
 
 import pytest
@@ -92,7 +91,7 @@ def test_status_and_rule_boundaries(spark, days, status, p):
     st = statement(spark, [(1, "a", "1", d(200), due, 10.0, 10.0)])
     row = st.first()
     assert row.days_past_due == days
-    assert row.delinquency_status == status
+    assert row.aging_status == status
     assert row.default_probability == p
 
 
@@ -123,8 +122,8 @@ def test_aging_buckets_hold_balance_of_own_class(spark):
 def test_kpis_non_positive_total_gives_zero_ratios(spark):
     st = statement(spark, [(1, "a", "1", d(100), d(90), 5.0, -10.0), (2, "b", "2", d(100), d(90), 5.0, 10.0)])
     r = PO.portfolio_kpis(st).first()
-    assert r.total_balance == 0.0 and r.delinquency_ratio == 0.0 and r.dso_days == 0.0
-    assert r.delinquent_customers == 2
+    assert r.total_balance == 0.0 and r.overdue_ratio == 0.0 and r.dso_days == 0.0
+    assert r.overdue_customers == 2
 
 
 def test_dso_skips_missing_days_in_numerator_only(spark):
@@ -359,7 +358,10 @@ def test_currency_and_percent_text(spark):
         ("1f", None),
         ("", None),
         (None, None),
-        ("inf", math.inf),
+        ("inf", None),
+        ("-1e17", None),
+        ("1e15", None),
+        ("999999999999999", 999999999999999.0),
     ],
 )
 def test_clean_amount_accepts_what_pandas_accepts(spark, text, want):
@@ -379,7 +381,89 @@ def test_csv_round_trip(spark, tmp_path):
     path = sinks.write_csv(st, str(tmp_path / "x"))
     back = sinks.read_csv(spark, path, st.schema)
     assert back.collect() == st.collect()
-    assert sinks.plan_file_stem("Week 31 (30/07/2001 - 05/08/2001)") == "collection_plan_Week_31_(30/07/2001_-_05/08/2001)"
+    assert sinks.plan_file_stem("Week 31 (30/07/2001 - 05/08/2001)") == "collection_plan_Week_31_(30-07-2001_-_05-08-2001)"
+
+
+def test_csv_round_trip_keeps_every_text(spark, tmp_path):
+    from dunning.sources import sinks
+
+    texts = ['say "hi"', "a, b", "line\nbreak", " lead", "trail ", "", None, '"', "\\", '\\"', "'", "été"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(2)
+    back = sinks.read_csv(spark, sinks.write_csv(df, str(tmp_path / "t")), df.schema)
+    assert [r.t for r in back.orderBy("i").collect()] == texts
+
+
+def test_pandas_csv_loads_exactly(spark, tmp_path):
+    import pandas as pd
+
+    names = ['A "B" C, Inc', "two\nlines", "plain", " lead"]
+    frame = pd.DataFrame({"customer_name": names, "balance": ["1,000.50", "10", "45.0", "-3"], "days_past_due": ["45.0", "x", "61", "1.5"]})
+    frame.to_csv(tmp_path / "a.csv", index=False)
+    raw = IN.read_receivables(spark, str(tmp_path / "a.csv"), columns=IN.STATEMENT_TEXT_COLUMNS)
+    assert raw.columns == ["customer_name", "days_past_due", "balance"]
+    got = {r.customer_name: (r.balance, r.days_past_due) for r in IN.clean_statement(raw).collect()}
+    assert got == dict(zip(names, [(1000.5, 45), (10.0, None), (45.0, 61), (-3.0, None)], strict=True))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("2001-01-02", dt.date(2001, 1, 2)),
+        (" 2001-01-02 00:00:00 ", dt.date(2001, 1, 2)),
+        ("2001-01-02 23:59", dt.date(2001, 1, 2)),
+        ("2001-01-02T10:11:12", dt.date(2001, 1, 2)),
+        ("2001-01-02 10:11:12.123456", dt.date(2001, 1, 2)),
+        ("2001-13-02", None),
+        ("bad-date", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_dates_with_and_without_time(spark, text, want):
+    assert spark.createDataFrame([(text,)], "s string").select(IN.parse_date(F.col("s")).alias("d")).first().d == want
+
+
+def test_amounts_out_of_range_count_as_missing(spark):
+    from dunning.functions.money import money_mean, money_total
+
+    df = spark.createDataFrame([(1.5,), (float("inf"),), (float("nan"),), (1e17,), (2.5,)], "x double")
+    assert tuple(df.agg(money_total(F.col("x"))).first()) == (4.0,)
+    assert df.where("x < 100").agg(money_mean(F.col("x"))).first()[0] == 2.0
+
+
+def test_spreads_of_very_many_and_very_large_values(spark):
+    from decimal import Decimal
+
+    from dunning.functions.money import sample_std, spread_and_centre
+
+    n, s1, s2 = 2_000_000_000, 10**20, 3 * 10**31
+    std, centre = spread_and_centre(n, s1, s2, 0, ddof=0)
+    assert std == pytest.approx((s2 / n - (s1 / n) ** 2) ** 0.5) and centre == s1 / n
+    df = spark.createDataFrame([(n, Decimal(s1), Decimal(s2))], "n long, s1 decimal(38,0), s2 decimal(38,0)")
+    assert df.select(sample_std(F.col("n"), F.col("s1"), F.col("s2"), 0)).first()[0] == pytest.approx(std, rel=1e-6)
+
+
+def test_default_parameters_drop_no_row(spark):
+    from dunning.params import ReportParams
+    from dunning.plans import limits as LI
+    from dunning.reports import Inputs
+
+    p = ReportParams(as_of=AS_OF, week_start=dt.date(2001, 7, 30))
+    assert p.score_mode == "auto"
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert i.statement.count() == orders.where("o_orderstatus IN ('O', 'P')").count()
+    assert i.payments.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert PO.filter_statement(i.statement, p.filter_start, p.filter_end, p.filter_statuses).count() == i.statement.count()
+    limits = LI.limit_numbers(i.statement, i.payments_filled, AS_OF)
+    kept = LI.filter_limits(limits, p.limit_segments, p.limit_low, p.limit_high)
+    assert kept.count() == limits.count() == i.statement.select("customer_code").distinct().count()
+
+
+def test_text_cells_pass_through_formats(spark):
+    df = spark.createDataFrame([("12.5",), ("abc",), (None,), ("3",)], "s string")
+    got = df.select(T.fmt_currency(F.col("s"), text=True).alias("c"), T.fmt_percent(F.col("s"), text=True).alias("p")).collect()
+    assert [tuple(r) for r in got] == [("$12.50", "1250.0%"), ("abc", "abc"), ("N/A", "N/A"), ("$3", "300.0%")]
 
 
 def test_load_receivables_end_to_end(spark, tmp_path):
@@ -415,8 +499,8 @@ def test_approx_distinct_opt_in_is_close(spark):
     from dunning.reports import Inputs
 
     i = Inputs(spark, "/root/testdata/sf0.01")
-    exact = PO.portfolio_kpis(i.statement).first().delinquent_customers
-    approx = PO.portfolio_kpis(i.statement, approx_distinct=True).first().delinquent_customers
+    exact = PO.portfolio_kpis(i.statement).first().overdue_customers
+    approx = PO.portfolio_kpis(i.statement, approx_distinct=True).first().overdue_customers
     assert abs(approx - exact) <= max(3, 0.03 * exact)
     e = PM.payment_stats(i.payments).first().customers
     a = PM.payment_stats(i.payments, approx_distinct=True).first().customers
@@ -442,7 +526,7 @@ def test_all_null_group_sums_to_zero_and_means_stay_missing(spark):
     r = CU.customer_rollup(st).first()
     assert r.balance == 0.0 and r.avg_days is None
     p = CU.customer_profiles(st, spark.createDataFrame([], PAY_SCHEMA)).first()
-    assert p.total_balance == 0.0 and p.delinquency_pct == 0.0 and p.recommended_limit is None
+    assert p.total_balance == 0.0 and p.overdue_pct == 0.0 and p.recommended_limit is None
 
 
 def test_pareto_with_negative_balances_and_ties(spark):
