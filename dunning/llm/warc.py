@@ -138,14 +138,14 @@ def header_at(source: Source, at: int) -> tuple[dict[str, str], bytes] | None:
             out += packer.decompress(data, 1 << 20)
         except zlib.error:
             return None
-        if not b"WARC/".startswith(out[:5]) or packer.unconsumed_tail:
+        if not b"WARC/".startswith(out[:5]):
             return None
         end = out.find(b"\r\n\r\n")
         if end >= 0:
             lines = out[:end].split(b"\r\n")
             fields = dict(x.decode("utf-8", "replace").split(":", 1) for x in lines[1:] if b":" in x)
             return {a.strip().lower(): b.strip() for a, b in fields.items()}, lines[0]
-        if packer.eof or len(out) > HEADER:
+        if packer.eof or packer.unconsumed_tail or len(out) > HEADER:
             return None
         k += 4096
     return None
