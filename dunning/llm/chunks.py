@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import sys
 import types
-
-import numpy as np
+from array import array
 
 from .common import by_value
 
@@ -27,24 +26,18 @@ def worker_state(key: str, make):
     return getattr(state, key)
 
 
-def encoded(docs: list[list[str]], known: dict[str, bytes], encode, dtype) -> list[bytes]:
-    """The ids of each list of chunks as bytes of ``dtype``.  ``encode`` maps a
-    list of chunks to lists of ids."""
-    missing = list({c for d in docs for c in d if c not in known})
-    fresh: dict[str, bytes] = {}
+def encoded(docs: list[list[str]], known: dict[str, bytes], encode, code: str) -> list[bytes]:
+    """The ids of each list of chunks as an array of type ``code``.  ``encode``
+    maps a list of chunks to lists of ids."""
+    missing = list(set().union(*docs).difference(known))
     for i in range(0, len(missing), 20_000):
         some = missing[i : i + 20_000]
         for c, ids in zip(some, encode(some), strict=True):
-            fresh[c] = np.array(ids, dtype).tobytes()
-    room = KEPT - len(known)
-    if room > 0:
-        for c, ids in fresh.items():
-            if len(c) <= KEPT_CHARS:
-                known[c] = ids
-                room -= 1
-                if not room:
-                    break
-    if not fresh:
-        return [b"".join(map(known.__getitem__, d)) for d in docs]
-    get = lambda c: known[c] if c in known else fresh[c]
-    return [b"".join(map(get, d)) for d in docs]
+            known[c] = array(code, ids).tobytes()
+    out = [b"".join(map(known.__getitem__, d)) for d in docs]
+    over = len(known) - KEPT
+    for c in missing[::-1]:  # the worker keeps what came first, which is most of what is frequent
+        if over > 0 or len(c) > KEPT_CHARS:
+            del known[c]
+            over -= 1
+    return out

@@ -194,7 +194,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         docs = [self.chunks(t) for t in texts]
-        out = [np.frombuffer(b, np.uint32) for b in encoded(docs, self.known, self.encode_chunks, np.uint32)]
+        out = [np.frombuffer(b, np.uint32) for b in encoded(docs, self.known, self.encode_chunks, "I")]
         self.parity = [not self.wrong or self.wrong.isdisjoint(d) for d in docs]
         return out
 

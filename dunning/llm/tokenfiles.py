@@ -67,7 +67,7 @@ class BytePairCodec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         ask = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = encoded([self.chunks(t) for t in texts], self.known, lambda some: [e.ids for e in ask(some, add_special_tokens=False)], self.dtype)
+        ids = encoded([self.chunks(t) for t in texts], self.known, lambda some: [e.ids for e in ask(some, add_special_tokens=False)], np.dtype(self.dtype).char)
         return [np.frombuffer(b, self.dtype) for b in ids]
 
 
