@@ -155,9 +155,9 @@ def segment_points(rollup: DataFrame) -> DataFrame:
 
 def segment_customers(rollup: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     """K-means on (z days, z balance, probability); needs >= k customers.  The
-    points are in a fixed order of rows within files, and cluster ids follow
-    ascending mean days."""
-    z = materialize(segment_points(rollup))
+    points are sorted before the fit, so that it starts from the same rows on
+    the same settings; cluster ids follow ascending mean days."""
+    z = materialize(segment_points(rollup).orderBy("customer_code"))
     if z.limit(k).count() < k:
         raise ValueError(f"not enough customers for {k} clusters")
     vec = VectorAssembler(inputCols=["z_avg_days", "z_balance", "avg_probability"], outputCol="features").transform(z)
