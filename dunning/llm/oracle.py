@@ -1,5 +1,75 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+from __future__ import annotations
+
+from .licenses import COVERAGE, K, NEIGHBOURS, NOTICES, PHRASES, words_of
+
+OP8 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p
+), digits AS (  -- five bits of the digest at a time
+  SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((v >> (15 - 5 * (k % 4))) & 31) AS BIGINT), 1), '' ORDER BY k) AS payload_digest
+  FROM (SELECT page_id, k, CAST('0x' || substr(x, CAST(1 + 5 * (k // 4) AS BIGINT), 5) AS BIGINT) AS v FROM (SELECT page_id, x, unnest(range(32)) AS k FROM d))
+  GROUP BY page_id
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d JOIN digits USING (page_id)
+"""
+
+
+def _templates() -> str:
+    rows = []
+    for t, (label, text) in enumerate([*PHRASES, *NOTICES]):
+        words = ", ".join(f"'{w}'" for w in words_of(text))
+        rows.append(f"({t}, '{label}', {str(t < len(PHRASES)).lower()}, [{words}])")
+    return ",\n    ".join(rows)
+
+
+OP9 = rf"""
+WITH t(template, label, is_phrase, words) AS (VALUES
+    {_templates()}
+), d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), tg AS (
+  SELECT template, label, is_phrase, n, p, words[p + 1 : p + {K}] AS g
+  FROM (SELECT *, len(words) - {K - 1} AS n, unnest(range(len(words) - {K - 1})) AS p FROM t)
+), dg AS (
+  SELECT doc_id, i, words[i + 1 : i + {K}] AS g
+  FROM (SELECT doc_id, words, unnest(range(greatest(len(words) - {K - 1}, 0))) AS i FROM d)
+), diagonals AS (
+  SELECT doc_id, template, label, is_phrase, n, i - p AS diagonal, count(*) AS votes, min(i) AS lo, max(i) AS hi, list(DISTINCT p) AS places
+  FROM dg JOIN tg USING (g) GROUP BY ALL
+), steps AS (
+  SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER w) <= {NEIGHBOURS} THEN 0 ELSE 1 END AS new
+  FROM diagonals WHERE NOT is_phrase
+  WINDOW w AS (PARTITION BY doc_id, template ORDER BY lo, diagonal)
+), spans AS (
+  SELECT doc_id, label, n, min(lo) AS lo, max(hi) AS hi, len(list_distinct(flatten(list(places)))) AS grams
+  FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY lo, diagonal) AS span FROM steps)
+  GROUP BY doc_id, template, label, n, span
+), found AS (
+  SELECT doc_id, label, diagonal AS lo, CAST(1 AS DOUBLE) AS share, true AS base FROM diagonals WHERE is_phrase AND votes = n
+  UNION ALL
+  SELECT doc_id, label, lo, CASE WHEN hi - lo <= 2 * n + {2 * NEIGHBOURS} THEN CAST(grams AS DOUBLE) / n ELSE 0 END, false FROM spans
+), merged AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(lo) FILTER (base) AS first_word, max(lo) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR share >= {COVERAGE}) AS labels,
+    max(share) AS score
+  FROM found GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN merged m ON d.doc_id = m.doc_id
+"""
+
 OP10 = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
@@ -12,4 +82,4 @@ SELECT doc_id,
 FROM n
 """
 
-ORACLE = {"op10_exact_dedup": OP10}
+ORACLE = {"op8_warc": OP8, "op9_license_scan": OP9, "op10_exact_dedup": OP10}
