@@ -42,9 +42,11 @@ def column_of(name: str) -> Column:
     return F.col("doc")[name]
 
 
-def first_seen(arrivals: DataFrame, path: str, most_bytes: int = 64 << 30) -> DataFrame:
+def first_seen(arrivals: DataFrame, path: str, checkpoint: str | None = None, most_bytes: int = 64 << 30) -> DataFrame:
     """The stream's state after all arrivals under ``path``: for each digest
-    the smallest id with its locator, and the number of rows."""
+    the smallest id with its locator, and the number of rows.  With the
+    ``checkpoint`` of an earlier run only files added to ``path`` since are
+    read, and they meet the state of all before."""
     spark = arrivals.sparkSession
     session = spark.newSession()
     for key, value in {
@@ -56,8 +58,10 @@ def first_seen(arrivals: DataFrame, path: str, most_bytes: int = 64 << 30) -> Da
         "spark.sql.session.timeZone": "UTC",
     }.items():
         session.conf.set(key, value)
-    checkpoint = new_folder(spark, "dedup-state")
+    checkpoint = checkpoint or new_folder(spark, "dedup-state")
     keeper = F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "row")
+    if arrivals.isEmpty():
+        return arrivals.groupBy("digest").agg(F.min(keeper).alias("keeper"), F.count(F.lit(1)).alias("size"))
     query = (
         session.readStream.schema(arrivals.schema)
         .option("maxBytesPerTrigger", str(most_bytes))
@@ -71,8 +75,6 @@ def first_seen(arrivals: DataFrame, path: str, most_bytes: int = 64 << 30) -> Da
         .start()
     )
     query.awaitTermination()
-    if not any(p.batchId >= 0 and p.numInputRows for p in query.recentProgress):
-        return arrivals.groupBy("digest").agg(F.min(keeper).alias("keeper"), F.count(F.lit(1)).alias("size"))  # no rows
     state = spark.read.format("statestore").load(checkpoint)
     kept, size = (f"value.`{f.name}`" for f in state.schema["value"].dataType.fields)
     return state.select(F.col("key.digest").alias("digest"), F.col(kept).alias("keeper"), F.col(size).alias("size"))

@@ -2,7 +2,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from dunning.llm.exact_dedup import drop_exact_copies, exact_groups
+from dunning.llm.common import new_folder, with_location
+from dunning.llm.exact_dedup import arrivals_of, drop_exact_copies, exact_groups, first_seen, sha256
 
 SCHEMA = "doc_id long, text string, file int, keeper string"
 ROWS = [
@@ -50,3 +51,13 @@ def test_texts_whose_digests_collide_are_told_apart_by_their_bytes(spark):
 def test_empty_table(spark):
     assert groups(spark, []).count() == 0
     assert drop_exact_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_stream_goes_on_with_the_state_of_earlier_runs(spark):
+    path, checkpoint = new_folder(spark, "arrivals"), new_folder(spark, "state")
+    parts = [spark.createDataFrame(rows, SCHEMA) for rows in (ROWS[:5], ROWS[5:], [(0, "a b", 1, "x"), (2, "new", 1, "x")])]
+    for part in parts:
+        arrivals_of(with_location(part), "text", "doc_id", sha256).write.mode("append").parquet(path)
+        state = {(r.keeper.id, r.size) for r in first_seen(spark.read.parquet(path), path, checkpoint).collect()}
+    assert state == {(0, 5), (3, 1), (4, 2), (None, 1), (8, 2), (2, 1)}
+    assert {(r.keeper.id, r.size) for r in first_seen(spark.read.parquet(path), path, checkpoint).collect()} == state
