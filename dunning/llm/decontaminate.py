@@ -3,9 +3,9 @@
 1. Every word n-gram of every document is tested against a bitmap of fixed
    size that holds the benchmark's n-grams.  What passes becomes a *passage*:
    the words around neighbouring hits, with the hits.
-2. Hits are counted over the whole corpus; an item's seeds are its rare
-   n-grams, relative to its own.
-3. Seeds join passages to items.
+2. Every hit joins its passage to the items that hold the n-gram, however
+   many documents hold it too.
+3. Pairs whose words in common cannot reach the threshold are left out.
 4. Smith-Waterman aligns item and passage word by word, so edited, shortened
    and paraphrased copies get a score between 0 and 1.
 """
@@ -42,9 +42,6 @@ WORDS = 5
 #: Bits of the bitmap of benchmark n-grams, as a power of two (2 MB). Fixed: a
 #: larger benchmark passes more n-grams to the join, and results stay the same.
 FILTER_BITS = 24
-#: An n-gram is a seed of an item if at most this share of all documents holds
-#: it, or at most RELATIVE times as many as hold the item's median n-gram.
-RARE, RELATIVE = 0.001, 4.0
 #: Alignment: a match, another word, a word more or less.
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 SCORE = 0.6
@@ -198,6 +195,9 @@ def scored(pairs: DataFrame, threshold: float, batch: int = 128) -> DataFrame:
                 first = np.asarray(col("first"), np.int64)
                 score, lo, hi = np.zeros(len(items)), np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
                 order = np.lexsort([[len(x) for x in items], [len(x) for x in texts]])
+                # an item's word scores at most one match: what lacks too many of them needs no alignment
+                able = np.array([np.isin(a, b).sum() >= threshold * len(a) - 1e-6 for a, b in zip(items, texts, strict=True)], bool)
+                order = order[able[order]]
                 i = 0
                 while i < len(order):
                     width = len(texts[order[min(i + batch, len(order)) - 1]])
@@ -249,20 +249,12 @@ def _contaminated(located, text, items, item_id, item_text, n, threshold, filter
     bitmap = spark.sparkContext.broadcast(bitmap_of_grams(grams, filter_bits))
     found = stage(passages(located, text, sorted(shape.sizes or [n]), int(shape.longest or 0), bitmap, n), "passages")
 
-    # in how many documents each benchmark n-gram occurs
+    # every hit counts: a copy may hold nothing but n-grams that many documents hold
     hits = found.select("file", "row", "first", F.explode("hits").alias("hit")).select("file", "row", "first", "hit.at", "hit.gram")
-    counts = hits.select("file", "row", "gram").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    total = located.count()
-    rated = grams.join(counts, "gram", "left").select("item", "place", "gram", "words", F.coalesce("df", F.lit(0)).alias("df"))
-    usual = rated.groupBy(F.col("item").alias("its")).agg(F.percentile("df", 0.5).alias("median"))
-    seeds = rated.join(usual, F.col("item").eqNullSafe(F.col("its"))).filter(
-        F.col("df") <= F.greatest(F.lit(RARE * total), F.lit(RELATIVE) * F.col("median"))
-    ).select("item", "place", "gram", "words")
-
-    pairs = hits.join(seeds.select("item", "place", "gram"), "gram").groupBy("file", "row", "first", "item").agg(
+    pairs = hits.join(grams.select("item", "place", "gram"), "gram").groupBy("file", "row", "first", "item").agg(
         F.min(F.col("at") - F.col("place")).alias("low"), F.max(F.col("at") - F.col("place")).alias("high")
     )
-    whole = seeds.select("item", F.col("words").alias("item_words")).distinct()
+    whole = grams.select("item", F.col("words").alias("item_words")).distinct()
     size, slack = F.size("item_words"), F.floor(F.size("item_words") / 4).cast("int") + 8
     lo = F.greatest(F.lit(0), F.col("low") - slack)
     pairs = (

@@ -67,6 +67,20 @@ def test_finds_copies_and_edited_copies_and_nothing_else(spark):
     assert kept.count() == docs.count() - len({i for i, _ in leaks})
 
 
+def test_edited_copies_of_a_large_group_and_of_a_small_table(spark):
+    item = words(40)
+    edited = list(item)
+    for k in (4, 9, 18, 23, 32):  # under half of the 5-grams stay
+        edited[k] = "edited"
+    leak = " ".join(words(20) + edited + words(20))
+    rows = [(d, " ".join(words(60))) for d in range(40)]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for n, more in ((1, 0), (15, 0), (15, 1)):  # a verbatim copy elsewhere does not change it
+        docs = rows + [(100 + i, leak) for i in range(n)] + [(200 + i, " ".join(item)) for i in range(more)]
+        got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+        assert {r.id for r in got} == {d for d, _ in docs[40:]}
+
+
 def test_a_full_filter_only_costs_time(spark):
     docs, items, leaks = corpus()
     docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
