@@ -40,15 +40,23 @@ MANIFEST = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.s
 
 class BytePairCodec:
     """Chunks for a byte-level BPE tokenizer whose splitting pattern never
-    joins a non-blank with the blank after it: a text may be cut there."""
+    joins a non-blank with the blank after it: a text may be cut there.
 
-    def __init__(self, data: str):
+    With ``special_as_text`` what looks like a special token is encoded like
+    other text; without, it gets its own id, as by the library's default."""
+
+    def __init__(self, data: str, special_as_text: bool = True):
         import re
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        #: added tokens that hold or take blanks: a text that has one is not cut
+        self.uncut = [
+            t.content for t in self.tokenizer.get_added_tokens_decoder().values()
+            if t.lstrip or t.rstrip or t.single_word or t.content.split() != [t.content]
+        ]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.ask = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         vocabulary = self.tokenizer.get_vocab()
@@ -64,6 +72,8 @@ class BytePairCodec:
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
+        if self.uncut and any(t in text for t in self.uncut):
+            return [text]
         if text[-1] == " " or self.careful(text):
             return self.split(text)
         parts = text.split(" ")
@@ -139,13 +149,16 @@ class Shard:
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", shard_ids: int = SHARD_IDS, end: int = END
+    docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", shard_ids: int = SHARD_IDS, end: int = END,
+    special_as_text: bool = True,
 ) -> DataFrame:
     """Encode each text, append the id ``end`` and write shard files in
     ascending order of doc_id (an integer column).  Returns the manifest: part,
     shard, file, docs, n_ids, start (ids of all shards before).
 
-    ``tokenizer`` is a tokenizers file that the driver can read.  Null is the
+    ``tokenizer`` is a tokenizers file that the driver can read.  Without
+    ``special_as_text`` a literal special token in a text gets its own id, as
+    the file and the library have it.  Null is the
     empty text: only the end id.  Rows without id come last, repeated ids stay
     rows of their own, in the order of their ids.  An empty table writes no file.
     """
@@ -161,8 +174,8 @@ def write_token_files(
     ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def save(batches):
-        key = "bytepair_" + hashlib.sha256(shared.value.encode()).hexdigest()[:16]
-        codec = worker_state(key, lambda: BytePairCodec(shared.value))
+        key = "bytepair_" + hashlib.sha256(shared.value.encode()).hexdigest()[:16] + ("_text" if special_as_text else "")
+        codec = worker_state(key, lambda: BytePairCodec(shared.value, special_as_text))
         last = np.array([end], codec.dtype)
         ids, docs_, total, shard = [], [], 0, 0
 
@@ -220,4 +233,4 @@ def op4_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
-    return read_token_files(write_token_files(read_table(spark, sf_dir, "documents"), path))
+    return read_token_files(write_token_files(read_table(spark, sf_dir, "documents"), path, special_as_text=False))

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from dunning.llm.eliasfano import EliasFano
 from dunning.llm.sentencepieces import SPACE, Codec, backend, parse, public_model, sentencepiece_ids
-from dunning.llm.tokenfiles import BytePairCodec, Shard, dump_shard, read_token_files, write_token_files
+from dunning.llm.tokenfiles import BytePairCodec, Shard, dump_shard, op4_token_files, read_token_files, write_token_files
 
 BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -68,6 +68,25 @@ def test_token_files(spark):
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == wanted
 
 
+def test_special_tokens_in_a_text_get_the_ids_of_the_file():
+    with open(BPE, encoding="utf-8") as f:
+        codec = BytePairCodec(f.read(), special_as_text=False)
+    untouched = Tokenizer.from_file(BPE)
+    some = texts() + ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  <|endoftext|>", " <|endoftext|><|endoftext|>\n <|endoftext|> "]
+    for t, ids in zip(some, codec.encode(some), strict=True):
+        assert ids.tolist() == untouched.encode(t, add_special_tokens=False).ids, repr(t)
+    assert codec.encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+
+
+def test_the_query_takes_the_tokenizer_file_as_it_is(spark, tmp_path):
+    some = ["a <|endoftext|> b", "plain", None]
+    spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    untouched = Tokenizer.from_file(BPE)
+    ids = [np.array([*untouched.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in some]
+    got = sorted(op4_token_files(spark, str(tmp_path)).collect())
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)]
+
+
 def test_token_files_of_an_empty_table(spark):
     assert read_token_files(write_token_files(spark.createDataFrame([], "doc_id long, text string"), BPE)).count() == 0
 
