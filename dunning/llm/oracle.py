@@ -82,4 +82,62 @@ SELECT doc_id,
 FROM n
 """
 
-ORACLE = {"op8_warc": OP8, "op9_license_scan": OP9, "op10_exact_dedup": OP10}
+
+
+def _merkle(levels: int = 7, top_levels: int = 3, arity: int = 8) -> str:
+    """The trees level by level; enough levels for 8**levels leaves a group."""
+    enc = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(enc(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {enc(text)})"
+    crc = (  # bit by bit over the bytes of the id
+        "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), "
+        "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"
+    )
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = [
+        f"""WITH d AS (
+  SELECT doc_id, lang, {leaf("text")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN {leaf(lower)} END AS bad FROM documents
+), e AS (
+  SELECT *, coalesce('=' || lang, '') AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS s,
+    count(*) OVER (PARTITION BY lang) AS n FROM d
+), a0 AS (
+  SELECT k, s, n, leaf AS h FROM e
+)"""
+    ]
+
+    def tree(a: str, f: str, levels: int) -> None:
+        """``a``0 are nodes (k, s, n, h); ``f``0 their leaves' folds and proofs."""
+        for j in range(levels):
+            out.append(f"""g{a}{j} AS (
+  SELECT k, s // {arity} AS p, list(h ORDER BY s) AS kids FROM {a}{j} WHERE n > 1 GROUP BY ALL
+), {a}{j + 1} AS (
+  SELECT k, s // {arity} AS s, (n + {arity - 1}) // {arity} AS n, sha256(string_agg(h, '' ORDER BY s)) AS h FROM {a}{j} WHERE n > 1 GROUP BY k, s // {arity}, n
+  UNION ALL SELECT * FROM {a}{j} WHERE n = 1
+), {f}{j + 1} AS (
+  SELECT f.* REPLACE (
+    f.slot // {arity} AS slot,
+    CASE WHEN g.p IS NULL THEN f.fold ELSE sha256(array_to_string(kids[1:slot % {arity}], '') || f.fold || array_to_string(kids[slot % {arity} + 2:], '')) END AS fold,
+    CASE WHEN g.p IS NULL THEN f.proof ELSE f.proof || array_to_string(kids[1:slot % {arity}], '') || array_to_string(kids[slot % {arity} + 2:], '') END AS proof)
+  FROM {f}{j} f LEFT JOIN g{a}{j} g ON f.k = g.k AND f.slot // {arity} = g.p
+)""")
+
+    out.append("f0 AS (SELECT doc_id, k, s AS slot, leaf, coalesce(bad, leaf) AS fold, '' AS proof FROM e)")
+    tree("a", "f", levels)
+    out.append(f"""b0 AS (
+  SELECT '' AS k, row_number() OVER (ORDER BY k) - 1 AS s, count(*) OVER () AS n, h, k AS lang FROM a{levels}
+), t0 AS (
+  SELECT f.* REPLACE ('' AS k, b0.s AS slot), b0.h AS subroot FROM f{levels} f JOIN b0 ON f.k = b0.lang
+), c0 AS (SELECT k, s, n, h FROM b0)""")
+    tree("c", "t", top_levels)
+    out.append(f"r AS (SELECT h AS root FROM c{top_levels})")
+    return (
+        ", ".join(out)
+        + f"""
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM t{top_levels}, r
+"""
+    )
+
+
+OP12 = _merkle()
+
+ORACLE = {"op8_warc": OP8, "op9_license_scan": OP9, "op10_exact_dedup": OP10, "op12_merkle": OP12}

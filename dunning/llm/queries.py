@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op6_decontaminate
 from .exact_dedup import op10_exact_dedup
 from .licenses import op9_license_scan
+from .merkle import op12_merkle
 from .passages import op7_passages
 from .pii import op1_pii
 from .quality import op3_quality
@@ -26,5 +27,6 @@ QUERIES = {
         op8_warc,
         op9_license_scan,
         op10_exact_dedup,
+        op12_merkle,
     )
 }
