@@ -140,4 +140,42 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folde
 
 OP12 = _merkle()
 
-ORACLE = {"op8_warc": OP8, "op9_license_scan": OP9, "op10_exact_dedup": OP10, "op12_merkle": OP12}
+
+def _lloyd(rounds: int = 3, clusters: int = 16, dims: int = 64, scale: int = 64) -> str:
+    out = [
+        f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+), x AS MATERIALIZED (
+  SELECT r, unnest(range({dims})) AS d, unnest(v) AS x FROM kept
+), seeds AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < {clusters}
+), c0 AS MATERIALIZED (
+  SELECT c, unnest(range({dims})) AS d, unnest(v) AS y FROM seeds
+)"""
+    ]
+    for i in range(rounds + 1):
+        out.append(f"""p{i} AS (
+  SELECT r, c, sum((x - y) * (x - y)) AS dist FROM x JOIN c{i} USING (d) GROUP BY r, c
+), a{i} AS MATERIALIZED (
+  SELECT r, c, dist FROM p{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY dist, c) = 1
+)""")
+        if i < rounds:
+            out.append(f"""s{i} AS (
+  SELECT c, d, sum(x) AS s, count(*) AS n FROM a{i} JOIN x USING (r) GROUP BY c, d
+), c{i + 1} AS MATERIALIZED (
+  SELECT c, d, CASE WHEN n IS NULL THEN y ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS y FROM c{i} LEFT JOIN s{i} USING (c, d)
+)""")
+    return (
+        ", ".join(out)
+        + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance,
+  CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(dist) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (c)
+"""
+    )
+
+
+OP11 = _lloyd()
+
+ORACLE = {"op8_warc": OP8, "op9_license_scan": OP9, "op10_exact_dedup": OP10, "op11_centroids": OP11, "op12_merkle": OP12}
