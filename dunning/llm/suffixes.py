@@ -60,8 +60,9 @@ by_value(__name__)
 LENGTH = 200
 #: Bytes of a sampled q-gram, 8 times a power of two.
 GRAM = 64
-#: Text bytes of a part file (one row at least).
-PART = 16 << 20
+#: Text bytes of a part file (one row at least); a task that reads one needs
+#: about 16 times that.  Text bytes that are sampled at once (80 times that).
+PART, PIECE = 8 << 20, 1 << 20
 #: Spans of a bucket that are refined in one task.
 HEAVY = 1024
 #: Windows of a step when a heavy bucket is split.
@@ -154,10 +155,7 @@ class Part:
 
     def __init__(self, folder: str, part: int):
         with open_read(part_path(folder, part)) as f:
-            self.rows = pa.ipc.open_file(f).read_all().combine_chunks()
-        batches = self.rows.to_batches()
-        assert len(batches) == 1
-        self.batch = batches[0]
+            (self.batch,) = pa.ipc.open_file(f).read_all().combine_chunks().to_batches()
         self.raw, self.at = text_bytes(self.batch.column("text"))
         steps, s = text_bytes(self.batch.column("steps"))
         counts, _ = text_bytes(self.batch.column("counts"))
@@ -207,7 +205,7 @@ def sampled(docs: DataFrame, text: str, length: int, gram: int, part_bytes: int)
                     [pa.array(some), pa.array(np.full(len(some), part)), pa.array(np.arange(i, i + len(some), dtype=np.int32))], ["name", "part", "ordinal"]
                 )
 
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             raw, at = text_bytes(piece.column("text"))
             row, sample, first, count, name = samples(raw, at, length, gram)
             number = np.bincount(row, minlength=piece.num_rows)
@@ -318,7 +316,7 @@ def by_part(batches: Iterator[pa.RecordBatch], folder: str):
         cuts = np.flatnonzero(np.diff(ids)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(ids)], strict=True):
             if part != ids[lo]:
-                part = ids[lo]
+                part, opened = ids[lo], None  # one open part at a time
                 opened = Part(folder, int(part))
             for i in range(int(lo), int(hi), 50_000):
                 yield opened, batch.slice(i, min(50_000, int(hi) - i))
@@ -528,23 +526,27 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, g
     schema = schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
 
     def finish(part: Part, gaps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        covered = np.cumsum(gaps, dtype=np.int32)[:-1] > 0
+        np.cumsum(gaps, out=gaps)
+        covered = gaps[:-1] > 0
         edge = np.zeros(len(covered) + 1, bool)  # runs end with their text
         edge[part.at] = True
         change = np.diff(covered.astype(np.int8), prepend=0, append=0)
         begins = np.flatnonzero((change == 1) | (edge & np.append(covered, False) & np.append(False, covered)))
         ends = np.flatnonzero((change == -1) | (edge & np.append(False, covered) & np.append(covered, False)))
         row = np.searchsorted(part.at, begins, "right") - 1
-        left = part.raw[~covered].tobytes()
-        kept_at = np.concatenate(([0], np.cumsum(~covered)))[part.at]
+        kept = ~covered
+        left = part.raw[kept].tobytes()
+        gaps[0] = 0
+        np.cumsum(kept, out=gaps[1:])
+        kept_at = gaps[part.at]
         run_at = np.searchsorted(row, np.arange(len(part.at)))
         run = pa.StructArray.from_arrays([pa.array(begins - part.at[row]), pa.array(ends - part.at[row])], ["start", "end"])
         for i in range(0, part.batch.num_rows, 1000):
             j = min(i + 1000, part.batch.num_rows)
-            kept = pa.array([left[a:b] for a, b in zip(kept_at[i:j], kept_at[i + 1 : j + 1], strict=True)], pa.binary())
+            texts = pa.array([left[a:b] for a, b in zip(kept_at[i:j], kept_at[i + 1 : j + 1], strict=True)], pa.binary())
             spans = pa.ListArray.from_arrays(pa.array((run_at[i : j + 1] - run_at[i]).astype(np.int32)), run.slice(int(run_at[i]), int(run_at[j] - run_at[i])))
             yield pa.RecordBatch.from_arrays(
-                [part.batch.column("doc").slice(i, j - i), pa.array(np.diff(part.at[i : j + 1])), spans, kept], ["doc", "n_bytes", "spans", "kept"]
+                [part.batch.column("doc").slice(i, j - i), pa.array(np.diff(part.at[i : j + 1])), spans, texts], ["doc", "n_bytes", "spans", "kept"]
             )
 
     def task(batches):
@@ -553,7 +555,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, g
             if opened is not part:
                 if part is not None:
                     yield from finish(part, gaps)
-                part, gaps = opened, np.zeros(len(opened.raw) + 1, np.int32)
+                part, gaps = opened, np.zeros(len(opened.raw) + 1, np.int32)  # a text has less than 2 GB
             batch = batch.filter(batch.column("ordinal").is_valid())
             if batch.num_rows:
                 _, a, b, start, _ = window_ranges(part, batch)
