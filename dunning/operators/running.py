@@ -1,4 +1,5 @@
-"""Global running totals in a total order (W3) and the greedy goal cut (K1).
+"""Global running totals in a total order (W3) and the greedy goal cut (K1),
+from a running total of all rows or (:func:`rows_to_goal`) without one.
 
 A plain ``sum(...).over(Window.orderBy(...))`` has no partition key, so Spark
 plans ``Exchange SinglePartition``: every row goes through one task.  Instead:
@@ -111,3 +112,64 @@ def select_to_goal(ranked: DataFrame, goal: float, cum: str, position: str) -> D
         return ranked.where(F.lit(False))
     cut = ranked.where(F.col(cum) >= F.lit(goal)).select(F.min(position)).scalar()
     return ranked.where(F.col(position) <= F.coalesce(cut, F.lit(2**62)))
+
+
+#: Bins of a pass over the scores, and rows of a bin that are sorted at once.
+GOAL_BINS, GOAL_ROWS = 4096, 1_000_000
+
+
+def rows_to_goal(df: DataFrame, score: str, ties: list[str], cents: str, goal: float) -> DataFrame:
+    """The rows that :func:`select_to_goal` keeps in the order ``score``
+    descending (nulls last), ``ties`` ascending, without ordering all rows.
+
+    A pass adds up each score bin's amounts and, apart, its positive amounts.
+    Both combine in any order, and no prefix of a bin can exceed its positive
+    sum; so a bin can hold the cut only if what lies before it plus its
+    positive sum reaches the goal.  Only such a bin is looked into: binned
+    again, and once it is small or one score, ordered by a running total of its
+    own.  Exact with negative amounts, where such a bin may turn out not to
+    reach the goal and the search goes on behind it.  The cut becomes a filter
+    on the order key, so no other row is ever moved.
+
+    ``df`` is read several times: pass a written table.
+    """
+    if goal <= 0:
+        return df.where(F.lit(False))
+    cut = _goal_cut(df, score, ties, cents, goal, 0)[0]
+    if cut is None:
+        return df
+    s = F.col(score)
+    same = s.eqNullSafe(F.lit(cut[score]).cast(df.schema[score].dataType))
+    before = F.lit(True)
+    for c in reversed(ties):  # up to the cut's ties, lexicographically
+        key = F.lit(cut[c])
+        before = (F.col(c) < key) | ((F.col(c) == key) & before)
+    ahead = s.isNotNull() if cut[score] is None else F.coalesce(s > F.lit(cut[score]), F.lit(False))
+    return df.where(ahead | (same & before))
+
+
+def _goal_cut(rows: DataFrame, score: str, ties: list[str], cents: str, goal: float, before: int):
+    """(key of the row at which the running total from ``before`` on reaches
+    ``goal``, or None; total behind all rows)."""
+    s = F.col(score)
+    ends = rows.agg(F.min(s).alias("lo"), F.max(s).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, hi = ends["lo"], ends["hi"]
+    scale = GOAL_BINS / (hi - lo) if lo is not None and lo < hi and hi - lo > 1e-290 else 0.0
+    if ends["n"] <= GOAL_ROWS or not scale:
+        order = [F.desc_nulls_last(score), *[F.asc(c) for c in ties]]
+        ranked = running_total(rows.select(score, *ties, cents), order, F.col(cents), "_goal_cum", position="_goal_pos")
+        hit = ranked.where((F.col("_goal_cum") + F.lit(before)).cast("double") / F.lit(100.0) >= F.lit(goal))
+        first = hit.agg(F.min(F.struct("_goal_pos", score, *ties)).alias("at")).first()["at"]
+        total = rows.agg(F.coalesce(F.sum(cents), F.lit(0)).alias("t")).first()["t"]
+        return first, before + total
+    # falls as the score rises, and never the other way round: rounding is monotone
+    bin_of = F.coalesce(F.least(F.floor((F.lit(hi) - s) * F.lit(scale)).cast("int"), F.lit(GOAL_BINS - 1)), F.lit(GOAL_BINS))
+    sums = rows.groupBy(bin_of.alias("bin")).agg(F.coalesce(F.sum(cents), F.lit(0)).alias("sum"), F.coalesce(F.sum(F.greatest(cents, F.lit(0))), F.lit(0)).alias("most"))
+    for b in sorted(sums.collect()):  # at most GOAL_BINS + 1 rows
+        if (before + b["most"]) / 100.0 >= goal:
+            cut, after = _goal_cut(rows.where(bin_of == b["bin"]), score, ties, cents, goal, before)
+            if cut is not None:
+                return cut, after
+        before += b["sum"]
+    return None, before
+

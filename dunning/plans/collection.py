@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dunning.functions import dates as D
 from dunning.functions import labels as L
 from dunning.functions.money import money_mean, money_sum, money_total, prob_mean
-from dunning.operators.running import running_total, select_to_goal
+from dunning.operators.running import rows_to_goal, running_total, select_to_goal
 from dunning.session import materialize
 
 KEY = "customer_code"
@@ -121,6 +121,15 @@ def collection_plan(
     return select_to_goal(ranked, goal, "cum_balance", "position").select(*PLAN_COLUMNS)
 
 
+def collection_goal(st: DataFrame, pay_filled: DataFrame, week_start: dt.date, goal: float, include_overdue: bool = True) -> DataFrame:
+    """The customers of :func:`collection_plan` without their running totals,
+    found without ordering all customers."""
+    scored = collection_score(plan_scope(st, week_start, include_overdue), pay_filled)
+    scored = materialize(scored.withColumn("_cents", (F.col("_bal") * 100).cast("long")))
+    chosen = rows_to_goal(scored, "collection_score", [KEY, "customer_name"], "_cents", goal)
+    return chosen.select(KEY, "customer_name", "balance", "collection_score")
+
+
 def week_payments(pay_filled: DataFrame, week_start: dt.date) -> DataFrame:
     week_end = week_start + dt.timedelta(days=6)
     return (

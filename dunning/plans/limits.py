@@ -19,6 +19,8 @@ from dunning.functions import labels as L
 from dunning.functions import text as T
 from dunning.functions.money import WIDE_INT, fixed_point, money_total, prob_mean, spread_and_centre
 from dunning.operators.distribution import histogram
+from dunning.operators.quantile_sketch import merge_sketches, sketch_values, sketched_box
+from dunning.operators.selection import exact_box
 from dunning.operators.modal import label_counts, modal_label
 from dunning.plans.customers import payment_history
 from dunning.session import materialize
@@ -239,6 +241,18 @@ def limit_histogram(filtered: DataFrame, bins: int = 20) -> DataFrame:
     return histogram(filtered, "credit_limit", bins)
 
 
+def limits_box(limits: DataFrame, by: str = "risk_segment") -> DataFrame:
+    """Box statistics of the limits by segment, exact."""
+    return exact_box(limits, "credit_limit", [by], image="double")
+
+
+def limits_box_sketch(limits: DataFrame) -> DataFrame:
+    """Box statistics of the limits by segment, from stored sketches of each
+    segment and term (maximum days)."""
+    stored = materialize(sketch_values(limits, "credit_limit", ["risk_segment", "max_days"]))
+    return sketched_box(merge_sketches(stored, ["risk_segment"]), ["risk_segment"])
+
+
 def limit_points(filtered: DataFrame) -> DataFrame:
     """Points of the limit-vs-days chart."""
     return filtered.select("customer_code", "customer_name", "risk_segment", "max_days", "credit_limit")

@@ -14,6 +14,10 @@ from dunning.functions import labels as L
 from dunning.functions import text as T
 from dunning.functions.money import as_double, money, money_sum, money_total, prob_mean
 from dunning.operators.distribution import box_summary
+from dunning.operators.keys import join_on
+from dunning.operators.quantile_sketch import measured_ranks, merge_sketches, rank_error, sketch_values, sketched_box
+from dunning.operators.selection import exact_box
+from dunning.session import materialize
 
 OVERDUE_DAYS = 30  # KPI threshold (A1)
 SEVERE_DAYS = 60  # top debtors, customer %, model label
@@ -152,6 +156,39 @@ def days_box(st: DataFrame, by: str | None = None) -> DataFrame:
     return box_summary(st, "days_past_due", [by] if by else None)
 
 
+def balance_box(st: DataFrame, by: str | None = None) -> DataFrame:
+    """Box statistics of the balances, exact, with any number of amounts."""
+    return exact_box(st, "balance", [by] if by else None, image="money")
+
+
+def monthly_sketches(st: DataFrame, value: str = "balance", by: tuple[str, ...] = ("aging_status",)) -> DataFrame:
+    """One quantile sketch for each group and invoice month, to be stored."""
+    return sketch_values(st.withColumn("invoice_month", D.month_period(F.col("invoice_date"))), value, [*by, "invoice_month"])
+
+
+def balance_box_sketch(st: DataFrame, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
+    """Box statistics of the balances by status from monthly sketches, for the
+    months from ``first`` to ``last`` (None: all)."""
+    stored = materialize(monthly_sketches(st))
+    month = F.to_date(F.concat("invoice_month", F.lit("-01")))
+    if first is not None:
+        stored = stored.where(month >= F.lit(first.replace(day=1)))
+    if last is not None:
+        stored = stored.where(month <= F.lit(last))
+    return sketched_box(merge_sketches(stored, ["aging_status"]), ["aging_status"])
+
+
+def checked_sketches(rows: DataFrame, value: str, by: list[str], boxes: DataFrame) -> DataFrame:
+    """What of sketched boxes is certain, and whether each quartile's rank,
+    measured against all rows, keeps its bound (three times the 99 % bound)."""
+    boxes = materialize(boxes)
+    met = join_on(boxes, measured_ranks(rows, value, by, boxes), by)
+    bound = F.lit(3 * rank_error())
+    return met.select(
+        *by, "n", "min_value", "max_value", *[(F.col(f"{c}_error") <= bound).alias(f"{c}_within") for c in ("q1", "median", "q3")]
+    )
+
+
 def filter_statement(st: DataFrame, start: dt.date | None = None, end: dt.date | None = None, statuses=None) -> DataFrame:
     """Report filter: invoice date in [start, end] and status in the set; what
     is None filters nothing."""

@@ -21,7 +21,7 @@ from dunning.plans import payments as PM
 from dunning.plans import portfolio as P
 from dunning.plans import scenarios as SC
 from dunning.plans.prepare import classify, fill_payments, prepare_statement, score
-from dunning.session import scratch_path
+from dunning.session import materialize, scratch_path
 from dunning.sources import ingest as IN
 from dunning.sources import sinks as SK
 from dunning.sources import tpch_fixture as fx
@@ -134,6 +134,21 @@ def _box_segment(i: Inputs):
     return P.days_box(i.statement, "risk_segment")
 
 
+@report("balance_box_by_status")
+def _balance_box(i: Inputs):
+    return P.balance_box(i.statement, "aging_status")
+
+
+@report("balance_box_overall")
+def _balance_box_all(i: Inputs):
+    return P.balance_box(i.statement)
+
+
+@report("balance_box_sketch")
+def _balance_sketch(i: Inputs):
+    return P.checked_sketches(i.statement, "balance", ["aging_status"], P.balance_box_sketch(i.statement))
+
+
 @report("filtered_statement")
 def _filtered(i: Inputs):
     p = fx.FILTERED
@@ -277,6 +292,12 @@ def _collection_plan(i: Inputs):
     return _plan(i)
 
 
+@report("collection_goal")
+def _collection_goal(i: Inputs):
+    p = i.params
+    return CO.collection_goal(i.statement, i.payments_filled, p.week_start, p.weekly_goal, p.include_overdue)
+
+
 @report("week_payments")
 def _week_payments(i: Inputs):
     return CO.week_payments(i.payments_filled, i.params.week_start)
@@ -350,6 +371,17 @@ def _limit_histogram(i: Inputs):
     return LI.limit_histogram(_limits(i), 20)
 
 
+@report("limits_box_by_segment")
+def _limits_box(i: Inputs):
+    return LI.limits_box(_limits(i))
+
+
+@report("limits_box_sketch")
+def _limits_box_sketch(i: Inputs):
+    limits = materialize(_limits(i))
+    return P.checked_sketches(limits, "credit_limit", ["risk_segment"], LI.limits_box_sketch(limits))
+
+
 @report("limit_points")
 def _limit_points(i: Inputs):
     return LI.limit_points(_limits(i))

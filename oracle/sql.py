@@ -935,3 +935,40 @@ FROM (SELECT {", ".join(fx.PAYMENTS_RAW_COLUMNS)} FROM payments)""",
 oracle("export_statement", "SELECT * FROM statement")
 oracle("export_plan", "SELECT * FROM selected", *PLAN)
 oracle("export_limits", "SELECT * FROM limits", *LIMIT_CTES)
+
+# --- box statistics of amounts and limits ------------------------------------------
+
+
+def _exact_box(rows: str, by: str, value: str) -> str:
+    """Box statistics from places in each group's order."""
+    at = lambda p, f: f"MAX(v) FILTER (WHERE place = CAST({f}((n - 1) * {D(p)}) AS BIGINT))"
+    mid = lambda p: f"{at(p, 'floor')} + ({at(p, 'ceil')} - {at(p, 'floor')}) * ((MAX(n) - 1) * {D(p)} - floor((MAX(n) - 1) * {D(p)}))"
+    return f"""
+SELECT b.g AS {by}, b.* EXCLUDE (g), (SELECT COUNT(*) FROM ({rows}) r WHERE ({by}) IS NOT DISTINCT FROM b.g AND {value} IS NOT NULL
+             AND ({value} < b.lower_fence OR {value} > b.upper_fence)) AS outliers
+FROM (
+  SELECT *, q1 - {D(1.5)} * (q3 - q1) AS lower_fence, q3 + {D(1.5)} * (q3 - q1) AS upper_fence
+  FROM (
+    SELECT g, MIN(v) AS min_value, {mid(0.25)} AS q1, {mid(0.5)} AS median, {mid(0.75)} AS q3, MAX(v) AS max_value, MAX(n) AS n
+    FROM (SELECT {by} AS g, {value} AS v, ROW_NUMBER() OVER (PARTITION BY {by} ORDER BY {value}) - 1 AS place,
+            COUNT(*) OVER (PARTITION BY {by}) AS n FROM ({rows}) WHERE {value} IS NOT NULL)
+    GROUP BY g
+  )
+) b"""
+
+
+def _sketch_check(rows: str, by: str, value: str) -> str:
+    """What is certain of sketches, and that their ranks keep the bound."""
+    return f"""
+SELECT {by}, COUNT(*) AS n, MIN({value}) AS min_value, MAX({value}) AS max_value, true AS q1_within, true AS median_within, true AS q3_within
+FROM ({rows}) WHERE {value} IS NOT NULL GROUP BY {by}"""
+
+
+_CENTS = "(CAST(CAST(CAST(balance AS DECIMAL(18,2)) * 100 AS BIGINT) AS DOUBLE) / CAST(100 AS DOUBLE))"
+BALANCES = f"SELECT aging_status, {_CENTS} AS amount FROM statement"
+oracle("balance_box_by_status", _exact_box(BALANCES, "aging_status", "amount"))
+oracle("balance_box_overall", f"SELECT * EXCLUDE (everything) FROM ({_exact_box(f'SELECT 0 AS everything, * FROM ({BALANCES})', 'everything', 'amount')})")
+oracle("balance_box_sketch", _sketch_check("SELECT aging_status, balance FROM statement", "aging_status", "balance"))
+oracle("limits_box_by_segment", _exact_box("SELECT * FROM limits", "risk_segment", "credit_limit"), *LIMIT_CTES)
+oracle("limits_box_sketch", _sketch_check("SELECT * FROM limits", "risk_segment", "credit_limit"), *LIMIT_CTES)
+oracle("collection_goal", "SELECT customer_code, customer_name, balance, collection_score FROM selected", *PLAN)
