@@ -11,7 +11,7 @@ from dunning.functions import dates as D
 from dunning.functions import labels as L
 from dunning.functions.money import money_mean, money_sum, money_total, prob_mean
 from dunning.operators.running import rows_to_goal, running_total, select_to_goal
-from dunning.session import materialize
+from dunning.session import materialize, materialize_by
 
 KEY = "customer_code"
 
@@ -56,8 +56,8 @@ def normalized_history(pay_filled: DataFrame) -> DataFrame:
     """Mean payment per customer over the largest such mean (1 when that is 0)."""
     # one row per customer, written once: the max below and the join that
     # uses this frame both read the checkpoint instead of re-aggregating
-    per = materialize(
-        pay_filled.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(money_mean(F.col("paid_amount")).alias("avg_paid"))
+    per = materialize_by(
+        pay_filled.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(money_mean(F.col("paid_amount")).alias("avg_paid")), KEY
     )
     top = per.select(F.max("avg_paid")).scalar()
     denom = F.when(top == 0, F.lit(1.0)).otherwise(top)
@@ -67,14 +67,15 @@ def normalized_history(pay_filled: DataFrame) -> DataFrame:
 def collection_score(scope: DataFrame, pay_filled: DataFrame) -> DataFrame:
     """Score = .5 (1 - mean p) + .3 history_norm + .2 balance / max balance,
     per (code, name); customers without payment history get .5."""
-    plan = materialize(
+    plan = materialize_by(
         scope.where(F.col(KEY).isNotNull() & F.col("customer_name").isNotNull())
         .groupBy(KEY, "customer_name")
         .agg(
             money_sum(F.col("balance")).alias("_bal"),
             prob_mean(F.col("default_probability")).alias("avg_probability"),
         )
-        .withColumn("balance", F.coalesce(F.col("_bal").cast("double"), F.lit(0.0)))
+        .withColumn("balance", F.coalesce(F.col("_bal").cast("double"), F.lit(0.0))),
+        KEY,
     )
     top = plan.select(F.max("balance")).scalar()
     denom = F.when(top == 0, F.lit(1.0)).otherwise(top)

@@ -27,18 +27,21 @@ from dunning.plans import scenarios as SC
 from dunning.plans.prepare import fill_payments, prepare_statement
 from dunning.session import materialize, remove, written
 from dunning.sources import sinks
+from dunning.sources.layout import store_by_customer
 
 
 class ReceivablesRun:
-    def __init__(self, statement: DataFrame, payments: DataFrame, params: ReportParams):
+    def __init__(self, statement: DataFrame, payments: DataFrame, params: ReportParams, buckets: int | None = None):
         """``statement`` / ``payments`` are typed tables (e.g. from
         ``ingest.load_receivables``); the statement is classified and scored
-        here."""
+        here.  With ``buckets`` both are written once in that many buckets by
+        customer, and the areas by customer join them without an exchange."""
         self.params = params
         self.spark = statement.sparkSession
         self._before = set(written(self.spark))
-        self.statement = materialize(prepare_statement(statement, params.as_of, params.score_mode))
-        self.payments = payments
+        scored = prepare_statement(statement, params.as_of, params.score_mode)
+        self.statement = store_by_customer(scored, buckets) if buckets else materialize(scored)
+        self.payments = store_by_customer(payments, buckets) if buckets else payments
         self.payments_filled = fill_payments(self.payments)
 
     @cached_property

@@ -66,6 +66,39 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, buckets: int, key: str) -> DataFrame:
+    """:func:`materialize` as a table of sorted buckets by ``key``: later joins
+    and aggregations by ``key`` need no exchange.  Each task writes what it
+    holds of a bucket to a file of its own, so deal ``df`` by ``key`` before."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "buckets")
+    table = "dunning_" + path.rsplit("-", 1)[1]
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def bucket_count(df: DataFrame, key: str) -> int | None:
+    """The number of buckets by ``key`` in which all of ``df``'s tables lie."""
+    found = set()
+    for leaf in df._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("\n").splitlines():
+        name = leaf.split("Relation ")[1].split("[")[0].rsplit(".", 1)[-1] if leaf.startswith("Relation ") else ""
+        if not name.startswith("dunning_"):
+            return None
+        about = {r.col_name: r.data_type for r in df.sparkSession.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+        if about.get("Bucket Columns") != f"[`{key}`]":
+            return None
+        found.add(int(about["Num Buckets"]))
+    return found.pop() if len(found) == 1 else None
+
+
+def materialize_by(df: DataFrame, key: str) -> DataFrame:
+    """:func:`materialize`; in buckets if ``df`` comes from tables that are
+    bucketed by ``key`` alone, so that the layout is not lost on the way."""
+    buckets = bucket_count(df, key)
+    return bucketed(df, buckets, key) if buckets else materialize(df)
+
+
 def written(spark: SparkSession) -> list[str]:
     """Folders that :func:`materialize` wrote in this application so far."""
     return [path for app, path in _WRITTEN if app == spark.sparkContext.applicationId]
@@ -75,6 +108,8 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     """Delete folders that :func:`materialize` wrote, once nothing reads them."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
+        if "/buckets-" in path:
+            spark.sql(f"DROP TABLE IF EXISTS dunning_{path.rsplit('-', 1)[1]}")
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
         _WRITTEN.remove((spark.sparkContext.applicationId, path))
