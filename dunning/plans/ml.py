@@ -22,6 +22,7 @@ from dunning.functions import classify as C
 from dunning.functions.dims import literal_frame
 from dunning.functions.money import WIDE_INT, fixed_point, spread_and_centre
 from dunning.operators.distribution import exact_medians
+from dunning.operators.evaluation import calibration, evaluate
 from dunning.session import materialize
 
 FEATURES = ["days_past_due", "initial_amount", "balance"]
@@ -87,6 +88,19 @@ def score_model(st: DataFrame, model: PipelineModel) -> DataFrame:
     return out.withColumn("risk_segment", C.risk_segment(F.col("default_probability"), include_lowest=True))
 
 
+def labelled(st: DataFrame) -> DataFrame:
+    """The scored statement's score beside the label that the model learns."""
+    return st.select("document_no", "default_probability", F.when(F.col("days_past_due") > SEVERE_DAYS, F.lit(1)).otherwise(F.lit(0)).alias("label"))
+
+
+def model_holdout(st: DataFrame, model: PipelineModel | None = None) -> tuple[DataFrame, DataFrame]:
+    """Evaluation and calibration of the model on the fifth of the rows that it
+    has not learnt from."""
+    scored = score_model(st.where(~in_training_split()), model or fit_risk_model(st))
+    rows = materialize(labelled(scored))
+    return evaluate(rows, "default_probability", "label"), calibration(rows, "default_probability", "label")
+
+
 def feature_importance(model: PipelineModel) -> DataFrame:
     """Three rows (variable, importance), most important first."""
     forest = model.stages[-1]

@@ -111,6 +111,50 @@ def monthly_status_matrix(st: DataFrame) -> DataFrame:
     )
 
 
+def breakdowns(st: DataFrame) -> DataFrame:
+    """The sums behind five reports (A2, A3, A9, A10, A11) and the bucket
+    totals (A8) from one scan: grouping sets by invoice month, status, due
+    weekday and due month, and over all.  One row for each group; ``part``
+    names the set."""
+    invoice, due = F.col("invoice_date"), F.col("due_date")
+    keys = {
+        "invoice_month": D.month_period(invoice),
+        "aging_status": F.col("aging_status"),
+        "weekday_index": D.weekday_index(due),
+        "due_weekday": D.weekday_name(due),
+        "month_index": F.month(due),
+        "due_month": D.month_name(due),
+    }
+    sets = {"month": ["invoice_month"], "status": ["aging_status"], "weekday": ["weekday_index", "due_weekday"], "due": ["month_index", "due_month"], "all": []}
+    amount = F.col("_balance")
+    status = F.col("_status")
+    rows = st.select(*[v.alias(c) for c, v in keys.items()], F.col("balance").alias("_balance"), F.col("aging_status").alias("_status"), *[c for c, _ in L.AGING_BUCKETS])
+    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets.values()], *[F.col(c) for c in keys])
+    # the grouping id has a bit for each key that is not in the row's set
+    ids = {name: sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in s) for name, s in sets.items()}
+    part = F.coalesce(*[F.when(F.grouping_id() == n, F.lit(name)) for name, n in ids.items()])
+    return grouped.agg(
+        part.alias("part"),
+        money_total(amount).alias("balance"),
+        *[money_total(F.when(status == label, amount)).alias(name) for name, label in STATUS_COLUMNS],
+        *[money_total(F.col(c)).alias(c) for c, _ in L.AGING_BUCKETS],
+    )
+
+
+def reports_of(parts: DataFrame) -> dict[str, DataFrame]:
+    """The six reports from :func:`breakdowns`, which is best written first."""
+    of = lambda name: parts.where(F.col("part") == name)
+    pairs = ", ".join(f"'{label}', `{c}`" for c, label in L.AGING_BUCKETS)
+    return {
+        "monthly_balance": of("month").select("invoice_month", "balance"),
+        "balance_by_status": of("status").where(F.col("aging_status").isNotNull()).select("aging_status", "balance"),
+        "aging_totals": of("all").selectExpr(f"stack({len(L.AGING_BUCKETS)}, {pairs}) AS (aging_range, amount)"),
+        "balance_by_due_weekday": of("weekday").where("weekday_index IS NOT NULL").select("weekday_index", "due_weekday", "balance").orderBy("weekday_index"),
+        "balance_by_due_month": of("due").where("month_index IS NOT NULL").select("month_index", "due_month", "balance").orderBy("month_index"),
+        "monthly_status_matrix": of("month").select("invoice_month", *[c for c, _ in STATUS_COLUMNS]),
+    }
+
+
 def risk_profiles(st: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Per segment: mean days, balance, distinct customers, mean probability.
     All four segments are emitted (pandas categorical behaviour)."""

@@ -55,6 +55,10 @@ class ReceivablesRun:
     def limits(self) -> DataFrame:
         return materialize(LI.limit_numbers(self.statement, self.payments_filled, self.params.as_of))
 
+    @cached_property
+    def breakdowns(self) -> DataFrame:
+        return materialize(PO.breakdowns(self.statement))
+
     @cached_property
     def filtered_limits(self) -> DataFrame:
         p = self.params
@@ -70,11 +74,12 @@ class ReceivablesRun:
         """Every data set of the eight areas.  ``with_segments`` adds the
         K-means segmentation (one model fit), as the reference always does."""
         st, pay, pf, p = self.statement, self.payments, self.payments_filled, self.params
+        parts = PO.reports_of(self.breakdowns)
         out = {
             # executive summary
             "portfolio_kpis": PO.portfolio_kpis(st),
-            "monthly_balance": PO.monthly_balance(st),
-            "balance_by_status": PO.balance_by_status(st),
+            "monthly_balance": parts["monthly_balance"],
+            "balance_by_status": parts["balance_by_status"],
             "payment_method_totals": PM.payment_method_totals(pf),
             "payment_method_summary": PM.payment_method_summary(pf),
             "payment_stats": PM.payment_stats(pay),
@@ -82,13 +87,13 @@ class ReceivablesRun:
             "days_box_overall": PO.days_box(st),
             "payment_method_by_status": PM.payment_method_by_status(pf, st),
             # aging analysis
-            "aging_totals": PO.aging_totals(st),
+            "aging_totals": parts["aging_totals"],
             "top_overdue": PO.top_customers(st, 10, min_days=PO.SEVERE_DAYS),
-            "balance_by_due_weekday": PO.balance_by_due_weekday(st),
-            "balance_by_due_month": PO.balance_by_due_month(st),
+            "balance_by_due_weekday": parts["balance_by_due_weekday"],
+            "balance_by_due_month": parts["balance_by_due_month"],
             "pareto": CN.pareto(st),
             "days_box_by_status": PO.days_box(st, "aging_status"),
-            "monthly_status_matrix": PO.monthly_status_matrix(st),
+            "monthly_status_matrix": parts["monthly_status_matrix"],
             # risk prediction
             "risk_profiles": PO.risk_profiles(st),
             "days_box_by_segment": PO.days_box(st, "risk_segment"),

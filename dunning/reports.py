@@ -104,6 +104,11 @@ def _matrix(i: Inputs):
     return P.monthly_status_matrix(i.statement)
 
 
+@report("portfolio_breakdowns")
+def _breakdowns(i: Inputs):
+    return P.breakdowns(i.statement)
+
+
 @report("risk_profiles")
 def _risk_profiles(i: Inputs):
     return P.risk_profiles(i.statement)
@@ -464,6 +469,21 @@ def _score_decision(i: Inputs):
     return scored.select("document_no", (F.col("default_probability") > 0.5).alias("high_risk"))
 
 
+@report("score_evaluation")
+def _score_evaluation(i: Inputs):
+    return ML.evaluate(ML.labelled(i.statement), "default_probability", "label")
+
+
+@report("score_calibration")
+def _score_calibration(i: Inputs):
+    return ML.calibration(ML.labelled(i.statement), "default_probability", "label")
+
+
+@report("model_holdout")
+def _model_holdout(i: Inputs):
+    return ML.model_holdout(i.statement)[0]
+
+
 @report("feature_importance")
 def _importance(i: Inputs):
     return ML.feature_importance(ML.fit_risk_model(i.statement))
@@ -516,6 +536,36 @@ def _load_payments(i: Inputs):
     return IN.require_non_empty(IN.read_receivables(i.spark, path, "csv", cols), "payments")
 
 
+@report("load_statement_ranges")
+def _load_ranges(i: Inputs):
+    # one file with line breaks in every name, read in byte ranges
+    raw = fx.statement_raw(i.spark, i.sf_dir).withColumn("customer_name", F.concat("customer_name", F.lit("\n\""), "document_no", F.lit('"')))
+    return IN.read_csv_ranges(i.spark, SK.write_csv(raw.coalesce(1), scratch_path(i.spark, "statement_lines")))
+
+
+def _accounts(i: Inputs) -> dict[str, IN.Accounted]:
+    statement = IN.clean_accounted(fx.statement_raw(i.spark, i.sf_dir), IN.clean_statement, IN.STATEMENT_COERCED, ["document_no"])
+    payments = IN.clean_accounted(
+        fx.payments_raw(i.spark, i.sf_dir).withColumn("_line", F.col("line_no")), IN.clean_payments, IN.PAYMENT_COERCED, ["document_no", "_line"]
+    )
+    return {"statement": statement, "payments": payments}
+
+
+@report("coercion_account")
+def _coercion_account(i: Inputs):
+    a, b = (x.counts.withColumn("table_name", F.lit(name)) for name, x in _accounts(i).items())
+    return a.union(b)
+
+
+@report("rejected_cells")
+def _rejected_cells(i: Inputs):
+    a, b = _accounts(i).values()
+    line = F.col("_line").alias("line_no")
+    return a.rejects.select("document_no", F.lit(None).cast("string").alias("line_no"), "column_name", "cell").union(
+        b.rejects.select("document_no", line, "column_name", "cell")
+    )
+
+
 @report("clean_statement")
 def _clean_statement(i: Inputs):
     return IN.clean_statement(fx.statement_raw(i.spark, i.sf_dir))

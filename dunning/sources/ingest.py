@@ -8,11 +8,17 @@ instead of failing the job under ANSI mode.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StringType, StructField, StructType
 
+from dunning.functions.dims import literal_frame
 from dunning.functions.money import in_range
+from dunning.session import materialize
+from dunning.sources.csv_ranges import read_csv_ranges
 
 STATEMENT_TEXT_COLUMNS = (
     "customer_code",
@@ -57,8 +63,8 @@ STATEMENT_AMOUNTS = (
 PAYMENT_AMOUNTS = ("paid_amount", "discount_amount", "total_amount", "cash", "cheque", "card", "transfer")
 
 #: Landed CSV: doubled quotes and line breaks inside quoted cells, as spreadsheets
-#: and pandas write them.  A file with ``multiLine`` is read by one task, so a
-#: large table should land as many files.
+#: and pandas write them.  A file with ``multiLine`` is read by one task, so
+#: files above ``spark.sql.files.maxPartitionBytes`` are read in byte ranges.
 CSV_OPTIONS = {"header": "true", "escape": '"', "multiLine": "true"}
 
 # Plain decimal / scientific numbers, optionally signed.
@@ -78,7 +84,9 @@ def read_receivables(spark: SparkSession, path: str, fmt: str = "csv", columns=N
     reference's ``if name in df.columns`` checks.  ``columns`` (optional)
     keeps the known columns that are present, in that order.
     """
-    if fmt == "csv":
+    if fmt == "csv" and largest_file(spark, path) > range_bytes(spark):
+        df = read_csv_ranges(spark, path)
+    elif fmt == "csv":
         df = spark.read.options(**CSV_OPTIONS, inferSchema="false", mode="PERMISSIVE").csv(path)
     else:
         df = spark.read.format(fmt).load(path)
@@ -88,6 +96,17 @@ def read_receivables(spark: SparkSession, path: str, fmt: str = "csv", columns=N
     return df
 
 
+def range_bytes(spark: SparkSession) -> int:
+    """``spark.sql.files.maxPartitionBytes`` in bytes."""
+    conf = spark._jsparkSession.sessionState().conf()
+    return conf.filesMaxPartitionBytes()
+
+
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file below ``path``; only the listing is read."""
+    return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+
+
 def parse_date(c: Column, fmt: str = "yyyy-MM-dd") -> Column:
     """A date, or the date of a date and time; unparsable text -> NULL."""
     s = F.trim(c.cast("string"))
@@ -156,3 +175,67 @@ def load_receivables(
     st = require_non_empty(clean_statement(st, date_format), "statement")
     pay = require_non_empty(clean_payments(pay, date_format), "payments")
     return st, pay
+
+
+# --- what coercion lost ----------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Accounted:
+    """A cleaned table and what its cleaning lost."""
+
+    #: The cleaned rows.
+    rows: DataFrame
+    #: ``column_name`` and ``cell`` of each text that gave no value, beside what identifies its row.
+    rejects: DataFrame
+    #: ``column_name``, ``cells`` (rows), ``missing`` (null or blank) and ``rejected``.
+    counts: DataFrame
+
+
+def clean_accounted(raw: DataFrame, clean, columns, row_id=()) -> Accounted:
+    """``clean(raw)`` with an account of ``columns``, in one pass over ``raw``.
+
+    The counters ride on the job that writes the cleaned rows; rejected cells
+    are written beside their row, so rows and rejects read the same files.
+    ``row_id`` names columns of ``raw`` that tell where a row comes from, such
+    as ``_file`` and ``_row`` of :func:`read_csv_ranges`.
+    """
+    columns = [c for c in columns if c in raw.columns]
+    text = {c: f"_text_{c}" for c in columns}
+    df = clean(raw.withColumns({t: F.col(c).cast("string") for c, t in text.items()}))
+    blank = {c: F.coalesce(F.trim(t), F.lit("")) == "" for c, t in text.items()}
+    lost = {c: ~blank[c] & F.col(c).isNull() for c in columns}
+    account = Observation()
+    sums = [F.count(F.lit(1)).alias("cells")]
+    for c in columns:
+        sums += [F.count_if(blank[c]).alias(f"{c}_missing"), F.count_if(lost[c]).alias(f"{c}_rejected")]
+    cells = F.array(*[F.when(lost[c], F.struct(F.lit(c).alias("column_name"), F.col(text[c]).alias("cell"))) for c in columns])
+    df = df.observe(account, *sums).withColumn("_rejects", F.array_compact(cells)).drop(*text.values())
+    written = materialize(df)
+    got = account.get
+    counts = [(c, got["cells"], got[f"{c}_missing"], got[f"{c}_rejected"]) for c in columns]
+    spark = raw.sparkSession
+    return Accounted(
+        rows=written.drop("_rejects"),
+        rejects=written.where(F.size("_rejects") > 0).select(*row_id, F.inline("_rejects")),
+        counts=literal_frame(spark, counts, T.StructType().add("column_name", "string").add("cells", "long").add("missing", "long").add("rejected", "long")),
+    )
+
+
+STATEMENT_COERCED = ("invoice_date", "due_date", "days_past_due", *STATEMENT_AMOUNTS)
+PAYMENT_COERCED = ("payment_date", "line_no", *PAYMENT_AMOUNTS)
+
+
+def load_accounted(spark: SparkSession, statement_path: str, payments_path: str, date_format: str = "yyyy-MM-dd") -> tuple[Accounted, Accounted]:
+    """:func:`load_receivables` of landed CSV files with an account of each
+    table; a rejected cell comes with its file and row (the header is row 0)."""
+    at = ("_file", "_row")
+    out = []
+    for path, known, clean, columns in (
+        (statement_path, STATEMENT_TEXT_COLUMNS, clean_statement, STATEMENT_COERCED),
+        (payments_path, PAYMENT_TEXT_COLUMNS, clean_payments, PAYMENT_COERCED),
+    ):
+        raw = require_non_empty(read_csv_ranges(spark, path, positions=True), path)
+        raw = raw.select(*at, *[c for c in known if c in raw.columns])
+        out.append(clean_accounted(raw, lambda df, clean=clean: clean(df, date_format), columns, at))
+    return out[0], out[1]

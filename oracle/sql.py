@@ -972,3 +972,94 @@ oracle("balance_box_sketch", _sketch_check("SELECT aging_status, balance FROM st
 oracle("limits_box_by_segment", _exact_box("SELECT * FROM limits", "risk_segment", "credit_limit"), *LIMIT_CTES)
 oracle("limits_box_sketch", _sketch_check("SELECT * FROM limits", "risk_segment", "credit_limit"), *LIMIT_CTES)
 oracle("collection_goal", "SELECT customer_code, customer_name, balance, collection_score FROM selected", *PLAN)
+
+# --- what coercion lost ----------------------------------------------------------
+
+oracle(
+    "load_statement_ranges",
+    "SELECT * REPLACE (customer_name || chr(10) || '\"' || document_no || '\"' AS customer_name) "
+    f"FROM (SELECT {', '.join(fx.STATEMENT_RAW_COLUMNS)} FROM statement_base)",
+)
+
+
+def _coerced() -> list[tuple[str, str, str]]:
+    """(table, column, SQL of its cleaned value)."""
+    dates, amounts = ("invoice_date", "due_date"), ("initial_amount", "balance")
+    out = [("statement", c, parse_date_sql(c)) for c in dates] + [("statement", c, clean_amount_sql(c)) for c in amounts]
+    out += [("payments", "payment_date", parse_date_sql("payment_date")), ("payments", "line_no", "TRY_CAST(line_no AS INTEGER)")]
+    return out + [("payments", c, clean_amount_sql(c)) for c in ("paid_amount", "cash", "cheque", "card", "transfer")]
+
+
+RAW = [
+    f"statement_raw AS (SELECT {', '.join(fx.STATEMENT_RAW_COLUMNS)} FROM statement_base)",
+    f"payments_raw AS (SELECT {', '.join(fx.PAYMENTS_RAW_COLUMNS)} FROM payments)",
+]
+oracle(
+    "coercion_account",
+    " UNION ALL ".join(
+        f"SELECT {q(c)} AS column_name, COUNT(*) AS cells, COUNT(*) FILTER (WHERE COALESCE(trim({c}), '') = '') AS missing, "
+        f"COUNT(*) FILTER (WHERE COALESCE(trim({c}), '') <> '' AND ({v}) IS NULL) AS rejected, {q(t)} AS table_name FROM {t}_raw"
+        for t, c, v in _coerced()
+    ),
+    *RAW,
+)
+oracle(
+    "rejected_cells",
+    " UNION ALL ".join(
+        f"SELECT document_no, {'line_no' if t == 'payments' else 'CAST(NULL AS VARCHAR)'} AS line_no, {q(c)} AS column_name, {c} AS cell "
+        f"FROM {t}_raw WHERE COALESCE(trim({c}), '') <> '' AND ({v}) IS NULL"
+        for t, c, v in _coerced()
+    ),
+    *RAW,
+)
+
+# --- breakdowns of one scan, evaluation of scores --------------------------------
+
+
+def _breakdown(part: str, keys: dict[str, str]) -> str:
+    names = ("invoice_month", "aging_status", "weekday_index", "due_weekday", "month_index", "due_month")
+    kinds = ("VARCHAR", "VARCHAR", "INTEGER", "VARCHAR", "INTEGER", "VARCHAR")
+    shown = ", ".join(f"{keys.get(n, f'CAST(NULL AS {k})')} AS {n}" for n, k in zip(names, kinds))
+    by = f"GROUP BY {', '.join(keys.values())}" if keys else ""
+    status = [("current", L.STATUS_CURRENT), ("early_warning", L.STATUS_EARLY), ("moderate", L.STATUS_MODERATE), ("high", L.STATUS_HIGH), ("severe", L.STATUS_SEVERE)]
+    sums = [f"{mtotal(f'CASE WHEN aging_status = {q(label)} THEN balance END')} AS {name}" for name, label in status]
+    sums += [f"{mtotal(c)} AS {c}" for c, _ in L.AGING_BUCKETS]
+    return f"SELECT {shown}, {q(part)} AS part, {mtotal('balance')} AS balance, {', '.join(sums)} FROM statement {by}"
+
+
+oracle(
+    "portfolio_breakdowns",
+    " UNION ALL ".join(
+        [
+            _breakdown("month", {"invoice_month": "strftime(invoice_date, '%Y-%m')"}),
+            _breakdown("status", {"aging_status": "aging_status"}),
+            _breakdown("weekday", {"weekday_index": "CAST(isodow(due_date) - 1 AS INTEGER)", "due_weekday": "dayname(due_date)"}),
+            _breakdown("due", {"month_index": "CAST(month(due_date) AS INTEGER)", "due_month": "monthname(due_date)"}),
+            _breakdown("all", {}),
+        ]
+    ),
+)
+
+LABELLED = "labelled AS (SELECT default_probability AS p, CASE WHEN days_past_due > 60 THEN 1 ELSE 0 END AS y FROM statement)"
+oracle(
+    "score_evaluation",
+    f"""
+SELECT COUNT(*) AS rows, COUNT(*) FILTER (WHERE y = 1) AS positives,
+  CAST((SELECT SUM(CAST(pos AS HUGEINT) * (2 * (upto - neg) + neg)) FROM (
+    SELECT pos, neg, SUM(neg) OVER (ORDER BY p) AS upto
+    FROM (SELECT p, COUNT(*) FILTER (WHERE y = 1) AS pos, COUNT(*) FILTER (WHERE y = 0) AS neg FROM labelled GROUP BY p))) AS DOUBLE)
+    / ({D(2)} * CAST(COUNT(*) FILTER (WHERE y = 1) AS DOUBLE) * CAST(COUNT(*) FILTER (WHERE y = 0) AS DOUBLE)) AS auc,
+  CAST(SUM((CAST(p AS DECIMAL(10,6)) - y) * (CAST(p AS DECIMAL(10,6)) - y)) AS DOUBLE) / COUNT(*) AS brier,
+  CAST(COUNT(*) FILTER (WHERE (p > 0.5) = (y = 1)) AS DOUBLE) / COUNT(*) AS accuracy
+FROM labelled WHERE p IS NOT NULL""",
+    LABELLED,
+)
+oracle(
+    "score_calibration",
+    """
+SELECT least(CAST(floor(p * 10) AS INTEGER), 9) AS bin, COUNT(*) AS rows,
+  CAST(SUM(CAST(p AS DECIMAL(18,6))) AS DOUBLE) / COUNT(*) AS mean_score,
+  CAST(COUNT(*) FILTER (WHERE y = 1) AS DOUBLE) / COUNT(*) AS positive_share
+FROM labelled WHERE p IS NOT NULL GROUP BY 1""",
+    LABELLED,
+)

@@ -6,7 +6,7 @@ from dunning.reports import REPORTS
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
-SLOW = {"score_model", "score_decision", "feature_importance", "customer_segments", "cluster_stats"}
+SLOW = {"score_model", "model_holdout", "score_decision", "feature_importance", "customer_segments", "cluster_stats"}
 
 
 def physical(df) -> str:
