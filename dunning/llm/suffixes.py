@@ -64,7 +64,7 @@ GRAM = 64
 #: about 16 times that.  Text bytes that are sampled at once (80 times that).
 PART, PIECE = 8 << 20, 1 << 20
 #: Spans of a bucket that are refined in one task.
-HEAVY = 256
+HEAVY = 1024
 #: Windows of a step when a heavy bucket is split.
 STEPS = (32, 8, 2, 1)
 #: Window starts that are sampled at once; their places take the low bits of a key.
