@@ -23,8 +23,16 @@ def modal_by_rank(df: DataFrame, keys: list[str], value: Column, rank: Column, o
     )
 
 
-def any_name(name: Column) -> Column:
-    """Deterministic stand-in for "first name in row order": the smallest."""
+#: Where a row stands in its input: columns that readers add when asked to.
+ROW_ORDER = ("_file", "_row")
+
+
+def any_name(name: Column, df: DataFrame | None = None) -> Column:
+    """The first name in row order, if ``df`` knows it (:data:`ROW_ORDER`, as
+    :func:`dunning.sources.ingest.with_row_order` adds it); else the smallest,
+    which does not depend on the order either.  Missing names do not count."""
+    if df is not None and all(c in df.columns for c in ROW_ORDER):
+        return F.min_by(name, F.when(name.isNotNull(), F.struct(*ROW_ORDER)))
     return F.min(name)
 
 

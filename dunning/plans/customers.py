@@ -25,8 +25,8 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 def all_customers(st: DataFrame, pay: DataFrame) -> DataFrame:
     """One row per code from both tables; the statement's name wins."""
-    a = _keyed(st).groupBy(KEY).agg(any_name(F.col("customer_name")).alias("_sn"), F.lit(True).alias("in_statement"))
-    b = _keyed(pay).groupBy(KEY).agg(any_name(F.col("customer_name")).alias("_pn"), F.lit(True).alias("in_payments"))
+    a = _keyed(st).groupBy(KEY).agg(any_name(F.col("customer_name"), st).alias("_sn"), F.lit(True).alias("in_statement"))
+    b = _keyed(pay).groupBy(KEY).agg(any_name(F.col("customer_name"), pay).alias("_pn"), F.lit(True).alias("in_payments"))
     j = a.join(b, KEY, "full")
     name = F.when(F.col("in_statement"), F.col("_sn")).otherwise(F.col("_pn"))
     return j.select(
@@ -43,7 +43,7 @@ def customer_profiles(st: DataFrame, pay: DataFrame) -> DataFrame:
     customers without invoices."""
     bal = F.col("balance")
     agg = _keyed(st).groupBy(KEY).agg(
-        any_name(F.col("customer_name")).alias("_sn"),
+        any_name(F.col("customer_name"), st).alias("_sn"),
         F.count(F.lit(1)).alias("invoice_count"),
         money_total(bal).alias("total_balance"),
         F.avg("days_past_due").alias("avg_days"),
@@ -52,7 +52,7 @@ def customer_profiles(st: DataFrame, pay: DataFrame) -> DataFrame:
         money_mean(F.col("initial_amount")).alias("_avg_initial"),
         F.lit(True).alias("_in_st"),
     )
-    names = _keyed(pay).groupBy(KEY).agg(any_name(F.col("customer_name")).alias("_pn"))
+    names = _keyed(pay).groupBy(KEY).agg(any_name(F.col("customer_name"), pay).alias("_pn"))
     j = agg.join(names, KEY, "full")
     has = F.coalesce(F.col("_in_st"), F.lit(False))
     pct = F.when(F.col("total_balance") > 0, F.col("_late") / F.col("total_balance") * F.lit(100.0)).otherwise(F.lit(0.0))
@@ -75,7 +75,7 @@ def payments_only_customers(st: DataFrame, pay_filled: DataFrame) -> DataFrame:
     per-customer rows are anti-joined with the distinct statement codes."""
     paid = F.col("paid_amount")
     per = _keyed(pay_filled).groupBy(KEY).agg(
-        any_name(F.col("customer_name")).alias("customer_name"),
+        any_name(F.col("customer_name"), pay_filled).alias("customer_name"),
         F.count(F.lit(1)).alias("payment_count"),
         money_mean(paid).alias("avg_paid"),
         F.max("payment_date").alias("last_payment"),
@@ -132,7 +132,7 @@ def customer_rollup(st: DataFrame) -> DataFrame:
     one aggregation, the mode taken over the five known status labels."""
     s = F.col("aging_status")
     agg = _keyed(st).groupBy(KEY).agg(
-        any_name(F.col("customer_name")).alias("customer_name"),
+        any_name(F.col("customer_name"), st).alias("customer_name"),
         F.avg("days_past_due").alias("avg_days"),
         money_total(F.col("balance")).alias("balance"),
         prob_mean(F.col("default_probability")).alias("avg_probability"),

@@ -82,7 +82,7 @@ def customer_risk_inputs(st: DataFrame, pay_filled: DataFrame) -> DataFrame:
         st.where(F.col(KEY).isNotNull())
         .groupBy(KEY)
         .agg(
-            any_name(F.col("customer_name")).alias("_sn"),
+            any_name(F.col("customer_name"), st).alias("_sn"),
             prob_mean(F.col("default_probability")).alias("_risk"),
             money_total(F.col("balance")).alias("_balance"),
             F.avg("days_past_due").alias("_days"),
@@ -95,7 +95,7 @@ def customer_risk_inputs(st: DataFrame, pay_filled: DataFrame) -> DataFrame:
         pay_filled.where(F.col(KEY).isNotNull())
         .groupBy(KEY)
         .agg(
-            any_name(F.col("customer_name")).alias("_pn"),
+            any_name(F.col("customer_name"), pay_filled).alias("_pn"),
             F.count(F.lit(1)).alias("payment_count"),
             money_mean(paid).alias("_avg_paid"),
             F.sum(fixed_point(paid, 2)).cast(WIDE_INT).alias("_s1"),

@@ -124,6 +124,16 @@ def _top_overdue(i: Inputs):
     return P.top_customers(i.statement, 10, min_days=P.SEVERE_DAYS)
 
 
+@report("top_customers_certified")
+def _top_certified(i: Inputs):
+    return P.top_customers_certified(i.statement, 10)
+
+
+@report("top_overdue_certified")
+def _top_overdue_certified(i: Inputs):
+    return P.top_customers_certified(i.statement, 10, min_days=P.SEVERE_DAYS)
+
+
 @report("days_box_overall")
 def _box_all(i: Inputs):
     return P.days_box(i.statement)
@@ -246,6 +256,15 @@ def _rollup(i: Inputs):
     return CU.customer_rollup(i.statement)
 
 
+@report("first_names")
+def _first_names(i: Inputs):
+    # landed in the order of the document numbers, under names that differ by document
+    st = i.statement.withColumn("customer_name", F.concat(F.lit("Name "), F.reverse("document_no")))
+    path = scratch_path(i.spark, "in_order")
+    st.orderBy(F.col("document_no").cast("long")).write.parquet(path)
+    return CU.customer_rollup(IN.with_row_order(i.spark.read.parquet(path)))
+
+
 @report("payment_history")
 def _history(i: Inputs):
     return CU.payment_history(i.payments_filled, i.params.as_of)

@@ -96,6 +96,14 @@ def read_receivables(spark: SparkSession, path: str, fmt: str = "csv", columns=N
     return df
 
 
+def with_row_order(df: DataFrame) -> DataFrame:
+    """Parquet rows with ``_file`` and ``_row``, their place in the input:
+    names are then the first in row order, as in the reference, instead of the
+    smallest.  (CSV: ``read_csv_ranges(..., positions=True)``.)"""
+    at = df.metadataColumn("_metadata")
+    return df.select("*", at["file_path"].alias("_file"), at["row_index"].alias("_row"))
+
+
 def range_bytes(spark: SparkSession) -> int:
     """``spark.sql.files.maxPartitionBytes`` in bytes."""
     conf = spark._jsparkSession.sessionState().conf()

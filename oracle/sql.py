@@ -1063,3 +1063,18 @@ SELECT least(CAST(floor(p * 10) AS INTEGER), 9) AS bin, COUNT(*) AS rows,
 FROM labelled WHERE p IS NOT NULL GROUP BY 1""",
     LABELLED,
 )
+
+# --- certified top customers, first names in row order ---------------------------
+
+oracle("top_customers_certified", _top(""))
+oracle("top_overdue_certified", _top("AND days_past_due > 60"))
+oracle(
+    "first_names",
+    """
+SELECT r.customer_code, 'Name ' || f.name AS customer_name, r.avg_days, r.balance, r.avg_probability, r.modal_status
+FROM rollup r JOIN (
+  SELECT customer_code, reverse(arg_min(document_no, CAST(document_no AS BIGINT))) AS name FROM statement GROUP BY customer_code
+) f ON r.customer_code = f.customer_code""",
+    MODAL_STATUS,
+    ROLLUP,
+)
