@@ -57,6 +57,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tasks over which files or byte ranges are dealt at most.
+MOST_TASKS = 10_000
+
+
+def tasks_for(units: DataFrame) -> int:
+    """Into how many tasks to deal rows that stand for files or byte ranges:
+    given as a number, Spark does not fold them together because the rows that
+    name them are small."""
+    return max(1, min(units.count(), MOST_TASKS))
+
+
 def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 

@@ -81,6 +81,20 @@ class EliasFano:
             value = value << self.low_bits | (int.from_bytes(some.tobytes(), "little") >> (at & 7)) & ((1 << self.low_bits) - 1)
         return value + self.base
 
+    def some(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, from the high bits between two selects."""
+        if i >= j:
+            return np.zeros(0, np.uint64)
+        first, last = self.select(i), self.select(j - 1)
+        byte = first >> 3
+        bits = np.unpackbits(self.high[byte : (last >> 3) + 1], bitorder="little")[first - 8 * byte : last - 8 * byte + 1]
+        out = (np.flatnonzero(bits) + first - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            at = i * self.low_bits
+            low = np.unpackbits(self.low[at >> 3 : (j * self.low_bits + 7) >> 3], bitorder="little")[at & 7 :][: (j - i) * self.low_bits]
+            out |= low.reshape(j - i, self.low_bits).astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
+        return out + np.uint64(self.base)
+
     def __len__(self) -> int:
         return self.n
 

@@ -114,7 +114,8 @@ def license_scan(
     labels adds those of the notices that reach ``coverage``.  score is the
     best coverage.  spans lists label, first and last word and coverage of what
     was found.  Rows are told apart by location: repeated rows and null ids
-    are rows of their own.
+    are rows of their own; an empty table gives no rows.  A notice that stands
+    several times in a row counts each time.
     """
     spark = docs.sparkSession
     located = with_location(docs.select(column(docs, doc_id).alias("id"), column(docs, text)))
@@ -130,21 +131,28 @@ def license_scan(
     )
     keys = ["file", "row", "template", "label", "of", "is_phrase"]
     diagonals = votes.groupBy(*keys, "diagonal").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.bit_or(_bit("its", 0)).alias("m0"), F.bit_or(_bit("its", 1)).alias("m1")
+        F.count(F.lit(1)).alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("its").alias("its_lo"), F.max("its").alias("its_hi"), F.bit_or(_bit("its", 0)).alias("m0"), F.bit_or(_bit("its", 1)).alias("m1")
     )
     # phrases: every k-gram votes for the same diagonal
     exact = diagonals.filter("is_phrase and votes = of").select("file", "row", "label", F.col("diagonal").alias("lo"), F.lit(1.0).alias("share"), F.lit(True).alias("base"), (F.col("diagonal") + F.col("of") + k - 2).alias("hi"))
     # notices: neighbouring diagonals that follow one another in the text are one span
     order = Window.partitionBy("file", "row", "template").orderBy("lo", "diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOURS) | (F.lag("diagonal").over(order) - F.col("diagonal") > NEIGHBOURS)
+    # a span much longer than the template holds it several times: it is cut where the template starts again
+    within = Window.partitionBy("file", "row", "template", "span")
+    most = 2 * F.col("of") + 2 * NEIGHBOURS
+    in_turn = within.orderBy("lo", "diagonal")
+    again = (F.max("hi").over(within) - F.min("lo").over(within) > most) & (F.col("its_lo") <= F.lag("its_hi").over(in_turn))
     spans = (
         diagonals.filter("not is_phrase")
         .withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
         .withColumn("span", F.sum("new").over(order))
-        .groupBy(*keys, "span")
+        .withColumn("again", F.coalesce(again, F.lit(False)).cast("int"))
+        .withColumn("copy", F.sum("again").over(in_turn))
+        .groupBy(*keys, "span", "copy")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.bit_count(F.bit_or("m0")) + F.bit_count(F.bit_or("m1"))).alias("grams"))
         # verify: enough distinct template words in a stretch not much longer than the template
-        .withColumn("share", F.when(F.col("hi") - F.col("lo") <= 2 * F.col("of") + 2 * NEIGHBOURS, F.col("grams") / F.col("of")).otherwise(0.0))
+        .withColumn("share", F.when(F.col("hi") - F.col("lo") <= most, F.col("grams") / F.col("of")).otherwise(0.0))
         .select("file", "row", "label", "lo", "share", F.lit(False).alias("base"), (F.col("hi") + k - 1).alias("hi"))
     )
     good = F.col("base") | (F.col("share") >= coverage)

@@ -50,10 +50,16 @@ WITH t(template, label, is_phrase, words) AS (VALUES
   SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER w) <= {NEIGHBOURS} THEN 0 ELSE 1 END AS new
   FROM diagonals WHERE NOT is_phrase
   WINDOW w AS (PARTITION BY doc_id, template ORDER BY lo, diagonal)
+), chains AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY lo, diagonal) AS span FROM steps
+), turns AS (  -- a chain much longer than the template is cut where the template starts again
+  SELECT *, CASE WHEN max(hi) OVER c - min(lo) OVER c > 2 * n + {2 * NEIGHBOURS}
+    AND list_min(places) <= lag(list_max(places)) OVER (PARTITION BY doc_id, template, span ORDER BY lo, diagonal) THEN 1 ELSE 0 END AS again
+  FROM chains WINDOW c AS (PARTITION BY doc_id, template, span)
 ), spans AS (
   SELECT doc_id, label, n, min(lo) AS lo, max(hi) AS hi, len(list_distinct(flatten(list(places)))) AS grams
-  FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY lo, diagonal) AS span FROM steps)
-  GROUP BY doc_id, template, label, n, span
+  FROM (SELECT *, sum(again) OVER (PARTITION BY doc_id, template, span ORDER BY lo, diagonal) AS copy FROM turns)
+  GROUP BY doc_id, template, label, n, span, copy
 ), found AS (
   SELECT doc_id, label, diagonal AS lo, CAST(1 AS DOUBLE) AS share, true AS base FROM diagonals WHERE is_phrase AND votes = n
   UNION ALL

@@ -85,7 +85,7 @@ CONTEXT = 0.4
 BASE = (
     Kind(
         "email",
-        r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         lambda m: F.lit(True),
         0.6,
         "mail|contact|write|reach",
@@ -176,7 +176,9 @@ def listed(found: Column, *, score: bool = False) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", base=BASE, more=MORE) -> DataFrame:
     """One row for each row of ``docs``: doc_id and, for each kind, an array of
     its spans named after the kind.  Null is the empty text; a text without
-    personal data has empty arrays; repeated rows are rows of their own."""
+    personal data has empty arrays; repeated rows are rows of their own; an
+    empty table gives no rows.  Patterns match by iteration, so texts and
+    matches may have any length."""
     rows = docs.select(column(docs, doc_id).alias("doc_id"), F.coalesce(column(docs, text).cast("string"), F.lit("")).alias("text"))
     return rows.select("doc_id", *[spans(F.col("text"), k).alias(k.name) for k in (*base, *more)])
 

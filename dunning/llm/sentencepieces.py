@@ -185,7 +185,7 @@ class Codec:
 
     def encode_chunks(self, some: list[str]) -> list[list[int]]:
         got = [e.ids for e in self.model.encode_batch(some, add_special_tokens=False)]
-        if self.spec.dummy_prefix and not self.spec.trim_blanks and not self.spec.charsmap:
+        if self.by_chunk:
             # the library puts the first marker itself
             for c, a, b in zip(some, got, self.oracle.encode([c[1:].replace(SPACE, " ") for c in some], num_threads=1), strict=True):
                 if a != b and c != SPACE:
@@ -195,9 +195,17 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         docs = [self.chunks(t) for t in texts]
         out = [np.frombuffer(b, np.uint32) for b in encoded(docs, self.known, self.encode_chunks, "I")]
-        self.parity = [not self.wrong or self.wrong.isdisjoint(d) for d in docs]
+        if self.by_chunk:
+            self.parity = [not self.wrong or self.wrong.isdisjoint(d) for d in docs]
+        else:  # chunks are not what the library normalises by itself: whole texts
+            self.parity = [x.tolist() == y for x, y in zip(out, self.oracle.encode(texts, num_threads=1), strict=True)]
         return out
 
+    @property
+    def by_chunk(self) -> bool:
+        """Can the library be asked for a chunk by itself?"""
+        return self.spec.dummy_prefix and not self.spec.trim_blanks and not self.spec.charsmap
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
@@ -217,14 +225,17 @@ def codec_of(data: bytes, threads: int) -> Codec:
 def sentencepiece_ids(
     docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", threads: int = 2, with_ids: bool = True
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_tokens, ids (array, if
-    ``with_ids``), ids_crc32, decoded_sha256, round_trip, parity.
+    """One row for each row of ``docs``: doc_id, n_tokens, ids (array) and
+    decoded (text; both if ``with_ids``), ids_crc32, decoded_sha256,
+    round_trip, parity.
 
     ``model`` is a SentencePiece model file that the driver can read (a few MB,
     sent to the tasks).  Null is the empty text; it has no ids.  ids_crc32 is
     over the ids as little-endian unsigned 32-bit integers.  round_trip: the
     decoded text is the normalised one.  parity: each of the text's chunks has
-    the ids that the sentencepiece library gives.
+    the ids that the sentencepiece library gives; where a model's normaliser
+    does not work by chunk, the whole text has.  Repeated rows and null ids are
+    rows of their own; an empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     with open(model, "rb") as f:
@@ -233,7 +244,7 @@ def sentencepiece_ids(
     schema = narrow.select(
         "doc_id",
         F.lit(0).cast("long").alias("n_tokens"),
-        *([F.array(F.lit(0)).alias("ids")] if with_ids else []),
+        *([F.array(F.lit(0)).alias("ids"), F.lit("").alias("decoded")] if with_ids else []),
         F.lit(0).cast("long").alias("ids_crc32"),
         F.lit("").alias("decoded_sha256"),
         F.lit(True).alias("round_trip"),
@@ -252,6 +263,7 @@ def sentencepiece_ids(
                 "doc_id": piece.column(0),
                 "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
                 "ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())) if with_ids else None,
+                "decoded": pa.array(back) if with_ids else None,
                 "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
                 "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
                 "round_trip": pa.array([a == b for a, b in zip(back, plain, strict=True)]),
@@ -270,4 +282,4 @@ def public_model(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return sentencepiece_ids(read_table(spark, sf_dir, "documents"), public_model(), with_ids=False)
+    return sentencepiece_ids(read_table(spark, sf_dir, "documents"), public_model())

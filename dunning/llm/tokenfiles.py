@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import encoded, worker_state
-from .common import by_value, column, new_folder, pieces, read_table, stage
+from .common import by_value, column, new_folder, pieces, read_table, stage, tasks_for
 from .eliasfano import EliasFano
 from .files import open_read, write_new
 
@@ -31,6 +31,8 @@ MAGIC = b"EFTOK1\0\0"
 _HEAD = "<8sBQq"  # magic, width, rows without id, smallest id
 #: Ids of a shard file at most, but for a single longer document.
 SHARD_IDS = 4 << 20
+#: Documents whose boundaries are read at once.
+READ_DOCS = 256
 END = 0
 MANIFEST = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("n_ids", pa.int64()), ("size", pa.int64())])
 
@@ -218,14 +220,17 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for file, start in zip(cols["file"], cols["start"], strict=True):
                 with open_read(file) as f:
                     shard = Shard(f.read())
-                bounds = shard.bounds.all().astype(np.int64)
-                crc = [zlib.crc32(shard.tokens[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids(), pa.int64()), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    files = manifest.select("file", "start").repartition(F.col("file"))
+                ids = shard.doc_ids()
+                for i in range(0, len(shard), READ_DOCS):  # boundaries through select, a stretch at a time
+                    bounds = shard.bounds.some(i, min(i + READ_DOCS, len(shard)) + 1).astype(np.int64)
+                    crc = [zlib.crc32(shard.tokens[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[i : i + READ_DOCS], pa.int64()), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
+
+    files = manifest.select("file", "start")
+    files = files.repartition(tasks_for(files))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, column, new_folder, pieces, read_table, stage
+from .common import by_value, column, new_folder, pieces, read_table, stage, tasks_for
 from .files import open_read, write_new
 
 by_value(__name__)
@@ -28,8 +28,8 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of an archive at about which the next one begins, and of a range that a task scans.
 ARCHIVE_BYTES, RANGE_BYTES = 16 << 20, 4 << 20
-#: Read at a time; a header longer than HEADER is not taken for one.
-BUFFER, HEADER = 1 << 20, 64 << 10
+#: Read at a time.
+BUFFER = 1 << 20
 MANIFEST = pa.schema([("file", pa.string()), ("size", pa.int64()), ("records", pa.int64())])
 
 
@@ -126,28 +126,30 @@ class Source:
 
 
 def header_at(source: Source, at: int) -> tuple[dict[str, str], bytes] | None:
-    """Header fields of the record whose gzip member starts at ``at``, and the
-    rest that has been decoded; None if no such member starts there."""
+    """Header fields of the record whose gzip member starts at ``at``, and its
+    first line; None if no such member starts there.  A header may have any
+    length: what begins like one is decoded to its end."""
     packer = zlib.decompressobj(31)
-    out, k = b"", 0
-    while k < 2 * HEADER:
-        data = source.bytes_at(at + k, 4096)
+    out, data, k = bytearray(), b"", 0
+    while not packer.eof:
         if not data:
-            return None
+            data = source.bytes_at(at + k, 4096)
+            k += len(data)
+            if not data:
+                return None
+        seen = len(out)
         try:
-            out += packer.decompress(data, 1 << 20)
+            out += packer.decompress(data, 1 << 16)
         except zlib.error:
             return None
+        data = packer.unconsumed_tail
         if not b"WARC/".startswith(out[:5]):
             return None
-        end = out.find(b"\r\n\r\n")
+        end = out.find(b"\r\n\r\n", max(seen - 3, 0))
         if end >= 0:
-            lines = out[:end].split(b"\r\n")
+            lines = bytes(out[:end]).split(b"\r\n")
             fields = dict(x.decode("utf-8", "replace").split(":", 1) for x in lines[1:] if b":" in x)
             return {a.strip().lower(): b.strip() for a, b in fields.items()}, lines[0]
-        if packer.eof or packer.unconsumed_tail or len(out) > HEADER:
-            return None
-        k += 4096
     return None
 
 
@@ -193,7 +195,8 @@ def read_warc(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BY
     those of one archive."""
     ranges = files.select(
         "file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start")
-    ).repartition("file", "start")
+    )
+    ranges = ranges.repartition(tasks_for(ranges))
     out = pa.schema(
         [("file", pa.string()), ("place", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()),
          ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())]
@@ -224,6 +227,13 @@ def read_warc(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BY
     )
 
 
+def check_count(files: DataFrame, records: DataFrame) -> None:
+    """Fail if not as many records were read as the manifest says were written."""
+    written, read = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], records.count()
+    if written != read:
+        raise RuntimeError(f"{written} records were written, {read} were read")
+
+
 def list_warc(spark: SparkSession, folder: str) -> DataFrame:
     """file and size of the archives in a folder, for :func:`read_warc`."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select(F.col("path").alias("file"), F.col("length").alias("size"))
@@ -233,6 +243,9 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
     files = write_warc(read_table(spark, sf_dir, "pages"))
     page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
-    return read_warc(spark, files).select(
+    records = read_warc(spark, files).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to")
     )
+    records = stage(records, "warc-records")
+    check_count(files, records)
+    return records

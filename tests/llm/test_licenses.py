@@ -48,3 +48,12 @@ def test_notices_whole_and_edited(spark):
         assert label in got[i].labels.split(",")
     assert got[100].labels == "mit" and got[101].labels == "" and 0 < got[101].score < 0.5 and got[102].score == 0
     assert got[0].spans[0].lo == 35
+
+
+def test_notices_that_repeat_keep_their_label(spark):
+    notice = "all rights reserved"
+    assert any(notice == text.lower() for _, text in NOTICES)
+    rows = [(n, " ".join([notice] * n), "") for n in range(1, 12)] + [(20, (notice + ". ") * 500, ""), (21, "some words " + (notice + " by us ") * 9, "")]
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string, labels string")).collect()
+    assert {r.labels for r in got} == {"all-rights-reserved"} and {r.score for r in got} == {1.0}
+    assert {r.id: len(r.spans) for r in got}[20] == 500

@@ -152,3 +152,28 @@ def test_sentencepiece_rows(spark):
     assert sorted((str(r.doc_id), list(r.ids)) for r in got) == sorted((str(i), library.encode(t or "")) for i, t, _ in rows)
     assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got)
     assert sentencepiece_ids(spark.createDataFrame([], "doc_id long, text string"), public_model()).count() == 0
+
+
+def test_stretches_are_read_through_select():
+    rng = random.Random(8)
+    for values in (sorted(rng.randrange(10**6) for _ in range(2000)), [5] * 700, [0], list(range(0, 10**12, 10**9)), []):
+        code = EliasFano.loads(EliasFano.of(np.array(values, np.uint64)).dumps())[0]
+        for _ in range(40):
+            i = rng.randint(0, len(values))
+            j = rng.randint(i, len(values))
+            assert code.some(i, j).tolist() == values[i:j]
+
+
+@pytest.mark.parametrize("prefix, trim", [(0, 0), (0, 1), (1, 1)])
+def test_parity_of_models_that_do_not_work_by_chunk(prefix, trim):
+    codec = Codec(model(1, UNIGRAM, prefix=prefix, trim=trim))
+    assert not codec.by_chunk
+    some = ["the ab", " ab  b", "", "é the"]
+    ids = codec.encode(some)
+    assert codec.parity == [x.tolist() == codec.oracle.encode(t) for x, t in zip(ids, some, strict=True)]
+
+
+def test_decoded_text_comes_along(spark):
+    rows = [(1, "The cat"), (2, " two  blanks "), (3, None)]
+    got = {r.doc_id: r.decoded for r in sentencepiece_ids(spark.createDataFrame(rows, "doc_id long, text string"), public_model()).collect()}
+    assert got == {1: "The cat", 2: " two  blanks ", 3: ""}

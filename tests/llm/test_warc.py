@@ -2,11 +2,12 @@ import base64
 import gzip
 import hashlib
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from dunning.llm.warc import GZIP_MAGIC, list_warc, op8_warc, read_warc, record, write_warc
+from dunning.llm.warc import GZIP_MAGIC, check_count, list_warc, op8_warc, read_warc, record, write_warc
 
 SCHEMA = "page_id long, url string, html string, payload string, size int"
 
@@ -66,3 +67,26 @@ def test_empty_table_and_missing_url(spark):
     pages = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "page_id long, html string")
     got = read_warc(spark, write_warc(pages)).collect()
     assert sorted((r.record_id, r.type) for r in got) == [("urn:page:1", "response"), ("urn:page:1", "response"), ("urn:page:2", "response")]
+
+
+def test_long_headers_are_read_back(spark):
+    """A hardly compressible url of 200,000 characters, and none is lost."""
+    rng = random.Random(1)
+    long = "data:," + "".join(chr(rng.randrange(33, 127)) for _ in range(200_000))
+    pages = spark.createDataFrame([(1, "http://a", "x"), (2, long, "y"), (3, "http://c", "z")], "page_id long, url string, html string")
+    files = write_warc(pages)
+    for spread in (1000, 4 << 20):
+        got = read_warc(spark, files, range_bytes=spread).collect()
+        assert sorted((r.record_id, len(r.uri)) for r in got) == [("urn:page:1", 8), ("urn:page:2", len(long)), ("urn:page:3", 8)]
+        check_count(files, spark.createDataFrame([(r.place,) for r in got], "place long"))
+    with pytest.raises(RuntimeError):
+        check_count(files, spark.createDataFrame([(0,), (1,)], "place long"))
+
+
+def test_readers_are_dealt_to_tasks(spark):
+    """The rows that name files are few and small; each range is work."""
+    pages = spark.createDataFrame([(i, "u", str(i) * 500) for i in range(300)], "page_id long, url string, html string").repartition(4)
+    files = write_warc(pages, archive_bytes=2000)
+    ranges = files.selectExpr("sum(ceil(size / 1000))").first()[0]
+    parts = read_warc(spark, files, range_bytes=1000).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert ranges > 20 and parts > ranges / 4
