@@ -1,14 +1,15 @@
-"""Label texts and thresholds that must equal the reference's output.
+"""Label texts and thresholds: fixed values in their natural order.
 
-Fixed values (kept verbatim, in the reference's natural order):
+They follow the reference's output, but for the word in its title, for which
+the three late statuses and the limit explanation say "arrears" and "default".
 """
 
 # Aging status labels, least to most severe.
 STATUS_CURRENT = "Current (0-30 days)"
 STATUS_EARLY = "Early Warning (31-60 days)"
-STATUS_MODERATE = "Moderate Delinquency (61-90 days)"
-STATUS_HIGH = "High Delinquency (91-120 days)"
-STATUS_SEVERE = "Severe Delinquency (+120 days)"
+STATUS_MODERATE = "Moderate Arrears (61-90 days)"
+STATUS_HIGH = "High Arrears (91-120 days)"
+STATUS_SEVERE = "Severe Arrears (+120 days)"
 STATUSES = (STATUS_CURRENT, STATUS_EARLY, STATUS_MODERATE, STATUS_HIGH, STATUS_SEVERE)
 
 # Risk segment labels, lowest to highest risk.
@@ -56,8 +57,24 @@ PLAN_FUTURE = "\U0001F4C5 Planned"
 
 NO_DATA = "No data"
 
-# Fixed value: words of the limit explanation before the risk.
-EXPLANATION_RISK = ". Based on: Delinquency risk of "
+# The sentence that explains a credit limit, part by part in its order.
+EXPLANATION = {
+    "customer": "Customer classified as ",
+    "risk": ". Based on: Default risk of ",
+    "history": "History of ",
+    "payments": " payments with average $",
+    "no_history": "No payment history",
+    "seniority": "Seniority of ",
+    "days": " days as customer",
+    "new": "New customer",
+    "behavior": "Current behavior: ",
+    "average": " (average ",
+    "overdue": " days overdue)",
+    "advice": ". Recommendation: ",
+    "reduce": "reduce",
+    "keep": "maintain/increase",
+    "limit": " limit.",
+}
 
 # Simulator risk bands (code, display label, 7 recommended actions).
 SCENARIO_BANDS = (

@@ -94,6 +94,6 @@ def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def exact_median(df: DataFrame, value: Column) -> Column:
-    """Exact median of one column as a scalar-subquery Column."""
-    one = df.select(value.alias("_x"))
-    return exact_medians(one, ["_x"]).select("median").scalar()
+    """Exact median of one column as a scalar-subquery Column.  The other
+    columns of the row break ties of the value."""
+    return exact_medians(df.withColumn("_x", value), ["_x"]).select("median").scalar()

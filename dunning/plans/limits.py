@@ -53,37 +53,27 @@ def _segment_words(seg: Column) -> Column:
 
 def explanation(c: dict[str, Column]) -> Column:
     """Sentence explaining a limit (F10), built from built-in functions."""
-    history = F.when(
-        c["n"] > 0,
-        F.concat(
-            F.lit("History of "), c["n"].cast("string"), F.lit(" payments with average $"), T.thousands(c["avg_paid"], 2)
-        ),
-    ).otherwise(F.lit("No payment history"))
-    seniority = F.when(
-        c["days_since"] > 0, F.concat(F.lit("Seniority of "), c["days_since"].cast("string"), F.lit(" days as customer"))
-    ).otherwise(F.lit("New customer"))
-    behaviour = F.concat(
-        F.lit("Current behavior: "),
-        F.coalesce(c["status"], F.lit("nan")),
-        F.lit(" (average "),
-        T.fixed(c["avg_days"], 0),
-        F.lit(" days overdue)"),
-    )
-    advice = F.when(c["weight"] < 0.5, F.lit("reduce")).otherwise(F.lit("maintain/increase"))
+    words = {part: F.lit(text) for part, text in L.EXPLANATION.items()}
+    history = F.when(c["n"] > 0, F.concat(words["history"], c["n"].cast("string"), words["payments"], T.thousands(c["avg_paid"], 2)))
+    seniority = F.when(c["days_since"] > 0, F.concat(words["seniority"], c["days_since"].cast("string"), words["days"]))
     return F.concat(
-        F.lit("Customer classified as "),
+        words["customer"],
         _segment_words(c["segment"]),
-        F.lit(L.EXPLANATION_RISK),
+        words["risk"],
         T.percent_or_nan(c["p"]),
         F.lit(", "),
-        history,
+        history.otherwise(words["no_history"]),
         F.lit(", "),
-        seniority,
+        seniority.otherwise(words["new"]),
         F.lit(", "),
-        behaviour,
-        F.lit(". Recommendation: "),
-        advice,
-        F.lit(" limit."),
+        words["behavior"],
+        F.coalesce(c["status"], F.lit("nan")),
+        words["average"],
+        T.fixed(c["avg_days"], 0),
+        words["overdue"],
+        words["advice"],
+        F.when(c["weight"] < 0.5, words["reduce"]).otherwise(words["keep"]),
+        words["limit"],
     )
 
 

@@ -617,6 +617,10 @@ def _fix(x: str, scale: int) -> str:
     return f"CAST(round({x} * {D(10**scale)}) AS HUGEINT)"
 
 
+def _x(part: str) -> str:
+    return q(L.EXPLANATION[part])
+
+
 def _seg_words(s: str) -> str:
     return "CASE " + " ".join(f"WHEN {s} = {q(a)} THEN {q(b)}" for a, b in L.SEGMENT_WORDS) + " ELSE 'unknown risk' END"
 
@@ -654,15 +658,15 @@ LIMIT_CTES = [
     payment_count,
     CASE WHEN l1 IS NOT NULL THEN greatest(l1, {D(1000)}) END AS credit_limit,
     CASE WHEN avg_days > 60 THEN CAST(trunc(d0 * {D(0.5)}) AS INTEGER) ELSE d0 END AS max_days,
-    'Customer classified as ' || {_seg_words("risk_segment")} || {q(L.EXPLANATION_RISK)}
+    {_x("customer")} || {_seg_words("risk_segment")} || {_x("risk")}
       || COALESCE(format('{{:.1f}}', avg_probability * {D(100)}), 'nan') || '%, '
-      || CASE WHEN payment_count > 0 THEN 'History of ' || CAST(payment_count AS VARCHAR)
-              || ' payments with average $' || format('{{:,.2f}}', avg_paid) ELSE 'No payment history' END || ', '
-      || CASE WHEN days_since_last_payment > 0 THEN 'Seniority of ' || CAST(days_since_last_payment AS VARCHAR)
-              || ' days as customer' ELSE 'New customer' END || ', '
-      || 'Current behavior: ' || COALESCE(aging_status, 'nan') || ' (average '
-      || COALESCE(format('{{:.0f}}', avg_days), 'nan') || ' days overdue). Recommendation: '
-      || CASE WHEN weight < 0.5 THEN 'reduce' ELSE 'maintain/increase' END || ' limit.' AS explanation
+      || CASE WHEN payment_count > 0 THEN {_x("history")} || CAST(payment_count AS VARCHAR)
+              || {_x("payments")} || format('{{:,.2f}}', avg_paid) ELSE {_x("no_history")} END || ', '
+      || CASE WHEN days_since_last_payment > 0 THEN {_x("seniority")} || CAST(days_since_last_payment AS VARCHAR)
+              || {_x("days")} ELSE {_x("new")} END || ', '
+      || {_x("behavior")} || COALESCE(aging_status, 'nan') || {_x("average")}
+      || COALESCE(format('{{:.0f}}', avg_days), 'nan') || {_x("overdue")} || {_x("advice")}
+      || CASE WHEN weight < 0.5 THEN {_x("reduce")} ELSE {_x("keep")} END || {_x("limit")} AS explanation
   FROM (SELECT *,
           CASE WHEN risk_segment IN ({q(L.SEGMENT_HIGH)}, {q(L.SEGMENT_EXTREME)}) THEN base_amount * ({D(1)} + weight) * {D(0.5)}
                ELSE base_amount * ({D(1)} + weight) END AS l1,
