@@ -181,10 +181,15 @@ def with_features(rows: DataFrame, text: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = TRAIN_ROWS) -> Model | None:
     """A model from trusted labels outside the held-out fold; None if no such
     label is positive.  Repeated labels of a document count as positive if all
-    are; labels with a null are left out."""
+    are; labels with a null are left out.  Of an id that several rows have, the
+    smallest text counts.
+
+    ``most`` bounds the rows of each kind that the driver fetches, positives,
+    unlabelled and labelled for calibration, in the order of a hash of their
+    ids.  The unlabelled ones also give the centre, the scale and the prior."""
     ids = F.col("id")
     known = (
         labels.select(column(labels, "doc_id").alias("id"), column(labels, "quality").alias("quality"))
@@ -192,15 +197,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         .groupBy("id")
         .agg(F.min("quality").alias("quality"))
     )
-    first = lambda df: df.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
+    first = lambda df: df.orderBy(F.xxhash64("id"), "id").limit(most)
     every = docs.select(column(docs, doc_id).alias("id")).filter(ids.isNotNull()).distinct()
     wanted = (
         first(known.filter("quality = 1")).select("id", F.lit("positive").alias("kind"))
         .union(first(every).select("id", F.lit("unlabelled").alias("kind")))
         .union(first(known).select("id", F.when(ids.isNull(), "").when(F.col("quality") == 1, "good").otherwise("bad").alias("kind")))
     )
-    # at most 3 * TRAIN_ROWS ids
+    # at most 3 * most ids, and one row of each, however many rows an id has
     rows = docs.select(column(docs, doc_id).alias("id"), column(docs, text).cast("string").alias("text")).join(F.broadcast(wanted), "id")
+    rows = rows.groupBy("id", "kind").agg(F.min("text").alias("text"))
     got = with_features(rows.drop("id"), "text").toArrow()
     if not got.num_rows:
         return None
@@ -235,7 +241,8 @@ def with_scores(rows: DataFrame, text: str, model: Model | None, score: str = "s
 
 def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.7) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted (1
-    if the score reaches ``threshold``)."""
+    if the score reaches ``threshold``).  Repeated rows and null ids are rows of
+    their own; an empty table gives no rows."""
     model = train(docs, labels, text, doc_id)
     rows = docs.select(column(docs, doc_id).alias("id"), column(docs, text).cast("string").alias("text"))
     return with_scores(rows, "text", model).select(

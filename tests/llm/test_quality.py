@@ -51,3 +51,19 @@ def test_without_labels_or_rows(spark):
 def test_features_of_any_bytes():
     assert features(b"").tolist() == [0.0] * FEATURES
     assert np.isfinite(features("\x00 é ! a\n\n".encode() * 999)).all()
+
+
+def test_a_hot_id_sends_one_row_to_the_driver(spark, monkeypatch):
+    """A third of all rows under one id: training fetches it once."""
+    from dunning.llm import quality
+
+    rows = [(i if i % 3 else 0, f"plain words of number {i} and some more") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 900, 3)] + [(i, 1) for i in range(1, 200, 3)], "doc_id long, quality int")
+    fetched = []
+    monkeypatch.setattr(quality, "fit", lambda p, u, c, y: fetched.append((len(p), len(u), len(c))))
+    quality.train(docs, labels)
+    ids = {i for i, _ in rows}
+    assert fetched[0][1] == len(ids) < 700
+    quality.train(docs, labels, most=50)
+    assert max(fetched[1]) <= 50
