@@ -71,7 +71,15 @@ def fit_risk_model(st: DataFrame, seed: int = 42, num_trees: int = 150, max_dept
         labelCol="label",
         featuresCol="features",
     )
-    return Pipeline(stages=[assembler, forest]).fit(train)
+    model = Pipeline(stages=[assembler, forest]).fit(train)
+    without_summary(model.stages[-1])
+    return model
+
+
+def without_summary(model) -> None:
+    """Drop a fitted model's training summary.  It holds the session, which no
+    task can receive once the session has observed a DataFrame."""
+    model._java_obj.setSummary(SparkSession.getActiveSession()._jvm.scala.Option.empty())
 
 
 def score_model(st: DataFrame, model: PipelineModel) -> DataFrame:
@@ -176,6 +184,7 @@ def segment_customers(rollup: DataFrame, k: int = 4, seed: int = 42) -> DataFram
         raise ValueError(f"not enough customers for {k} clusters")
     vec = VectorAssembler(inputCols=["z_avg_days", "z_balance", "avg_probability"], outputCol="features").transform(z)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="raw_cluster").fit(vec)
+    without_summary(model)
     pred = model.transform(vec).drop("features")
     # k rows: relabel clusters by ascending mean days (bounded single-partition window)
     order = pred.groupBy("raw_cluster").agg(F.avg("z_avg_days").alias("_m"))

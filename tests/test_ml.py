@@ -91,3 +91,17 @@ def test_customer_segments(spark):
     assert [r.m for r in means] == sorted(r.m for r in means)
     stats = queries()["cluster_stats"](spark, SF).collect()
     assert sum(r.customers for r in stats) == n_customers
+
+
+def test_model_reports_after_an_observation(spark):
+    """A session that has observed a DataFrame can still send models to tasks."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    from dunning.reports import REPORTS
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    assert REPORTS["score_decision"](spark, "/root/testdata/sf0.001").count() > 0
+    assert REPORTS["customer_segments"](spark, "/root/testdata/sf0.001").count() > 0
