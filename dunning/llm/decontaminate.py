@@ -1,20 +1,29 @@
 """Benchmark decontamination (operator 6).
 
-1. Every word n-gram of every document is tested against a bitmap of fixed
-   size that holds the benchmark's n-grams.  What passes becomes a *passage*:
-   the words around neighbouring hits, with the hits.
-2. Every hit joins its passage to the items that hold the n-gram, however
-   many documents hold it too.
-3. Pairs whose words in common cannot reach the threshold are left out.
-4. Smith-Waterman aligns item and passage word by word, so edited, shortened
+1. Seeds are two or three words in order with at most one word between
+   neighbours, on either side: what an alignment that reaches the threshold must
+   keep, whatever was replaced, left out or put in (`seed_rule`).
+2. Every seed of every document is looked up in a table of fixed size that
+   holds, for the benchmark's seeds, how many of them a copy must keep.  Hits
+   with too few others near them go.  What stays becomes a *passage*: the words
+   around neighbouring hits, with the hits.
+3. The most frequent seeds of each item are left out; the rare ones join
+   passages to items, and pairs with too few of them go.
+4. Pairs whose words in common cannot reach the threshold are left out.
+5. Smith-Waterman aligns item and passage word by word, so edited, shortened
    and paraphrased copies get a score between 0 and 1.
+
+Each step keeps every pair that reaches the threshold.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate, product
+from math import ceil, floor
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,11 +33,10 @@ from .common import (
     by_value,
     byte_classes,
     column,
-    gram_hashes,
-    in_bitmap,
     pieces,
     read_table,
     signed,
+    splitmix,
     stage,
     text_bytes,
     unwrapped,
@@ -38,42 +46,117 @@ from .common import (
 
 by_value(__name__)
 
-WORDS = 5
-#: Bits of the bitmap of benchmark n-grams, as a power of two (2 MB). Fixed: a
-#: larger benchmark passes more n-grams to the join, and results stay the same.
-FILTER_BITS = 24
+#: Slots of the table of benchmark seeds, as a power of two (a byte each, 4 MB).
+#: Fixed: a larger benchmark passes more seeds to the join, and results stay the same.
+FILTER_BITS = 22
 #: Alignment: a match, another word, a word more or less.
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 SCORE = 0.6
 _TABLE = byte_classes(BLANKS)
 
 
-def item_grams(items: DataFrame, n: int = WORDS) -> DataFrame:
-    """item, place, gram, words (array of word hashes) for each n-gram of each
-    item; an item of fewer words is one gram, an item without words has none."""
+# --- seeds --------------------------------------------------------------------
+
+
+def seed_rule(words: int, threshold: float) -> tuple[int, int]:
+    """(size, need): an alignment that reaches ``threshold`` of an item of
+    ``words`` words holds, from ``need`` places of the item on, ``size``
+    matches in a row with at most one word between neighbours on either side.
+
+    With m matches it can pay for m - threshold * words steps of two or more
+    words between neighbouring matches, and each of them spoils at most
+    size - 1 of the m - size + 1 rows of matches.
+    """
+    for size in (3, 2, 1):
+        need = min(
+            m - size + 1 - (size - 1) * floor(m - threshold * words + 1e-9) for m in range(max(1, ceil(threshold * words - 1e-9)), words + 1)
+        )
+        if need >= 1:
+            break
+    return size, max(need, 1)
+
+
+def seed_hashes(words: np.ndarray, size: int):
+    """For each pattern of ``size`` words its length and the hash at each place."""
+    mixed = [splitmix(words + np.uint64((0xD1342543DE82EF95 * (j + 1)) % (1 << 64))) for j in range(size)]
+    for steps in product((1, 2), repeat=size - 1):
+        at = list(accumulate(steps, initial=0))
+        n = len(words) - at[-1]
+        if n > 0:
+            out = np.zeros(n, np.uint64)
+            for x, o in zip(mixed, at, strict=True):
+                out += x[o : o + n]
+            yield at[-1] + 1, splitmix(out)
+
+
+def benchmark_items(items: DataFrame) -> DataFrame:
+    """item, key (of the words), words (hashes); items without words are left out."""
 
     def run(batches):
         for piece in pieces(batches, "text"):
             raw, at = text_bytes(piece.column(1))
             _, _, row, h = word_hashes(raw, at, _TABLE)
-            item, place, gram, words = [], [], [], []
-            ids = piece.column(0).to_pylist()
-            for r in range(len(at) - 1):
-                w = h[row == r]
-                if not len(w):
-                    continue
-                g = gram_hashes(w, min(n, len(w)))
-                item += [ids[r]] * len(g)
-                place += range(len(g))
-                gram += signed(g).tolist()
-                words += [signed(w)] * len(g)
+            begin = np.searchsorted(row, np.arange(len(at)))
+            words = [h[begin[r] : begin[r + 1]] for r in range(len(at) - 1)]
+            keep = [r for r, w in enumerate(words) if len(w)]
+            within = [splitmix(w + splitmix(np.arange(len(w), dtype=np.uint64))).sum(dtype=np.uint64) for w in words]
+            keys = splitmix(np.array([within[r] + np.uint64(len(words[r])) for r in keep], np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(item, piece.schema.field(0).type), pa.array(place, pa.int32()), pa.array(gram, pa.int64()), pa.array(words, pa.list_(pa.int64()))],
-                ["item", "place", "gram", "words"],
+                [piece.column(0).take(pa.array(keep, pa.int64())), pa.array(signed(keys)), pa.array([signed(words[r]) for r in keep], pa.list_(pa.int64()))],
+                ["item", "key", "words"],
             )
 
     kind = items.schema["item"].dataType.simpleString()
-    return items.select("item", "text").mapInArrow(run, f"item {kind}, place int, gram long, words array<long>")
+    return items.select("item", "text").mapInArrow(run, f"item {kind}, key long, words array<long>")
+
+
+def item_seeds(contents: DataFrame, threshold: float) -> DataFrame:
+    """key, size, need, place, gram for each seed of the distinct items (key, words)."""
+
+    def run(batches):
+        for batch in batches:
+            for key, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                w = np.asarray(words.values, np.int64).view(np.uint64)
+                size, need = seed_rule(len(w), threshold)
+                for _, g in seed_hashes(w, size):
+                    n = len(g)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, key, np.int64)), pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, need, np.int32)),
+                         pa.array(np.arange(n, dtype=np.int32)), pa.array(signed(g))],
+                        ["key", "size", "need", "place", "gram"],
+                    )
+
+    return contents.select("key", "words").mapInArrow(run, "key long, size int, need int, place int, gram long")
+
+
+def table_of_needs(seeds: DataFrame, bits: int) -> bytes:
+    """For each slot the least need of the seeds that fall into it, 0 without
+    one: what reaches the driver is at most the table itself."""
+    low = 12
+    parts = (
+        seeds.groupBy(F.shiftrightunsigned("gram", 64 - bits).alias("slot"))
+        .agg(F.least(F.min("need"), F.lit(255)).alias("need"))
+        .groupBy(F.shiftright("slot", low).alias("page"))
+        .agg(F.collect_list(F.struct(F.col("slot").bitwiseAND((1 << low) - 1).cast("int").alias("slot"), "need")).alias("slots"))
+    )
+    out = np.zeros(1 << bits, np.uint8)
+    for r in parts.toLocalIterator():
+        for slot, need in r.slots:
+            out[(r.page << low) + slot] = need
+    return out.tobytes()
+
+
+def enough_near(place: np.ndarray, need: np.ndarray, reach: int) -> np.ndarray:
+    """Which hits have hits at ``need`` places, their own included, within
+    ``reach``; hits that go do not count for the others.  ``place`` ascends."""
+    keep = np.ones(len(place), bool)
+    while True:
+        once = np.unique(place[keep])
+        near = np.searchsorted(once, place + reach, "right") - np.searchsorted(once, place - reach, "left")
+        left = keep & (near >= need)
+        if left.sum() == keep.sum():
+            return keep
+        keep = left
 
 
 def bitmap_of_grams(grams: DataFrame, bits: int) -> bytes:
@@ -93,11 +176,11 @@ def bitmap_of_grams(grams: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-def passages(located: DataFrame, text: str, sizes: list[int], longest: int, bitmap, n: int = WORDS) -> DataFrame:
+def passages(located: DataFrame, text: str, sizes: list[int], reach: int, needs) -> DataFrame:
     """file, row, id, first (word), words (hashes), hits (place in words and
-    gram) of every stretch of a document that has n-grams in ``bitmap``, with
-    up to ``longest`` words before and after.  ``sizes``: n and the lengths of
-    shorter items."""
+    gram) of every stretch of a document whose seeds are in the table ``needs``
+    often enough, with up to ``reach`` words before and after.  ``sizes``: of
+    the benchmark's seeds, in words."""
     narrow = located.select("file", "row", F.col("doc.id").alias("id"), F.col("doc")[text].cast("string").alias("text"))
     kept = ["file", "row", "id"]
     schema = T.StructType(
@@ -111,29 +194,36 @@ def passages(located: DataFrame, text: str, sizes: list[int], longest: int, bitm
     hit_type = pa.list_(pa.struct([("at", pa.int32()), ("gram", pa.int64())]))
 
     def run(batches):
-        bits = np.frombuffer(bitmap.value, np.uint8)
+        table = np.frombuffer(needs.value, np.uint8)
+        unused = np.uint64(65 - len(table).bit_length())
         for piece in pieces(batches, "text"):
             raw, at = text_bytes(piece.column(3))
             _, _, row, h = word_hashes(raw, at, _TABLE)
-            where, grams = [], []
-            for m in sizes:
-                g = gram_hashes(h, m)
-                ok = np.flatnonzero(in_bitmap(bits, g) & (row[: len(g)] == row[m - 1 :][: len(g)])) if len(g) else np.zeros(0, np.int64)
-                where.append(ok)
-                grams.append(g[ok])
-            where, grams = np.concatenate(where), np.concatenate(grams)
-            if not len(where):
+            where, grams, need = [], [], []
+            for size in sizes:
+                for span, g in seed_hashes(h, size):
+                    n = table[(g >> unused).astype(np.int64)]
+                    ok = np.flatnonzero((n > 0) & (row[: len(g)] == row[span - 1 :]))
+                    where.append(ok)
+                    grams.append(g[ok])
+                    need.append(n[ok])
+            if not sum(map(len, where)):
                 continue
+            where, grams, need = np.concatenate(where), np.concatenate(grams), np.concatenate(need)
             order = np.argsort(where, kind="stable")
-            where, grams = where[order], grams[order]
-            new = np.r_[True, (np.diff(where) > longest) | (np.diff(row[where]) > 0)]
+            where, grams, need = where[order], grams[order], need[order]
+            keep = enough_near(where + row[where] * (reach + 1), need, reach)
+            where, grams = where[keep], grams[keep]
+            if not len(where):
+                continue
+            new = np.r_[True, (np.diff(where) > reach) | (np.diff(row[where]) > 0)]
             starts = np.flatnonzero(new)
             stops = np.r_[starts[1:], len(where)]
             begin = np.searchsorted(row, np.arange(len(at)))  # first word of each row
             out = {"take": [], "first": [], "words": [], "hits": []}
             for s, e in zip(starts, stops, strict=True):
                 r = int(row[where[s]])
-                lo, hi = max(int(where[s]) - longest, int(begin[r])), min(int(where[e - 1]) + n + longest, int(begin[r + 1]))
+                lo, hi = max(int(where[s]) - reach, int(begin[r])), min(int(where[e - 1]) + reach, int(begin[r + 1]))
                 out["take"].append(r)
                 out["first"].append(lo - int(begin[r]))
                 out["words"].append(signed(h[lo:hi]))
@@ -225,49 +315,74 @@ def scored(pairs: DataFrame, threshold: float, batch: int = 128) -> DataFrame:
 
 def contaminated(
     docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text",
-    n: int = WORDS, threshold: float = SCORE, filter_bits: int = FILTER_BITS,
+    threshold: float = SCORE, filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """file, row, id, item, score, first_word, last_word: the best alignment of
     each row of ``docs`` with each benchmark item that reaches ``threshold`` of
-    a whole verbatim copy.
+    a whole verbatim copy; none is missed.
 
     Words are runs without blanks, A-Z lower-cased.  Null or blank texts and
-    items match nothing.  Items of fewer than n words are searched whole.  Rows
-    of ``docs`` are told apart by location, so repeated rows and null ids are
-    rows of their own; a repeated item is reported once for each distinct id.
-    Of equal scores the first span counts.
+    items match nothing, empty tables give no rows.  Rows of ``docs`` are told
+    apart by location, so repeated rows and null ids are rows of their own; a
+    repeated item is reported once for each distinct id.  Of equal scores the
+    first span counts.
     """
     located = with_location(docs.select(column(docs, doc_id).alias("id"), column(docs, text)))
-    return _contaminated(located, text, items, item_id, item_text, n, threshold, filter_bits)
+    return _contaminated(located, text, items, item_id, item_text, threshold, filter_bits)
 
 
-def _contaminated(located, text, items, item_id, item_text, n, threshold, filter_bits) -> DataFrame:
+def candidate_pairs(located: DataFrame, text: str, contents: DataFrame, threshold: float = SCORE, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """file, row, id, key, item_words, first, words: the part of each passage
+    that may hold a copy of the item, for every pair that its seeds leave open."""
     spark: SparkSession = located.sparkSession
-    items = items.select(column(items, item_id).alias("item"), column(items, item_text).cast("string").alias("text"))
-    grams = stage(item_grams(items, n), "item-grams")
-    shape = grams.agg(F.max(F.size("words")).alias("longest"), F.collect_set(F.least(F.size("words"), F.lit(n))).alias("sizes")).first()
-    bitmap = spark.sparkContext.broadcast(bitmap_of_grams(grams, filter_bits))
-    found = stage(passages(located, text, sorted(shape.sizes or [n]), int(shape.longest or 0), bitmap, n), "passages")
+    seeds = stage(item_seeds(contents, threshold), "item-seeds")
+    longest = contents.agg(F.max(F.size("words"))).first()[0] or 0
+    sizes = sorted(r.size for r in seeds.select("size").distinct().collect())  # 1 to 3
+    # more than an alignment can cover: all of the item and the words that it can pay for
+    reach = 2 + ceil((1 + MATCH * (1 - threshold)) * longest)
+    needs = spark.sparkContext.broadcast(table_of_needs(seeds, filter_bits))
+    found = stage(passages(located, text, sizes, reach, needs), "passages")
 
-    # every hit counts: a copy may hold nothing but n-grams that many documents hold
     hits = found.select("file", "row", "first", F.explode("hits").alias("hit")).select("file", "row", "first", "hit.at", "hit.gram")
-    pairs = hits.join(grams.select("item", "place", "gram"), "gram").groupBy("file", "row", "first", "item").agg(
-        F.min(F.col("at") - F.col("place")).alias("low"), F.max(F.col("at") - F.col("place")).alias("high")
-    )
-    whole = grams.select("item", F.col("words").alias("item_words")).distinct()
-    size, slack = F.size("item_words"), F.floor(F.size("item_words") / 4).cast("int") + 8
-    lo = F.greatest(F.lit(0), F.col("low") - slack)
+    counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("hits"))
+    # of need places that a copy keeps, half may be among the most frequent ones, which are left out
+    places = seeds.join(counts, "gram").groupBy("key", "place").agg(F.sum("hits").alias("hits"))
+    order = Window.partitionBy("key").orderBy(F.desc("hits"), "place")
+    frequent = places.withColumn("nth", F.row_number().over(order)).filter("hits > 1")
+    frequent = frequent.join(seeds.groupBy("key").agg(F.first("need").alias("need")), "key").filter("nth <= floor(need / 2)").select("key", "place")
+    rare = stage(seeds.join(frequent, ["key", "place"], "left_anti"), "rare-seeds")
     pairs = (
+        hits.join(rare, "gram")
+        .groupBy("file", "row", "first", "key")
+        .agg(
+            F.min(F.col("at") - F.col("place")).alias("low"), F.max(F.col("at") - F.col("place")).alias("high"),
+            F.count_distinct("place").alias("places"), F.first("need").alias("need"),
+        )
+        .filter("places >= need - floor(need / 2)")
+    )
+    size = F.size("item_words")
+    slack = F.ceil(size * (MATCH * (1 - threshold))).cast("int") + 1
+    lo = F.greatest(F.lit(0), F.col("low") - slack)
+    return (
         pairs.join(found.select("file", "row", "first", "id", "words"), ["file", "row", "first"])
-        .join(whole.withColumnRenamed("item", "its"), F.col("item").eqNullSafe(F.col("its")))
+        .join(contents.select("key", F.col("words").alias("item_words")), "key")
         .select(
-            "file", "row", "id", "item", "item_words",
+            "file", "row", "id", "key", "item_words",
             (F.col("first") + lo).alias("first"),
             F.slice("words", lo + 1, F.greatest(F.lit(1), F.col("high") + size + slack - lo)).alias("words"),
         )
     )
+
+
+def _contaminated(located, text, items, item_id, item_text, threshold, filter_bits) -> DataFrame:
+    items = items.select(column(items, item_id).alias("item"), column(items, item_text).cast("string").alias("text"))
+    items = stage(benchmark_items(items), "items")
+    contents = stage(items.groupBy("key").agg(F.first("words").alias("words")), "item-texts")
     best = F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"))).alias("best")
-    return scored(pairs, threshold).groupBy("file", "row", "id", "item").agg(best).select("file", "row", "id", "item", "best.*")
+    found = scored(candidate_pairs(located, text, contents, threshold, filter_bits), threshold).groupBy("file", "row", "id", "key").agg(best)
+    return found.join(items.select("item", "key").distinct(), "key").select("file", "row", "id", "item", "best.*").groupBy("file", "row", "id", "item").agg(
+        F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"))).alias("best")
+    ).select("file", "row", "id", "item", "best.*")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
@@ -275,7 +390,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc
     their order stay."""
     located = with_location(docs)
     narrow = located.select(F.struct(F.col("doc")[doc_id].alias("id"), F.col("doc")[text].alias("text")).alias("doc"), "file", "row")
-    settings = {"item_id": "item_id", "item_text": "text", "n": WORDS, "threshold": SCORE, "filter_bits": FILTER_BITS} | options
+    settings = {"item_id": "item_id", "item_text": "text", "threshold": SCORE, "filter_bits": FILTER_BITS} | options
     bad = _contaminated(narrow, "text", items, **settings).select("file", "row").distinct()
     return unwrapped(located.join(bad, ["file", "row"], "left_anti"), docs.columns)
 

@@ -1,8 +1,23 @@
 import random
 
 import numpy as np
-
-from dunning.llm.decontaminate import GAP, MATCH, MISMATCH, align, contaminated, drop_contaminated, op6_decontaminate
+import pytest
+from pyspark.sql import functions as F
+
+from dunning.llm.common import with_location
+from dunning.llm.decontaminate import (
+    GAP,
+    MATCH,
+    MISMATCH,
+    SCORE,
+    align,
+    benchmark_items,
+    candidate_pairs,
+    contaminated,
+    drop_contaminated,
+    op6_decontaminate,
+    seed_rule,
+)
 
 
 def brute_align(a, b):
@@ -103,3 +118,67 @@ def test_verbatim_items_of_the_benchmark(spark):
     verbatim = {(i, j) for i, t in docs.items() for j, x in items.items() if x in t}
     got = {(r.doc_id, r.item_id): r.score for r in op6_decontaminate(spark, d).collect()}
     assert {k for k, s in got.items() if s == 1} == verbatim and set(got) >= verbatim
+
+
+def edited(own, kind, every):
+    """``own`` with an edit at every ``every``-th word."""
+    out = []
+    for k, w in enumerate(own):
+        hit = k % every == every - 1
+        if kind == "other":
+            out += ["zz"] if hit else [w]
+        elif kind == "more":
+            out += [w, f"y{k}"] if hit else [w]
+        elif kind == "less":
+            out += [] if hit else [w]
+        else:
+            out += RNG.choice([["zz"], [w, "zz"], []]) if hit else [w]
+    return out
+
+
+@pytest.mark.parametrize("threshold", [SCORE, 0.8])
+def test_equals_the_alignment_of_all_pairs(spark, threshold):
+    items = [(i, words(n)) for i, n in enumerate([1, 2, 3, 5, 8, 10, 11, 12, 15, 16, 21, 30, 40, 40, 59])]
+    docs = []
+    for _, item in items:
+        for kind in ("other", "more", "less", "any"):
+            for every in (1, 2, 3, 4, 5, 6, 9):
+                if kind != "less" or every > 1:
+                    docs.append(words(RNG.randint(0, 30)) + edited(item, kind, every) + words(RNG.randint(0, 30)))
+    numbers = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for x in [*docs, *(i for _, i in items)] for w in x))}
+    pad = lambda rows: np.array([np.r_[r, np.zeros(max(map(len, rows)) - len(r))] for r in rows], np.int64)
+    texts = [[numbers[w] for w in d] for d in docs]
+    expected = {}
+    for i, item in items:  # align() itself is held against dynamic programming above
+        own = pad([[numbers[w] for w in item]] * len(texts))
+        best, _ = align(own, np.full(len(texts), len(item)), pad(texts), np.array(list(map(len, texts))))
+        expected |= {(d, i): s / (2 * len(item)) for d, s in enumerate(best.tolist()) if s / (2 * len(item)) >= threshold}
+    rows = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    got = {(r.id, r.item): r.score for r in contaminated(rows, bench, threshold=threshold).collect()}
+    assert got == expected and min(expected.values()) < threshold + 0.05
+
+
+def test_what_a_copy_must_keep():
+    assert [seed_rule(m, 0.6) for m in (1, 2, 3, 10, 11, 40)] == [(1, 1), (2, 1), (2, 1), (2, 5), (3, 1), (3, 6)]
+    assert seed_rule(40, 1.0) == (3, 38)
+
+
+def test_a_stock_phrase_of_many_texts_and_items_aligns_nothing(spark):
+    phrase = "choose the best answer from these".split()
+    long_tail = lambda d, n: [f"w{d}x{k}" for k in range(n)]
+    items = spark.createDataFrame([(i, " ".join(phrase + long_tail(f"i{i}", 34))) for i in range(200)], "item_id long, text string")
+    leak = " ".join(phrase + long_tail("i7", 34))  # held by a third of all documents
+    docs = [(d, " ".join(long_tail(f"d{d}", 20) + phrase + long_tail(f"e{d}", 20))) for d in range(500)] + [(1000 + d, f"before {leak} after") for d in range(250)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    contents = benchmark_items(items.select(F.col("item_id").alias("item"), "text")).select("key", "words")
+    assert candidate_pairs(with_location(docs.withColumnRenamed("doc_id", "id")), "text", contents).count() == 250
+    assert {(r.id, r.item) for r in contaminated(docs, items).collect()} == {(1000 + d, 7) for d in range(250)}
+
+
+def test_an_item_of_several_ids_and_an_id_of_several_items(spark):
+    a, b = " ".join(words(20)), " ".join(words(25))
+    items = spark.createDataFrame([(1, a), (2, a), (2, a.upper()), (3, a), (3, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(9, f"x {a} y"), (9, f"x {a} y"), (10, f"{b} {a}")], "doc_id long, text string")
+    got = sorted((r.id, r.item, r.first_word) for r in contaminated(docs, items).collect())
+    assert got == [(9, 1, 1), (9, 1, 1), (9, 2, 1), (9, 2, 1), (9, 3, 1), (9, 3, 1), (10, 1, 25), (10, 2, 25), (10, 3, 0)]
