@@ -66,8 +66,8 @@ class BytePairCodec:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
-        # a space after other white space, or before a second space: cut with care
-        self.careful = re.compile(r"[^\S ] |  ").search
+        # a space after white space: cut with care (the space first, which the search skips to)
+        self.careful = re.compile(r" (?<=\s )").search
         self.split = re.compile(r"\s*\S+|\s+").findall
         self.one_word = re.compile(r" \S+").fullmatch
 
@@ -83,26 +83,27 @@ class BytePairCodec:
         out[0] = parts[0]
         return out if parts[0] else out[1:]
 
-    def ids_of(self, some: list[str]) -> list[list[int]]:
-        """Ids of chunks.  Those that are one space and then none are encoded
+    def ids_of(self, some: list[str]) -> list[bytes]:
+        """Ids of chunks, as bytes.  Those that are one space and then none are encoded
         as one text and parted again where a token begins with the space, which
         spares the library an object for each."""
         plain = [c for c in some if self.one_word(c)]
-        got: dict[str, list[int]] = {}
+        got: dict[str, bytes] = {}
         for i in range(0, len(plain), 2_000):
             part = plain[i : i + 2_000]
             (whole,) = self.ask(["".join(part)], add_special_tokens=False)
             ids = np.array(whole.ids)
-            at = np.append(np.flatnonzero(self.spaced[ids]), len(ids)).tolist()
+            at = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
             if len(at) == len(part) + 1 and at[0] == 0:
-                ids = ids.tolist()
-                got.update((c, ids[x:y]) for c, x, y in zip(part, at, at[1:], strict=False))
+                at = (at * np.dtype(self.dtype).itemsize).tolist()
+                raw = ids.astype(self.dtype).tobytes()
+                got.update((c, raw[x:y]) for c, x, y in zip(part, at, at[1:], strict=False))
         rest = [c for c in some if c not in got]
-        got.update(zip(rest, (e.ids for e in self.ask(rest, add_special_tokens=False)), strict=True))
+        got.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(rest, self.ask(rest, add_special_tokens=False), strict=True))
         return [got[c] for c in some]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        ids = encoded([self.chunks(t) for t in texts], self.known, self.ids_of, np.dtype(self.dtype).char)
+        ids = encoded([self.chunks(t) for t in texts], self.known, self.ids_of)
         return [np.frombuffer(b, self.dtype) for b in ids]
 
 
