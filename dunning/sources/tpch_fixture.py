@@ -165,6 +165,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return hit[1]
 
 
+def _shared(df: DataFrame, columns: list[str], parts: dict[str, str]) -> DataFrame:
+    """``df`` with ``columns``, where what each of ``parts`` says is evaluated
+    once for a row and not wherever it stands in them."""
+    for name, text in parts.items():
+        df = df.withColumn(name, F.expr(text))
+        columns = [c.replace(text, name) for c in columns]
+    return df.selectExpr(*columns)
+
+
+def _amount_parts(amounts: tuple[str, ...]) -> dict[str, str]:
+    cents = {f"_cents_{c}": _cents(c) for c in amounts}
+    return cents | {f"_whole_{c}": f"CAST(floor(_cents_{c} / CAST(100 AS DOUBLE)) AS BIGINT)" for c in amounts}
+
+
 def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("O", "P")).alias("o")
     c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name").alias("c")
@@ -175,16 +189,13 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = _table(spark, sf_dir, "lineitem").alias("l")
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").alias("o")
     c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name").alias("c")
-    return (
-        l.join(o, F.col("l.l_orderkey") == F.col("o.o_orderkey"))
-        .join(c, F.col("o.o_custkey") == F.col("c.c_custkey"))
-        .selectExpr(*payments_columns())
-    )
+    rows = l.join(o, F.col("l.l_orderkey") == F.col("o.o_orderkey")).join(c, F.col("o.o_custkey") == F.col("c.c_custkey"))
+    return _shared(rows, payments_columns(), {"_net_cents": _NET_CENTS})
 
 
 def statement_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statement(spark, sf_dir).selectExpr(*STATEMENT_RAW_COLUMNS)
+    return _shared(statement(spark, sf_dir), STATEMENT_RAW_COLUMNS, _amount_parts(("initial_amount", "balance")))
 
 
 def payments_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payments(spark, sf_dir).selectExpr(*PAYMENTS_RAW_COLUMNS)
+    return _shared(payments(spark, sf_dir), PAYMENTS_RAW_COLUMNS, _amount_parts(("paid_amount", "cash", "cheque", "card", "transfer")))

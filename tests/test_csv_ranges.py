@@ -145,3 +145,12 @@ def test_account_reads_its_input_once(spark):
 def test_empty_table_has_an_account(spark):
     got = IN.clean_accounted(spark.createDataFrame([], "balance string"), IN.clean_statement, IN.STATEMENT_COERCED)
     assert [tuple(r) for r in got.counts.collect()] == [("balance", 0, 0, 0)] and got.rejects.count() == 0
+
+
+def test_cells_are_cleaned_once(spark):
+    """One pattern for all amounts and one for the whole number; it was twelve before."""
+    from dunning.sources import tpch_fixture as fx
+    from dunning.sources.ingest import clean_payments
+
+    plan = clean_payments(fx.payments_raw(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(") == 2
