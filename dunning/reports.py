@@ -557,9 +557,9 @@ def _load_payments(i: Inputs):
 
 @report("load_statement_ranges")
 def _load_ranges(i: Inputs):
-    # one file with line breaks in every name, read in byte ranges
+    # one file with line breaks in every name, read in byte ranges; one task writes it, others join
     raw = fx.statement_raw(i.spark, i.sf_dir).withColumn("customer_name", F.concat("customer_name", F.lit("\n\""), "document_no", F.lit('"')))
-    return IN.read_csv_ranges(i.spark, SK.write_csv(raw.coalesce(1), scratch_path(i.spark, "statement_lines")))
+    return IN.read_csv_ranges(i.spark, SK.write_csv(raw.repartition(1), scratch_path(i.spark, "statement_lines")))
 
 
 def _accounts(i: Inputs) -> dict[str, IN.Accounted]:

@@ -161,6 +161,20 @@ def numbered(records: DataFrame) -> DataFrame:
     return written.join(offsets, ["file", "start"]).withColumn("row", F.col("offset") + F.row_number().over(in_range) - 1).select("file", "row", "text")
 
 
+def first_records(records: DataFrame) -> DataFrame:
+    """``file``, ``first`` (start and place) and ``header``, the text, of the
+    first record of each file: smallest numbers by hash, so that no task sorts
+    records, and then the record that lies there."""
+    starts = materialize(records.groupBy("file").agg(F.min("start").alias("start")))
+    places = records.join(small(starts), ["file", "start"]).groupBy("file", "start").agg(F.min("place").alias("place"))
+    return records.join(small(materialize(places)), ["file", "start", "place"]).select("file", F.struct("start", "place").alias("first"), F.col("text").alias("header"))
+
+
+def small(facts: DataFrame) -> DataFrame:
+    """``facts``, to be sent to every task if there are few."""
+    return F.broadcast(facts) if facts.limit(SMALL + 1).count() <= SMALL else facts
+
+
 def read_csv_ranges(spark: SparkSession, path, positions: bool = False) -> DataFrame:
     """All columns of the CSV files of ``path`` as text.  With ``positions``,
     ``_file`` and ``_row`` of each row come along."""
@@ -171,15 +185,13 @@ def read_csv_ranges(spark: SparkSession, path, positions: bool = False) -> DataF
             raise ValueError("too many ranges start inside quotes to number their rows")
         return spark.read.options(**PARSE, header="true", multiLine="true").csv(path)
     records = materialize(whole_records(pieces_of_records(lines, odd)))
-    firsts = records.groupBy("file").agg(F.min(F.struct("start", "place")).alias("first"), F.min_by("text", F.struct("start", "place")).alias("header"))
-    firsts = materialize(firsts)
+    firsts = materialize(first_records(records))
     headers = {h: safe_header(h) for (h,) in firsts.select("header").distinct().collect()}  # the different ones, normally one
     if not headers:
         return spark.createDataFrame([], "")
     names = list(dict.fromkeys(c for own in headers.values() for c in own))
     rows = numbered(records) if positions else records
-    few = firsts.limit(SMALL + 1).count() <= SMALL
-    rows = rows.join(F.broadcast(firsts) if few else firsts, "file")
+    rows = rows.join(small(firsts), "file")
     rows = rows.where("row > 0") if positions else rows.where("start <> first.start OR place <> first.place")
     out = None
     for header, own in headers.items():
