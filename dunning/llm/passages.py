@@ -1,23 +1,25 @@
 """Near-duplicate passages by compact windows (operator 7).
 
-The tokens of a text are its shingles of five words.  Under one hash function a
-*compact window* (l, c, r) stands for all stretches [i, j] with
+Texts are compared by their shingles of five words.  A passage has a shingle
+similarity of SIMILAR or more over LEAST_WORDS words, so two texts that share
+one have some words of it in a row: an edit costs eight shingles at least, and
+without a run of 25 words there are too many edits (``common_run``).
+
+The tokens of the windows are as long as half that run, 13 words.  Under a hash
+function a *compact window* (l, c, r) stands for all stretches [i, j] with
 l <= i <= c <= j <= r: their minimum is the token at c.  A Cartesian tree over
 the hashes gives the windows; only those that hold a stretch of the least
-length are kept, about 2 n / (least + 1) of n tokens.
-
-Windows with the same minimum are brought together for each of HASHES
-functions.  Two texts are candidates where windows of at least ENOUGH functions
-overlap in a stretch of the least length; there the shingles themselves are
-compared.
-
-A value that a third of all texts share is never gathered: windows are sorted
-by range over (value, text, place), so that a long run covers several
-partitions, and each row is linked to the run's first and to the row before.
-Texts that stand between two others there can keep those apart.  So every
-stretch of the least length whose minima all meet another text's is hashed as a
-whole too, and linked to the first text that has it: who shares a stretch word
-for word has that text in common, whatever stands between.
+length are kept, about 2 n / (least + 1) of n tokens.  A run of 25 words has one
+stretch of 13 tokens, so texts that share it have a window with the same minimum
+there: one function finds every pair.
+
+Windows with the same minimum are brought together, and where they overlap in a
+stretch of the least length the shingles themselves are compared.  A value that
+a third of all texts share is never gathered: windows are sorted by range over
+(value, text, place), so that a long run covers several partitions, and each row
+is linked to the run's first and to the row before.  That connects most of what
+has a passage in common.  Where texts of one value are in different classes
+then, all pairs of them across classes are compared too.
 """
 
 from __future__ import annotations
@@ -50,21 +52,30 @@ by_value(__name__)
 
 WORDS = 5
 LEAST_WORDS = 50
-HASHES, ENOUGH = 5, 2
 SIMILAR = 0.8
 #: Pairs of a text that share one copy of its words when they are verified.
 SPREAD = 256
 #: Bits of the bitmap of texts that take part in a candidate, as a power of two (2 MB).
 FILTER_BITS = 24
-#: Bits of the bitmap of minima that several texts share (8 MB). Fixed: more of
-#: them pass more stretches to the sort, and results stay the same.
-SHARED_BITS = 26
+#: Value of tokens that are a window's minimum only where it has no other.
+LAST = np.uint64((1 << 64) - 1)
+#: Shingles beside a run of one word that may be the next ones in common: a chain's gap and its lean.
+GAP, LEAN = 12, 8
 _TABLE = byte_classes(BLANKS)
 
 
 # --- compact windows ----------------------------------------------------------
 
 
+def common_run(least: int, similar: float) -> int:
+    """Shingles in a row that two texts with a passage of ``least`` shingles
+    share: of m shingles in common ``similar`` allows m (1 - similar) / similar
+    others, and each break between runs costs both texts WORDS - 1."""
+    at_least = int(np.ceil(2 * similar / (1 + similar) * least - 1e-9))
+    breaks = lambda m: int(m * (1 - similar) / similar / (2 * (WORDS - 1)) + 1e-9)
+    return min(-(-m // (breaks(m) + 1)) for m in range(at_least, 20 * at_least + 200))
+
+
 def sliding_least(v: np.ndarray, t: int) -> np.ndarray:
     """Minimum of each t consecutive values."""
     width = 1
@@ -74,25 +85,28 @@ def sliding_least(v: np.ndarray, t: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (t - width)], v[t - width :]) if t > width else v
 
 
-def hashed_least(tokens: np.ndarray, least: int, function: int):
+def hashed_least(tokens: np.ndarray, least: int, function: int, last: np.ndarray | None = None):
     """Value of each token, and of each ``least`` consecutive ones the place of
-    the smallest: in the low ``bits`` of what sorts like the values."""
+    the smallest: in the low ``bits`` of what sorts like the values.  Tokens
+    marked in ``last`` have the value LAST."""
     n = len(tokens)
     value = splitmix(tokens ^ np.uint64(0xA0761D6478BD642F * (2 * function + 1) % (1 << 64)))
+    if last is not None:
+        value[last] = LAST
     bits = np.uint64(max(1, (n - 1).bit_length()))
     # places in the low bits: ties go to the first
     keyed = (value >> bits << bits) | np.arange(n, dtype=np.uint64)
     return value, sliding_least(keyed, least), bits
 
 
-def compact_windows(tokens: np.ndarray, text: np.ndarray, least: int, function: int):
+def compact_windows(tokens: np.ndarray, text: np.ndarray, least: int, function: int, last: np.ndarray | None = None):
     """(text, value, l, c, r) of the compact windows of ``least`` or more
     tokens; ``text`` numbers the text of each token, places count within the
     whole array."""
     n = len(tokens)
     if n < least:
         return (np.zeros(0, np.int64),) * 5
-    value, lowest, bits = hashed_least(tokens, least, function)
+    value, lowest, bits = hashed_least(tokens, least, function, last)
     lowest = lowest[text[: n - least + 1] == text[least - 1 :]]
     if not len(lowest):
         return (np.zeros(0, np.int64),) * 5
@@ -130,39 +144,69 @@ def _words(piece, at_column: int):
     return row, h, np.searchsorted(row, np.arange(len(at)))
 
 
-def windows_of(located: DataFrame, text: str, least_words: int) -> DataFrame:
-    """A row for each text (function -1: file, row, id, key, n_words) and for
-    each compact window (key, function, value, c, l, r; places within the text)."""
+def runs_of_one_word(h: np.ndarray, row: np.ndarray, begin: np.ndarray, run: int, least: int):
+    """(text, value, place) for runs of ``run`` or more times one word.  Very
+    many texts may have one, and it has no place that tells them apart.  Where
+    two of them share a passage, either both repeat the word over the least
+    length, or a shingle beside the run is shared too: the value is that of the
+    word, or of the word and each such shingle."""
+    new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(h)))
+    first, n = first[n >= run], n[n >= run]
+    grams = gram_hashes(h, WORDS)
+    side = np.arange(1, GAP + LEAN + 1)
+    beside = np.concatenate([first[:, None] - side, (first + n - WORDS)[:, None] + side], axis=1).reshape(-1)
+    of = np.repeat(np.arange(len(first)), 2 * len(side))
+    ok = (beside >= begin[row[first[of]]]) & (beside + WORDS <= begin[row[first[of]] + 1])
+    beside, of = beside[ok], of[ok]
+    whole = np.flatnonzero(n >= least + WORDS - 1)
+    word = splitmix(h[first] + np.uint64(1))
+    value = np.concatenate([word[whole], splitmix(word[of] ^ grams[beside])])
+    owner = row[first[np.concatenate([whole, of])]]
+    return owner, value, np.concatenate([first[whole], beside]) - begin[owner]
+
+
+def windows_of(located: DataFrame, text: str, gram: int, least: int, passage: int) -> DataFrame:
+    """A row for each text (c -1: file, row, id, key, n_words) and for each
+    compact window of ``least`` tokens of ``gram`` words (key, value, c, l, r;
+    places within the text).  Runs of one word have windows of their own;
+    ``passage``: shingles of the shortest passage."""
     narrow = located.select("file", "row", F.col("doc.id").alias("id"), F.col("doc")[text].cast("string").alias("text"))
-    least = least_words - WORDS + 1
     kind = narrow.schema["id"].dataType.simpleString()
-    schema = f"file string, row long, id {kind}, n_words int, key long, function int, value long, c int, l int, r int"
+    schema = f"file string, row long, id {kind}, n_words int, key long, value long, c int, l int, r int"
 
     def run(batches):
-        names = ["file", "row", "id", "n_words", "key", "function", "value", "c", "l", "r"]
+        names = ["file", "row", "id", "n_words", "key", "value", "c", "l", "r"]
         for piece in pieces(batches, "text"):
             row, h, begin = _words(piece, 3)
             key = text_keys(h, begin)
             m, rows = len(key), [piece.column(j) for j in range(3)]
             no = lambda n, t: pa.nulls(n, t)
             yield pa.RecordBatch.from_arrays(
-                [*rows, pa.array(np.diff(begin).astype(np.int32)), pa.array(signed(key)), pa.array(np.full(m, -1, np.int32)), no(m, pa.int64()), *(no(m, pa.int32()) for _ in "clr")],
+                [*rows, pa.array(np.diff(begin).astype(np.int32)), pa.array(signed(key)), no(m, pa.int64()), pa.array(np.full(m, -1, np.int32)), no(m, pa.int32()), no(m, pa.int32())],
                 names,
             )
-            tokens = gram_hashes(h, WORDS)
-            inside = row[: len(tokens)] == row[WORDS - 1 :][: len(tokens)]
+            tokens = gram_hashes(h, gram)
+            inside = row[: len(tokens)] == row[gram - 1 :][: len(tokens)]
             tokens, owner = tokens[inside], row[: len(inside)][inside]
             start = np.searchsorted(owner, np.arange(m))
-            for f in range(HASHES):
-                of, value, l, c, r = compact_windows(tokens, owner, least, f)  # noqa: E741
-                n = len(of)
-                if n:
-                    base = start[of]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(no(n, x.type) for x in rows), no(n, pa.int32()), pa.array(signed(key[of])), pa.array(np.full(n, f, np.int32)), pa.array(signed(value)),
-                         *(pa.array((x - base).astype(np.int32)) for x in (c, l, r))],
-                        names,
-                    )
+            same = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
+            flat = (same[gram - 1 :] == same[: len(same) - gram + 1])[: len(inside)][inside]
+            of, value, l, c, r = compact_windows(tokens, owner, least, 0, flat)  # noqa: E741
+            some = value != LAST
+            base = start[of[some]]
+            l, c, r = (x[some] - base for x in (l, c, r))  # noqa: E741
+            more = runs_of_one_word(h, row, begin, gram + least - 1, passage)
+            of, value, c = (np.concatenate([x, y]) for x, y in zip((of[some], value[some], c), more, strict=True))
+            l, r = np.concatenate([l, more[2] - least]), np.concatenate([r, more[2] + least])  # noqa: E741
+            n = len(of)
+            if n:
+                yield pa.RecordBatch.from_arrays(
+                    [*(no(n, x.type) for x in rows), no(n, pa.int32()), pa.array(signed(key[of])), pa.array(signed(value)),
+                     *(pa.array(x.astype(np.int32)) for x in (c, l, r))],
+                    names,
+                )
 
     return narrow.mapInArrow(run, schema)
 
@@ -173,48 +217,18 @@ def stretch_hashes(tokens: np.ndarray, least: int) -> np.ndarray:
     return splitmix(total[least:] - total[:-least])
 
 
-def stretches_of(located: DataFrame, text: str, least: int, bitmap) -> DataFrame:
-    """A window (value, key, function, c, l, r; c is where it starts) for each
-    stretch of ``least`` shingles that has its minimum in ``bitmap`` under every
-    function; one for each value of a text."""
-
-    def run(batches):
-        bits = np.frombuffer(bitmap.value, np.uint8)
-        for piece in pieces(batches, "text"):
-            row, h, begin = _words(piece, 0)
-            key = text_keys(h, begin)
-            tokens = gram_hashes(h, WORDS)
-            inside = row[: len(tokens)] == row[WORDS - 1 :][: len(tokens)]
-            tokens, owner = tokens[inside], row[: len(inside)][inside]
-            if len(tokens) < least:
-                continue
-            at = np.flatnonzero(owner[: len(owner) - least + 1] == owner[least - 1 :])
-            for f in range(HASHES):
-                value, lowest, low = hashed_least(tokens, least, f)
-                at = at[in_bitmap(bits, value[(lowest[at] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)])]
-            g, of = stretch_hashes(tokens, least)[at], owner[at]
-            order = np.lexsort([at, g, of])
-            at, g, of = at[order], g[order], of[order]
-            once = np.r_[True, (g[1:] != g[:-1]) | (of[1:] != of[:-1])][: len(at)]
-            at, g, of = at[once], g[once], of[once]
-            zero = pa.array(np.zeros(len(at), np.int32))
-            place = pa.array((at - np.searchsorted(owner, of)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(signed(key[of])), zero, place, zero, zero], ["value", "key", "function", "c", "l", "r"])
-
-    return located.select(F.col("doc")[text].cast("string").alias("text")).mapInArrow(run, "value long, key long, function int, c int, l int, r int")
-
-
 # --- texts with windows of the same value ---------------------------------------
 
 PAIR = "value long, a long, b long, function int, ac int, al int, ar int, bc int, bl int, br int"
 
 
-def meetings(windows: DataFrame, before_too: bool = True) -> DataFrame:
+def meetings(windows: DataFrame) -> DataFrame:
     """Pairs of windows of different texts with the same value: each with the
-    first of its run and, with ``before_too``, with the one before.  A run is
-    cut where partitions end; the first rows of its parts are linked afterwards."""
+    first of its run and with the one before.  The pairs of a value connect all
+    texts that have it.  A run is cut where partitions end; the first rows of
+    its parts are linked afterwards."""
     ordered = windows.repartitionByRange("value", "key", "c").sortWithinPartitions("value", "key", "c")
-    ordered = ordered.select("value", "key", "function", "c", "l", "r", F.spark_partition_id().alias("part"))
+    ordered = ordered.select("value", "key", F.lit(0).alias("function"), "c", "l", "r", F.spark_partition_id().alias("part"))
     names = ["value", "a", "b", "function", "ac", "al", "ar", "bc", "bl", "br"]
 
     def scan(batches):
@@ -239,7 +253,7 @@ def meetings(windows: DataFrame, before_too: bool = True) -> DataFrame:
             again = np.r_[False, (x[:, 1:] == x[:, :-1]).all(axis=0)]  # the same window of a copy
             first = np.maximum.accumulate(np.where(new, at, 0))
             previous = np.r_[0, at[:-1]]
-            for other in (first, previous) if before_too else (first,):
+            for other in (first, previous):
                 ok = (at >= before) & ~new & ~again & (x[1, other] != x[1])
                 if other is previous:
                     ok &= previous != first
@@ -317,7 +331,7 @@ def best_stretch(pa_: np.ndarray, pb: np.ndarray, least: int, similar: float) ->
     """(from, to, similarity) of the longest stretch of matches that covers
     ``least`` places of both sides and reaches ``similar``; None without one."""
     n = len(pa_)
-    if n < 2 * similar / (1 + similar) * least:
+    if n < 2 * similar / (1 + similar) * least or len(np.unique(pb)) < 2 * similar / (1 + similar) * least - 1e-9:
         return None
     if (np.diff(pb) > 0).all():
         # x to y reaches it if level[y] >= level[x] - (1 - similar): the last such y for each x
@@ -368,7 +382,7 @@ def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similar: float) ->
         shift = match[k - 1] - place[k - 1] if k else 0
         some = order[lo[p] : hi[p]]
         match[k] = some[np.abs(some - p - shift).argmin()]
-    breaks = (np.diff(place) > 12) | (np.abs(np.diff(match - place)) > 8)
+    breaks = (np.diff(place) > GAP) | (np.abs(np.diff(match - place)) > LEAN)
     todo = np.split(np.arange(len(place)), np.flatnonzero(breaks) + 1)[::-1]
     while todo:  # the longest stretch of each chain, then what is left of it on both sides
         part = todo.pop()
@@ -390,26 +404,28 @@ def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similar: float) ->
     return out
 
 
-def repeated_passages(located: DataFrame, text: str, least_words: int = LEAST_WORDS, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """The texts (file, row, id, key, n_words; equal word sequences have one
-    key) and the links between different texts: a, b (keys), a_from, a_to,
-    b_from, b_to (words, end exclusive), similarity."""
-    spark = located.sparkSession
-    least = least_words - WORDS + 1
-    everything = stage(windows_of(located, text, least_words), "windows")
-    texts = everything.filter("function < 0").select("file", "row", "id", "key", "n_words")
-    windows = everything.filter("function >= 0").select("key", "function", "value", "c", "l", "r")
-    met = meetings(windows)
-    # stretches word for word: they need no second function, hence two numbers
-    shared = spark.sparkContext.broadcast(bitmap_of_grams(met.select(F.col("value").alias("gram")), SHARED_BITS))
-    alike = meetings(stage(stretches_of(located, text, least, shared), "stretches"), before_too=False)
-    alike = alike.groupBy("a", "b", (F.col("bc") - F.col("ac")).alias("lean")).agg(F.min("ac").alias("lo"), (F.max("ac") + least - 1).alias("hi")).select(
-        "a", "b", F.explode(F.array(F.lit(HASHES), F.lit(HASHES + 1))).alias("function"), F.col("lo").alias("ac"), F.col("lo").alias("al"), F.col("hi").alias("ar"),
-        (F.col("lo") + F.col("lean")).alias("bc"), (F.col("lo") + F.col("lean")).alias("bl"), (F.col("hi") + F.col("lean")).alias("br"),
-    )
-    pairs = met.drop("value").unionByName(alike).groupBy("a", "b").agg(
-        F.collect_set(F.struct("function", "ac", "al", "ar", "bc", "bl", "br")).alias("meets"), F.bit_count(F.bit_or(F.expr("shiftleft(1, function)"))).alias("functions")
-    )
+def merged(spans: list[tuple[int, int, int, int]], gap: int) -> list[tuple[int, int, int, int]]:
+    """Stretches of two texts joined where they lie within ``gap`` places of one
+    another in both."""
+    out: list[tuple[int, int, int, int]] = []
+    for a, a_to, b, b_to in sorted(spans):
+        for k in range(len(out) - 1, -1, -1):
+            x = out[k]
+            if a <= x[1] + gap and b <= x[3] + gap and x[2] <= b_to + gap:
+                out[k] = (x[0], max(x[1], a_to), min(x[2], b), max(x[3], b_to))
+                break
+        else:
+            out.append((a, a_to, b, b_to))
+    return out
+
+
+INTERVAL = "a long, b long, a_from int, a_to int, b_from int, b_to int"
+
+
+def compared_pairs(met: DataFrame, least: int, gap: int) -> DataFrame:
+    """Pairs of texts and where their windows overlap (tokens, ends inclusive);
+    those that overlap nowhere have one row with nulls."""
+    pairs = met.groupBy("a", "b").agg(F.collect_set(F.struct("function", "ac", "al", "ar", "bc", "bl", "br")).alias("meets"))
 
     def join_intervals(batches):
         for batch in batches:
@@ -418,20 +434,68 @@ def repeated_passages(located: DataFrame, text: str, least_words: int = LEAST_WO
             ends = np.asarray(col.offsets).tolist()
             flat = list(zip(*(col.values.field(j).to_pylist() for j in range(7)), strict=True))
             for x, y, i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends, ends[1:], strict=False):
-                for o in overlaps(flat[i:j], least, ENOUGH):
+                for o in merged(overlaps(flat[i:j], least, 1), gap) or [(None,) * 4]:
                     a.append(x)
                     b.append(y)
                     out.append(o)
-            cols = np.array(out, np.int32).reshape(-1, 4)
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(cols[:, j]) for j in range(4))], ["a", "b", "a_from", "a_to", "b_from", "b_to"]
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(c, pa.int32()) for c in cols)], ["a", "b", "a_from", "a_to", "b_from", "b_to"]
             )
 
-    candidates = pairs.filter(F.col("functions") >= ENOUGH).select("a", "b", "meets").mapInArrow(
-        join_intervals, "a long, b long, a_from int, a_to int, b_from int, b_to int"
-    )
-    candidates = stage(candidates, "candidate-passages")
-
+    return pairs.mapInArrow(join_intervals, INTERVAL)
+
+
+def pairs_across(met: DataFrame, compared: DataFrame, found: DataFrame) -> DataFrame:
+    """All pairs of texts that have a value in common and are in different
+    classes of ``found``, with the stretches that hold such values (tokens, ends
+    inclusive).  Values whose texts are in one class are left out before pairs
+    are made: all texts of a value are in its rows of ``met``."""
+    root = lambda k: found.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
+    apart = compared.select("a", "b").distinct().join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = stage(apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "pairs-apart")
+    values = met.join(apart, ["a", "b"], "left_semi").select("value").distinct()
+    rows = met.join(values, "value", "left_semi")
+    sides = rows.select("value", F.col("a").alias("key"), F.col("ac").alias("c")).union(rows.select("value", "b", "bc"))
+    members = sides.groupBy("value", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    # of two texts with one place each all has been compared
+    more = members.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("hi") - F.col("lo")).alias("wide")).filter("n > 2 or wide > 0")
+    members = members.join(more.select("value"), "value", "left_semi").join(root("key"), "key", "left")
+    members = stage(members.select("value", "key", "lo", "hi", F.coalesce("key_root", "key").alias("root")), "value-members")
+    side = lambda k: members.select("value", F.col("key").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("lo", "hi", "root")))
+    pairs = side("a").join(side("b"), "value").filter("a < b and a_root != b_root")
+    return pairs.groupBy("a", "b").agg(F.min("a_lo").alias("a_from"), F.max("a_hi").alias("a_to"), F.min("b_lo").alias("b_from"), F.max("b_hi").alias("b_to"))
+
+
+def repeated_passages(located: DataFrame, text: str, least_words: int = LEAST_WORDS, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts (file, row, id, key, n_words; equal word sequences have one
+    key), links between different texts: a, b (keys), a_from, a_to, b_from, b_to
+    (words, end exclusive), similarity; and the classes they make (node, root).
+    The links connect all texts that share a passage."""
+    least = least_words - WORDS + 1
+    run = common_run(least, similar) + WORDS - 1
+    gram = max(WORDS, (run + 1) // 2)
+    everything = stage(windows_of(located, text, gram, run - gram + 1, least), "windows")
+    texts = everything.filter("c < 0").select("file", "row", "id", "key", "n_words")
+    met = meetings(everything.filter("c >= 0").select("key", "value", "c", "l", "r"))
+    # a passage of at most twice the least length and a gap lies within that of the run it holds
+    around = 2 * least + 4 * WORDS
+    compared = stage(compared_pairs(met, run - gram + 1, 2 * around), "compared-pairs")
+    links = passage_links(located, text, compared.filter("a_from is not null"), least, similar, around + gram)
+    found = connected_components(links.select("a", "b"))
+    across = stage(pairs_across(met, compared, found), "pairs-across")
+    if not across.isEmpty():
+        more = passage_links(located, text, across, least, similar, around + gram)
+        if not more.isEmpty():
+            links = links.union(more)
+            found = connected_components(links.select("a", "b"))
+    return texts, links, found
+
+
+def passage_links(located: DataFrame, text: str, candidates: DataFrame, least: int, similar: float, around: int) -> DataFrame:
+    """The passages of candidate pairs (a, b, a_from, a_to, b_from, b_to), with
+    ``around`` words looked at on both sides."""
+    spark = located.sparkSession
     wanted = candidates.select(F.col("a").alias("gram")).union(candidates.select("b"))
     bitmap = spark.sparkContext.broadcast(bitmap_of_grams(wanted, FILTER_BITS))
 
@@ -452,7 +516,6 @@ def repeated_passages(located: DataFrame, text: str, least_words: int = LEAST_WO
 
     # The words of b come along with each pair, those of a once for each SPREAD of its pairs:
     # a text with very many partners is sent to several tasks, and held by one row at a time.
-    around = 4 * WORDS  # an edit near the end of a window may go on outside
     lo = F.greatest(F.lit(0), F.col("b_from") - around)
     shares = candidates.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("shares"))
     pairs = (
@@ -492,14 +555,14 @@ def repeated_passages(located: DataFrame, text: str, least_words: int = LEAST_WO
             )
 
     links = met.mapInArrow(verify, "a long, b long, a_from int, a_to int, b_from int, b_to int, similarity double").distinct()
-    return texts, stage(links, "passage-links")
+    return stage(links, "passage-links")
 
 
 def passage_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_words: int = LEAST_WORDS, similar: float = SIMILAR) -> DataFrame:
     """One row for each row of ``docs`` that shares a passage of
     ``least_words`` words with another: id, class_id (smallest id reachable
-    over shared passages), n_copies (rows with the same words), n_links (linked
-    passages in other texts), first_word and last_word (of all shared
+    over shared passages), n_copies (rows with the same words), n_links (passages
+    verified with other texts: enough to connect the class), first_word and last_word (of all shared
     passages), n_words.
 
     Words are runs without blanks, A-Z lower-cased.  Null, blank and shorter
@@ -508,11 +571,11 @@ def passage_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if no row of the class has an id.  An empty table gives no rows.
     """
     located = with_location(docs.select(column(docs, doc_id).alias("id"), column(docs, text)))
-    texts, links = repeated_passages(located, text, least_words, similar)
+    texts, links, found = repeated_passages(located, text, least_words, similar)
     sides = links.select(F.col("a").alias("key"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi")).union(links.select("b", "b_from", "b_to"))
     by_key = sides.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     copies = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id").alias("least_id"), F.max("n_words").alias("n_words"))
-    found = connected_components(links.select("a", "b")).withColumnRenamed("node", "key")
+    found = found.withColumnRenamed("node", "key")
     classed = (
         copies.join(by_key, "key", "left")
         .filter(f"n_links is not null or (n_copies > 1 and n_words >= {least_words})")

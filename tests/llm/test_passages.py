@@ -3,8 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from dunning.llm.common import splitmix
-from dunning.llm.passages import best_stretch, compact_windows, overlaps, passage_classes, shared_passages, sliding_least
+from dunning.llm.common import gram_hashes, splitmix
+from dunning.llm.passages import best_stretch, common_run, compact_windows, overlaps, passage_classes, shared_passages, sliding_least
 
 
 @pytest.mark.parametrize("t", [1, 2, 3, 7, 8, 46])
@@ -32,6 +32,26 @@ def test_compact_windows_hold_every_stretch_once(least):
     assert held == wanted
 
 
+def test_every_passage_has_a_run_in_common():
+    assert common_run(46, 0.8) == 21
+    rng = np.random.default_rng(8)
+    shortest = 999
+    for _ in range(3000):
+        a = rng.integers(0, 1 << 40, 120).tolist()
+        b = list(a)
+        for _ in range(rng.integers(1, 5)):
+            at = rng.integers(0, len(b))
+            b[at : at + rng.integers(0, 3)] = rng.integers(0, 1 << 40, rng.integers(0, 3)).tolist()
+        x, y = (gram_hashes(np.array(t, np.uint64), 5) for t in (a, b))
+        lo = rng.integers(0, 60)
+        x = x[lo : lo + rng.integers(46, 70)]
+        if shared_passages(x, y, 46, 0.8):
+            ours = set(zip(*(y[i : len(y) - 20 + i].tolist() for i in range(21)), strict=True))
+            runs = [k for k in range(len(x) - 20) if tuple(x[k : k + 21].tolist()) in ours]
+            shortest = min(shortest, len(runs))
+    assert 1 <= shortest < 999
+
+
 def test_overlaps_need_enough_functions():
     row = lambda f, c, shift=0: [f, c, c - 30, c + 30, c + shift, c + shift - 30, c + shift + 30]
     assert overlaps([row(0, 50, 7)], 46, 2) == []
@@ -154,3 +174,72 @@ def test_texts_that_share_single_lines_keep_no_pair_apart(spark):
     got = passage_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
     assert {r.id: r.class_id for r in got} == wanted
     assert all(r.n_links == 1 for r in got)
+
+
+@pytest.mark.parametrize("others", [0, 20, 100])
+def test_edited_passages_are_found_whatever_other_texts_hold(spark, others):
+    rng = random.Random(others)
+    rows, wanted = [], {}
+    for p in range(20):
+        lines = [words(12) for _ in range(5)]
+        for d in (2 * p, 2 * p + 1):
+            own = sum(lines, [])
+            if d % 2:
+                own[rng.randint(20, 40)] = "edited"
+            rows.append((d, " ".join(words(rng.randint(5, 40)) + own + words(rng.randint(5, 40)))))
+            wanted[d] = 2 * p
+        for line in lines:  # each line also stands in other texts, which share nothing else
+            rows += [(1000 + len(rows) + i, " ".join(words(30) + line + words(30))) for i in range(others)]
+    got = passage_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert {r.id: r.class_id for r in got} == wanted
+
+
+def test_versions_that_share_a_long_line_only(spark):
+    # a line of 30 words in all texts, each pair of texts has its own words around it
+    line = words(30)
+    rows, wanted = [], {}
+    for p in range(15):
+        before, after = words(20), words(20)
+        for d in (p, 100 + p):
+            rows.append((d, " ".join(words(30) + before + line + after + words(30))))
+            wanted[d] = p
+        rows[-1] = (rows[-1][0], rows[-1][1].replace(" ".join(after[:2]), "edited " + after[1]))
+    got = passage_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.id: r.class_id for r in got} == wanted
+
+
+def test_found_classes_are_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    base = [words(rng.randint(50, 90)) for _ in range(6)]
+    texts = []
+    for _ in range(90):
+        own = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randint(0, 2)] = words(rng.randint(0, 2))
+        lo = rng.randint(0, 20)
+        texts.append(words(rng.randint(0, 30)) + own[lo:] + words(rng.randint(0, 30)))
+    grams = [gram_hashes(np.array([hash(w) & (1 << 62) - 1 for w in t], np.uint64), 5) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if shared_passages(grams[i], grams[j], 46, 0.8):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts)]
+    got = passage_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.id: r.class_id for r in got} == {d: r for d, r in enumerate(root) if root.count(r) > 1}
+
+
+def test_runs_of_one_word(spark):
+    # in all texts one word stands 30 times in a row; pairs go on with the same words after an edit at its end
+    rows, wanted = [], {}
+    for p in range(12):
+        after = words(20 + p % 3 * 20)
+        for d in (p, 100 + p):
+            rows.append((d, " ".join(words(20) + ["so"] * 30 + [f"e{d}"] + after + words(20))))
+            wanted[d] = p
+    rows += [(200 + d, " ".join(words(20) + ["so"] * (48 + d) + words(20))) for d in range(6)]  # 50 words from the third on
+    wanted |= {200 + d: 202 for d in range(2, 6)}
+    got = passage_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.id: r.class_id for r in got} == wanted
