@@ -28,6 +28,8 @@ SPACE = "▁"
 #: Piece types of the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Chunks that a worker keeps: beside two tokenizers and the library's model, in a process that other stages use too.
+KEPT_PIECES = 200_000
 
 
 # --- the model file -----------------------------------------------------------
@@ -194,7 +196,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         docs = [self.chunks(t) for t in texts]
-        out = [np.frombuffer(b, np.uint32) for b in encoded(docs, self.known, self.encode_chunks, "I")]
+        out = [np.frombuffer(b, np.uint32) for b in encoded(docs, self.known, self.encode_chunks, "I", KEPT_PIECES)]
         if self.by_chunk:
             self.parity = [not self.wrong or self.wrong.isdisjoint(d) for d in docs]
         else:  # chunks are not what the library normalises by itself: whole texts

@@ -177,3 +177,16 @@ def test_decoded_text_comes_along(spark):
     rows = [(1, "The cat"), (2, " two  blanks "), (3, None)]
     got = {r.doc_id: r.decoded for r in sentencepiece_ids(spark.createDataFrame(rows, "doc_id long, text string"), public_model()).collect()}
     assert got == {1: "The cat", 2: " two  blanks ", 3: ""}
+
+
+def test_a_worker_keeps_a_bounded_number_of_pieces(monkeypatch):
+    from dunning.llm import sentencepieces
+
+    with open(sentencepieces.public_model(), "rb") as f:
+        data = f.read()
+    texts = [" ".join(f"word{i}" for i in range(at, at + 40)) for at in range(0, 400, 20)]
+    wanted = [x.tolist() for x in sentencepieces.Codec(data).encode(texts)]
+    monkeypatch.setattr(sentencepieces, "KEPT_PIECES", 50)
+    codec = sentencepieces.Codec(data)
+    assert [x.tolist() for t in texts for x in codec.encode([t])] == wanted
+    assert len(codec.known) <= 50
