@@ -19,7 +19,8 @@ a third of all texts share is never gathered: windows are sorted by range over
 (value, text, place), so that a long run covers several partitions, and each row
 is linked to the run's first and to the row before.  That connects most of what
 has a passage in common.  Where texts of one value are in different classes
-then, all pairs of them across classes are compared too.
+then, all pairs of them across classes that share 25 words in a row are compared
+too.
 """
 
 from __future__ import annotations
@@ -167,6 +168,25 @@ def runs_of_one_word(h: np.ndarray, row: np.ndarray, begin: np.ndarray, run: int
     return owner, value, np.concatenate([first[whole], beside]) - begin[owner]
 
 
+def _windows(h: np.ndarray, row: np.ndarray, begin: np.ndarray, gram: int, least: int, passage: int):
+    """(text, value, l, c, r) of the windows of texts, places within the text;
+    the last number says how many are compact windows: runs of one word follow."""
+    tokens = gram_hashes(h, gram)
+    inside = row[: len(tokens)] == row[gram - 1 :][: len(tokens)]
+    tokens, owner = tokens[inside], row[: len(inside)][inside]
+    start = np.searchsorted(owner, np.arange(len(begin)))
+    same = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
+    flat = (same[gram - 1 :] == same[: len(same) - gram + 1])[: len(inside)][inside]
+    of, value, l, c, r = compact_windows(tokens, owner, least, 0, flat)  # noqa: E741
+    some = value != LAST
+    base = start[of[some]]
+    l, c, r = (x[some] - base for x in (l, c, r))  # noqa: E741
+    more = runs_of_one_word(h, row, begin, gram + least - 1, passage)
+    plain = len(c)
+    of, value, c = (np.concatenate([x, y]) for x, y in zip((of[some], value[some], c), more, strict=True))
+    return of, value, np.concatenate([l, more[2] - least]), c, np.concatenate([r, more[2] + least]), plain
+
+
 def windows_of(located: DataFrame, text: str, gram: int, least: int, passage: int) -> DataFrame:
     """A row for each text (c -1: file, row, id, key, n_words) and for each
     compact window of ``least`` tokens of ``gram`` words (key, value, c, l, r;
@@ -187,19 +207,7 @@ def windows_of(located: DataFrame, text: str, gram: int, least: int, passage: in
                 [*rows, pa.array(np.diff(begin).astype(np.int32)), pa.array(signed(key)), no(m, pa.int64()), pa.array(np.full(m, -1, np.int32)), no(m, pa.int32()), no(m, pa.int32())],
                 names,
             )
-            tokens = gram_hashes(h, gram)
-            inside = row[: len(tokens)] == row[gram - 1 :][: len(tokens)]
-            tokens, owner = tokens[inside], row[: len(inside)][inside]
-            start = np.searchsorted(owner, np.arange(m))
-            same = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
-            flat = (same[gram - 1 :] == same[: len(same) - gram + 1])[: len(inside)][inside]
-            of, value, l, c, r = compact_windows(tokens, owner, least, 0, flat)  # noqa: E741
-            some = value != LAST
-            base = start[of[some]]
-            l, c, r = (x[some] - base for x in (l, c, r))  # noqa: E741
-            more = runs_of_one_word(h, row, begin, gram + least - 1, passage)
-            of, value, c = (np.concatenate([x, y]) for x, y in zip((of[some], value[some], c), more, strict=True))
-            l, r = np.concatenate([l, more[2] - least]), np.concatenate([r, more[2] + least])  # noqa: E741
+            of, value, l, c, r, _ = _windows(h, row, begin, gram, least, passage)
             n = len(of)
             if n:
                 yield pa.RecordBatch.from_arrays(
@@ -279,7 +287,7 @@ def meetings(windows: DataFrame) -> DataFrame:
     for (_, w1, x), (_, w2, y) in zip(ends, ends[1:], strict=False):
         if w1 == -2 and w2 == -1 and x.value == y.value and x.a != y.a:
             lo, hi = (x, y) if x.a < y.a else (y, x)
-            joints.append((x.value, lo.a, hi.a, lo.ac, lo.al, lo.ar, lo.bc, hi.al, hi.ar, hi.bc))
+            joints.append((x.value, lo.a, hi.a, 1, lo.al, lo.ar, lo.bc, hi.al, hi.ar, hi.bc))
     pairs = found.filter("function >= 0")
     if joints:
         pairs = pairs.union(windows.sparkSession.createDataFrame(joints, PAIR))
@@ -446,25 +454,112 @@ def compared_pairs(met: DataFrame, least: int, gap: int) -> DataFrame:
     return pairs.mapInArrow(join_intervals, INTERVAL)
 
 
-def pairs_across(met: DataFrame, compared: DataFrame, found: DataFrame) -> DataFrame:
-    """All pairs of texts that have a value in common and are in different
-    classes of ``found``, with the stretches that hold such values (tokens, ends
-    inclusive).  Values whose texts are in one class are left out before pairs
-    are made: all texts of a value are in its rows of ``met``."""
+# --- pairs across classes ---------------------------------------------------------
+
+
+def bits_for(n: int) -> int:
+    """Bits of a bitmap of ``n`` keys, as a power of two: 16 MB at most."""
+    return min(27, max(20, (256 * n).bit_length()))
+
+
+def bitmap_broadcast(keys: DataFrame):
+    """The bitmap of the staged ``keys`` (column ``gram``), for the tasks."""
+    return keys.sparkSession.sparkContext.broadcast(bitmap_of_grams(keys, bits_for(keys.count())))
+
+
+def values_apart(met: DataFrame, apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The values (``gram``) of three windows or more that some pair of ``apart``
+    has in common, and the texts that have them: all texts of a value are in its
+    rows of ``met``.  What bitmaps let through besides is harmless."""
+    pairs = bitmap_broadcast(apart.select(F.xxhash64("a", "b").alias("gram")))
+
+    def mark(batches):
+        bits = np.frombuffer(pairs.value, np.uint8)
+        for batch in batches:
+            hit = in_bitmap(bits, np.asarray(batch.column(2), np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit)], ["value", "joint", "hit"])
+
+    marks = met.select("value", F.col("function").alias("joint"), F.xxhash64("a", "b")).mapInArrow(mark, "value long, joint int, hit boolean")
+    # two windows make one row and have been compared; a joint may stand for more
+    values = marks.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.max("joint").alias("joint"), F.max("hit").alias("hit"))
+    values = stage(values.filter("hit and (n > 1 or joint > 0)").select(F.col("value").alias("gram")), "values-apart")
+    wanted = bitmap_broadcast(values)
+
+    def texts(batches):
+        bits = np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            hit = in_bitmap(bits, np.asarray(batch.column(0), np.int64))
+            a, b = (np.asarray(batch.column(k), np.int64)[hit] for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b])))], ["gram"])
+
+    return values, stage(met.select("value", "a", "b").mapInArrow(texts, "gram long").distinct(), "texts-apart")
+
+
+COMMON = "run long, key long, edge long, at int"
+
+
+def common_runs(located: DataFrame, text: str, gram: int, least: int, passage: int, keys: DataFrame, values: DataFrame) -> DataFrame:
+    """A row for each stretch of ``least`` tokens in the windows with a value of
+    ``values`` of the texts ``keys``: the hash of its words, the word before it
+    (the text's key where it begins) and its place.  A run of one word has its
+    window's value and the text's key."""
+    some_keys, some_values = bitmap_broadcast(keys), bitmap_broadcast(values)
+    n_words = gram + least - 1
+
+    def stretches(batches):
+        key_bits, value_bits = np.frombuffer(some_keys.value, np.uint8), np.frombuffer(some_values.value, np.uint8)
+        for piece in pieces(batches, "text"):
+            row, h, begin = _words(piece, 0)
+            key = text_keys(h, begin)
+            take = in_bitmap(key_bits, key)
+            h, key = h[take[row]], key[take]
+            begin = np.concatenate([[0], np.cumsum(np.diff(begin)[take])])
+            if not len(h):
+                continue
+            row = np.repeat(np.arange(len(key)), np.diff(begin))
+            of, value, l, c, r, plain = _windows(h, row, begin, gram, least, passage)  # noqa: E741
+            hit = in_bitmap(value_bits, value)
+            alone = hit[plain:]
+            one, one_value, one_at = of[plain:][alone], value[plain:][alone], c[plain:][alone]
+            of, l, c, r = (x[:plain][hit[:plain]] for x in (of, l, c, r))  # noqa: E741
+            first, last = np.maximum(l, c - least + 1), np.minimum(c, r - least + 1)
+            n = last - first + 1
+            of, at = np.repeat(of, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+            place = begin[of] + at
+            run = gram_hashes(h, n_words)[place] if len(of) else np.zeros(0, np.uint64)
+            edge = np.where(at > 0, h[place - 1], key[of])
+            cols = [(run, one_value), (key[of], key[one]), (edge, key[one]), (at.astype(np.int32), one_at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(x))) for x in cols], ["run", "key", "edge", "at"])
+
+    return located.select(F.col("doc")[text].cast("string").alias("text")).mapInArrow(stretches, COMMON)
+
+
+def pairs_across(
+    located: DataFrame, text: str, met: DataFrame, compared: DataFrame, found: DataFrame, gram: int, least: int, passage: int
+) -> DataFrame | None:
+    """Pairs of texts in different classes of ``found`` that share as many words
+    in a row as ``least`` tokens have, with the stretches from the first to the
+    last such run (tokens, ends inclusive); None if no value has texts of
+    different classes.  A pair meets where a run begins that it shares: there
+    the words before differ, so texts that go on alike to the left are not
+    paired at every place."""
     root = lambda k: found.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
     apart = compared.select("a", "b").distinct().join(root("a"), "a", "left").join(root("b"), "b", "left")
     apart = stage(apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "pairs-apart")
-    values = met.join(apart, ["a", "b"], "left_semi").select("value").distinct()
-    rows = met.join(values, "value", "left_semi")
-    sides = rows.select("value", F.col("a").alias("key"), F.col("ac").alias("c")).union(rows.select("value", "b", "bc"))
-    members = sides.groupBy("value", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    # of two texts with one place each all has been compared
-    more = members.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("hi") - F.col("lo")).alias("wide")).filter("n > 2 or wide > 0")
-    members = members.join(more.select("value"), "value", "left_semi").join(root("key"), "key", "left")
-    members = stage(members.select("value", "key", "lo", "hi", F.coalesce("key_root", "key").alias("root")), "value-members")
-    side = lambda k: members.select("value", F.col("key").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("lo", "hi", "root")))
-    pairs = side("a").join(side("b"), "value").filter("a < b and a_root != b_root")
-    return pairs.groupBy("a", "b").agg(F.min("a_lo").alias("a_from"), F.max("a_hi").alias("a_to"), F.min("b_lo").alias("b_from"), F.max("b_hi").alias("b_to"))
+    if apart.isEmpty():
+        return None
+    values, keys = values_apart(met, apart)
+    rows = common_runs(located, text, gram, least, passage, keys, values)
+    rows = rows.groupBy("key", "run", "edge").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).join(root("key"), "key", "left")
+    rows = stage(rows.select("run", "key", "edge", "lo", "hi", F.coalesce("key_root", "key").alias("root")), "common-runs")
+    differ = lambda c: F.min(c) != F.max(c)
+    groups = rows.groupBy("run").agg((differ("root") & differ("edge")).alias("ok")).filter("ok").select("run")
+    rows = stage(rows.join(groups, "run"), "runs-apart")
+    side = lambda k: rows.select("run", *(F.col(c).alias(f"{k}_{c}") for c in ("key", "edge", "lo", "hi", "root")))
+    pairs = side("a").join(side("b"), "run").filter("a_key < b_key and a_root != b_root and a_edge != b_edge")
+    pairs = pairs.groupBy(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    last = least - 1
+    return pairs.agg(F.min("a_lo").alias("a_from"), (F.max("a_hi") + last).alias("a_to"), F.min("b_lo").alias("b_from"), (F.max("b_hi") + last).alias("b_to"))
 
 
 def repeated_passages(located: DataFrame, text: str, least_words: int = LEAST_WORDS, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -483,8 +578,8 @@ def repeated_passages(located: DataFrame, text: str, least_words: int = LEAST_WO
     compared = stage(compared_pairs(met, run - gram + 1, 2 * around), "compared-pairs")
     links = passage_links(located, text, compared.filter("a_from is not null"), least, similar, around + gram)
     found = connected_components(links.select("a", "b"))
-    across = stage(pairs_across(met, compared, found), "pairs-across")
-    if not across.isEmpty():
+    across = pairs_across(located, text, met, compared, found, gram, run - gram + 1, least)
+    if across is not None and not (across := stage(across, "pairs-across")).isEmpty():
         more = passage_links(located, text, across, least, similar, around + gram)
         if not more.isEmpty():
             links = links.union(more)
@@ -519,8 +614,8 @@ def passage_links(located: DataFrame, text: str, candidates: DataFrame, least: i
     lo = F.greatest(F.lit(0), F.col("b_from") - around)
     shares = candidates.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("shares"))
     pairs = (
-        candidates.join(contents.withColumnRenamed("key", "b"), "b")
-        .join(shares, "a")
+        candidates.join(shares, "a")
+        .join(contents.withColumnRenamed("key", "b"), "b")
         .select(
             "a", F.pmod(F.xxhash64("b", "b_from"), "shares").cast("int").alias("share"), F.lit(1).alias("kind"), "a_from", "a_to", "b", lo.alias("b_at"),
             F.slice("words", lo + 1, F.col("b_to") - lo + around + WORDS).alias("words"),

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from dunning.llm import passages
 from dunning.llm.common import gram_hashes, splitmix
 from dunning.llm.passages import best_stretch, common_run, compact_windows, overlaps, passage_classes, shared_passages, sliding_least
 
@@ -243,3 +244,13 @@ def test_runs_of_one_word(spark):
     wanted |= {200 + d: 202 for d in range(2, 6)}
     got = passage_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {r.id: r.class_id for r in got} == wanted
+
+
+def test_texts_with_a_short_line_in_common_are_not_paired(spark, monkeypatch):
+    made = {}
+    plain = passages.stage
+    monkeypatch.setattr(passages, "stage", lambda df, name: made.setdefault(name, plain(df, name)))
+    line = words(20)  # 25 words in a row are the least that texts with a passage share
+    rows = [(d, " ".join(words(30) + line + words(30))) for d in range(60)]
+    assert passage_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).count() == 0
+    assert made["pairs-across"].count() == 0
