@@ -52,6 +52,8 @@ FILTER_BITS = 22
 #: Alignment: a match, another word, a word more or less.
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 SCORE = 0.6
+#: Bytes of text whose seeds are looked up at once; the arrays take several times as much.
+MOST_BYTES = 512 << 10
 _TABLE = byte_classes(BLANKS)
 
 
@@ -196,7 +198,7 @@ def passages(located: DataFrame, text: str, sizes: list[int], reach: int, needs)
     def run(batches):
         table = np.frombuffer(needs.value, np.uint8)
         unused = np.uint64(65 - len(table).bit_length())
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", MOST_BYTES):
             raw, at = text_bytes(piece.column(3))
             _, _, row, h = word_hashes(raw, at, _TABLE)
             where, grams, need = [], [], []

@@ -13,6 +13,7 @@ import os
 import struct
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ SPACE = "▁"
 #: Piece types of the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Chunks that a worker keeps: beside two tokenizers and the library's model, in a process that other stages use too.
+#: Chunks that a worker keeps: beside a tokenizer and the library's model, in a process that other stages use too.
 KEPT_PIECES = 200_000
+#: Bytes of text encoded at once.  What that takes stays with the process between the chunks it keeps, so it is little.
+MOST_BYTES = 256 << 10
 
 
 # --- the model file -----------------------------------------------------------
@@ -146,7 +149,6 @@ class Codec:
         self.spec = spec = parse(data)
         self.chunked = not any(SPACE in p.lstrip(SPACE) for p, _, kind in spec.pieces if kind in (NORMAL, USER))
         self.model = backend(spec, whole=False)
-        self.full = backend(spec)
         self.oracle = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.known: dict[str, bytes] = {}
         self.wrong: set[str] = set()
@@ -159,6 +161,11 @@ class Codec:
             return b""
         return (self.spec.unknown_surface if i == self.spec.unknown else piece.replace(SPACE, " ")).encode()
 
+    @cached_property
+    def full(self):
+        """With the normaliser and the decoder: a second copy of the model, for models whose normaliser does more than mark blanks."""
+        return backend(self.spec)
+
     def normalised(self, text: str) -> str:
         if self.spec.charsmap or self.spec.trim_blanks:
             return self.full.normalizer.normalize_str(text)
@@ -255,7 +262,7 @@ def sentencepiece_ids(
 
     def run(batches):
         codec = codec_of(shared.value, threads)
-        for piece in pieces(batches, "text", 2 << 20):
+        for piece in pieces(batches, "text", MOST_BYTES):
             texts = piece.column(1).fill_null("").to_pylist()
             ids = codec.encode(texts)
             parity = codec.parity
